@@ -36,8 +36,9 @@ from blocklens.llm.common import as_long, blocks, drop_table, materialize, part_
 from blocklens.llm.components import linked_components
 from blocklens.llm.wordhash import row_grams, scan, word_class
 
-FLUSH = 2_000_000
-SEGMENTS = 8
+FLUSH = 1_000_000
+#: Names of classes (24 bytes each) that are sent to the executors at most.
+SEND_CLASSES = 1_000_000
 
 
 def signature(grams: np.ndarray) -> bytes:
@@ -154,17 +155,39 @@ def prefix_shares(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def class_grams(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``(cid, n, toks)`` of the classes ``(cid, sig, n)``, read off the row that names each."""
+    """``(cid, n, toks)`` of the classes ``(cid, sig, n)``, read off the row that names each.
+
+    Up to ``SEND_CLASSES`` names are sent to where the texts are; more are joined.
+    """
+    classes = materialize(classes, "classes")
+    few = classes.count() <= SEND_CLASSES
+    names = sorted(tuple(r) for r in classes.select("cid", "sig").collect()) if few else []
+    held = docs.sparkSession.sparkContext.broadcast((np.array([c for c, _ in names], np.int64), b"".join(bytes(s) for _, s in names)) if few else None)
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = list(grams_of(batch, "text", k))
+        same = pa.array([len(s) > 0 and signature(s) == sig for s, sig in zip(sets, batch.column("sig").to_pylist(), strict=True)], pa.bool_())
+        out = pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], ["cid", "n", "toks"])
+        return out.filter(same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(grams_of(batch, "text", k))
-            same = pa.array([len(s) > 0 and signature(s) == sig for s, sig in zip(sets, batch.column("sig").to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column("cid").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], ["cid", "n", "toks"])
-            yield out.filter(same)
+            yield grams(batch)
+
+    def run_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, sigs = held.value
+        for batch in batches:
+            ids = batch.column("cid").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(cids, ids), max(0, len(cids) - 1))
+            rows = np.flatnonzero(cids[at] == ids) if len(cids) else np.zeros(0, np.int64)
+            if len(rows):
+                found = pa.array([sigs[16 * i : 16 * i + 16] for i in at[rows].tolist()], pa.binary())
+                yield grams(batch.take(pa.array(rows)).append_column("sig", found))
 
-    named = docs.join(classes.select(F.col("cid").alias("id"), "sig"), "id").select(F.col("id").alias("cid"), "sig", "text")
-    return named.mapInArrow(run, "cid long, n long, toks array<long>")
+    schema, named = "cid long, n long, toks array<long>", docs.select(F.col("id").alias("cid"), "text")
+    if few:
+        return named.mapInArrow(run_held, schema)
+    return named.join(classes.select("cid", "sig"), "cid").select("cid", "sig", "text").mapInArrow(run, schema)
 
 
 def overlap_sums(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -195,7 +218,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     low = F.expr("cast(conv(concat(" + ", ".join(f"hex(substring(sig, {i}, 1))" for i in range(8, 0, -1)) + "), 16, -10) as bigint)").bitwiseOR(F.lit(1))
     shares = prefix_shares(docs.filter("id IS NOT NULL"), k, num, den)
     alive = classes.withColumn("sig64", low).join(shares, "sig64").filter(F.col("shared") >= least).select("cid", "sig", "n")
-    kept = materialize(class_grams(docs, alive, k).dropDuplicates(["cid"]), "grams")
+    kept = materialize(class_grams(docs.filter("id IS NOT NULL"), alive, k).dropDuplicates(["cid"]), "grams")
 
     entries = kept.select("cid", "n", F.explode("toks").alias("tok"))
     often = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -223,7 +246,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # The most central class of a list is the one with the least share of its own shingles.
     final = linked_components(posts, possible, links, F.col("r") / F.col("n"))
     names = classes.join(final.withColumnRenamed("v", "cid"), "cid", "left").select("sig", "cid", F.coalesce("label", "cid").alias("component"))
-    out = sets.join(names, "sig", "left")
+    out = sets.join(materialize(names, "names"), "sig", "left")
     named = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias("doc_id"),
