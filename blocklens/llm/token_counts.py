@@ -5,31 +5,25 @@ merge rank, lowest rank first and then leftmost; popping one joins its two symbo
 in a linked list and offers the two new pairs. The piece's tokens are its initial
 symbols minus its merges, so no identifier is ever made.
 
-What the vocabulary file prescribes around the merges is followed: special strings
-are taken out of the raw text first and count as one token; the rest is composed
-(NFC), lower-cased letter by letter, and cut by the file's pattern.
+What the vocabulary file prescribes around the merges is followed; special strings
+count as one token.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import part_bytes, pick
+from blocklens.llm.pretokens import pre_tokens
 
 CACHE_WORDS = 400_000
 CACHE_PIECES = 400_000
-#: White space as Unicode has it; the pattern's own \s.
-SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
 
 @cache
 def byte_symbols() -> list[str]:
@@ -43,26 +37,15 @@ class MergeTable:
     """Ranks and results of the merges of one vocabulary file, over small integers."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        cuts = [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
-        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"]:
-            raise ValueError("token counts are made for byte-level BPE with word ends, NFC and lower case")
-        self.suffix = model.get("end_of_word_suffix") or ""
+        self.before = before = pre_tokens(path)
         self.ids: dict[str, int] = {}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(before.spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((self.id(a), self.id(b)), (rank, self.id(a + b)))
         symbols = byte_symbols()
         self.inner = [self.id(s) for s in symbols]
-        self.last = [self.id(s + self.suffix) for s in symbols]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.pieces = regex.compile(pattern, regex.V0).findall
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.last = [self.id(s + before.suffix) for s in symbols]
 
     def id(self, symbol: str) -> int:
         return self.ids.setdefault(symbol, len(self.ids))
@@ -133,14 +116,10 @@ class WordCounts(dict):
         self.piece = PieceCounts(self.table)
 
     def plain(self, text: str) -> int:
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return sum(map(self.piece.__getitem__, self.table.pieces(text)))
+        return sum(map(self.piece.__getitem__, self.table.before.pieces(text)))
 
     def __missing__(self, word: bytes) -> int:
-        text, special = word.decode("utf-8", "replace"), self.table.special
+        text, special = word.decode("utf-8", "replace"), self.table.before.special
         if special and special.search(text):
             parts = special.split(text)
             n = len(parts) - 1 + sum(map(self.plain, parts))

@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import part_bytes, pick, shared_dir, shuffle_partitions
+from blocklens.llm.common import blocks, part_bytes, pick, shared_dir, shuffle_partitions
+from blocklens.llm.wordhash import fold_ascii, scan, word_class
 
 MAGIC = b"BLWM1\0"
 HEAD = struct.Struct("<QQI")
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+BATCH_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq long, first_id long, n_docs long, n_tokens long, image binary"
 
 
@@ -180,26 +183,70 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """Identifiers of words between ASCII white space, as bytes, by the library.
+class WordIds:
+    """Identifiers of whole texts by the library, each different word encoded once.
 
-    This tokenizer never joins anything over white space, so a text's identifiers
-    are those of its words in turn. The memory holds a bounded number of words.
+    This tokenizer never joins anything over white space and lower-cases A-Z, so a
+    text's identifiers are those of its words, found again by their hashes. Words not
+    met yet go to the library together, parted by a special string whose identifier
+    marks the cuts; runs of rows that hold a special string themselves are encoded
+    text by text. The memory holds a bounded number of words.
     """
 
     def __init__(self, path: str, kind: type):
-        super().__init__()
-        self.encode, self.kind = tokenizer(path).encode_batch_fast, kind
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = np.array(self.encode([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.kind).tobytes()
-        self[word] = out
-        return out
-
-    def text(self, raw: bytes) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, raw.split()))
+        self.library, self.kind = tokenizer(path), kind
+        added = self.library.get_added_tokens_decoder()
+        self.special = [t.content.encode().lower() for t in added.values()]
+        self.cut = next(((i, t.content) for i, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        self.inside = word_class("space")
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[int, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Places of new words in the memory."""
+        if self.cut:
+            found = np.array(self.encode([f" {self.cut[1]} ".join(w.decode("utf-8", "replace") for w in words)])[0], np.int64)
+            marks = np.flatnonzero(found == self.cut[0])
+            sizes = np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1
+            found = np.delete(found, marks)
+        else:
+            each = self.encode([w.decode("utf-8", "replace") for w in words])
+            sizes, found = np.array([len(e) for e in each]), np.array([i for e in each for i in e], np.int64)
+        places = len(self.sizes) + np.arange(len(words))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, found.astype(self.kind)))
+        return places
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All identifiers of a run of rows, and where each row's begin."""
+        lower = fold_ascii()[data].tobytes()
+        if any(s in lower for s in self.special):
+            raw, cuts = data.tobytes(), offsets.tolist()
+            each = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            return np.array([i for e in each for i in e], self.kind), np.cumsum([0, *map(len, each)])
+        if len(self.at) > CACHE_WORDS:
+            self.forget()
+        words = scan(data, offsets, self.inside)
+        keys, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        place = np.fromiter(map(self.at.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            bounds = zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)
+            place[new] = self.learn([lower[a:b] for a, b in bounds])
+            self.at.update(zip((listed[i] for i in new.tolist()), place[new].tolist(), strict=True))
+        chosen = place[inverse]
+        sizes = self.sizes[chosen]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        take = np.arange(ends[-1]) + np.repeat(self.starts[chosen] - ends[:-1], sizes)
+        return self.flat[take], ends[words.first]
 
 
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -228,15 +275,17 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: i
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "first_id": ids[0], "n_docs": len(ids), "n_tokens": len(values), "image": image}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("image", pa.binary())]))
 
         for batch in batches:
-            data, offsets = part_bytes(batch.column("text"))
-            raw, cuts = memoryview(data), offsets.tolist()
-            for row, i in enumerate(batch.column("id").to_pylist()):
-                ids.append(i)
-                held.append(words.text(bytes(raw[cuts[row] : cuts[row + 1]])) + end)
-                size += len(held[-1])
-                if size >= shard_tokens * kind().itemsize:
-                    yield close()
-                    ids, held, size, seq = [], [], 0, seq + 1
+            keys = batch.column("id").to_pylist()
+            for lo, hi, data, offsets in blocks(*part_bytes(batch.column("text")), BATCH_BYTES):
+                tokens, first = words.rows(data, offsets)
+                cuts = first.tolist()
+                for i, begin, stop in zip(keys[lo:hi], cuts[:-1], cuts[1:], strict=True):
+                    ids.append(i)
+                    held.append(tokens[begin:stop].tobytes() + end)
+                    size += len(held[-1])
+                    if size >= shard_tokens * kind().itemsize:
+                        yield close()
+                        ids, held, size, seq = [], [], 0, seq + 1
         if ids:
             yield close()
 
