@@ -43,6 +43,7 @@ HEAD = struct.Struct("<QQI")
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 1_000_000
+WORD_END = "</w>"
 BATCH_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq long, first_id long, n_docs long, n_tokens long, image binary"
 
@@ -183,12 +184,29 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def sign_table() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(b".,!?;:|%$&*#\"()-=+/")] = True
+    return table
+
+
+def tails(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where signs begin that follow an ASCII letter or digit and end a word."""
+    sign = sign_table()[data]
+    after = word_class("alnum")[data] & (data < 0x80)
+    begins = np.flatnonzero(sign[1:] & after[:-1]) + 1
+    last = np.flatnonzero(sign & ~np.append(sign[1:], False)) + 1
+    ends = last[np.searchsorted(last, begins, "right")]
+    return begins[(ends == len(data)) | ~inside[data[np.minimum(ends, len(data) - 1)]]]
+
+
 class WordIds:
     """Identifiers of whole texts by the library, each different word encoded once.
 
     This tokenizer never joins anything over white space and lower-cases A-Z, so a
-    text's identifiers are those of its words, found again by their hashes. Words not
-    met yet go to the library together, parted by a special string whose identifier
+    text's identifiers are those of its words, found again by their hashes. Signs at a
+    word's end are a piece of their own and count as a word. Words not met yet go to the library together, parted by a special string whose identifier
     marks the cuts; runs of rows that hold a special string themselves are encoded
     text by text. The memory holds a bounded number of words.
     """
@@ -199,6 +217,9 @@ class WordIds:
         self.special = [t.content.encode().lower() for t in added.values()]
         self.cut = next(((i, t.content) for i, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.inside = word_class("space")
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max([*vocabulary.values(), *added, 0]) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -208,21 +229,41 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Places of new words in the memory."""
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of words in turn, and how many each has."""
         if self.cut:
-            found = np.array(self.encode([f" {self.cut[1]} ".join(w.decode("utf-8", "replace") for w in words)])[0], np.int64)
+            found = np.array(self.encode([f" {self.cut[1]} ".join(words)])[0], np.int64)
             marks = np.flatnonzero(found == self.cut[0])
-            sizes = np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1
-            found = np.delete(found, marks)
-        else:
-            each = self.encode([w.decode("utf-8", "replace") for w in words])
-            sizes, found = np.array([len(e) for e in each]), np.array([i for e in each for i in e], np.int64)
-        places = len(self.sizes) + np.arange(len(words))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, found.astype(self.kind)))
-        return places
+            return np.delete(found, marks), np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1
+        each = self.encode(words)
+        return np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64)
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Places of new words in the memory.
+
+        A word of letters alone is one piece, whose last token the vocabulary marks:
+        such words need only a space between them.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = np.array([t.isalpha() for t in texts], bool)
+        out = np.zeros(len(words), np.int64)
+        for kind in (True, False):
+            some = np.flatnonzero(letters == kind)
+            if not len(some):
+                continue
+            own = [texts[i] for i in some.tolist()]
+            found = sizes = None
+            if kind:
+                found = np.array(self.encode([" ".join(own)])[0], np.int64)
+                ends = np.flatnonzero(self.ends[found])
+                sizes = np.diff(ends, prepend=-1) if len(ends) == len(own) else None
+            if sizes is None:
+                found, sizes = self.encoded(own)
+            out[some] = len(self.sizes) + np.arange(len(own))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.flat = np.concatenate((self.flat, found.astype(self.kind)))
+        return out
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers of a run of rows, and where each row's begin."""
@@ -233,7 +274,7 @@ class WordIds:
             return np.array([i for e in each for i in e], self.kind), np.cumsum([0, *map(len, each)])
         if len(self.at) > CACHE_WORDS:
             self.forget()
-        words = scan(data, offsets, self.inside)
+        words = scan(data, offsets, self.inside, breaks=tails(data, self.inside))
         keys, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         listed = keys.tolist()
         place = np.fromiter(map(self.at.get, listed, repeat(-1)), np.int64, len(listed))

@@ -80,10 +80,11 @@ class Words:
     tails: np.ndarray | None = None
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, head: int = 0, tail: int = 0) -> Words:
+def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, head: int = 0, tail: int = 0, breaks: np.ndarray | None = None) -> Words:
     """Words of every row; ``first[r]:first[r + 1]`` are row r's words.
 
     With ``head`` or ``tail``, also hashes of the words' first or last so many bytes.
+    A word is parted in two at each of ``breaks``.
     """
     n, rows = len(data), len(offsets) - 1
     if not n:
@@ -95,6 +96,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, head: int =
     before[1:] = word[:-1]
     begin, end = word & ~before, before & ~word
     cut = offsets[(offsets > 0) & (offsets < n)]
+    cut = cut if breaks is None else np.concatenate((cut, breaks))
     begin[cut], end[cut] = word[cut], before[cut]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
     first = np.searchsorted(starts, offsets)
