@@ -5,7 +5,7 @@ everything beyond ASCII; digits are all alike). Lines with the same words are on
 class. A class has a 64-bit SimHash of its words and word heads. Two classes link when
 their SimHashes differ in at most three bits and their normalised lines have an edit
 similarity of 0.8 or more. Three differing bits leave one of four 16-bit blocks
-untouched, so classes are joined on blocks, together with a band of their length.
+untouched, so classes are joined on blocks.
 Of every connected group of classes the first occurrence stays, in the order of
 document id and line number.
 """
@@ -177,13 +177,9 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
     table = materialize(line_table(docs, min_words), "lines")
     classes = table.groupBy("h").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "line")).alias("at"))
     classes = materialize(classes, "classes")
-    # Lengths that are similar enough lie in the same band or in neighbouring ones.
-    band = F.floor(F.log(F.greatest(F.col("len"), F.lit(1)).cast("double")) / F.log(F.lit(100.0 / similarity)))
     width = 64 // BLOCKS
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.col("sim"), i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(BLOCKS)))).alias("k")
-    base = classes.select("h", "sim", "len", "times", band.alias("band"), keys)
-    both = base.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    posts = both.select(F.xxhash64("k.b", "k.v", "band").alias("tok"), F.col("h").alias("cid"), "sim", "len", "times")
+    keys = F.explode(F.array(*(F.shiftrightunsigned(F.col("sim"), i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width) for i in range(BLOCKS)))).alias("tok")
+    posts = classes.select(keys, F.col("h").alias("cid"), "sim", F.col("len").cast("int").alias("len"))
 
     def possible(a: str, b: str) -> str:
         return f"bit_count({a}.sim ^ {b}.sim) <= {BITS} AND 100 * least({a}.len, {b}.len) >= {similarity} * greatest({a}.len, {b}.len)"
@@ -201,7 +197,10 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
 
         return full.select("a", "b", "wa", "wb").mapInArrow(alike, "a long, b long")
 
-    labels = linked_components(posts, possible, verify, F.col("times"))
+    # Few lines have any line near them; the rest leave here, after one shuffle that both sides share.
+    near = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi")
+    near = materialize(near, "near").join(classes.select(F.col("h").alias("cid"), "times"), "cid")
+    labels = linked_components(materialize(near.select("tok", "cid", "sim", "len", "times"), "posts"), possible, verify, F.col("times"))
     grouped = classes.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "at", F.coalesce("label", "h").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("at").alias("stays"))
     occurrences = table.join(grouped.join(stays, "group").select("h", "stays"), "h")

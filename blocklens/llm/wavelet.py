@@ -60,10 +60,9 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
         planes, x = [], values
         for shift in range(width - 1, -1, -1):
-            bit = (x >> x.dtype.type(shift)) & x.dtype.type(1)
-            bit = bit.astype(bool)
+            bit = (x & x.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            x = np.concatenate((x[~bit], x[bit]))
+            x = x.take(np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit))))
         return cls(len(values), planes)
 
     def bits(self, level: int) -> np.ndarray:
@@ -76,8 +75,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             bit, z = self.bits(level), self.zeros[level]
             x = np.empty(self.n, kind)
-            x[~bit] = y[:z]
-            x[bit] = y[z:] | kind(1 << (self.width - 1 - level))
+            x[np.flatnonzero(~bit)] = y[:z]
+            x[np.flatnonzero(bit)] = y[z:] | kind(1 << (self.width - 1 - level))
             y = x
         return y
 
