@@ -14,8 +14,7 @@ SUFFIXES = "BKMGTPE"
 
 def div(a: Column, b: Column | int) -> Column:
     """Whole quotient of non-negative numbers."""
-    b = b if isinstance(b, Column) else F.lit(b)
-    return F.floor((a - a % b) / b).cast("long")
+    return F.call_function("div", a.cast("long"), (b if isinstance(b, Column) else F.lit(b)).cast("long"))
 
 
 def ceil_div(a: Column, b: Column | int) -> Column:

@@ -32,34 +32,29 @@ def data_units(units: Column, allocated: Column, unit: Column | int) -> Column:
     return F.when(units != 0, units).otherwise(ceil_div(allocated, unit))
 
 
-def refcount_layout(used: Column, cluster: Column, bits: Column) -> Column:
-    """Fixed point of the table and block clusters that count all clusters, themselves included.
+def refcount_layout(df: DataFrame, used: str = "used", cluster: str = "cluster", bits: str = "bits") -> DataFrame:
+    """Adds ``layout(table, blocks)``: clusters of the counting structures, themselves counted.
 
-    At most 16 rounds; null where they don't settle.
+    A fixed point of at most 16 rounds; null where they don't settle. One higher-order
+    expression over three columns, so that a round's text appears once in the plan.
     """
-    per_block = div(cluster * 8, bits)
-
-    def struct(table: Column, blocks: Column, done: Column) -> Column:
-        return F.struct(table.cast("long").alias("table"), blocks.cast("long").alias("blocks"), done.alias("done"))
-
-    def turn(s: Column, _: Column) -> Column:
-        blocks = ceil_div(used + s["table"] + s["blocks"], per_block)
-        table = ceil_div(blocks * 8, cluster)
-        same = (blocks == s["blocks"]) & (table == s["table"])
-        return F.when(s["done"], s).otherwise(struct(table, blocks, same))
-
-    settled = F.aggregate(F.sequence(F.lit(1), F.lit(16)), struct(F.lit(1), F.lit(1), F.lit(False)), turn)
-    return F.when(settled["done"], F.struct(settled["table"].alias("table"), settled["blocks"].alias("blocks")))
-
-
-def measure_qcow2(v: Column, units: Column, cluster: Column, bits: Column, entry: Column, luks: Column | None = None) -> Column:
-    """``(required, full)`` bytes."""
-    l1 = ceil_div(v, cluster * div(cluster, entry))
-    l1_clusters, full = ceil_div(l1 * 8, cluster), ceil_div(v, cluster)
-    extra = ceil_div(luks, cluster) if luks is not None else F.lit(0)
-    counts = refcount_layout(1 + l1_clusters + l1 + full + extra, cluster, bits)
-    meta = 1 + l1_clusters + l1 + extra + counts["table"] + counts["blocks"]
-    return F.struct((cluster * (meta + units)).alias("required"), (cluster * (meta + full)).alias("full"))
+    blocks = f"({used} + s.table + s.blocks - 1) div ({cluster} * 8 div {bits}) + 1"
+    rounds = f"""aggregate(sequence(1, 16), named_struct('table', 1L, 'blocks', 1L, 'done', false),
+      (s, i) -> if(s.done, s, element_at(transform(array({blocks}), b -> element_at(transform(array((b * 8 - 1) div {cluster} + 1),
+        t -> named_struct('table', t, 'blocks', b, 'done', t = s.table AND b = s.blocks)), 1)), 1)),
+      s -> if(s.done, named_struct('table', s.table, 'blocks', s.blocks), null))"""
+    return df.withColumn("layout", F.expr(rounds))
+
+
+def measure_qcow2(df: DataFrame, cluster: int = 65536, bits: int = 16, entry: int = 8, luks: int = 0) -> DataFrame:
+    """Adds ``required`` and ``full`` bytes to rows of ``(v, units)``: size and units with data."""
+    per_table, extra = cluster * (cluster // entry), -(-luks // cluster)
+    up = lambda a, b: f"if({a} = 0, 0L, ({a} - 1) div {b}L + 1)"
+    df = df.withColumns({"cluster": F.lit(cluster).cast("long"), "bits": F.lit(bits).cast("long"), "l1": F.expr(up("v", per_table)), "full_units": F.expr(up("v", cluster))})
+    df = df.withColumn("fixed", F.expr(f"1 + {up('l1 * 8', cluster)} + l1 + {extra}"))
+    df = refcount_layout(df.withColumn("used", F.expr("fixed + full_units")))
+    meta = F.col("fixed") + F.col("layout.table") + F.col("layout.blocks")
+    return df.withColumns({"required": cluster * (meta + F.col("units")), "full": cluster * (meta + F.col("full_units"))}).drop("cluster", "bits", "l1", "full_units", "fixed", "used", "layout")
 
 
 def measure_vmdk(v: Column, units: Column, kind: str, grain: int = 65536, per_table: int = 512) -> Column:

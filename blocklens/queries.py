@@ -243,9 +243,8 @@ settled AS (SELECT id, CASE WHEN done THEN rt END AS table_clusters, CASE WHEN d
 
 @query(f"WITH RECURSIVE {fixed_point_sql('SELECT c_custkey AS id, (c_custkey * c_custkey * 97 + 5)::BIGINT AS used, 65536::BIGINT AS cluster, 16::BIGINT AS bits FROM customer')} SELECT id, table_clusters::BIGINT AS table_clusters, block_clusters::BIGINT AS block_clusters FROM settled")
 def refcount_layout(spark, sf_dir):
-    c = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 97 + 5 AS used")
-    r = sizes.refcount_layout(F.col("used"), F.lit(65536).cast("long"), F.lit(16).cast("long"))
-    return c.withColumn("r", r).select("id", F.col("r.table").alias("table_clusters"), F.col("r.blocks").alias("block_clusters"))
+    c = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 97 + 5 AS used", "65536L AS cluster", "16L AS bits")
+    return sizes.refcount_layout(c).select("id", F.col("layout.table").alias("table_clusters"), F.col("layout.blocks").alias("block_clusters"))
 
 
 MEASURED = "SELECT c_custkey AS id, (c_custkey * c_custkey * 1048576)::BIGINT AS v, (c_custkey * c_custkey * 3)::BIGINT AS u FROM customer WHERE c_custkey > 0"
@@ -255,8 +254,8 @@ MEASURED = "SELECT c_custkey AS id, (c_custkey * c_custkey * 1048576)::BIGINT AS
 {fixed_point_sql('SELECT id, (1 + l1c + l1 + full_c)::BIGINT AS used, 65536::BIGINT AS cluster, 16::BIGINT AS bits FROM h')}
 SELECT id, (65536 * (1 + l1c + l1 + table_clusters + block_clusters + u))::BIGINT AS required, (65536 * (1 + l1c + l1 + table_clusters + block_clusters + full_c))::BIGINT AS fully_allocated FROM h JOIN settled USING (id)""")
 def measure_qcow2(spark, sf_dir):
-    c = lift.table(spark, sf_dir, "customer").filter("c_custkey > 0").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 1048576 AS v", "c_custkey * c_custkey * 3 AS u")
-    return c.withColumn("m", sizes.measure_qcow2(F.col("v"), F.col("u"), F.lit(65536).cast("long"), F.lit(16).cast("long"), F.lit(8).cast("long"))).select("id", F.col("m.required").alias("required"), F.col("m.full").alias("fully_allocated"))
+    c = lift.table(spark, sf_dir, "customer").filter("c_custkey > 0").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 1048576 AS v", "c_custkey * c_custkey * 3 AS units")
+    return sizes.measure_qcow2(c).select("id", "required", F.col("full").alias("fully_allocated"))
 
 
 @query(f"""WITH m AS ({MEASURED}), g AS (SELECT *, (v + 65535) // 65536 AS n, (v + 2097151) // 2097152 AS nb FROM m), t AS (SELECT *, (n + 511) // 512 AS gd FROM g), d AS (SELECT *, greatest((gd * 4 + 511) // 512 * 512, 512) AS gdb FROM t),
