@@ -2,7 +2,7 @@
 
 Lines are normalised to their words (A-Z lower-cased; ASCII letters, digits and
 everything beyond ASCII; digits are all alike). Lines with the same words are one
-class. A class has a 64-bit SimHash of its words and word heads. Two classes link when
+class. A class has a 64-bit SimHash of its pairs of words and of word heads. Two classes link when
 their SimHashes differ in at most three bits and their normalised lines have an edit
 similarity of 0.8 or more. Three differing bits leave one of four 16-bit blocks
 untouched, so classes are joined on blocks.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from blocklens.llm.common import as_long, blocks, materialize, null_safe_eq, part_bytes, pick
 from blocklens.llm.components import linked_components
-from blocklens.llm.wordhash import BASE, Words, fold_ascii, mix, power_tables, powers, scan, word_class
+from blocklens.llm.wordhash import BASE, Words, fold_ascii, join_hash, mix, power_tables, powers, scan, word_class
 
 BITS = 3
 BLOCKS = BITS + 1
@@ -69,9 +69,13 @@ def line_hashes(words: Words) -> np.ndarray:
 
 
 def simhashes(words: Words, lines: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
-    """SimHash of the chosen lines: each bit is the majority over word and head hashes."""
+    """SimHash of the chosen lines: each bit is the majority over word pairs and head pairs.
+
+    Pairs keep the few words that every line has from deciding the bits.
+    """
     out = np.zeros(len(lines), np.uint64)
-    sizes = (words.first[1:] - words.first[:-1])[lines]
+    sizes = np.diff(words.first)[lines] - 1
+    pairs = [join_hash(h, 2) for h in (words.hashes, words.heads)]
     lo = 0
     ends = np.cumsum(sizes)
     while lo < len(lines):
@@ -80,7 +84,7 @@ def simhashes(words: Words, lines: np.ndarray, at_once: int = 1 << 16) -> np.nda
         starts = np.cumsum(own) - own
         at = np.repeat(words.first[lines[lo:hi]] - starts, own) + np.arange(own.sum())
         votes = np.zeros((hi - lo, 64), np.int32)
-        for source in (words.hashes, words.heads):
+        for source in pairs:
             bits = np.unpackbits(source[at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             votes += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         packed = np.packbits(votes > own[:, None], axis=1, bitorder="little")
@@ -200,7 +204,12 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
     # Few lines have any line near them; the rest leave here, after one shuffle that both sides share.
     near = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi")
     near = materialize(near, "near").join(classes.select(F.col("h").alias("cid"), "times"), "cid")
-    labels = linked_components(materialize(near.select("tok", "cid", "sim", "len", "times"), "posts"), possible, verify, F.col("times"))
+    near = materialize(near.select("tok", "cid", "sim", "len", "times"), "posts")
+    # Two blocks together hardly ever bring strangers into one list: these lists' centres come first.
+    block = [F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
+    twos = F.explode(F.array(*(F.xxhash64(F.lit(BLOCKS * i + j), block[i], block[j]) for i in range(BLOCKS) for j in range(i))))
+    facts = near.select("cid", "sim", "len", "times").distinct()
+    labels = linked_components(near, possible, verify, F.col("times"), facts.select(twos.alias("tok"), "cid", "sim", "len", "times"))
     grouped = classes.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "at", F.coalesce("label", "h").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("at").alias("stays"))
     occurrences = table.join(grouped.join(stays, "group").select("h", "stays"), "h")
@@ -215,6 +224,8 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     are; repeated rows (one id, one text) lose the same lines, all copies alike; an
     empty table gives an empty result; other columns are ignored.
     """
+    if options.get("min_words", MIN_WORDS) < 2:
+        raise ValueError("lines of fewer than two words have no pairs")
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
     gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
     rows = pick(docs, id=id_col, text=text_col)
