@@ -44,23 +44,28 @@ def centres_of(posts: DataFrame, centre: Column) -> DataFrame:
     return best.filter("len > 1").select("tok", F.col("c.share").alias("share"), "c.at.*")
 
 
-def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], centre: Column, seeds: DataFrame | None = None) -> DataFrame:
+def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], orders: list[Column], seeds: DataFrame | None = None) -> DataFrame:
     """Components of the links among vertices that meet in posting lists, without all pairs.
 
     ``posts(tok, cid, ...)`` lists vertices by key; two vertices can only link if they
     share a key with ``possible(x, y)``, a condition on the two rows; ``verify`` turns
-    pairs ``(a, b)`` into the links among them. First each vertex meets one list's
-    centre (the row of the largest ``centre``), which joins up groups that link to
-    a common vertex; ``seeds``, rows like ``posts`` under more selective keys, may serve
+    pairs ``(a, b)`` into the links among them. First each vertex meets, for each of
+    ``orders``, one list's centre (the row that is largest by it), which joins up groups
+    that link to a common vertex or are densely linked; ``seeds``, rows like ``posts`` under more selective keys, may serve
     for this. Then every possible pair that lies in two components is verified: one
     of its ends is outside its list's home component, so only those rows meet the
     whole list. Pairs that are left out have ends that are connected already.
     """
-    centres = materialize(centres_of(posts, centre), "centres")
-    start, hubs = (posts, centres) if seeds is None else (seeds, materialize(centres_of(seeds, centre), "centres"))
-    met = start.alias("x").join(hubs.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")))
-    first = met.groupBy(F.col("x.cid").alias("x")).agg(F.max(F.struct(F.col("y.share"), (-F.col("y.cid")).alias("rank"))).alias("c")).select("x", (-F.col("c.rank")).alias("y"))
-    found = materialize(verify(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links")
+    centres = materialize(centres_of(posts, orders[0]), "centres")
+    start = posts if seeds is None else seeds
+    pairs = None
+    for n, order in enumerate(orders):
+        hubs = centres if seeds is None and n == 0 else materialize(centres_of(start, order), "centres")
+        met = start.alias("x").join(hubs.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")))
+        first = met.groupBy(F.col("x.cid").alias("x")).agg(F.max(F.struct(F.col("y.share"), (-F.col("y.cid")).alias("rank"))).alias("c")).select("x", (-F.col("c.rank")).alias("y"))
+        first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = first if pairs is None else pairs.unionByName(first)
+    found = materialize(verify(pairs.distinct()), "links")
 
     labels = connected_components(found)
     comp = posts.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")

@@ -209,7 +209,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
     block = [F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
     twos = F.explode(F.array(*(F.xxhash64(F.lit(BLOCKS * i + j), block[i], block[j]) for i in range(BLOCKS) for j in range(i))))
     facts = near.select("cid", "sim", "len", "times").distinct()
-    labels = linked_components(near, possible, verify, F.col("times"), facts.select(twos.alias("tok"), "cid", "sim", "len", "times"))
+    labels = linked_components(near, possible, verify, [F.col("times"), *(F.xxhash64("cid", F.lit(n)) for n in range(3))], facts.select(twos.alias("tok"), "cid", "sim", "len", "times"))
     grouped = classes.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "at", F.coalesce("label", "h").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("at").alias("stays"))
     occurrences = table.join(grouped.join(stays, "group").select("h", "stays"), "h")

@@ -244,7 +244,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return sums.filter(f"{num + den} * inter >= {num} * (na + nb)").select("a", "b")
 
     # The most central class of a list is the one with the least share of its own shingles.
-    final = linked_components(posts, possible, links, F.col("r") / F.col("n"))
+    final = linked_components(posts, possible, links, [F.col("r") / F.col("n")])
     names = classes.join(final.withColumnRenamed("v", "cid"), "cid", "left").select("sig", "cid", F.coalesce("label", "cid").alias("component"))
     out = sets.join(materialize(names, "names"), "sig", "left")
     named = F.col("id").isNotNull()
