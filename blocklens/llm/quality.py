@@ -210,6 +210,7 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *,
     # The sample's size is bounded by the limits above.
     found = rows.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id")
     views = co_train(found.select("text", "source", "lang", "n_chars", "label").toPandas())
+    pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast(views)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

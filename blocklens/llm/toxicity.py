@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +23,16 @@ from pyspark.sql import functions as F
 from blocklens.llm.common import blocks, part_bytes, pick
 from blocklens.llm.wordhash import scan, word_class
 
-TABLE_BITS = 17
+TABLE_BITS = 16
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Bounds of the rows that a fit reads; longer texts are not used for fitting.
-MAX_PER_LABEL = 2500
+MAX_PER_LABEL = 2000
 MAX_FIT_BYTES = 60_000
 HEAD_BYTES = 4
+#: Positive rows that calibration needs before its best cut is moved to 0.7.
+CALIBRATION_ROWS = 50
 
 
 def word_ids(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,19 +150,25 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2 if i + 1 < len(s) else s[i])
 
 
-def fit(rows: pd.DataFrame, *, epochs: int = 6, least_steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 5) -> TextCnn:
-    """Fit on ``rows(text, label, lang)``: four fifths for Adam, one fifth for calibration."""
+def fit(rows: pa.Table, *, epochs: int = 6, least_steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 5) -> TextCnn:
+    """Fit on ``rows(text, label, lang)``: four fifths for Adam, one fifth for calibration.
+
+    The texts are hashed at once; only their words' numbers are held while fitting.
+    """
     net = TextCnn.fresh(seed)
-    if not len(rows) or rows["label"].nunique() < 2:
+    label = np.array(rows.column("label").to_pylist(), np.float32)
+    if len(set(label.tolist())) < 2:
         # Nothing to tell apart: every text gets the same low score.
         net.out[:] = 0
-        net.scale = (1.0, -6.0 if not len(rows) or rows["label"].iloc[0] == 0 else 6.0)
+        net.scale = (1.0, -6.0 if not label.any() else 6.0)
         return net
+    docs = [np.ascontiguousarray(ids[:, a:b]) for ids, first in word_ids(rows.column("text")) for a, b in zip(first[:-1], first[1:], strict=True)]
+    langs = np.array([str(x) for x in rows.column("lang").to_pylist()])
+    del rows
+    pa.default_memory_pool().release_unused()
     rng = np.random.default_rng(seed)
-    rows = rows.iloc[rng.permutation(len(rows))].reset_index(drop=True)
-    docs = [ids[:, a:b] for ids, first in word_ids(pa.array(rows["text"])) for a, b in zip(first[:-1], first[1:], strict=True)]
-    label = rows["label"].to_numpy(np.float32)
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.zeros(len(docs), bool)
+    held[rng.permutation(len(docs))[4::5]] = True
     train = np.flatnonzero(~held)
     weight = np.where(label == 1, (1 - label[train]).sum() / max(1, label[train].sum()), 1.0) ** 0.5
     params = [net.embedding, *net.filters, net.bias, net.out]
@@ -201,25 +208,30 @@ def fit(rows: pd.DataFrame, *, epochs: int = 6, least_steps: int = 400, batch: i
                 m[at] = 0.9 * m[at] + 0.1 * grad
                 v[at] = 0.999 * v[at] + 0.001 * grad * grad
                 param[at] -= step_rate * fix * m[at] / (np.sqrt(v[at]) + 1e-8)
-    tail = rows[held].reset_index(drop=True)
-    raw = np.concatenate([net.logit(net.pooled(ids, first)) for ids, first in word_ids(pa.array(tail["text"]))]).astype(np.float64)
-    seen = tail["label"].to_numpy(np.int64)
+    tail, tables = np.flatnonzero(held), net.tables()
+    raw = np.zeros(len(tail))
+    for some in np.array_split(np.arange(len(tail)), max(1, len(tail) // batch)):
+        own = [docs[i] for i in tail[some]]
+        raw[some] = net.logit(net.pooled(np.concatenate(own, axis=1), np.cumsum([0, *(d.shape[1] for d in own)]), tables))
+    seen = label[tail].astype(np.int64)
     net.scale = calibrate(raw, seen)
     scores = sigmoid(net.scale[0] * raw + net.scale[1])
     if seen.any() and not seen.all():
-        # The best common cut becomes a score of 0.7, so that 0.7 means the same for every fit.
-        shift = np.log(0.7 / 0.3) - logit_of(best_threshold(scores, seen))
+        # The best common cut becomes a score of 0.7, so that 0.7 means the same for every
+        # fit; a cut that few positive rows support is not trusted that far.
+        trust = seen.sum() >= CALIBRATION_ROWS
+        shift = np.log(0.7 / 0.3) - logit_of(best_threshold(scores, seen)) if trust else 0.0
         net.scale = (net.scale[0], net.scale[1] + shift)
         scores = sigmoid(net.scale[0] * raw + net.scale[1])
-        net.threshold = 0.7
-        for lang, at in tail.groupby("lang").groups.items():
-            own = seen[at]
-            if own.sum() >= 5 and (1 - own).sum() >= 5:
-                net.thresholds[str(lang)] = best_threshold(scores[at], own)
+        net.threshold = 0.7 if trust else best_threshold(scores, seen)
+        for lang in sorted(set(langs[tail])):
+            at = langs[tail] == lang
+            if seen[at].sum() >= 5 and (1 - seen[at]).sum() >= 5:
+                net.thresholds[lang] = best_threshold(scores[at], seen[at])
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, *, label_col: str, id_col: str, text_col: str, lang_col: str, per_label: int = MAX_PER_LABEL, max_bytes: int = MAX_FIT_BYTES) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, *, label_col: str, id_col: str, text_col: str, lang_col: str, per_label: int = MAX_PER_LABEL, max_bytes: int = MAX_FIT_BYTES) -> pa.Table:
     """At most ``per_label`` labelled rows of either label, in the order of a hash of the id."""
     named = pick(labels, id=id_col, label=label_col).filter("id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["id"]).filter(usable)
     by_hash = [named.filter(F.col("label") == y).orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(per_label) for y in (0, 1)]
@@ -227,7 +239,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, *, label_c
     texts = pick(docs, id=id_col, text=text_col, lang=lang_col).filter(F.octet_length("text") <= max_bytes)
     # The sample's size is bounded by the limit above.
     found = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])
-    return found.orderBy("id").select("text", "lang", "label").toPandas()
+    return found.orderBy("id").select("text", "lang", "label").toArrow()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -240,8 +252,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *
     score is low; an empty table gives an empty result; other columns are ignored.
     """
     usable = F.lit(True) if usable is None else usable
-    rows = training_rows(docs, labels, usable, label_col=label_col, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
-    net = fit(rows)
+    net = fit(training_rows(docs, labels, usable, label_col=label_col, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
