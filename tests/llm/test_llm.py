@@ -275,10 +275,13 @@ def test_mixing(docs, odd, empty):
     sums = {}
     for r in got:
         assert r.copies in (0, 1, 2) and r.taken == r.copies * r.size
-        s = sums.setdefault(r.source, [0, r.target, r.source_size])
+        s = sums.setdefault(r.source, [0, r.target, r.source_size, 0])
         s[0] += r.taken
-    assert all(abs(t - want) <= 0.02 * want + 50 and want <= 2 * size for t, want, size in sums.values())
-    assert abs(sum(want for _, want, _ in sums.values()) - 1.5 * sum(size for *_, size in sums.values())) < 1
+        s[3] = max(s[3], r.size)
+    # A source of ten documents can't always be filled to the word.
+    assert all(abs(t - want) <= longest and want <= 2 * size for t, want, size, longest in sums.values())
+    assert abs(sum(t - want for t, want, *_ in sums.values())) <= 0.03 * sum(want for _, want, *_ in sums.values())
+    assert abs(sum(want for _, want, *_ in sums.values()) - 1.5 * sum(size for _, _, size, _ in sums.values())) < 1
     assert sorted(map(tuple, mixing.copies_to_take(docs.repartition(5)).drop("row").collect())) == sorted(tuple(r)[:-1] for r in got)
     assert mixing.mixed_documents(docs).columns == docs.columns
     out = mixing.copies_to_take(odd).collect()
