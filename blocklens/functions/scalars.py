@@ -83,8 +83,18 @@ def normal_path(path: Column) -> Column:
 
 
 def utf16_text(raw: Column, big: bool) -> Column:
-    """Text up to the first NUL."""
-    return F.substring_index(F.decode(raw, "UTF-16BE" if big else "UTF-16LE"), "\0", 1)
+    """Text up to the first NUL; null for an odd length or a surrogate without its partner before it."""
+    half = div(F.octet_length(raw), 2)
+    digits = F.hex(raw)
+    pair = lambda i, at: F.substring(digits, (i * 4 + at).cast("int"), F.lit(2))
+    unit = lambda i: F.concat(pair(i, 1), pair(i, 3)) if big else F.concat(pair(i, 3), pair(i, 1))
+    units = F.when(half > 0, F.transform(F.sequence(F.lit(0).cast("long"), half - 1), unit)).otherwise(F.expr("cast(array() as array<string>)"))
+    nul = F.array_position(units, "0000").cast("int")
+    kept = F.when(nul > 0, F.slice(units, F.lit(1), nul - 1)).otherwise(units)
+    high, low = (lambda u: F.coalesce(u.between("D800", "DBFF"), F.lit(False))), (lambda u: F.coalesce(u.between("DC00", "DFFF"), F.lit(False)))
+    # Each high unit is followed by a low one, each low one follows a high one.
+    broken = F.exists(F.arrays_zip(kept.alias("a"), F.concat(F.array(F.lit("")), kept).alias("b")), lambda p: high(p["b"]) != low(p["a"]))
+    return F.when((F.octet_length(raw) % 2 == 0) & ~broken, F.decode(F.unhex(F.array_join(kept, "")), "UTF-16BE"))
 
 
 def vm_clock(nanos: Column) -> Column:

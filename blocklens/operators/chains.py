@@ -93,3 +93,20 @@ def lookup(blocks: DataFrame, table: DataFrame, per_table: int) -> DataFrame:
     """Two-level lookup: a block's directory slot, then its entry; missing ones read as 0."""
     keyed = blocks.withColumn("slot", F.expr(f"block_idx div {per_table}")).withColumn("idx", F.expr(f"block_idx % {per_table}"))
     return keyed.join(table, ["slot", "idx"], "left").select("block_idx", F.coalesce("entry", F.lit(0)).alias("entry"))
+
+
+def data_devices_owned(devices: DataFrame, tops: DataFrame) -> DataFrame:
+    """``(chain_id, owned)`` of ``devices(chain_id, slot, format, is_data, data_slot)``.
+
+    A segment's top (``tops(chain_id, slot)``) is no data device; an owner (``data_slot``
+    other than 0 or null) is a qcow2 image whose data device is the very next slot; every
+    data device is claimed so. A chain has at most sixteen devices.
+    """
+    top = tops.select(F.col("chain_id"), F.col("slot"), F.lit(True).alias("top")).distinct()
+    order = W.partitionBy("chain_id").orderBy("slot")
+    next_is = lambda c: F.when(F.lead("slot").over(order) == F.col("slot") + 1, F.lead(c).over(order))
+    claims = F.coalesce(F.col("data_slot") != 0, F.lit(False))
+    claimed = F.coalesce((F.lag("data_slot").over(order) == F.col("slot")) & (F.lag("slot").over(order) == F.col("slot") - 1), F.lit(False))
+    faulty_claim = claims & ~F.coalesce(~F.col("is_data") & (F.col("format") == "qcow2") & (F.col("data_slot") == F.col("slot") + 1) & next_is("is_data"), F.lit(False))
+    faulty_device = F.col("is_data") & (~claimed | F.coalesce("top", F.lit(False)))
+    return devices.join(top, ["chain_id", "slot"], "left").select("chain_id", (faulty_claim | faulty_device).alias("fault")).groupBy("chain_id").agg((~F.bool_or("fault")).alias("owned"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens import lift
+from blocklens.functions import chs
 from blocklens.functions import scalars as S
 from blocklens.model import BLOCK
-from blocklens.operators import bitmaps, chains, extents, integrity, layers, snapshots
+from blocklens.operators import bitmaps, chains, extents, integrity, layers, paths, snapshots
 from blocklens.plans import schedule, sizes
-from blocklens.sources import formats
+from blocklens.sources import containers, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -613,3 +614,129 @@ def version_and_text(spark, sf_dir):
     v = S.version_parts(F.concat(F.lit("tool version 7."), F.col("n_nationkey"), F.lit(".1 (x)")))
     text = S.utf16_text(F.concat(F.encode("n_name", "UTF-16LE"), F.unhex(F.lit("00004100"))), big=False)
     return n.select(F.col("n_nationkey").alias("id"), v["major"].alias("major"), v["minor"].alias("minor"), text.alias("text"))
+
+
+# Containers, references, geometry
+
+CHS_SIZES = "SELECT c_custkey AS id, c_custkey * c_custkey * 20011 AS size FROM customer"
+
+
+def chs_of(n: str) -> str:
+    """Cylinders times heads, heads and track of ``n`` sectors, step by step in SQL."""
+    return f"""SELECT id, size, r, n, CASE WHEN n >= 65535 * 16 * 63 THEN n // 255 // 16 WHEN t >= 16384 OR h > 16 OR t >= h * 1024 THEN CASE WHEN n // 31 >= 16384 THEN n // 63 // 16 ELSE n // 31 // 16 END ELSE t // h END AS c,
+  CASE WHEN n >= 65535 * 16 * 63 OR h > 16 OR t >= h * 1024 THEN 16 ELSE h END AS h, CASE WHEN n >= 65535 * 16 * 63 THEN 255 WHEN h > 16 OR t >= h * 1024 THEN CASE WHEN n // 31 >= 16384 THEN 63 ELSE 31 END ELSE 17 END AS s
+  FROM (SELECT *, n // 17 AS t, greatest(4, (n // 17 + 1023) // 1024) AS h FROM ({n}))"""
+
+
+@query(f"""WITH z AS (SELECT id, size, (size + 511) // 512 AS r FROM ({CHS_SIZES})),
+tried AS (SELECT id, arg_min({{'c': c, 'h': h, 's': s}}, n) AS g FROM ({chs_of("SELECT id, size, r, unnest(range(r, r + 8200)) AS n FROM z")}) WHERE r > 0 AND c * h * s >= r GROUP BY id),
+low AS ({chs_of("SELECT id, size, r, size // 512 AS n FROM z")}),
+pair AS (SELECT id, size, coalesce(g.c, 0) AS cc, coalesce(g.h, 0) AS ch, coalesce(g.s, 0) AS cs, low.c AS c, low.h AS h, low.s AS s FROM low LEFT JOIN tried USING (id))
+SELECT id, size, (cc * ch * cs * 512)::BIGINT AS rounded, (CASE WHEN cc * ch * cs * 512 = size THEN cc ELSE c END)::BIGINT AS cylinders, (CASE WHEN cc * ch * cs * 512 = size THEN ch ELSE h END)::INT AS heads, (CASE WHEN cc * ch * cs * 512 = size THEN cs ELSE s END)::INT AS track FROM pair""")
+def footer_geometry(spark, sf_dir):
+    sizes_ = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 20011 AS size")
+    g = sizes_.withColumn("covering", chs.covering_geometry(F.col("size")))
+    return g.select("id", "size", chs.rounded_size(F.col("size"), F.col("covering")).alias("rounded"), chs.footer_geometry(F.col("size"), F.col("covering")).alias("g")).select("id", "size", "rounded", "g.cylinders", "g.heads", "g.track")
+
+
+IMAGE_NAMES = """CASE c_custkey % 8 WHEN 0 THEN 'base' || c_custkey % 40 || '.raw' WHEN 1 THEN './x/../base' || c_custkey % 40 || '.raw' WHEN 2 THEN '/img/n' || c_nationkey || '/base' || c_custkey % 40 || '.raw'
+  WHEN 3 THEN '/old/host/base' || c_custkey % 40 || '.raw' WHEN 4 THEN '../../etc/secret' WHEN 5 THEN '/etc/secret' WHEN 6 THEN '../../img/n' || c_nationkey || '/link' WHEN 7 THEN '' END"""
+FILES = """SELECT '/img/n' || n_nationkey || '/base' || k || '.raw' AS path, '/img/n' || n_nationkey || '/base' || k || '.raw' AS physical FROM nation, (SELECT s_suppkey % 40 AS k FROM supplier GROUP BY 1) WHERE (n_nationkey + k) % 2 = 0
+UNION ALL SELECT '/etc/secret', '/etc/secret' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT '/img/n' || n_nationkey || '/link', CASE n_nationkey % 3 WHEN 0 THEN '/etc/secret' WHEN 1 THEN '/img/shared' END FROM nation"""
+
+
+@query(f"""WITH f AS ({FILES}),
+r AS (SELECT c_custkey AS ref_id, c_custkey % 8 AS kind, c_custkey % 3 = 0 AS writes, '/img/n' || c_nationkey || '/base' || c_custkey % 40 || '.raw' AS near, '/img/n' || c_nationkey || '/link' AS link FROM customer),
+j AS (SELECT r.*, f.path IS NOT NULL AS there, l.physical AS leads FROM r LEFT JOIN f ON f.path = near LEFT JOIN f l ON l.path = link)
+SELECT ref_id, o AS outcome, CASE WHEN o IN ('found', 'beside') THEN CASE WHEN kind = 6 THEN leads ELSE near END END AS path FROM (SELECT *, CASE WHEN kind = 7 THEN 'none' WHEN kind IN (0, 1, 2) THEN CASE WHEN there THEN 'found' ELSE 'not_found' END WHEN kind = 3 THEN CASE WHEN there AND NOT writes THEN 'beside' ELSE 'not_allowed' END WHEN kind IN (4, 5) THEN 'not_allowed' WHEN leads IS NULL THEN 'loop' WHEN leads = '/etc/secret' THEN 'not_allowed' ELSE 'found' END AS o FROM j)""")
+def allowed_references(spark, sf_dir):
+    for name in ("nation", "supplier", "region"):
+        lift.table(spark, sf_dir, name).createOrReplaceTempView(f"blocklens_{name}")
+    # The listing is a few rows per nation; its SQL is the same in both dialects.
+    files = spark.sql(FILES.replace("FROM nation", "FROM blocklens_nation").replace("FROM supplier", "FROM blocklens_supplier").replace("FROM region", "FROM blocklens_region"))
+    refs = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS ref_id", "'/img/n' || c_nationkey || '/top.qcow2' AS image", f"{IMAGE_NAMES} AS reference", "c_custkey % 3 = 0 AS writes")
+    return paths.resolve_references(refs, files, ["/img"])
+
+
+@query("""WITH d AS (SELECT l_orderkey AS chain_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS slot, l_orderkey % 7 AS k FROM lineitem),
+e AS (SELECT chain_id, slot, CASE WHEN k = 2 THEN 'raw' ELSE 'qcow2' END AS fmt, slot = 1 AND k <> 3 AS is_data, CASE WHEN slot = 0 AND k <> 4 THEN CASE WHEN k = 5 THEN 2 ELSE 1 END ELSE 0 END AS ds, k = 6 AND slot = 1 AS top FROM d),
+m AS (SELECT *, lead(is_data) OVER w AS nd, lag(ds) OVER w AS pd FROM e WINDOW w AS (PARTITION BY chain_id ORDER BY slot))
+SELECT chain_id, NOT bool_or((ds <> 0 AND NOT coalesce(NOT is_data AND fmt = 'qcow2' AND ds = slot + 1 AND nd, false)) OR (is_data AND (coalesce(pd, 0) <> slot OR top))) AS owned FROM m GROUP BY 1""")
+def data_device_owners(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    d = lift.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chain_id"), (F.row_number().over(order) - 1).cast("long").alias("slot"), F.expr("l_orderkey % 7 AS k"))
+    devices = d.selectExpr("chain_id", "slot", "if(k = 2, 'raw', 'qcow2') AS format", "slot = 1 and k <> 3 AS is_data", "if(slot = 0 and k <> 4, if(k = 5, 2, 1), 0) AS data_slot")
+    return chains.data_devices_owned(devices, d.filter("k = 6 and slot = 1"))
+
+
+def le(value: str, size: int) -> Column:
+    """Little-endian hex of a whole number's expression."""
+    return F.concat(*(F.lpad(F.hex(F.expr(f"shiftright(cast({value} as bigint), {8 * i}) & 255")), 2, "0") for i in range(size)))
+
+
+def be(value: str, size: int) -> Column:
+    return F.lpad(F.hex(F.expr(f"cast({value} as bigint)")), 2 * size, "0")
+
+
+@query("""SELECT p_partkey AS image_id, r AS region, CASE r WHEN 'bat' THEN p_partkey * 1048576 WHEN 'metadata' THEN 2097152 ELSE 77 END::BIGINT AS file_offset, CASE r WHEN 'bat' THEN p_size * 65536 ELSE 1048576 END::BIGINT AS length, r <> 'unknown' OR p_size % 5 = 0 AS required
+FROM part, (VALUES ('bat'), ('metadata'), ('unknown')) v(r) WHERE p_partkey % 4 <> 0 AND (r <> 'unknown' OR p_partkey % 3 = 0)""")
+def vhdx_region_table(spark, sf_dir):
+    return containers.vhdx_regions(region_tables(spark, sf_dir))
+
+
+def region_tables(spark, sf_dir) -> DataFrame:
+    bat = F.concat(F.lit(containers.stored(containers.REGIONS["bat"])), le("p_partkey * 1048576", 8), le("p_size * 65536", 4), le("1", 4))
+    meta = F.concat(F.lit(containers.stored(containers.REGIONS["metadata"])), le("2097152", 8), le("1048576", 4), le("1", 4))
+    other = F.concat(F.lit("AB" * 16), le("77", 8), le("1048576", 4), le("if(p_size % 5 = 0, 1, 0)", 4))
+    head = F.concat(F.lit("72656769" + "00" * 4), le("if(p_partkey % 3 = 0, 3, 2)", 4), F.lit("00" * 4))
+    return lift.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.unhex(F.concat(head, bat, meta, other)).alias("raw"), F.expr("p_partkey % 4 <> 0").alias("good"))
+
+
+@query("SELECT p_partkey AS image_id, NOT (p_partkey % 3 = 0 AND p_size % 5 = 0) AS usable FROM part WHERE p_partkey % 4 <> 0")
+def vhdx_usable_regions(spark, sf_dir):
+    return containers.usable_regions(containers.vhdx_regions(region_tables(spark, sf_dir)))
+
+
+@query("""SELECT s_suppkey AS image_id, i AS item, (65536 + s_suppkey * n)::BIGINT AS item_offset, (8 * n)::BIGINT AS length, n = 3 AS "user", n = 2 AS virtual_disk, n <> 3 AS required FROM supplier, (VALUES (1, 'file_parameters'), (2, 'virtual_disk_size'), (3, 'unknown')) v(n, i)""")
+def vhdx_metadata_table(spark, sf_dir):
+    def entry(identifier: str, n: int, flags: int) -> Column:
+        return F.concat(F.lit(identifier), le(f"65536 + s_suppkey * {n}", 4), le(str(8 * n), 4), le(str(flags), 4), F.lit("00" * 4))
+
+    head = F.lit("6D657461646174610000" + "0300" + "00" * 20)
+    raw = F.concat(head, entry(containers.stored(containers.ITEMS["file_parameters"]), 1, 4), entry(containers.stored(containers.ITEMS["virtual_disk_size"]), 2, 6), entry("CD" * 16, 3, 1))
+    return containers.vhdx_metadata(lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.unhex(raw).alias("raw")))
+
+
+@query("""SELECT s_suppkey AS image_id, 'aes' AS cipher, 'xts-plain64' AS mode, 'sha256' AS hash, 4096 * 512::BIGINT AS payload_offset, 64::BIGINT AS key_bytes, 'id-' || s_suppkey AS uuid, slot::INT AS slot, (1000 + s_suppkey)::BIGINT AS iterations, ((8 + slot * 512) * 512)::BIGINT AS key_offset, 4000::BIGINT AS stripes FROM supplier, range(8) t(slot) WHERE (s_suppkey + slot) % 3 = 0""")
+def luks_key_slots(spark, sf_dir):
+    text = lambda value, size: F.rpad(F.hex(F.encode(value, "UTF-8")), 2 * size, "0")
+    slots = [F.concat(F.expr(f"if((s_suppkey + {i}) % 3 = 0, '00AC71F3', '0000DEAD')"), be("1000 + s_suppkey", 4), F.lit("11" * 32), be(str(8 + i * 512), 4), be("4000", 4)) for i in range(8)]
+    uuid = F.concat(F.lit("id-"), F.col("s_suppkey"))
+    raw = F.concat(F.lit("4C554B53BABE0001"), text(F.lit("aes"), 32), text(F.lit("xts-plain64"), 32), text(F.lit("sha256"), 32), be("4096", 4), be("64", 4), F.lit("00" * 56), text(uuid, 40), *slots)
+    return containers.luks1(lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.unhex(raw).alias("raw")))
+
+
+@query("SELECT event_id AS image_id, '0' AS segment, 'crypt' AS type, event_id * 4096 AS start, CASE WHEN event_id % 2 = 0 THEN event_id END AS length, 'aes-xts-plain64' AS encryption, 512::BIGINT AS sector_size FROM events")
+def luks_segments(spark, sf_dir):
+    json = F.expr("""concat('{"segments":{"0":{"type":"crypt","offset":"', event_id * 4096, '","size":"', if(event_id % 2 = 0, cast(event_id as string), 'dynamic'), '","encryption":"aes-xts-plain64","sector_size":512}}}')""")
+    return containers.luks2_segments(lift.table(spark, sf_dir, "events").select(F.col("event_id").alias("image_id"), json.alias("json")))
+
+
+@query("""SELECT s_suppkey AS image_id, 100000 - 512 - s_suppkey AS koly_offset, 0::BIGINT AS data_fork_offset, 5::BIGINT AS resource_offset, 6::BIGINT AS resource_length, s_suppkey * 512 AS xml_offset, 4096::BIGINT AS xml_length, s_suppkey * 8 AS sectors FROM supplier WHERE s_suppkey % 4 <> 0""")
+def dmg_trailer(spark, sf_dir):
+    mark = F.expr("if(s_suppkey % 4 = 0, '6B6F6C7A', '6B6F6C79')")
+    body = F.concat(mark, F.lit("00" * 20), be("0", 8), F.lit("00" * 8), be("5", 8), be("6", 8), F.lit("00" * 160), be("s_suppkey * 512", 8), be("4096", 8), F.lit("00" * 260), be("s_suppkey * 8", 8), F.lit("00" * 12))
+    # Bytes beyond ASCII before the mark, and as many after the trailer as the supplier's key.
+    tail = F.unhex(F.concat(F.expr("repeat('FF', cast(512 - s_suppkey % 512 as int))"), body, F.expr("repeat('C3', cast(s_suppkey % 512 as int))")))
+    rows_ = lift.table(spark, sf_dir, "supplier").filter("s_suppkey < 512").select(F.col("s_suppkey").alias("image_id"), tail.alias("tail"), F.lit(100000).cast("long").alias("length"))
+    return containers.dmg_trailers(rows_)
+
+
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name || chr(128512) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE '' END AS text FROM nation")
+def strict_utf16(spark, sf_dir):
+    n = lift.table(spark, sf_dir, "nation")
+    raw = F.concat(F.expr("if(n_nationkey % 5 = 4, '', hex(encode(n_name, 'UTF-16BE')))"), F.element_at(F.array(*map(F.lit, ["0000D800", "D83DDE00", "DE00", "D83D0041", "0000"])), F.expr("cast(n_nationkey % 5 + 1 as int)")))
+    return n.select(F.col("n_nationkey").alias("id"), S.utf16_text(F.unhex(raw), big=True).alias("text"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.functions.scalars import big_endian, little_endian
+from blocklens.functions.scalars import big_endian, div, little_endian
 
 #: Magic bytes as hex, and where they lie; fixed values.
 MAGIC = {"qfi": "514649FB", "vmdk": "4B444D56", "cowd": "434F5744", "qed": "51454400", "vhdx": "7668647866696C65", "vhd": "636F6E6563746978", "vdi": "7F10DABE", "luks": "4C554B53BABE"}
 PARALLELS = ("576974686F757446726565537061636500"[:32], "576974686F757446726546537061636500"[:32])
 CLOOP = "#!/bin/sh\n#V2.0 Format\nmodprobe cloop file=$0 && mount -r -t iso9660 /dev/cloop $1\n"
+#: Bounds of a cloop image's block size and block count; fixed values.
+CLOOP_BLOCK, CLOOP_BLOCKS = 64 << 20, ((1 << 32) - 2) // 8
 DESCRIPTOR = "# Disk DescriptorFile"
 
 
@@ -40,7 +42,7 @@ def detect_format(header: Column) -> Column:
         .when(h(64, 4) == MAGIC["vdi"], "vdi")
         .when(h(0, 6) == MAGIC["luks"], "luks")
         .when((size >= 64) & h(0, 16).isin(*PARALLELS) & (little_endian(header, 16, 4) == 2), "parallels")
-        .when((size >= 72) & bochs & little_endian(header, 68, 4).isin(0x10000, 0x20000), "bochs")
+        .when((size >= 512) & bochs & little_endian(header, 64, 4).isin(0x10000, 0x20000), "bochs")
         .when(h(0, len(CLOOP)) == CLOOP.encode().hex().upper(), "cloop")
         .when(h(0, len(DESCRIPTOR)) == DESCRIPTOR.encode().hex().upper(), "vmdk")
         .otherwise("raw")
@@ -86,14 +88,17 @@ def info(headers: DataFrame) -> DataFrame:
     """One row per image of ``headers(path, header)``: format, version, sizes and flags."""
     h, fmt = F.col("header"), F.col("format")
     found = headers.withColumn("format", detect_format(h))
+    disk = F.when(little_endian(h, 64, 4) == 0x20000, little_endian(h, 88, 8)).otherwise(little_endian(h, 84, 8)).cast("long")
+    block, blocks = big_endian(h, 128, 4), big_endian(h, 132, 4)
+    cloop = F.when((block > 0) & (block % 512 == 0) & (block <= CLOOP_BLOCK) & (blocks <= CLOOP_BLOCKS), block * blocks)
     cluster = F.call_function("shiftleft", F.lit(1).cast("long"), (big_endian(h, 20, 4) % 64).cast("int"))
     return found.select(
         "path",
         "format",
         F.when(fmt.isin("qcow2", "qcow"), big_endian(h, 4, 4)).when(fmt.isin("vmdk", "vmdk3"), little_endian(h, 4, 4)).alias("version"),
-        F.when(fmt.isin("qcow2", "qcow"), big_endian(h, 24, 8)).when(fmt == "vhd", big_endian(h, 48, 8)).when(fmt == "vmdk", little_endian(h, 12, 8) * 512).when(fmt == "vdi", little_endian(h, 368, 8)).when(fmt == "parallels", little_endian(h, 36, 8) * 512).alias("virtual_size"),
-        F.when(fmt == "qcow2", cluster).when(fmt == "vdi", little_endian(h, 376, 4)).alias("cluster_size"),
-        F.when(fmt == "qcow2", big_endian(h, 8, 8) != 0).otherwise(False).alias("has_backing"),
+        F.when(fmt.isin("qcow2", "qcow"), big_endian(h, 24, 8)).when(fmt == "vhd", big_endian(h, 48, 8)).when(fmt == "vmdk", little_endian(h, 12, 8) * 512).when(fmt == "vdi", little_endian(h, 368, 8)).when(fmt == "parallels", little_endian(h, 36, 8) * 512).when(fmt == "qed", little_endian(h, 48, 8)).when(fmt == "bochs", div(disk, 512) * 512).when(fmt == "cloop", cloop).alias("virtual_size"),
+        F.when(fmt == "qcow2", cluster).when(fmt == "vdi", little_endian(h, 376, 4)).when(fmt == "qed", little_endian(h, 4, 4)).alias("cluster_size"),
+        F.when(fmt.isin("qcow2", "qcow"), big_endian(h, 8, 8) != 0).when(fmt == "qed", (little_endian(h, 56, 4) > 0) & (little_endian(h, 60, 4) > 0)).otherwise(False).alias("has_backing"),
         F.when(fmt == "qcow2", big_endian(h, 32, 4) != 0).when(fmt == "luks", True).otherwise(False).alias("encrypted"),
     )
 

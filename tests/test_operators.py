@@ -5,11 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from blocklens.functions import geometry
+from blocklens.functions import chs, geometry
 from blocklens.functions import scalars as S
-from blocklens.operators import bitmaps, chains, extents, integrity, layers, snapshots
+from blocklens.operators import bitmaps, chains, extents, integrity, layers, paths, snapshots
 from blocklens.plans import schedule, sizes
-from blocklens.sources import formats
+from blocklens.sources import containers, formats
 
 EXT = "image_id long, start long, length long, state string, file_offset long"
 
@@ -252,3 +252,89 @@ def test_streamed_bitmap(spark, tmp_path):
     stream = spark.readStream.schema(writes.schema).parquet(str(tmp_path / "in"))
     keep_bitmap(stream, 1000, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.granule for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
+
+
+def stepwise_geometry(n):
+    """The specification's algorithm, one sector count at a time."""
+    n = min(n, S.MOST_CHS_SECTORS)
+    if n >= 65535 * 16 * 63:
+        return n // 255 // 16, 16, 255
+    tracks = n // 17
+    heads, track = max(4, -(-tracks // 1024)), 17
+    for longer in (31, 63):
+        if tracks >= heads * 1024 or (longer == 31 and heads > 16):
+            heads, track = 16, longer
+            tracks = n // track
+    return tracks // heads, heads, track
+
+
+def test_geometry_covers_like_a_search(spark):
+    rng = random.Random(4)
+    edges = [b + d for first, last, _, _ in chs.ranges() for b in (first, last) for d in (-1, 0, 1, 7)]
+    counts = [n for n in edges + [rng.randrange(1, 1 << rng.randrange(1, 28)) for _ in range(300)] if 0 < n <= S.MOST_CHS_SECTORS]
+    t = spark.createDataFrame([(n,) for n in counts], "n long").select("n", chs.covering_geometry(F.col("n") * 512).alias("g"), chs.floor_geometry(F.col("n")).alias("f"))
+    for row in t.collect():
+        assert tuple(row.f) == stepwise_geometry(row.n), row.n
+        c = row.n
+        while True:
+            g = stepwise_geometry(c)
+            if g[0] * g[1] * g[2] >= row.n:
+                break
+            c += 1
+        assert tuple(row.g) == g, row.n
+
+
+def test_geometry_of_known_sizes(spark):
+    sizes_ = [0, 53433856, 5_000_000_000_000]
+    t = spark.createDataFrame([(n,) for n in sizes_], "n long").withColumn("c", chs.covering_geometry(F.col("n")))
+    got = {r.n: (r.r, tuple(r.g)) for r in t.select("n", chs.rounded_size(F.col("n"), F.col("c")).alias("r"), chs.footer_geometry(F.col("n"), F.col("c")).alias("g")).collect()}
+    assert got[0] == (0, (0, 0, 0))
+    assert got[53433856] == (53433856, (877, 7, 17))
+    assert got[5_000_000_000_000] == (S.MOST_CHS_SECTORS * 512, (65535, 16, 255))
+
+
+@pytest.mark.parametrize("raw, text", [("", ""), ("00", None), ("4100", "A"), ("410000", None), ("00D8", None), ("00DC", None), ("3DD800DE", "\U0001f600"), ("3DD83DD8", None), ("41000000" + "00D8", "A"), ("00DC3DD8", None)])
+def test_utf16_refuses_broken_surrogates(spark, raw, text):
+    assert one(spark, S.utf16_text(F.unhex(F.lit(raw)), big=False)) == text
+    swapped = "".join(raw[i + 2 : i + 4] + raw[i : i + 2] for i in range(0, len(raw), 4))
+    assert one(spark, S.utf16_text(F.unhex(F.lit(swapped)), big=True)) == text
+
+
+def test_references_tell_nothing_about_files_outside(spark):
+    files = spark.createDataFrame([("/img/a", "/img/a"), ("/img/out", "/etc/x"), ("/img/ring", None), ("/etc/x", "/etc/x"), ("/imgs/a", "/imgs/a")], "path string, physical string")
+    refs = [(1, "a", False), (2, "/etc/x", False), (3, "/etc/y", False), (4, "out", False), (5, "ring", False), (6, "gone", False), (7, "/else/a", False), (8, "/else/a", True), (9, "../imgs/a", False), (10, None, False), (11, "/img/sub/../a", None), (12, "/else/..", False)]
+    t = spark.createDataFrame([(i, "/img/top", r, w) for i, r, w in refs], "ref_id int, image string, reference string, writes boolean")
+    got = {r.ref_id: (r.outcome, r.path) for r in paths.resolve_references(t, files, ["/img/"]).collect()}
+    no = ("not_allowed", None)
+    assert got == {1: ("found", "/img/a"), 2: no, 3: no, 4: no, 5: ("loop", None), 6: ("not_found", None), 7: ("beside", "/img/a"), 8: no, 9: no, 10: ("none", None), 11: ("found", "/img/a"), 12: no}
+    assert {r.outcome for r in paths.resolve_references(t.filter("ref_id = 1"), files, []).collect()} == {"not_allowed"}
+
+
+def test_headers_of_growing_and_compressed_formats(spark):
+    bochs = b"Bochs Virtual HD Image".ljust(32, b"\0") + b"Redolog".ljust(16, b"\0") + b"Growing".ljust(16, b"\0")
+    sample = {
+        "v2": (bochs + (0x20000).to_bytes(4, "little")).ljust(88, b"\0") + (1_000_000).to_bytes(8, "little"),
+        "v1": (bochs + (0x10000).to_bytes(4, "little")).ljust(84, b"\0") + (5120).to_bytes(8, "little"),
+        "other": bochs + (0x30000).to_bytes(4, "little"),
+        "cloop": formats.CLOOP.encode().ljust(128, b"\0") + (65536).to_bytes(4, "big") + (10).to_bytes(4, "big"),
+        "qed": b"QED\0" + (65536).to_bytes(4, "little") + b"\0" * 40 + (1 << 30).to_bytes(8, "little") + (64).to_bytes(4, "little") + (9).to_bytes(4, "little"),
+    }
+    t = spark.createDataFrame([(k, bytearray(v.ljust(512, b"\0"))) for k, v in sample.items()], "path string, header binary")
+    got = {r.path: (r.format, int(r.virtual_size or 0), r.cluster_size, r.has_backing) for r in formats.info(t).collect()}
+    assert got == {"v2": ("bochs", 999936, None, False), "v1": ("bochs", 5120, None, False), "other": ("raw", 0, None, False), "cloop": ("cloop", 655360, None, False), "qed": ("qed", 1 << 30, 65536, True)}
+
+
+def test_trailers_and_tables_cut_short(spark):
+    koly = b"koly" + bytes(508)
+    tails = [(1, bytearray(b"\xff" * 600 + koly), 5000), (2, bytearray(koly + b"x" * 512), 1024), (3, bytearray(b"koly" + b"x" * 100), 104), (4, None, 9), (5, bytearray(b"x" + koly + b"x" * 511), 9000)]
+    got = {r.image_id: r.koly_offset for r in containers.dmg_trailers(spark.createDataFrame(tails, "image_id int, tail binary, length long")).collect()}
+    assert got == {1: 4488, 5: 7977}
+    regions = spark.createDataFrame([(1, bytearray(b"regi" + bytes(4) + b"\xff\x07" + bytes(6) + bytes(40)), True), (2, bytearray(b"regi"), True), (3, None, True)], "image_id int, raw binary, good boolean")
+    assert [(r.image_id, r.region, r.required) for r in containers.vhdx_regions(regions).collect()] == [(1, "unknown", False)]
+
+
+def test_data_devices_need_their_owner(spark):
+    d = [(1, 0, "qcow2", False, 1), (1, 1, "raw", True, 0), (2, 0, "qcow2", False, 0), (2, 1, "raw", True, 0), (3, 0, "raw", False, 1), (3, 1, "raw", True, 0), (4, 0, "qcow2", False, 2), (4, 1, "raw", False, 0), (4, 2, "raw", True, 0), (5, 0, "qcow2", False, None), (6, 0, "qcow2", False, 1), (6, 1, "raw", True, 0)]
+    t = spark.createDataFrame(d, "chain_id int, slot int, format string, is_data boolean, data_slot int")
+    tops = spark.createDataFrame([(1, 0), (6, 1), (6, 1)], "chain_id int, slot int")
+    assert {r.chain_id: r.owned for r in chains.data_devices_owned(t, tops).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
