@@ -4,8 +4,10 @@ Lines are normalised to their words (A-Z lower-cased; ASCII letters, digits and
 everything beyond ASCII; digits are all alike). Lines with the same words are one
 class. A class has a 64-bit SimHash of its pairs of words and of word heads. Two classes link when
 their SimHashes differ in at most three bits and their normalised lines have an edit
-similarity of 0.8 or more. Three differing bits leave one of four 16-bit blocks
-untouched, so classes are joined on blocks.
+similarity of 0.8 or more. Of k blocks of a SimHash three differing bits leave k - 3
+untouched, so classes are joined on every choice of k - 3 blocks. Any k finds the same
+pairs; more blocks make more but shorter lists, and k is chosen by the count of classes,
+so that the work per line stays bounded as the corpus grows.
 Of every connected group of classes the first occurrence stays, in the order of
 document id and line number.
 """
@@ -14,10 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import as_long, blocks, materialize, null_safe_eq, part_bytes, pick
@@ -28,6 +32,9 @@ BITS = 3
 BLOCKS = BITS + 1
 MIN_WORDS = 5
 SIMILARITY = 80
+#: Blocks that a SimHash may be parted into for joining, and the cost of a posting in pair tests.
+BLOCK_COUNTS = range(BLOCKS, BLOCKS + 5)
+POST_COST = 128
 #: Wanted lines up to this many are sent to the executors; more are found by a join.
 SEND_LINES = 1_000_000
 NEWLINE = 0x0A
@@ -133,6 +140,31 @@ def similar(x: str, y: str, percent: int) -> bool:
     return max(len(x), len(y)) <= allowed or edit_distance(x, y) <= allowed
 
 
+def chosen_bits(count: int) -> int:
+    """Bits that ``count`` blocks leave to a key, at least."""
+    return (count - BITS) * (64 // count)
+
+
+def block_count(classes: int) -> int:
+    """The number of blocks at which postings and pair tests together cost least."""
+    return min(BLOCK_COUNTS, key=lambda k: comb(k, BITS) * (POST_COST + classes / 2 ** chosen_bits(k)))
+
+
+def block_keys(sim: Column, count: int) -> list[Column]:
+    """A key for every choice of all but three of ``count`` blocks of a SimHash."""
+    cut = [64 * i // count for i in range(count + 1)]
+    most = max(b - a for a, b in zip(cut[:-1], cut[1:], strict=True)) * (count - BITS)
+    keys = []
+    for n, chosen in enumerate(combinations(range(count), count - BITS)):
+        key, at = F.lit(n << most), 0
+        for i in chosen:
+            size = cut[i + 1] - cut[i]
+            key = key + F.shiftleft(F.shiftrightunsigned(sim, cut[i]).bitwiseAND(F.lit((1 << size) - 1)), at)
+            at += size
+        keys.append(key.cast("long"))
+    return keys
+
+
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """``(id, line, h, sim, len)`` for lines of ``min_words`` words or more."""
 
@@ -175,14 +207,17 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return (found if few else found.join(wanted, "h", "left_semi")).dropDuplicates(["h"])
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, line)`` of every line that repeats, exactly or nearly, one that stays."""
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: int = SIMILARITY, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, line)`` of every line that repeats, exactly or nearly, one that stays.
+
+    ``parts`` fixes the number of blocks; the result doesn't depend on it.
+    """
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("id IS NOT NULL AND text IS NOT NULL")
     table = materialize(line_table(docs, min_words), "lines")
     classes = table.groupBy("h").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "line")).alias("at"))
     classes = materialize(classes, "classes")
     width = 64 // BLOCKS
-    keys = F.explode(F.array(*(F.shiftrightunsigned(F.col("sim"), i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width) for i in range(BLOCKS)))).alias("tok")
+    keys = F.explode(F.array(*block_keys(F.col("sim"), parts or block_count(classes.count())))).alias("tok")
     posts = classes.select(keys, F.col("h").alias("cid"), "sim", F.col("len").cast("int").alias("len"))
 
     def possible(a: str, b: str) -> str:

@@ -1,6 +1,7 @@
 """The operators of this subpackage against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -209,6 +210,21 @@ def test_lines(spark, odd, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def test_blocks_of_lines(spark, docs):
+    assert [line_dedup.block_count(n) for n in (0, 10**6, 10**8, 10**12)] == [4, 4, 5, 7]
+    rng = random.Random(8)
+    rows = [(i, a, a ^ sum(1 << b for b in rng.sample(range(64), i % 4))) for i, a in ((i, rng.getrandbits(64)) for i in range(200))]
+    signed = [(i, *(v - (1 << 64) if v >> 63 else v for v in (a, b))) for i, a, b in rows]
+    t = spark.createDataFrame(signed, "i int, a long, b long")
+    for parts in line_dedup.BLOCK_COUNTS:
+        a, b = (F.array(*line_dedup.block_keys(F.col(c), parts)) for c in "ab")
+        got = t.select(F.arrays_overlap(a, b).alias("met"), F.size(F.array_distinct(a)).alias("n")).collect()
+        assert all(r.met and r.n == math.comb(parts, 3) for r in got)
+    want = {tuple(r) for r in line_dedup.repeated_lines(docs).collect()}
+    for parts in (5, 7):
+        assert {tuple(r) for r in line_dedup.repeated_lines(docs, parts=parts).collect()} == want
+
+
 def test_edit_distance():
     rng = random.Random(3)
 
