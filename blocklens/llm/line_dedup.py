@@ -2,12 +2,18 @@
 
 Lines are normalised to their words (A-Z lower-cased; ASCII letters, digits and
 everything beyond ASCII; digits are all alike). Lines with the same words are one
-class. A class has a 64-bit SimHash of its pairs of words and of word heads. Two classes link when
-their SimHashes differ in at most three bits and their normalised lines have an edit
-similarity of 0.8 or more. Of k blocks of a SimHash three differing bits leave k - 3
-untouched, so classes are joined on every choice of k - 3 blocks. Any k finds the same
-pairs; more blocks make more but shorter lists, and k is chosen by the count of classes,
-so that the work per line stays bounded as the corpus grows.
+class. Two classes link when their normalised lines have an edit similarity of 0.8 or more
+and they meet under a key. Keys are of two kinds:
+
+* Pairs of MinHashes of the line's byte n-grams, for lines of any number of words. Short
+  lines use short n-grams; a line that may be near a short and a long one has both kinds.
+  Lines that share few n-grams may miss each other; the tests state the recall.
+* Blocks of a 64-bit SimHash of the pairs of words and of word heads, for lines of
+  ``SIM_WORDS`` words or more; these classes link only when the SimHashes differ in at most
+  three bits. Of k blocks three differing bits leave k - 3 untouched, so classes are joined
+  on every choice of k - 3 blocks. Any k finds the same pairs; more blocks make more but
+  shorter lists, and k is chosen by the count of classes.
+
 Of every connected group of classes the first occurrence stays, in the order of
 document id and line number.
 """
@@ -31,10 +37,19 @@ from blocklens.llm.wordhash import BASE, Words, fold_ascii, join_hash, mix, powe
 BITS = 3
 BLOCKS = BITS + 1
 MIN_WORDS = 5
+SIM_WORDS = 5
 SIMILARITY = 80
 #: Blocks that a SimHash may be parted into for joining, and the cost of a posting in pair tests.
 BLOCK_COUNTS = range(BLOCKS, BLOCKS + 5)
 POST_COST = 128
+#: Keys by MinHashes, each of two; bytes of the n-grams of long and of short lines.
+BANDS = 12
+LONG_GRAM, SHORT_GRAM = 6, 4
+#: MinHashes of the sketches, two to a key, that must agree in four bits for texts to be compared.
+AGREE = 7
+#: Longest line that has no long n-grams, and longest that can be 80 % alike to such a line.
+SHORT_LINE = 40
+SHORT_REACH = SHORT_LINE * 100 // SIMILARITY
 #: Wanted lines up to this many are sent to the executors; more are found by a join.
 SEND_LINES = 1_000_000
 NEWLINE = 0x0A
@@ -100,6 +115,53 @@ def simhashes(words: Words, lines: np.ndarray, at_once: int = 1 << 16) -> np.nda
     return out
 
 
+def normalised(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all lines' words with one space after each, and where each word begins there.
+
+    A line's last word has eight, so that eight bytes can be read from any of its places.
+    """
+    width = words.ends - words.starts + 1
+    some = np.flatnonzero(np.diff(words.first))
+    width[words.first[some + 1] - 1] += 7
+    begin = np.cumsum(width) - width
+    at = np.arange(width.sum()) + np.repeat(words.starts - begin, width)
+    after = at >= np.repeat(words.ends, width)
+    return np.where(after, 0x20, data[np.minimum(at, len(data) - 1)]).astype(np.uint8), begin
+
+
+@cache
+def minhash_weights() -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, 2 * BANDS, np.uint64) | np.uint64(1)
+
+
+def minhash_keys(data: np.ndarray, words: Words, lines: np.ndarray, sizes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The MinHash keys, all negative, of the chosen lines, and their sketches; ``sizes`` are their normalised bytes.
+
+    Bit 62 of a key is set for short n-grams. A sketch holds four bits of each MinHash in
+    two numbers; those of long n-grams come before those of short ones.
+    """
+    text, begin = normalised(data, words)
+    starts = begin[words.first[lines]]
+    keys, owner, sketch = [], [], np.zeros((len(lines), 4), np.uint64)
+    for kind, (gram, chosen) in enumerate(((LONG_GRAM, np.flatnonzero(sizes > SHORT_LINE)), (SHORT_GRAM, np.flatnonzero(sizes <= SHORT_REACH)))):
+        if not len(chosen):
+            continue
+        # Eight bytes from each place, of which the n-gram's stay.
+        grams = mix((np.ndarray(len(text) - 7, "<u8", text.tobytes(), strides=(1,)) & np.uint64((1 << 8 * gram) - 1)) + np.uint64(gram))
+        cut = np.stack([starts[chosen], starts[chosen] + sizes[chosen]], axis=1).ravel()
+        least = [np.minimum.reduceat(grams * w, cut)[::2] for w in minhash_weights()]
+        for band in range(BANDS):
+            keys.append(mix(least[2 * band] * np.uint64(3) + mix(least[2 * band + 1] + np.uint64(band))) >> np.uint64(2) | np.uint64((2 + kind) << 62))
+            owner.append(chosen)
+        for i, m in enumerate(least):
+            sketch[chosen, 2 * kind + i // BANDS] |= (mix(m) & np.uint64(15)) << np.uint64(4 * (i % BANDS))
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    offsets = np.cumsum([0, *np.bincount(owner, minlength=len(lines))])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(as_long(np.concatenate(keys)[order])))
+    return lists, pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * 4, pa.int32()), pa.array(as_long(sketch.ravel())))
+
+
 def edit_distance(x: str, y: str) -> int:
     """Levenshtein distance, a column of the table at a time as bits of one integer (Myers 1999)."""
     if not x or not y:
@@ -166,21 +228,23 @@ def block_keys(sim: Column, count: int) -> list[Column]:
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(id, line, h, sim, len)`` for lines of ``min_words`` words or more."""
+    """``(id, line, h, sim, keys, sketch, len)`` for lines of ``min_words`` words or more; short ones have no ``sim``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").cast(pa.int64())
-            for lo, _, _, row, number, words in lines_of(batch.column("text")):
+            for lo, data, _, row, number, words in lines_of(batch.column("text")):
                 sizes = np.diff(words.first)
                 some = np.flatnonzero(sizes >= min_words)
                 if not len(some):
                     continue
                 # Bytes of the words and one space between each two.
                 width = np.add.reduceat(np.append(words.ends - words.starts + 1, 0), np.stack([words.first[some], words.first[some + 1]], axis=1).ravel())[::2] - 1
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[some] + lo)), pa.array(number[some], pa.int64()), pa.array(as_long(line_hashes(words)[some])), pa.array(as_long(simhashes(words, some))), pa.array(width, pa.int64())], ["id", "line", "h", "sim", "len"])
+                sim, long = np.zeros(len(some), np.uint64), sizes[some] >= SIM_WORDS
+                sim[long] = simhashes(words, some[long])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[some] + lo)), pa.array(number[some], pa.int64()), pa.array(as_long(line_hashes(words)[some])), pa.array(as_long(sim), mask=~long), *minhash_keys(data, words, some, width), pa.array(width, pa.int64())], ["id", "line", "h", "sim", "keys", "sketch", "len"])
 
-    return docs.mapInArrow(run, "id long, line long, h long, sim long, len long")
+    return docs.mapInArrow(run, "id long, line long, h long, sim long, keys array<long>, sketch array<long>, len long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,14 +278,19 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
     """
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("id IS NOT NULL AND text IS NOT NULL")
     table = materialize(line_table(docs, min_words), "lines")
-    classes = table.groupBy("h").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "line")).alias("at"))
+    classes = table.groupBy("h").agg(F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("len").alias("len"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "line")).alias("at"))
     classes = materialize(classes, "classes")
-    width = 64 // BLOCKS
-    keys = F.explode(F.array(*block_keys(F.col("sim"), parts or block_count(classes.count())))).alias("tok")
-    posts = classes.select(keys, F.col("h").alias("cid"), "sim", F.col("len").cast("int").alias("len"))
+    of_sim = F.array(*block_keys(F.col("sim"), parts or block_count(classes.count())))
+    keys = F.explode(F.when(F.col("sim").isNull(), F.col("keys")).otherwise(F.concat("keys", of_sim))).alias("tok")
+    posts = classes.select(keys, "h", "sim", "sketch", "len")
+    at = F.when(F.expr("tok & (1L << 62) != 0"), 2).otherwise(0)
+    sig = [F.when(F.col("tok") < 0, F.get("sketch", at + i)).otherwise(F.col("sim") if i == 0 else F.lit(0)).alias(f"sig{i}") for i in (0, 1)]
+    posts = posts.select("tok", F.col("h").alias("cid"), *sig, F.col("len").cast("int").alias("len"))
 
     def possible(a: str, b: str) -> str:
-        return f"bit_count({a}.sim ^ {b}.sim) <= {BITS} AND 100 * least({a}.len, {b}.len) >= {similarity} * greatest({a}.len, {b}.len)"
+        differ = [f"({a}.sig{i} ^ {b}.sig{i})" for i in (0, 1)]
+        apart = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111}L)" for x in differ)
+        return f"if({a}.tok < 0, {apart} <= {2 * BANDS - AGREE}, bit_count({differ[0]}) <= {BITS}) AND 100 * least({a}.len, {b}.len) >= {similarity} * greatest({a}.len, {b}.len)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -239,12 +308,9 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
     # Few lines have any line near them; the rest leave here, after one shuffle that both sides share.
     near = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi")
     near = materialize(near, "near").join(classes.select(F.col("h").alias("cid"), "times"), "cid")
-    near = materialize(near.select("tok", "cid", "sim", "len", "times"), "posts")
-    # Two blocks together hardly ever bring strangers into one list: these lists' centres come first.
-    block = [F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
-    twos = F.explode(F.array(*(F.xxhash64(F.lit(BLOCKS * i + j), block[i], block[j]) for i in range(BLOCKS) for j in range(i))))
-    facts = near.select("cid", "sim", "len", "times").distinct()
-    labels = linked_components(near, possible, verify, [F.col("times"), *(F.xxhash64("cid", F.lit(n)) for n in range(3))], facts.select(twos.alias("tok"), "cid", "sim", "len", "times"))
+    near = materialize(near.select("tok", "cid", "sig0", "sig1", "len", "times"), "posts")
+    # MinHash keys hardly ever bring strangers into one list: these lists' centres come first.
+    labels = linked_components(near, possible, verify, [F.col("times"), *(F.xxhash64("cid", F.lit(n)) for n in range(3))], near.filter("tok < 0"))
     grouped = classes.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "at", F.coalesce("label", "h").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("at").alias("stays"))
     occurrences = table.join(grouped.join(stays, "group").select("h", "stays"), "h")
