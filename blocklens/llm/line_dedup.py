@@ -36,7 +36,7 @@ from blocklens.llm.wordhash import BASE, Words, fold_ascii, join_hash, mix, powe
 
 BITS = 3
 BLOCKS = BITS + 1
-MIN_WORDS = 5
+MIN_WORDS = 1
 SIM_WORDS = 5
 SIMILARITY = 80
 #: Blocks that a SimHash may be parted into for joining, and the cost of a posting in pair tests.
@@ -320,13 +320,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
 def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: ``id, text`` (without the repeated lines), ``n_lines, n_removed``.
 
-    Lines are what newlines part. Lines of fewer than ``min_words`` words stay where
-    they are. Null texts stay null with 0 lines; rows with a null id are left as they
+    Lines are what newlines part. Lines of fewer than ``min_words`` words, by default those
+    without any word, stay where they are. Null texts stay null with 0 lines; rows with a null id are left as they
     are; repeated rows (one id, one text) lose the same lines, all copies alike; an
     empty table gives an empty result; other columns are ignored.
     """
-    if options.get("min_words", MIN_WORDS) < 2:
-        raise ValueError("lines of fewer than two words have no pairs")
+    if options.get("min_words", MIN_WORDS) < 1:
+        raise ValueError("lines without words have nothing to compare")
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
     gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
     rows = pick(docs, id=id_col, text=text_col)

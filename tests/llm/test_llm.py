@@ -210,6 +210,12 @@ def test_lines(spark, odd, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [(1, "Read more\nAB\n---\n日本語の文章がここにあります"), (2, "read, more!\nab\n\n---\n日本語の文章がここにありまず\nother"), (3, "7\n8\nx")]
+    got = {r.id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("\n---\nother", 6, 3), 3: ("7\nx", 3, 1)}
+
+
 def changed(line, rng, percent):
     """``line`` with words replaced and letters changed, at least ``percent`` % alike to it."""
     out = line
