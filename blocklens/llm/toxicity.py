@@ -83,18 +83,17 @@ class TextCnn:
             n = ids.shape[1] - width + 1
             if not len(some) or n <= 0:
                 continue
-            made = parts[0][ids[0, :n]]
-            made += parts[0][ids[1, :n]]
+            # The row after the last window lets a span end there.
+            made = np.full((n + 1, FILTERS), -np.inf, np.float32)
+            made[:n] = parts[0][ids[0, :n]]
+            made[:n] += parts[0][ids[1, :n]]
             for j in range(1, width):
                 for kind in ids:
-                    made += parts[j][kind[j : j + n]]
+                    made[:n] += parts[j][kind[j : j + n]]
             # A run that begins in a row's last words goes on into the next row.
             cut = np.empty(2 * len(some), np.int64)
             cut[::2], cut[1::2] = first[some], first[some + 1] - width + 1
-            closed = np.minimum(cut, n)
-            spans = np.append(closed, n) if closed[-1] < n else closed
-            keep = slice(0, 2 * len(some), 2)
-            top = np.maximum.reduceat(made, np.minimum(spans, n - 1), axis=0)[keep]
+            top = np.maximum.reduceat(made, cut, axis=0)[::2]
             best[some, own] = np.maximum(top + self.bias[own], 0)
             if where:
                 for r, t in zip(some.tolist(), top, strict=True):
@@ -104,7 +103,8 @@ class TextCnn:
         return (best, place) if where else best
 
     def logit(self, best: np.ndarray) -> np.ndarray:
-        return best @ self.out + self.out_bias
+        # A sum by row does not depend on the other rows, as a matrix product's rounding does.
+        return (best * self.out).sum(axis=1) + self.out_bias
 
     def score(self, column: pa.Array) -> np.ndarray:
         tables = self.tables()

@@ -112,6 +112,21 @@ def test_toxicity(spark, data, docs, odd, empty):
     assert toxicity.toxicity(odd, labels.limit(0)).filter("score < 0.5").count() == len(ODD) + 2
 
 
+def test_last_words_count():
+    net = toxicity.TextCnn.fresh()
+    rng = random.Random(3)
+    rows = [" ".join(rng.choices(["a1", "b2", "c3", "d4", "e5"], k=k)) for k in (1, 2, 3, 4, 9, 30)]
+    for row in rows:
+        alone = net.score(pa.array([row]))[0]
+        assert alone == net.score(pa.array([row, rows[3]]))[0] == net.score(pa.array([rows[4], "", row]))[-1]
+    ids, first = next(toxicity.word_ids(pa.array(["x y z decisive"])))
+    net.embedding[:] = 0
+    net.embedding[ids[:, 3]] = 1
+    net.filters = [np.ones_like(f) for f in net.filters]
+    best, place = net.pooled(ids, first, where=True)
+    assert (best > 0).all() and best[0, 0] == 2 * toxicity.DIM and place[0].tolist() == [3] * 8 + [2] * 8 + [1] * 8
+
+
 def test_wavelet_tokens(docs, texts, odd, empty):
     path = queries.vocabulary()
     library = wavelet.tokenizer(path)
