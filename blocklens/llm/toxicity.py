@@ -4,8 +4,8 @@ Words (A-Z lower-cased; ASCII letters, digits and everything beyond ASCII) are h
 into an embedding table, once whole and once by their first bytes, which inflected
 forms share; a word's embedding is the sum. Filters of widths 1, 2 and 3 run over a text's words, each
 filter keeps its maximum over the whole text, and a dense layer gives the score. The
-score is calibrated on labelled rows that the fit did not see; thresholds are then
-calibrated per language on the same rows.
+score is calibrated on all labelled rows, each scored by a fit that did not see it;
+thresholds are then calibrated per language on the same rows.
 
 Only the text enters a score; language selects a threshold afterwards.
 """
@@ -31,8 +31,8 @@ FILTERS = 8
 MAX_PER_LABEL = 2000
 MAX_FIT_BYTES = 60_000
 HEAD_BYTES = 4
-#: Positive rows that calibration needs before its best cut is moved to 0.7.
-CALIBRATION_ROWS = 50
+#: Parts of the labelled rows; each is scored by a fit on the others, for calibration.
+FOLDS = 5
 
 
 def word_ids(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,26 +150,10 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2 if i + 1 < len(s) else s[i])
 
 
-def fit(rows: pa.Table, *, epochs: int = 6, least_steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 5) -> TextCnn:
-    """Fit on ``rows(text, label, lang)``: four fifths for Adam, one fifth for calibration.
-
-    The texts are hashed at once; only their words' numbers are held while fitting.
-    """
+def trained(docs: list[np.ndarray], label: np.ndarray, train: np.ndarray, *, epochs: int = 6, least_steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 5) -> TextCnn:
+    """A net after Adam's steps over the rows ``train``; its scores are not calibrated."""
     net = TextCnn.fresh(seed)
-    label = np.array(rows.column("label").to_pylist(), np.float32)
-    if len(set(label.tolist())) < 2:
-        # Nothing to tell apart: every text gets the same low score.
-        net.out[:] = 0
-        net.scale = (1.0, -6.0 if not label.any() else 6.0)
-        return net
-    docs = [np.ascontiguousarray(ids[:, a:b]) for ids, first in word_ids(rows.column("text")) for a, b in zip(first[:-1], first[1:], strict=True)]
-    langs = np.array([str(x) for x in rows.column("lang").to_pylist()])
-    del rows
-    pa.default_memory_pool().release_unused()
     rng = np.random.default_rng(seed)
-    held = np.zeros(len(docs), bool)
-    held[rng.permutation(len(docs))[4::5]] = True
-    train = np.flatnonzero(~held)
     weight = np.where(label == 1, (1 - label[train]).sum() / max(1, label[train].sum()), 1.0) ** 0.5
     params = [net.embedding, *net.filters, net.bias, net.out]
     first_moment, second_moment = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -208,26 +192,57 @@ def fit(rows: pa.Table, *, epochs: int = 6, least_steps: int = 400, batch: int =
                 m[at] = 0.9 * m[at] + 0.1 * grad
                 v[at] = 0.999 * v[at] + 0.001 * grad * grad
                 param[at] -= step_rate * fix * m[at] / (np.sqrt(v[at]) + 1e-8)
-    tail, tables = np.flatnonzero(held), net.tables()
-    raw = np.zeros(len(tail))
-    for some in np.array_split(np.arange(len(tail)), max(1, len(tail) // batch)):
-        own = [docs[i] for i in tail[some]]
-        raw[some] = net.logit(net.pooled(np.concatenate(own, axis=1), np.cumsum([0, *(d.shape[1] for d in own)]), tables))
-    seen = label[tail].astype(np.int64)
+    return net
+
+
+def logits(net: TextCnn, docs: list[np.ndarray], chosen: np.ndarray, batch: int = 32) -> np.ndarray:
+    tables, out = net.tables(), np.zeros(len(chosen))
+    for some in np.array_split(np.arange(len(chosen)), max(1, len(chosen) // batch)):
+        own = [docs[i] for i in chosen[some]]
+        out[some] = net.logit(net.pooled(np.concatenate(own, axis=1), np.cumsum([0, *(d.shape[1] for d in own)]), tables))
+    return out
+
+
+def fit(rows: pa.Table, *, seed: int = 5, **steps) -> TextCnn:
+    """Fit on all ``rows(text, label, lang)``, calibrated by cross-fitting over the same rows.
+
+    The texts are hashed at once; only their words' numbers are held while fitting.
+    """
+    net = TextCnn.fresh(seed)
+    label = np.array(rows.column("label").to_pylist(), np.float32)
+    if len(set(label.tolist())) < 2:
+        # Nothing to tell apart: every text gets the same low score.
+        net.out[:] = 0
+        net.scale = (1.0, -6.0 if not label.any() else 6.0)
+        return net
+    docs = [np.ascontiguousarray(ids[:, a:b]) for ids, first in word_ids(rows.column("text")) for a, b in zip(first[:-1], first[1:], strict=True)]
+    langs = np.array([str(x) for x in rows.column("lang").to_pylist()])
+    del rows
+    pa.default_memory_pool().release_unused()
+    part = np.zeros(len(docs), np.int64)
+    rng = np.random.default_rng(seed)
+    for y in (0, 1):
+        own = np.flatnonzero(label == y)
+        part[rng.permutation(own)] = np.arange(len(own)) % FOLDS
+    raw = np.zeros(len(docs))
+    for fold in range(FOLDS):
+        unseen = np.flatnonzero(part == fold)
+        if len(unseen):
+            raw[unseen] = logits(trained(docs, label, np.flatnonzero(part != fold), seed=seed, **steps), docs, unseen)
+    net = trained(docs, label, np.arange(len(docs)), seed=seed, **steps)
+    seen = label.astype(np.int64)
     net.scale = calibrate(raw, seen)
     scores = sigmoid(net.scale[0] * raw + net.scale[1])
-    if seen.any() and not seen.all():
-        # The best common cut becomes a score of 0.7, so that 0.7 means the same for every
-        # fit; a cut that few positive rows support is not trusted that far.
-        trust = seen.sum() >= CALIBRATION_ROWS
-        shift = np.log(0.7 / 0.3) - logit_of(best_threshold(scores, seen)) if trust else 0.0
-        net.scale = (net.scale[0], net.scale[1] + shift)
+    cut = best_threshold(scores, seen)
+    # The best common cut becomes a score of 0.7, so that 0.7 means the same for every fit.
+    # A cut below all rows tells nothing apart; then the probabilities stay as they are.
+    if cut > scores.min():
+        net.scale = (net.scale[0], net.scale[1] + np.log(0.7 / 0.3) - logit_of(cut))
         scores = sigmoid(net.scale[0] * raw + net.scale[1])
-        net.threshold = 0.7 if trust else best_threshold(scores, seen)
-        for lang in sorted(set(langs[tail])):
-            at = langs[tail] == lang
-            if seen[at].sum() >= 5 and (1 - seen[at]).sum() >= 5:
-                net.thresholds[lang] = best_threshold(scores[at], seen[at])
+    for lang in sorted(set(langs)):
+        at = langs == lang
+        if seen[at].sum() >= 5 and (1 - seen[at]).sum() >= 5:
+            net.thresholds[lang] = best_threshold(scores[at], seen[at])
     return net
 
 

@@ -112,6 +112,27 @@ def test_toxicity(spark, data, docs, odd, empty):
     assert toxicity.toxicity(odd, labels.limit(0)).filter("score < 0.5").count() == len(ODD) + 2
 
 
+def test_few_positive_rows_are_found(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=40)) + (" vileword" if i % 12 == 0 else ""), "en", int(i % 12 == 0)) for i in range(720)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    got = toxicity.toxicity(d.drop("toxic"), d.select("doc_id", "toxic"), F.col("id") % 5 < 3).collect()
+    held = [r for r in got if r.id % 5 >= 3]
+    # 36 positive rows to fit: 0.7 is the best cut of so few as well.
+    assert sum((r.score >= 0.7) == (r.id % 12 == 0) for r in held) >= 0.97 * len(held)
+    assert sum(r.score >= 0.7 for r in held if r.id % 12 == 0) >= 20
+
+
+def test_cut_is_moved_at_every_size():
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choices("abcdefghij", k=20)) + (" vile" if i % 12 == 0 else ""), "en", int(i % 12 == 0)) for i in range(240)]
+    net = toxicity.fit(pa.table(dict(zip(["text", "lang", "label"], map(list, zip(*rows, strict=True)), strict=True))))
+    assert net.threshold == 0.7
+    cut = net.score(pa.array([t for t, _, _ in rows])) >= 0.7
+    assert cut.tolist() == [bool(y) for _, _, y in rows]
+
+
 def test_last_words_count():
     net = toxicity.TextCnn.fresh()
     rng = random.Random(3)
