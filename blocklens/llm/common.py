@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,38 +14,80 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables made in each ``scratch`` that is open, the innermost last.
+MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests in local mode) is one made here.
+    Where the session leaves it unset, one is made in local mode only (tests): elsewhere
+    a folder of one machine would lose what other machines write.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blocklens-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/blocklens/{tag}-{uuid.uuid4().hex}"
+    open_, at = MADE.get(), 2 if keep else 1
+    if len(open_) >= at:
+        open_[-at].append(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what came before.
+    With ``keep`` the table outlives the scratch that is open.
     """
-    path = f"{shared_dir(df.sparkSession)}/blocklens/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables made since its beginning, but for those to keep."""
+    made: list[str] = []
+    held = MADE.set((*MADE.get(), made))
+    try:
+        yield
+    finally:
+        MADE.reset(held)
+        for path in made:
+            delete(spark, path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table made by ``materialize`` once nothing reads it."""
-    spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/blocklens/" in name:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, name)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``, read off its plan; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def pieces_for(df: DataFrame, each: int = 1 << 22, most: int = 1 << 16) -> int:
+    """Into how many pieces work over ``df`` is dealt: by its size, and at least by the session's shuffle."""
+    return min(most, max(2 * shuffle_partitions(df.sparkSession), 64, plan_bytes(df) // each))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

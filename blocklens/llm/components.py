@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from blocklens.llm.common import drop_table, materialize
 
+#: Rows of a posting list that share one join key.
+LIST_PART = 256
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Rows ``(v, label)`` for every end of ``links(a, b)``: label is the least end reachable.
@@ -41,27 +44,27 @@ def centres_of(posts: DataFrame, centre: Column) -> DataFrame:
     """Of each list with two rows or more, the row of the largest ``centre``."""
     at = F.struct(*(c for c in posts.columns if c != "tok"))
     best = posts.groupBy("tok").agg(F.max(F.struct(centre.alias("share"), (-F.col("cid")).alias("rank"), at.alias("at"))).alias("c"), F.count(F.lit(1)).alias("len"))
-    return best.filter("len > 1").select("tok", F.col("c.share").alias("share"), "c.at.*")
+    return best.filter("len > 1").select("tok", F.col("c.share").alias("share"), F.col("len").alias("listed"), "c.at.*")
 
 
-def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], orders: list[Column], seeds: DataFrame | None = None) -> DataFrame:
+def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], orders: list[Column]) -> DataFrame:
     """Components of the links among vertices that meet in posting lists, without all pairs.
 
     ``posts(tok, cid, ...)`` lists vertices by key; two vertices can only link if they
     share a key with ``possible(x, y)``, a condition on the two rows; ``verify`` turns
     pairs ``(a, b)`` into the links among them. First each vertex meets, for each of
     ``orders``, one list's centre (the row that is largest by it), which joins up groups
-    that link to a common vertex or are densely linked; ``seeds``, rows like ``posts`` under more selective keys, may serve
-    for this. Then every possible pair that lies in two components is verified: one
-    of its ends is outside its list's home component, so only those rows meet the
-    whole list. Pairs that are left out have ends that are connected already.
+    that link to a common vertex or are densely linked. Then every possible pair that
+    lies in two components is verified: one of its ends is outside its list's home
+    component, so only those rows meet the whole list, which is cut into parts of
+    ``LIST_PART`` rows, each a join key of its own. Pairs that are left out have ends that
+    are connected already.
     """
     centres = materialize(centres_of(posts, orders[0]), "centres")
-    start = posts if seeds is None else seeds
     pairs = None
     for n, order in enumerate(orders):
-        hubs = centres if seeds is None and n == 0 else materialize(centres_of(start, order), "centres")
-        met = start.alias("x").join(hubs.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")))
+        hubs = centres if n == 0 else materialize(centres_of(posts, order), "centres")
+        met = posts.alias("x").join(hubs.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")))
         first = met.groupBy(F.col("x.cid").alias("x")).agg(F.max(F.struct(F.col("y.share"), (-F.col("y.cid")).alias("rank"))).alias("c")).select("x", (-F.col("c.rank")).alias("y"))
         first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = first if pairs is None else pairs.unionByName(first)
@@ -69,10 +72,11 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
 
     labels = connected_components(found)
     comp = posts.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    main = comp.join(centres.select("tok", F.col("cid").alias("centre")), "tok")
+    main = comp.join(centres.select("tok", F.col("cid").alias("centre"), "listed"), "tok")
     home = main.filter("cid = centre").select("tok", F.col("comp").alias("home")).distinct()
-    main = materialize(main.join(home, "tok").drop("centre"), "postings")
-    away = main.filter("comp != home").alias("x")
-    rest = away.join(main.alias("y"), F.expr("x.tok = y.tok AND x.comp != y.comp AND (y.comp = y.home OR x.cid < y.cid) AND " + possible("x", "y")))
+    main = materialize(main.join(home, "tok").withColumn("parts", F.expr(f"(listed + {LIST_PART - 1}) div {LIST_PART}")).drop("centre", "listed"), "postings")
+    away = main.filter("comp != home").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).alias("x")
+    all_ = main.withColumn("part", F.expr("pmod(xxhash64(cid), parts)")).alias("y")
+    rest = away.join(all_, F.expr("x.tok = y.tok AND x.part = y.part AND x.comp != y.comp AND (y.comp = y.home OR x.cid < y.cid) AND " + possible("x", "y")))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     return connected_components(found.unionByName(verify(rest)))

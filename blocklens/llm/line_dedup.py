@@ -1,165 +1,349 @@
 """Fuzzy line deduplication over the whole corpus.
 
 Lines are normalised to their words (A-Z lower-cased; ASCII letters, digits and
-everything beyond ASCII; digits are all alike). Lines with the same words are one
-class. Two classes link when their normalised lines have an edit similarity of 0.8 or more
-and they meet under a key. Keys are of two kinds:
-
-* Pairs of MinHashes of the line's byte n-grams, for lines of any number of words. Short
-  lines use short n-grams; a line that may be near a short and a long one has both kinds.
-  Lines that share few n-grams may miss each other; the tests state the recall.
-* Blocks of a 64-bit SimHash of the pairs of words and of word heads, for lines of
-  ``SIM_WORDS`` words or more; these classes link only when the SimHashes differ in at most
-  three bits. Of k blocks three differing bits leave k - 3 untouched, so classes are joined
-  on every choice of k - 3 blocks. Any k finds the same pairs; more blocks make more but
-  shorter lists, and k is chosen by the count of classes.
-
-Of every connected group of classes the first occurrence stays, in the order of
-document id and line number.
+everything beyond ASCII) with one space between. Lines with the same words, told by a
+128-bit digest, are one class. Two classes link when their normalised lines have an edit
+similarity of 0.8 or more and they meet under a key. Keys are of three kinds:
+
+* Blocks of a 128-bit SimHash. Of ``SIM_BLOCKS`` blocks three differing bits leave one
+  untouched, so any two lines within three bits share a block.
+* Triples of MinHashes, which find the many near lines that are farther apart than that:
+  one changed word of ten moves a quarter of a SimHash. Their features are a line's long
+  words or, where it has few (short lines, scripts without spaces), its byte n-grams.
+* All spellings with one character left out, for lines of which only one edit may part
+  near ones; these find every such pair.
+
+One pass over the texts deals keys out to fragments of their hash range. A map task sends
+a key and a class at most once: repeats within the task are settled there, so a line or a
+key of a third of all rows costs its fragment one entry per task. A fragment keeps only
+keys that two classes share. Of every connected group of classes the first occurrence
+stays, in the order of document id, text hash and line number.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import as_long, blocks, materialize, null_safe_eq, part_bytes, pick
+from blocklens.llm.common import as_long, materialize, null_safe_eq, part_bytes, pick, pieces_for, scratch
 from blocklens.llm.components import linked_components
-from blocklens.llm.wordhash import BASE, Words, fold_ascii, join_hash, mix, power_tables, powers, scan, word_class
+from blocklens.llm.wordhash import eights, fold_ascii, keep_masks, mix, padded_bytes, span_hashes, word_class
 
 BITS = 3
-BLOCKS = BITS + 1
-MIN_WORDS = 1
-SIM_WORDS = 5
+SIM_BLOCKS = BITS + 1
 SIMILARITY = 80
-#: Blocks that a SimHash may be parted into for joining, and the cost of a posting in pair tests.
-BLOCK_COUNTS = range(BLOCKS, BLOCKS + 5)
-POST_COST = 128
-#: Keys by MinHashes, each of two; bytes of the n-grams of long and of short lines.
-BANDS = 12
-LONG_GRAM, SHORT_GRAM = 6, 4
-#: MinHashes of the sketches, two to a key, that must agree in four bits for texts to be compared.
-AGREE = 7
-#: Longest line that has no long n-grams, and longest that can be 80 % alike to such a line.
-SHORT_LINE = 40
-SHORT_REACH = SHORT_LINE * 100 // SIMILARITY
-#: Wanted lines up to this many are sent to the executors; more are found by a join.
-SEND_LINES = 1_000_000
-NEWLINE = 0x0A
-
-
-@cache
-def line_fold() -> np.ndarray:
-    table = fold_ascii()
-    table[ord("0") : ord("9") + 1] = ord("0")
-    return table
-
-
-def lines_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]]:
-    """For runs of rows: first row, folded bytes, line bounds, line's row, line's number, words by line."""
-    inside, fold = word_class("alnum"), line_fold()
-    for lo, hi, data, offsets in blocks(*part_bytes(column)):
-        data = fold[data]
-        counts = np.add.reduceat(np.append(data == NEWLINE, False).astype(np.int64), np.minimum(offsets[:-1], len(data)))
-        counts[np.diff(offsets) == 0] = 0
-        n_lines = counts + 1
-        row = np.repeat(np.arange(hi - lo), n_lines)
-        first = np.cumsum(n_lines) - n_lines
-        number = np.arange(len(row)) - first[row]
-        begins = np.empty(len(row) + 1, np.int64)
-        begins[first] = offsets[:-1]
-        begins[:-1][number > 0] = np.flatnonzero(data == NEWLINE) + 1
-        begins[-1] = len(data)
-        yield lo, data, begins, row, number, scan(data, begins, inside, 4)
-
-
-def line_hashes(words: Words) -> np.ndarray:
-    """One hash per line of its words in order."""
-    n = len(words.hashes)
-    up, down = power_tables(1 << 20) if n < 1 << 20 else (powers(n + 1, BASE), powers(n + 1, pow(BASE, -1, 1 << 64)))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hashes * up[:n], out=total[1:])
-    a, b = words.first[:-1], words.first[1:]
-    return mix((total[b] - total[a]) * down[np.minimum(a, n)] + (b - a).astype(np.uint64))
-
-
-def simhashes(words: Words, lines: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
-    """SimHash of the chosen lines: each bit is the majority over word pairs and head pairs.
-
-    Pairs keep the few words that every line has from deciding the bits.
-    """
-    out = np.zeros(len(lines), np.uint64)
-    sizes = np.diff(words.first)[lines] - 1
-    pairs = [join_hash(h, 2) for h in (words.hashes, words.heads)]
-    lo = 0
-    ends = np.cumsum(sizes)
-    while lo < len(lines):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
-        own = sizes[lo:hi]
-        starts = np.cumsum(own) - own
-        at = np.repeat(words.first[lines[lo:hi]] - starts, own) + np.arange(own.sum())
-        votes = np.zeros((hi - lo, 64), np.int32)
-        for source in pairs:
-            bits = np.unpackbits(source[at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        packed = np.packbits(votes > own[:, None], axis=1, bitorder="little")
-        out[lo:hi] = packed.view("<u8").ravel()
+#: Keys by MinHashes, each of three; lines with n-gram features, which are short, have more.
+BANDS, GRAM_BANDS, ROWS = 12, 24, 3
+#: Bytes of a long word; a line has word features from ``WORDS`` such words on, and n-gram
+#: features up to ``FEW_WORDS``, so that lines around the border have both.
+LONG_WORD, WORDS, FEW_WORDS = 5, 5, 7
+#: N-grams by the bytes of the line: size, least and most bytes. Ranges overlap by what 0.8 allows.
+GRAMS = ((3, 6, 24), (5, 20, 120), (8, 96, 1 << 40))
+#: Lines of so many characters are 80 % alike if one edit parts them, and by no more edits.
+ONE_EDIT = (5, 9)
+#: Lengths are kept as whole logarithms to this base.
+LENGTH_BASE = 1.2
+#: Wanted lines up to this many are sent to the texts; more are joined.
+SEND_LINES = 500_000
+#: Bytes of lines, and lines that go, that a map task holds before it sends them.
+FLUSH, FLUSH_GONE = 1 << 24, 500_000
+NEWLINE, SPACE = 0x0A, 0x20
+
+CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("null", "?")])
+#: ``size`` is the coded length, and 128 more for a key that classes of one task share.
+ENTRY = np.dtype([("key", "<u4"), ("h1", "<u8"), ("size", "u1")])
+SHARED = 128
+OUT = "id long, th long, line long, h1 long, h2 long, size int, tok long"
+
+
+class Lines:
+    """The lines of a run of rows: each one's normalised bytes, row and number."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        rows = len(offsets) - 1
+        # Every row ends in a newline of its own, so that lines never cross rows.
+        raw = np.insert(data, offsets[1:], NEWLINE)
+        begins = offsets[:-1] + np.arange(rows)
+        ends = np.flatnonzero(raw == NEWLINE)
+        first = np.searchsorted(ends, begins)
+        counts = np.diff(np.append(first, len(ends)))
+        self.row = np.repeat(np.arange(rows), counts)
+        self.number = np.arange(len(ends)) - np.repeat(first, counts)
+        inside = word_class("alnum")[raw]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        self.text = np.where(inside, fold_ascii()[raw], SPACE)[keep].astype(np.uint8)
+        # A kept newline or sign closes a word; the last one of a line is no part of it.
+        upto = np.cumsum(np.add.reduceat(keep.view(np.uint8), np.append(0, ends[:-1] + 1), dtype=np.int64)) if len(ends) else np.zeros(0, np.int64)
+        self.begins = np.append(0, upto[:-1])[: len(ends)]
+        self.sizes = np.maximum(upto - self.begins - 1, 0)
+
+    def words(self, i: int) -> bytes:
+        a = int(self.begins[i])
+        return self.text[a : a + int(self.sizes[i])].tobytes()
+
+
+def line_runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, Lines]]:
+    """First row and lines of runs of rows of about ``limit`` bytes; a longer row is a run of its own."""
+    data, offsets = part_bytes(column)
+    lo, rows = 0, len(offsets) - 1
+    while lo < rows:
+        hi = min(rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
+        yield lo, Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
-    return out
-
-
-def normalised(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all lines' words with one space after each, and where each word begins there.
-
-    A line's last word has eight, so that eight bytes can be read from any of its places.
-    """
-    width = words.ends - words.starts + 1
-    some = np.flatnonzero(np.diff(words.first))
-    width[words.first[some + 1] - 1] += 7
-    begin = np.cumsum(width) - width
-    at = np.arange(width.sum()) + np.repeat(words.starts - begin, width)
-    after = at >= np.repeat(words.ends, width)
-    return np.where(after, 0x20, data[np.minimum(at, len(data) - 1)]).astype(np.uint8), begin
 
 
 @cache
-def minhash_weights() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, 2 * BANDS, np.uint64) | np.uint64(1)
-
+def minhash_parts() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    return (rng.integers(0, 1 << 32, GRAM_BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32), rng.integers(0, 1 << 32, GRAM_BANDS * ROWS, np.uint64).astype(np.uint32)
+
+
+def minhash_keys(features: np.ndarray, cuts: np.ndarray, kind: int) -> np.ndarray:
+    """A row of keys per line; ``cuts`` are where each line's 32-bit features begin, and the end."""
+    keys = np.zeros((len(cuts) - 1, GRAM_BANDS if kind else BANDS), np.uint64)
+    for i, (w, c) in enumerate(zip(*minhash_parts(), strict=True)):
+        if i // ROWS == keys.shape[1]:
+            break
+        least = np.minimum.reduceat(features * w ^ c, cuts[:-1])
+        keys[:, i // ROWS] = mix(keys[:, i // ROWS] * np.uint64(3) + least + np.uint64(1 + i // ROWS + (kind << 8)))
+    return keys
 
-def minhash_keys(data: np.ndarray, words: Words, lines: np.ndarray, sizes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """The MinHash keys, all negative, of the chosen lines, and their sketches; ``sizes`` are their normalised bytes.
 
-    Bit 62 of a key is set for short n-grams. A sketch holds four bits of each MinHash in
-    two numbers; those of long n-grams come before those of short ones.
-    """
-    text, begin = normalised(data, words)
-    starts = begin[words.first[lines]]
-    keys, owner, sketch = [], [], np.zeros((len(lines), 4), np.uint64)
-    for kind, (gram, chosen) in enumerate(((LONG_GRAM, np.flatnonzero(sizes > SHORT_LINE)), (SHORT_GRAM, np.flatnonzero(sizes <= SHORT_REACH)))):
+def simhash_keys(features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A row of keys per line, one for each block of its SimHash: each bit is the features' majority."""
+    blocks = []
+    for half in range(2):
+        out = np.zeros(len(cuts) - 1, np.uint64)
+        size = np.diff(cuts)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + (1 << 16), "right")) - 1)
+            own = mix(features[cuts[lo] : cuts[hi]].astype(np.uint64) + np.uint64(half << 40))
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, cuts[lo:hi] - cuts[lo], axis=0, dtype=np.int32)
+            out[lo:hi] = np.packbits(2 * votes > size[lo:hi, None], axis=1, bitorder="little").view("<u8").ravel()
+            lo = hi
+        blocks += [out & np.uint64(0xFFFFFFFF), out >> np.uint64(32)]
+    return np.stack([mix(b + np.uint64((n + 1) << 40)) for n, b in enumerate(blocks)], axis=1)
+
+
+def length_codes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lines' lengths in characters, on a logarithmic scale."""
+    chars = np.append(0, np.cumsum((text & 0xC0) != 0x80))
+    return np.minimum(SHARED - 1, np.log(np.maximum(1, chars[begins + sizes] - chars[begins])) / np.log(LENGTH_BASE)).astype(np.uint8)
+
+
+def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, key)`` of all keys of the given lines, in any order."""
+    padded = padded_bytes(text)
+    at, keys = [], []
+
+    def put(lines: np.ndarray, made: np.ndarray) -> None:
+        at.append(np.repeat(lines, made.shape[1]))
+        keys.append(made.ravel())
+
+    # Long words: stretches between spaces.
+    gap = text == SPACE
+    ends = np.flatnonzero(gap)
+    starts = np.append(0, ends[:-1] + 1)
+    long = np.flatnonzero(ends - starts >= LONG_WORD)
+    owner = np.searchsorted(begins, starts[long], "right") - 1
+    inside = (owner >= 0) & (starts[long] < begins[owner] + sizes[owner])
+    long, owner = long[inside], owner[inside]
+    count = np.bincount(owner, minlength=len(begins))
+    wordy = np.flatnonzero(count >= WORDS)
+    if len(wordy):
+        chosen = count[owner] >= WORDS
+        features = (span_hashes(padded, starts[long[chosen]], (ends - starts)[long[chosen]]) >> np.uint64(32)).astype(np.uint32)
+        cuts = np.append(0, np.cumsum(count[wordy]))
+        put(wordy, minhash_keys(features, cuts, 0))
+        put(wordy, simhash_keys(features, cuts))
+    few = count <= FEW_WORDS
+    for kind, (gram, least, most) in enumerate(GRAMS, 1):
+        chosen = np.flatnonzero(few & (sizes >= least) & (sizes <= most))
         if not len(chosen):
             continue
-        # Eight bytes from each place, of which the n-gram's stay.
-        grams = mix((np.ndarray(len(text) - 7, "<u8", text.tobytes(), strides=(1,)) & np.uint64((1 << 8 * gram) - 1)) + np.uint64(gram))
-        cut = np.stack([starts[chosen], starts[chosen] + sizes[chosen]], axis=1).ravel()
-        least = [np.minimum.reduceat(grams * w, cut)[::2] for w in minhash_weights()]
-        for band in range(BANDS):
-            keys.append(mix(least[2 * band] * np.uint64(3) + mix(least[2 * band + 1] + np.uint64(band))) >> np.uint64(2) | np.uint64((2 + kind) << 62))
-            owner.append(chosen)
-        for i, m in enumerate(least):
-            sketch[chosen, 2 * kind + i // BANDS] |= (mix(m) & np.uint64(15)) << np.uint64(4 * (i % BANDS))
-    owner = np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    offsets = np.cumsum([0, *np.bincount(owner, minlength=len(lines))])
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(as_long(np.concatenate(keys)[order])))
-    return lists, pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * 4, pa.int32()), pa.array(as_long(sketch.ravel())))
+        n = sizes[chosen] - gram + 1
+        cuts = np.append(0, np.cumsum(n))
+        place = np.arange(cuts[-1]) + np.repeat(begins[chosen] - cuts[:-1], n)
+        features = (mix((eights(padded)[place] & keep_masks()[gram]) + np.uint64(gram)) >> np.uint64(32)).astype(np.uint32)
+        put(chosen, minhash_keys(features, cuts, kind))
+        bare = np.flatnonzero(count[chosen] < WORDS)
+        if len(bare):
+            own = np.append(0, np.cumsum(n[bare]))
+            put(chosen[bare], simhash_keys(features[np.repeat(count[chosen] < WORDS, n)], own))
+    least, most = ONE_EDIT
+    for i in np.flatnonzero((sizes >= least) & (sizes <= 4 * most)).tolist():
+        word = text[begins[i] : begins[i] + sizes[i]].tobytes().decode("utf-8", "replace")
+        if least <= len(word) <= most:
+            spelt = {word, *(word[:j] + word[j + 1 :] for j in range(len(word)))}
+            put(np.array([i]), np.array([[int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=b"short").digest(), "little") for x in spelt]], np.uint64))
+    return (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+class Sender:
+    """What a map task knows of its lines, and the rows it sends to the fragments."""
+
+    def __init__(self, bits: int, salt: int):
+        self.bits, self.salt = bits, salt
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.classes: list[tuple] = []
+        self.gone: list[tuple] = []
+        self.texts: list[bytes] = []
+        self.held = 0
+
+    def add(self, ids: list, hashes: list, lo: int, lines: Lines) -> None:
+        raw, place = lines.text.tobytes(), self.place
+        some = np.flatnonzero(lines.sizes)
+        for row, number, a, n in zip(lines.row[some].tolist(), lines.number[some].tolist(), lines.begins[some].tolist(), lines.sizes[some].tolist(), strict=True):
+            words = raw[a : a + n]
+            name = hashlib.blake2b(words, digest_size=16).digest()
+            i = ids[lo + row]
+            at = (i is None, i or 0, hashes[lo + row], number)
+            known = place.setdefault(name, len(self.classes))
+            if known == len(self.classes):
+                self.classes.append((name, at))
+                self.texts.append(words)
+                self.held += n + 1
+            else:
+                # Of two occurrences in this task the later one is a repeat, whatever the rest holds.
+                first = self.classes[known][1]
+                if at != first:
+                    self.classes[known], at = (name, min(at, first)), max(at, first)
+                    self.gone.append(at)
+
+    def rows(self) -> pa.RecordBatch:
+        """All that is held, as rows ``(fragment, classes, entries)``."""
+        held = np.zeros(len(self.classes), CLASS)
+        names = np.frombuffer(b"".join(name for name, _ in self.classes), "<u8")
+        held["h1"], held["h2"] = names[::2], names[1::2]
+        for k, column in enumerate(("null", "id", "th", "line")):
+            held[column] = [at[k] for _, at in self.classes]
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
+        at, keys = line_keys(text, begins, sizes)
+        shift = np.uint64(64 - self.bits)
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+        entries = np.zeros(len(keys), ENTRY)
+        entries["key"] = (keys << np.uint64(self.bits)) >> np.uint64(32)
+        entries["h1"], entries["size"] = held["h1"][at], length_codes(text, begins, sizes)[at]
+        # A key that two of this task's classes have is shared: the classes after the first are
+        # listed from here; the first goes on to its fragment, marked.
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        leads = ~again
+        leads[:-1] &= again[1:]
+        leads[-1:] = False
+        entries["size"][leads] += SHARED
+        listed = pa.RecordBatch.from_pydict({"fragment": [-1 - self.salt], "classes": [self.gone_bytes()], "entries": [entries[again].tobytes()], "tops": [(keys[again] >> shift).astype("<u8").tobytes()]})
+        entries, tops = entries[~again], (keys[~again] >> shift).astype(np.int64)
+        spots = (held["h1"] >> shift).astype(np.int64)
+        by_spot = np.argsort(spots, kind="stable")
+        held, spots = held[by_spot], spots[by_spot]
+        every = np.unique(np.concatenate((tops, spots)))
+        cuts, places = (np.searchsorted(x, np.append(every, 1 << 62)) for x in (tops, spots))
+        sent = pa.RecordBatch.from_pydict({
+            "fragment": every,
+            "classes": [held[a:b].tobytes() for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)],
+            "entries": [entries[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
+            "tops": [b""] * len(every),
+        })
+        self.clear()
+        return pa.Table.from_batches([sent.cast(PIECES), listed.cast(PIECES)]).combine_chunks().to_batches()[0]
+
+    def gone_bytes(self) -> bytes:
+        out = np.zeros(len(self.gone), CLASS)
+        for k, column in enumerate(("null", "id", "th", "line")):
+            out[column] = [at[k] for at in self.gone]
+        return out.tobytes()
+
+
+PIECES = pa.schema([("fragment", pa.int64()), ("classes", pa.binary()), ("entries", pa.binary()), ("tops", pa.binary())])
+
+
+def settled(table: pa.Table) -> pa.Table:
+    """What one fragment finds: repeats of its classes, the classes, and lists of shared keys.
+
+    Rows with neither ``h1`` nor ``tok`` are lines that go; rows with ``h2`` are classes;
+    rows with ``tok`` are postings.
+    """
+    fragment = table.column("fragment")[0].as_py()
+    classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), CLASS)
+    entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
+    if fragment < 0:
+        gone, classes = classes, classes[:0]
+        tops = np.frombuffer(b"".join(table.column("tops").to_pylist()), "<u8")
+    else:
+        order = np.lexsort([classes[c] for c in ("line", "th", "id", "null", "h2", "h1")])
+        classes = classes[order]
+        first = np.ones(len(classes), bool)
+        first[1:] = (classes["h1"][1:] != classes["h1"][:-1]) | (classes["h2"][1:] != classes["h2"][:-1])
+        # Copies of one row hold the same line; where it stays, it stays in all of them.
+        stays = classes[np.maximum.accumulate(np.where(first, np.arange(len(classes)), 0))]
+        gone, classes = classes[classes != stays], classes[first]
+        entries = entries[np.lexsort((entries["h1"], entries["key"]))]
+        new = np.ones(len(entries), bool)
+        new[1:] = entries["key"][1:] != entries["key"][:-1]
+        group = np.cumsum(new) - 1
+        other = np.ones(len(entries), bool)
+        other[1:] = new[1:] | (entries["h1"][1:] != entries["h1"][:-1])
+        # Shared: by two classes here, or by two of one task.
+        shared = (np.bincount(group, other) > 1) | (np.bincount(group, entries["size"] >= SHARED) > 0) if len(entries) else np.zeros(0, bool)
+        entries = entries[other & shared[group]] if len(entries) else entries
+        tops = np.full(len(entries), fragment, np.uint64)
+
+    def column(*parts: np.ndarray | int, kind: pa.DataType = pa.int64()) -> pa.ChunkedArray:
+        return pa.chunked_array([pa.nulls(p, kind) if isinstance(p, int) else p if isinstance(p, pa.Array) else pa.array(p.copy(), kind) for p in parts], kind)
+
+    def ids(part: np.ndarray) -> pa.Array:
+        return pa.array(part["id"].copy(), mask=part["null"].copy())
+
+    g, c, e = len(gone), len(classes), len(entries)
+    tok = tops << np.uint64(32) | entries["key"].astype(np.uint64)
+    return pa.table({
+        "id": column(ids(gone), ids(classes), e),
+        "th": column(gone["th"], classes["th"], e),
+        "line": column(gone["line"], classes["line"], e),
+        "h1": column(g, as_long(classes["h1"].copy()), as_long(entries["h1"].copy())),
+        "h2": column(g, as_long(classes["h2"].copy()), e),
+        "size": column(g, c, entries["size"].astype(np.int32) % SHARED, kind=pa.int32()),
+        "tok": column(g, c, as_long(tok)),
+    })
+
+
+def key_table(docs: DataFrame) -> DataFrame:
+    """The rows of ``settled`` of all fragments; ``docs`` has ``id, th, text``."""
+    bits = (pieces_for(docs, most=1 << 20) - 1).bit_length()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId()
+        sender = Sender(bits, salt % (1 << bits))
+        for batch in batches:
+            ids, hashes = batch.column("id").to_pylist(), batch.column("th").to_pylist()
+            for lo, lines in line_runs(batch.column("text")):
+                sender.add(ids, hashes, lo, lines)
+                if sender.held >= FLUSH or len(sender.gone) >= FLUSH_GONE:
+                    yield sender.rows()
+                    salt += 7919
+                    sender.salt = salt % (1 << bits)
+        if sender.classes:
+            yield sender.rows()
+
+    pieces = docs.select("id", "th", "text").mapInArrow(cut, "fragment long, classes binary, entries binary, tops binary")
+    return pieces.groupBy("fragment").applyInArrow(settled, OUT)
 
 
 def edit_distance(x: str, y: str) -> int:
@@ -202,100 +386,54 @@ def similar(x: str, y: str, percent: int) -> bool:
     return max(len(x), len(y)) <= allowed or edit_distance(x, y) <= allowed
 
 
-def chosen_bits(count: int) -> int:
-    """Bits that ``count`` blocks leave to a key, at least."""
-    return (count - BITS) * (64 // count)
-
-
-def block_count(classes: int) -> int:
-    """The number of blocks at which postings and pair tests together cost least."""
-    return min(BLOCK_COUNTS, key=lambda k: comb(k, BITS) * (POST_COST + classes / 2 ** chosen_bits(k)))
-
-
-def block_keys(sim: Column, count: int) -> list[Column]:
-    """A key for every choice of all but three of ``count`` blocks of a SimHash."""
-    cut = [64 * i // count for i in range(count + 1)]
-    most = max(b - a for a, b in zip(cut[:-1], cut[1:], strict=True)) * (count - BITS)
-    keys = []
-    for n, chosen in enumerate(combinations(range(count), count - BITS)):
-        key, at = F.lit(n << most), 0
-        for i in chosen:
-            size = cut[i + 1] - cut[i]
-            key = key + F.shiftleft(F.shiftrightunsigned(sim, cut[i]).bitwiseAND(F.lit((1 << size) - 1)), at)
-            at += size
-        keys.append(key.cast("long"))
-    return keys
-
-
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(id, line, h, sim, keys, sketch, len)`` for lines of ``min_words`` words or more; short ones have no ``sim``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").cast(pa.int64())
-            for lo, data, _, row, number, words in lines_of(batch.column("text")):
-                sizes = np.diff(words.first)
-                some = np.flatnonzero(sizes >= min_words)
-                if not len(some):
-                    continue
-                # Bytes of the words and one space between each two.
-                width = np.add.reduceat(np.append(words.ends - words.starts + 1, 0), np.stack([words.first[some], words.first[some + 1]], axis=1).ravel())[::2] - 1
-                sim, long = np.zeros(len(some), np.uint64), sizes[some] >= SIM_WORDS
-                sim[long] = simhashes(words, some[long])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[some] + lo)), pa.array(number[some], pa.int64()), pa.array(as_long(line_hashes(words)[some])), pa.array(as_long(sim), mask=~long), *minhash_keys(data, words, some, width), pa.array(width, pa.int64())], ["id", "line", "h", "sim", "keys", "sketch", "len"])
-
-    return docs.mapInArrow(run, "id long, line long, h long, sim long, keys array<long>, sketch array<long>, len long")
+def row_of(left: DataFrame, right: DataFrame) -> Column:
+    """Rows are told apart by id and text hash; null ids are equal."""
+    return null_safe_eq(left["id"], right["of_id"]) & (left["th"] == right["of_th"])
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, words)``: the normalised line of each wanted ``h``.
+    """``(h, h2, words)``: the normalised line of each of ``wanted(id, th, line, h, h2)``.
 
-    Up to ``SEND_LINES`` hashes are sent to where the texts are; more are joined.
+    Up to ``SEND_LINES`` wanted lines are sent to where the texts are; more are joined.
     """
-    few = wanted.count() <= SEND_LINES
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None)
+    lists = wanted.groupBy(F.col("id").alias("of_id"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("line", "h", "h2")).alias("asked"))
+    lists = F.broadcast(lists) if wanted.count() <= SEND_LINES else lists
+    found = docs.join(lists, row_of(docs, lists)).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = held.value
         for batch in batches:
-            out: dict[int, bytes] = {}
-            for _, data, _, _, _, words in lines_of(batch.column("text")):
-                h = as_long(line_hashes(words))
-                for line in np.flatnonzero(np.isin(h, keys) if keys is not None else np.diff(words.first) > 0).tolist():
-                    if int(h[line]) not in out:
-                        a, b = words.first[line], words.first[line + 1]
-                        out[int(h[line])] = b" ".join(data[s:e].tobytes() for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([w.decode("utf-8", "replace") for w in out.values()], pa.string())], ["h", "words"])
+            out: dict[tuple[int, int], str] = {}
+            asked = batch.column("asked").to_pylist()
+            for lo, lines in line_runs(batch.column("text")):
+                first = np.searchsorted(lines.row, np.arange(int(lines.row[-1]) + 1)).tolist() if len(lines.row) else []
+                for row, at in enumerate(first):
+                    for want in asked[lo + row]:
+                        out[want["h"], want["h2"]] = lines.words(at + want["line"]).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.string())], ["h", "h2", "words"])
 
-    found = docs.select("text").mapInArrow(run, "h long, words string")
-    return (found if few else found.join(wanted, "h", "left_semi")).dropDuplicates(["h"])
+    # One class per 64-bit name; another that shares it takes no part in fuzzy groups.
+    texts = found.mapInArrow(run, "h long, h2 long, words string")
+    return texts.groupBy("h").agg(F.min(F.struct("h2", "words")).alias("t")).select("h", "t.h2", "t.words")
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: int = SIMILARITY, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, line)`` of every line that repeats, exactly or nearly, one that stays.
+def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, th, line)`` of every line that repeats, exactly or nearly, one that stays.
 
-    ``parts`` fixes the number of blocks; the result doesn't depend on it.
+    Rows are named by ``id`` and ``th``, the hash of their text.
     """
-    docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("id IS NOT NULL AND text IS NOT NULL")
-    table = materialize(line_table(docs, min_words), "lines")
-    classes = table.groupBy("h").agg(F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("len").alias("len"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "line")).alias("at"))
-    classes = materialize(classes, "classes")
-    of_sim = F.array(*block_keys(F.col("sim"), parts or block_count(classes.count())))
-    keys = F.explode(F.when(F.col("sim").isNull(), F.col("keys")).otherwise(F.concat("keys", of_sim))).alias("tok")
-    posts = classes.select(keys, "h", "sim", "sketch", "len")
-    at = F.when(F.expr("tok & (1L << 62) != 0"), 2).otherwise(0)
-    sig = [F.when(F.col("tok") < 0, F.get("sketch", at + i)).otherwise(F.col("sim") if i == 0 else F.lit(0)).alias(f"sig{i}") for i in (0, 1)]
-    posts = posts.select("tok", F.col("h").alias("cid"), *sig, F.col("len").cast("int").alias("len"))
+    rows = named_rows(docs, id_col, text_col).filter("text IS NOT NULL")
+    table = materialize(key_table(rows), "lines")
+    exact = table.filter("h1 IS NULL").select("id", "th", "line")
+    classes = table.filter("h2 IS NOT NULL").select("id", "th", "line", F.col("h1").alias("h"), "h2")
+    posts = materialize(table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"), "size").distinct(), "postings")
+    wanted = classes.join(posts.select(F.col("cid").alias("h")).distinct(), "h")
+    wanted = materialize(wanted.select("id", "th", "line", "h", "h2"), "wanted")
+    texts = materialize(line_texts(rows, wanted), "texts")
 
     def possible(a: str, b: str) -> str:
-        differ = [f"({a}.sig{i} ^ {b}.sig{i})" for i in (0, 1)]
-        apart = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111}L)" for x in differ)
-        return f"if({a}.tok < 0, {apart} <= {2 * BANDS - AGREE}, bit_count({differ[0]}) <= {BITS}) AND 100 * least({a}.len, {b}.len) >= {similarity} * greatest({a}.len, {b}.len)"
+        return f"abs({a}.size - {b}.size) <= {int(np.ceil(np.log(100 / similarity) / np.log(LENGTH_BASE)))}"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
-        texts = materialize(line_texts(docs, wanted), "texts")
         full = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,31 +443,34 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: i
 
         return full.select("a", "b", "wa", "wb").mapInArrow(alike, "a long, b long")
 
-    # Few lines have any line near them; the rest leave here, after one shuffle that both sides share.
-    near = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi")
-    near = materialize(near, "near").join(classes.select(F.col("h").alias("cid"), "times"), "cid")
-    near = materialize(near.select("tok", "cid", "sig0", "sig1", "len", "times"), "posts")
-    # MinHash keys hardly ever bring strangers into one list: these lists' centres come first.
-    labels = linked_components(near, possible, verify, [F.col("times"), *(F.xxhash64("cid", F.lit(n)) for n in range(3))], near.filter("tok < 0"))
-    grouped = classes.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "at", F.coalesce("label", "h").alias("group"))
-    stays = grouped.groupBy("group").agg(F.min("at").alias("stays"))
-    occurrences = table.join(grouped.join(stays, "group").select("h", "stays"), "h")
-    return occurrences.filter(F.struct("id", "line") != F.col("stays")).select("id", "line")
+    labels = linked_components(posts, possible, verify, [F.lit(1), *(F.xxhash64("cid", F.lit(n)) for n in range(2))])
+    # Only the verified class of a name is in its group.
+    grouped = wanted.join(texts.select("h", "h2"), ["h", "h2"]).join(labels.withColumnRenamed("v", "h"), "h")
+    at = F.struct(F.col("id").isNull().alias("null"), "id", "th", "line")
+    stays = grouped.groupBy("label").agg(F.min(at).alias("stays"))
+    nearly = grouped.withColumn("at", at).join(stays, "label").filter("at != stays").select("id", "th", "line")
+    return exact.unionByName(nearly)
+
+
+def named_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    return rows.select("id", F.xxhash64("text").alias("th"), "text")
 
 
-def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: ``id, text`` (without the repeated lines), ``n_lines, n_removed``.
 
-    Lines are what newlines part. Lines of fewer than ``min_words`` words, by default those
-    without any word, stay where they are. Null texts stay null with 0 lines; rows with a null id are left as they
-    are; repeated rows (one id, one text) lose the same lines, all copies alike; an
-    empty table gives an empty result; other columns are ignored.
+    Lines are what newlines part. Lines without any word stay where they are. Null texts
+    stay null with 0 lines; null ids come last in the order; rows of one id with different
+    texts are rows of their own; repeated rows (one id, one text) are one row that comes
+    several times: their copies lose the same lines. An empty table gives an empty result;
+    other columns are ignored.
     """
-    if options.get("min_words", MIN_WORDS) < 1:
-        raise ValueError("lines without words have nothing to compare")
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
-    gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
-    rows = pick(docs, id=id_col, text=text_col)
+    with scratch(docs.sparkSession):
+        gone = repeated_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+        gone = gone.groupBy(F.col("id").alias("of_id"), F.col("th").alias("of_th")).agg(F.collect_set("line").alias("gone"))
+        gone = materialize(gone, "gone", keep=True)
+    rows = named_rows(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,5 +484,5 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["id", "text", "n_lines", "n_removed"])
 
-    joined = rows.join(gone, null_safe_eq(rows["id"].cast("long"), gone["gone_id"]), "left").select("id", "text", "gone")
-    return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    joined = rows.join(gone, row_of(rows, gone), "left").select("id", "text", "gone")
+    return joined.mapInArrow(run, "id long, text string, n_lines long, n_removed long")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import as_long, blocks, drop_table, materialize, part_bytes, pick, shuffle_partitions
+from blocklens.llm.common import as_long, blocks, drop_table, materialize, part_bytes, pick, pieces_for, scratch
 from blocklens.llm.components import linked_components
 from blocklens.llm.wordhash import row_grams, scan, word_class
 
@@ -86,8 +86,9 @@ def prefix_shares(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     is counted there and sent without a class. So a shingle of a third of all rows
     costs its fragment one entry per task. Counts may be too high, never too low.
     """
-    # The prefix is the low part of the hash order; fragments are equal ranges of it.
-    fragments = max(64, 4 * shuffle_partitions(docs.sparkSession))
+    # The prefix is the low part of the hash order; fragments are equal ranges of it, as
+    # many as the table's size asks for.
+    fragments = pieces_for(docs)
     bound = min(1.0, 2.2 * (den - num) / den)
     main = fragments - fragments // 8
 
@@ -199,7 +200,7 @@ def overlap_sums(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, class_id, component_id``.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, class_id``.
 
     Rows link when ``den * |x & y| >= num * |x | y|`` over their sets of distinct
     ``k``-word shingles (A-Z lower-cased, words are runs of anything but space and
@@ -212,6 +213,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     sets = materialize(shingle_sets(docs, k), "sets")
+    with scratch(docs.sparkSession):
+        names = materialize(class_names(docs, sets, k, num, den), "names", keep=True)
+    out = sets.join(names, "sig", "left")
+    named = F.col("id").isNotNull()
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(named, F.coalesce("component", "id")).alias("component_id"),
+        F.when(named, F.coalesce("cid", "id")).alias("class_id"),
+    )
+
+
+def class_names(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(sig, cid, component)``: each class of ``sets``, its least id and its component."""
     classes = sets.filter("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("cid"), F.first("n").alias("n"))
     # Spare shingles that the smallest partner's shorter prefix still guarantees.
     least = F.greatest(F.lit(1), F.expr(f"(((n * {num} + {den - 1}) div {den}) * {den - num}) div {den}"))
@@ -245,12 +260,4 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # The most central class of a list is the one with the least share of its own shingles.
     final = linked_components(posts, possible, links, [F.col("r") / F.col("n")])
-    names = classes.join(final.withColumnRenamed("v", "cid"), "cid", "left").select("sig", "cid", F.coalesce("label", "cid").alias("component"))
-    out = sets.join(materialize(names, "names"), "sig", "left")
-    named = F.col("id").isNotNull()
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(named, F.coalesce("cid", "id")).alias("class_id"),
-        F.when(named, F.coalesce("component", "id")).alias("component_id"),
-    )
+    return classes.join(final.withColumnRenamed("v", "cid"), "cid", "left").select("sig", "cid", F.coalesce("label", "cid").alias("component"))

@@ -1,19 +1,23 @@
 """Vectorised word scanning: word bounds and 64-bit word hashes of many rows at once.
 
-A word's hash is a polynomial over random byte codes, read off one running sum,
-so the cost does not depend on the number of words or rows.
+A word is read in steps of eight bytes. Each step mixes them into the hash by a
+bijection that starts from the word's length, so two words of one length and at most
+eight bytes never share a hash. Nothing wider than a byte is kept per byte of text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 U = np.uint64
+STEP = 8
+#: Steps that are taken for all words at once; what is left of longer words is hashed word by word.
+MOST_STEPS = 64
 
 
 def fold_ascii() -> np.ndarray:
@@ -37,28 +41,6 @@ def word_class(kind: str) -> np.ndarray:
     return inside
 
 
-@cache
-def codes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, MASK, 256, np.uint64, endpoint=True)[fold_ascii()]
-
-
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[:1] = 1
-    done, step = 1, U(base)
-    with np.errstate(over="ignore"):
-        while done < n:
-            take = min(done, n - done)
-            out[done : done + take] = out[:take] * step
-            done, step = done + take, step * step if done + take < n else step
-    return out
-
-
-@cache
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(n, BASE), powers(n, pow(BASE, -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = x ^ (x >> U(30))
@@ -69,6 +51,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def keep_masks() -> np.ndarray:
+    """Masks that leave the first 0 to 8 bytes of a little-endian number."""
+    return np.array([(1 << 8 * i) - 1 for i in range(STEP + 1)], np.uint64)
+
+
+def eights(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``padded`` as one number, without copying."""
+    return np.ndarray(len(padded) - STEP + 1, "<u8", padded, strides=(1,))
+
+
+def padded_bytes(data: np.ndarray) -> np.ndarray:
+    return np.concatenate((data, np.zeros(STEP, np.uint8)))
+
+
+def short_hashes(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of at most eight bytes."""
+    return mix((eights(padded)[starts] & keep_masks()[sizes]) ^ mix(sizes.astype(np.uint64) + U(1)))
+
+
+def span_hashes(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of any size; ``padded`` ends in eight more bytes."""
+    view, masks = eights(padded), keep_masks()
+    out = mix(sizes.astype(np.uint64) + U(1))
+    live, at, left = None, starts, sizes
+    for _ in range(MOST_STEPS):
+        step = view[at] & masks[np.minimum(left, STEP)]
+        if live is None:
+            out = mix(out ^ step)
+            live = np.flatnonzero(sizes > STEP)
+        else:
+            out[live] = mix(out[live] ^ step)
+            live = live[left > STEP]
+        if not len(live):
+            return out
+        done = sizes[live] - (left[left > STEP] - STEP)
+        at, left = starts[live] + done, sizes[live] - done
+    for i, a, n in zip(live.tolist(), at.tolist(), left.tolist(), strict=True):
+        rest = hashlib.blake2b(padded[a : a + n].tobytes(), digest_size=8).digest()
+        out[i : i + 1] = mix(out[i : i + 1] ^ U(int.from_bytes(rest, "little")))
+    return out
+
+
+def same_spans(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray) -> bool:
+    """Whether each stretch holds the bytes of its ``other`` one."""
+    if not np.array_equal(sizes, other_sizes):
+        return False
+    apart = np.flatnonzero(starts != other)
+    a, b, left = starts[apart], other[apart], sizes[apart]
+    view, masks = eights(padded), keep_masks()
+    while len(left):
+        mask = masks[np.minimum(left, STEP)]
+        if ((view[a] ^ view[b]) & mask).any():
+            return False
+        on = left > STEP
+        a, b, left = a[on] + STEP, b[on] + STEP, left[on] - STEP
+    return True
+
+
 @dataclass
 class Words:
     starts: np.ndarray
@@ -76,6 +117,8 @@ class Words:
     rows: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    #: The rows' bytes, A-Z lower-cased, and eight more.
+    data: np.ndarray
     heads: np.ndarray | None = None
     tails: np.ndarray | None = None
 
@@ -83,13 +126,11 @@ class Words:
 def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, head: int = 0, tail: int = 0, breaks: np.ndarray | None = None) -> Words:
     """Words of every row; ``first[r]:first[r + 1]`` are row r's words.
 
-    With ``head`` or ``tail``, also hashes of the words' first or last so many bytes.
-    A word is parted in two at each of ``breaks``.
+    With ``head`` or ``tail``, also hashes of the words' first or last so many bytes, at
+    most eight. A word is parted in two at each of ``breaks``.
     """
     n, rows = len(data), len(offsets) - 1
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(rows + 1, np.int64), none.view(np.uint64), none.view(np.uint64), none.view(np.uint64))
+    folded = padded_bytes(fold_ascii()[data])
     word = np.zeros(n + 1, bool)
     word[:n] = inside[data]
     before = np.zeros(n + 1, bool)
@@ -100,15 +141,11 @@ def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, head: int =
     begin[cut], end[cut] = word[cut], before[cut]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
     first = np.searchsorted(starts, offsets)
-    size = 1 << max(20, int(n).bit_length())
-    up, down = power_tables(size) if size <= 1 << 21 else (powers(n + 1, BASE), powers(n + 1, pow(BASE, -1, 1 << 64)))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes()[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    heads = mix((total[np.minimum(ends, starts + head)] - total[starts]) * down[starts]) if head else None
-    late = np.maximum(starts, ends - tail)
-    tails = mix((total[ends] - total[late]) * down[late]) if tail else None
-    return Words(starts, ends, np.repeat(np.arange(rows), np.diff(first)), first, hashes, heads, tails)
+    sizes = ends - starts
+    hashes = span_hashes(folded, starts, sizes)
+    heads = short_hashes(folded, starts, np.minimum(sizes, head)) if head else None
+    tails = short_hashes(folded, ends - np.minimum(sizes, tail), np.minimum(sizes, tail)) if tail else None
+    return Words(starts, ends, np.repeat(np.arange(rows), np.diff(first)), first, hashes, folded, heads, tails)
 
 
 @cache

@@ -1,7 +1,6 @@
 """The operators of this subpackage against brute force, round trips and held-out rows."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -249,7 +248,7 @@ def test_lines(spark, odd, empty):
 def test_short_lines(spark):
     rows = [(1, "Read more\nAB\n---\n日本語の文章がここにあります"), (2, "read, more!\nab\n\n---\n日本語の文章がここにありまず\nother"), (3, "7\n8\nx")]
     got = {r.id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (rows[0][1], 4, 0), 2: ("\n---\nother", 6, 3), 3: ("7\nx", 3, 1)}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("\n---\nother", 6, 3), 3: ("7\n8\nx", 3, 0)}
 
 
 def changed(line, rng, percent):
@@ -302,19 +301,79 @@ def test_lines_recall(spark, texts):
     assert all(v >= (0.9 if percent == 88 else 0.65) for (_, percent), v in share.items()), share
 
 
-def test_blocks_of_lines(spark, docs):
-    assert [line_dedup.block_count(n) for n in (0, 10**6, 10**8, 10**12)] == [4, 4, 5, 7]
-    rng = random.Random(8)
-    rows = [(i, a, a ^ sum(1 << b for b in rng.sample(range(64), i % 4))) for i, a in ((i, rng.getrandbits(64)) for i in range(200))]
-    signed = [(i, *(v - (1 << 64) if v >> 63 else v for v in (a, b))) for i, a, b in rows]
-    t = spark.createDataFrame(signed, "i int, a long, b long")
-    for parts in line_dedup.BLOCK_COUNTS:
-        a, b = (F.array(*line_dedup.block_keys(F.col(c), parts)) for c in "ab")
-        got = t.select(F.arrays_overlap(a, b).alias("met"), F.size(F.array_distinct(a)).alias("n")).collect()
-        assert all(r.met and r.n == math.comb(parts, 3) for r in got)
+def keys_of(lines):
+    """The keys of each line, under which two lines can meet."""
+    raw = [x.encode() for x in lines]
+    sizes = np.array([len(x) for x in raw])
+    at, keys = line_dedup.line_keys(np.frombuffer(b" ".join(raw) + b" ", np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes)
+    out = [set() for _ in lines]
+    for i, key in zip(at.tolist(), keys.tolist(), strict=True):
+        out[i].add(key)
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_lines_of_the_data_meet(spark, data, sf):
+    docs = spark.read.parquet(f"{data.rpartition('/')[0]}/{sf}/documents.parquet")
+    lines = sorted({" ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(x))) for r in docs.collect() for x in r.text.split("\n")} - {""}, key=len)
+    counts = np.zeros((len(lines), 256), np.int16)
+    for i, x in enumerate(lines):
+        raw = np.frombuffer(x.encode(), np.uint8).astype(np.int64)
+        if len(raw) > 2:
+            np.add.at(counts[i], (raw[:-2] * 8191 + raw[1:-1] * 131 + raw[2:]) % 251, 1)
+    size, near = np.array([len(x) for x in lines]), []
+    for i in range(len(lines)):
+        j = np.arange(i + 1, np.searchsorted(size, size[i] / 0.8 + 1e-9, "right"))
+        # An edit touches three triplets of bytes at most; characters here have up to four bytes.
+        shared = np.minimum(counts[j], counts[i]).sum(axis=1)
+        j = j[shared >= size[j] - 2 - 3 * (size[j] // 5)] if len(j) else j
+        near += [(i, k) for k in j.tolist() if (len(lines[k]) < 120 or sf == "sf0.001") and line_dedup.similar(lines[i], lines[k], 80)]
+    keys = keys_of(lines)
+    met = sum(bool(keys[a] & keys[b]) for a, b in near)
+    print(sf, met, len(near))
+    assert len(near) >= 30 and met >= 0.97 * len(near)
+
+
+def test_simhashes_within_three_bits_share_a_block():
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 1 << 32, (300, line_dedup.SIM_BLOCKS), np.uint64)
+    other = whole.copy()
+    for i in range(300):
+        for bit in rng.choice(128, i % 4, replace=False):
+            other[i, bit // 32] ^= np.uint64(1 << (bit % 32))
+    assert (whole == other).any(axis=1).all()
+    features, cuts = rng.integers(0, 1 << 32, 90, np.uint64).astype(np.uint32), np.array([0, 40, 41, 90])
+    keys = line_dedup.simhash_keys(features, cuts)
+    assert keys.shape == (3, line_dedup.SIM_BLOCKS) and len(np.unique(keys)) == 12
+    # Every bit is a majority of the features' bits.
+    for half in range(2):
+        own = [int(x) for x in line_dedup.mix(features[:40].astype(np.uint64) + np.uint64(half << 40))]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > 40)
+        for k, block in enumerate((want & 0xFFFFFFFF, want >> 32)):
+            n = 2 * half + k
+            assert int(keys[0, n]) == int(line_dedup.mix(np.array([block + ((n + 1) << 40)], np.uint64))[0])
+
+
+def test_lines_of_digits_need_the_edit_check(spark):
+    rows = [(1, "total 10 20 30 40 50 60\n1234567 1"), (2, "total 91 82 73 64 55 46\n1234568 1"), (3, "total 10 20 30 40 50 61")]
+    got = {r.id: r.n_removed for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    rows = [(2, f"{line}\nonly here"), (2, f"written nowhere else\n{line}"), (None, f"{line}\nlast"), (5, "same\nsame"), (5, "same\nsame")]
+    got = sorted((r.text, r.n_removed) for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # Which of the two rows of id 2 comes first is their hashes' order.
+    kept = [(f"{line}\nonly here", 0), ("written nowhere else", 1)], [("only here", 1), (f"written nowhere else\n{line}", 0)]
+    assert got in [sorted([*k, ("last", 1), ("same", 1), ("same", 1)]) for k in kept]
+
+
+@pytest.mark.parametrize("setting", [("SEND_LINES", 0), ("FLUSH", 2000)])
+def test_lines_beyond_what_is_sent(docs, monkeypatch, setting):
     want = {tuple(r) for r in line_dedup.repeated_lines(docs).collect()}
-    for parts in (5, 7):
-        assert {tuple(r) for r in line_dedup.repeated_lines(docs, parts=parts).collect()} == want
+    monkeypatch.setattr(line_dedup, *setting)
+    assert {tuple(r) for r in line_dedup.repeated_lines(docs).collect()} == want
 
 
 def test_edit_distance():
