@@ -49,14 +49,18 @@ def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str, keep: bool = False, free: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what came before.
-    With ``keep`` the table outlives the scratch that is open.
+    With ``keep`` the table outlives the scratch that is open. ``free`` is for tables made
+    through large shuffles: Spark deletes a shuffle's files once the driver has collected
+    what refers to it, which this asks for at once.
     """
     path = new_path(df.sparkSession, tag, keep)
     df.write.parquet(path)
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

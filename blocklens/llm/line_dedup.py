@@ -50,17 +50,18 @@ GRAMS = ((3, 6, 24), (5, 20, 120), (8, 96, 1 << 40))
 ONE_EDIT = (5, 9)
 #: Lengths are kept as whole logarithms to this base.
 LENGTH_BASE = 1.2
+#: Of the first 64 bits of two lines' SimHashes, so many may differ for the lines to be compared.
+FAR_BITS = 26
 #: Wanted lines up to this many are sent to the texts; more are joined.
 SEND_LINES = 500_000
 #: Bytes of lines, and lines that go, that a map task holds before it sends them.
 FLUSH, FLUSH_GONE = 1 << 24, 500_000
 NEWLINE, SPACE = 0x0A, 0x20
 
-CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("null", "?")])
-#: ``size`` is the coded length, and 128 more for a key that classes of one task share.
-ENTRY = np.dtype([("key", "<u4"), ("h1", "<u8"), ("size", "u1")])
-SHARED = 128
-OUT = "id long, th long, line long, h1 long, h2 long, size int, tok long"
+CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("size", "u1"), ("null", "?"), ("wordy", "?")])
+#: The lowest bit of ``key`` marks a key that two classes of one task share.
+ENTRY = np.dtype([("key", "<u4"), ("h1", "<u8")])
+OUT = "id long, th long, line long, h1 long, h2 long, sim long, size int, wordy boolean, tok long"
 
 
 class Lines:
@@ -117,9 +118,9 @@ def minhash_keys(features: np.ndarray, cuts: np.ndarray, kind: int) -> np.ndarra
     return keys
 
 
-def simhash_keys(features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A row of keys per line, one for each block of its SimHash: each bit is the features' majority."""
-    blocks = []
+def simhashes(features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A row of two numbers per line, its SimHash: each bit is the features' majority."""
+    halves = []
     for half in range(2):
         out = np.zeros(len(cuts) - 1, np.uint64)
         size = np.diff(cuts)
@@ -128,23 +129,32 @@ def simhash_keys(features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
             hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + (1 << 16), "right")) - 1)
             own = mix(features[cuts[lo] : cuts[hi]].astype(np.uint64) + np.uint64(half << 40))
             bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes = np.add.reduceat(bits, cuts[lo:hi] - cuts[lo], axis=0, dtype=np.int32)
+            # Counts of less than 256 features need a byte each.
+            wide = np.uint8 if size[lo:hi].max() < 256 else np.int32
+            votes = np.add.reduceat(bits, cuts[lo:hi] - cuts[lo], axis=0, dtype=wide).astype(np.int32)
             out[lo:hi] = np.packbits(2 * votes > size[lo:hi, None], axis=1, bitorder="little").view("<u8").ravel()
             lo = hi
-        blocks += [out & np.uint64(0xFFFFFFFF), out >> np.uint64(32)]
+        halves.append(out)
+    return np.stack(halves, axis=1)
+
+
+def block_keys(sims: np.ndarray) -> np.ndarray:
+    """A row of keys per line, one for each block of its SimHash."""
+    blocks = [x for half in sims.T for x in (half & np.uint64(0xFFFFFFFF), half >> np.uint64(32))]
     return np.stack([mix(b + np.uint64((n + 1) << 40)) for n, b in enumerate(blocks)], axis=1)
 
 
 def length_codes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The lines' lengths in characters, on a logarithmic scale."""
-    chars = np.append(0, np.cumsum((text & 0xC0) != 0x80))
-    return np.minimum(SHARED - 1, np.log(np.maximum(1, chars[begins + sizes] - chars[begins])) / np.log(LENGTH_BASE)).astype(np.uint8)
+    # Each stretch goes up to the next line and so has one space more.
+    chars = np.add.reduceat((text & 0xC0) != 0x80, begins, dtype=np.int64) - 1
+    return np.minimum(255, np.log(np.maximum(1, chars)) / np.log(LENGTH_BASE)).astype(np.uint8)
 
 
-def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(line, key)`` of all keys of the given lines, in any order."""
+def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(line, key)`` of all keys of the given lines, in any order; SimHashes; which have word features."""
     padded = padded_bytes(text)
-    at, keys = [], []
+    at, keys, sims = [], [], np.zeros((len(begins), 2), np.uint64)
 
     def put(lines: np.ndarray, made: np.ndarray) -> None:
         at.append(np.repeat(lines, made.shape[1]))
@@ -165,7 +175,7 @@ def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         features = (span_hashes(padded, starts[long[chosen]], (ends - starts)[long[chosen]]) >> np.uint64(32)).astype(np.uint32)
         cuts = np.append(0, np.cumsum(count[wordy]))
         put(wordy, minhash_keys(features, cuts, 0))
-        put(wordy, simhash_keys(features, cuts))
+        sims[wordy] = simhashes(features, cuts)
     few = count <= FEW_WORDS
     for kind, (gram, least, most) in enumerate(GRAMS, 1):
         chosen = np.flatnonzero(few & (sizes >= least) & (sizes <= most))
@@ -179,14 +189,19 @@ def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         bare = np.flatnonzero(count[chosen] < WORDS)
         if len(bare):
             own = np.append(0, np.cumsum(n[bare]))
-            put(chosen[bare], simhash_keys(features[np.repeat(count[chosen] < WORDS, n)], own))
+            # Of a line's two scales the longer n-grams decide.
+            sims[chosen[bare]] = simhashes(features[np.repeat(count[chosen] < WORDS, n)], own)
+    known = np.flatnonzero(sims.any(axis=1))
+    if len(known):
+        put(known, block_keys(sims[known]))
     least, most = ONE_EDIT
     for i in np.flatnonzero((sizes >= least) & (sizes <= 4 * most)).tolist():
         word = text[begins[i] : begins[i] + sizes[i]].tobytes().decode("utf-8", "replace")
         if least <= len(word) <= most:
             spelt = {word, *(word[:j] + word[j + 1 :] for j in range(len(word)))}
             put(np.array([i]), np.array([[int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=b"short").digest(), "little") for x in spelt]], np.uint64))
-    return (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    at, keys = (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return at, keys, sims, count >= WORDS
 
 
 class Sender:
@@ -233,13 +248,14 @@ class Sender:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         begins = np.cumsum(sizes + 1) - sizes - 1
         text = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
-        at, keys = line_keys(text, begins, sizes)
+        at, keys, sims, held["wordy"] = line_keys(text, begins, sizes)
+        held["sim"], held["size"] = sims[:, 0], length_codes(text, begins, sizes)
         shift = np.uint64(64 - self.bits)
         order = np.argsort(keys, kind="stable")
         at, keys = at[order], keys[order]
         entries = np.zeros(len(keys), ENTRY)
-        entries["key"] = (keys << np.uint64(self.bits)) >> np.uint64(32)
-        entries["h1"], entries["size"] = held["h1"][at], length_codes(text, begins, sizes)[at]
+        entries["key"] = (keys << np.uint64(self.bits)) >> np.uint64(33) << np.uint64(1)
+        entries["h1"] = held["h1"][at]
         # A key that two of this task's classes have is shared: the classes after the first are
         # listed from here; the first goes on to its fragment, marked.
         again = np.zeros(len(keys), bool)
@@ -247,7 +263,7 @@ class Sender:
         leads = ~again
         leads[:-1] &= again[1:]
         leads[-1:] = False
-        entries["size"][leads] += SHARED
+        entries["key"][leads] += 1
         listed = pa.RecordBatch.from_pydict({"fragment": [-1 - self.salt], "classes": [self.gone_bytes()], "entries": [entries[again].tobytes()], "tops": [(keys[again] >> shift).astype("<u8").tobytes()]})
         entries, tops = entries[~again], (keys[~again] >> shift).astype(np.int64)
         spots = (held["h1"] >> shift).astype(np.int64)
@@ -294,14 +310,16 @@ def settled(table: pa.Table) -> pa.Table:
         # Copies of one row hold the same line; where it stays, it stays in all of them.
         stays = classes[np.maximum.accumulate(np.where(first, np.arange(len(classes)), 0))]
         gone, classes = classes[classes != stays], classes[first]
-        entries = entries[np.lexsort((entries["h1"], entries["key"]))]
+        keys, marked = entries["key"] >> 1, entries["key"] & 1
+        order = np.lexsort((entries["h1"], keys))
+        entries, keys, marked = entries[order], keys[order], marked[order]
         new = np.ones(len(entries), bool)
-        new[1:] = entries["key"][1:] != entries["key"][:-1]
+        new[1:] = keys[1:] != keys[:-1]
         group = np.cumsum(new) - 1
         other = np.ones(len(entries), bool)
         other[1:] = new[1:] | (entries["h1"][1:] != entries["h1"][:-1])
         # Shared: by two classes here, or by two of one task.
-        shared = (np.bincount(group, other) > 1) | (np.bincount(group, entries["size"] >= SHARED) > 0) if len(entries) else np.zeros(0, bool)
+        shared = (np.bincount(group, other) > 1) | (np.bincount(group, marked) > 0) if len(entries) else np.zeros(0, bool)
         entries = entries[other & shared[group]] if len(entries) else entries
         tops = np.full(len(entries), fragment, np.uint64)
 
@@ -312,14 +330,16 @@ def settled(table: pa.Table) -> pa.Table:
         return pa.array(part["id"].copy(), mask=part["null"].copy())
 
     g, c, e = len(gone), len(classes), len(entries)
-    tok = tops << np.uint64(32) | entries["key"].astype(np.uint64)
+    tok = tops << np.uint64(32) | (entries["key"] >> 1).astype(np.uint64)
     return pa.table({
         "id": column(ids(gone), ids(classes), e),
         "th": column(gone["th"], classes["th"], e),
         "line": column(gone["line"], classes["line"], e),
         "h1": column(g, as_long(classes["h1"].copy()), as_long(entries["h1"].copy())),
         "h2": column(g, as_long(classes["h2"].copy()), e),
-        "size": column(g, c, entries["size"].astype(np.int32) % SHARED, kind=pa.int32()),
+        "sim": column(g, as_long(classes["sim"].copy()), e),
+        "size": column(g, classes["size"].astype(np.int32), e, kind=pa.int32()),
+        "wordy": column(g, classes["wordy"], e, kind=pa.bool_()),
         "tok": column(g, c, as_long(tok)),
     })
 
@@ -374,11 +394,37 @@ def shared_start(x: str, y: str) -> int:
     return lo
 
 
+def word_distance(x: list[str], y: list[str], allowed: int, reach: int = 4) -> int:
+    """A bound from above on the edit distance: words that differ are replaced as a whole.
+
+    Where words differ, the nearest pair of equal words within ``reach`` ends the gap.
+    """
+    i, j, n, m, cost = 0, 0, len(x), len(y), 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for gap in range(1, 2 * reach + 1):
+            found = next(((p, gap - p) for p in range(max(0, gap - reach), min(reach, gap) + 1) if i + p < n and j + gap - p < m and x[i + p] == y[j + gap - p]), None)
+            if found:
+                break
+        else:
+            break
+        p, q = found
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > allowed:
+            return cost
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+
+
 def similar(x: str, y: str, percent: int) -> bool:
     """Whether one minus the edit distance over the longer length is at least ``percent``."""
     allowed = (100 - percent) * max(len(x), len(y)) // 100
     if abs(len(x) - len(y)) > allowed:
         return False
+    if word_distance(x.split(" "), y.split(" "), allowed) <= allowed:
+        return True
     start = shared_start(x, y)
     x, y = x[start:], y[start:]
     end = shared_start(x[::-1], y[::-1])
@@ -422,17 +468,24 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
     Rows are named by ``id`` and ``th``, the hash of their text.
     """
     rows = named_rows(docs, id_col, text_col).filter("text IS NOT NULL")
-    table = materialize(key_table(rows), "lines")
+    table = materialize(key_table(rows), "lines", free=True)
     exact = table.filter("h1 IS NULL").select("id", "th", "line")
-    classes = table.filter("h2 IS NOT NULL").select("id", "th", "line", F.col("h1").alias("h"), "h2")
-    posts = materialize(table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"), "size").distinct(), "postings")
+    classes = table.filter("h2 IS NOT NULL").withColumnRenamed("h1", "h").drop("tok")
+    apart = int(np.ceil(np.log(100 / similarity) / np.log(LENGTH_BASE)))
+
+    def possible(a: str, b: str) -> str:
+        # SimHashes of words and of n-grams can't be compared.
+        return f"abs({a}.size - {b}.size) <= {apart} AND ({a}.wordy != {b}.wordy OR bit_count({a}.sim ^ {b}.sim) <= {FAR_BITS})"
+
+    posts = table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"))
+    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "size", "wordy"), "cid"), "listed", free=True)
+    # Most lines that share a key are strangers; they leave here.
+    posts = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi").distinct()
+    posts = materialize(posts, "postings", free=True)
     wanted = classes.join(posts.select(F.col("cid").alias("h")).distinct(), "h")
     wanted = materialize(wanted.select("id", "th", "line", "h", "h2"), "wanted")
     texts = materialize(line_texts(rows, wanted), "texts")
 
-    def possible(a: str, b: str) -> str:
-        return f"abs({a}.size - {b}.size) <= {int(np.ceil(np.log(100 / similarity) / np.log(LENGTH_BASE)))}"
-
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
 
@@ -443,7 +496,7 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
 
         return full.select("a", "b", "wa", "wb").mapInArrow(alike, "a long, b long")
 
-    labels = linked_components(posts, possible, verify, [F.lit(1), *(F.xxhash64("cid", F.lit(n)) for n in range(2))])
+    labels = linked_components(posts, possible, verify, [F.lit(1), F.xxhash64("cid")])
     # Only the verified class of a name is in its group.
     grouped = wanted.join(texts.select("h", "h2"), ["h", "h2"]).join(labels.withColumnRenamed("v", "h"), "h")
     at = F.struct(F.col("id").isNull().alias("null"), "id", "th", "line")

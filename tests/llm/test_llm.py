@@ -305,7 +305,7 @@ def keys_of(lines):
     """The keys of each line, under which two lines can meet."""
     raw = [x.encode() for x in lines]
     sizes = np.array([len(x) for x in raw])
-    at, keys = line_dedup.line_keys(np.frombuffer(b" ".join(raw) + b" ", np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes)
+    at, keys, _, _ = line_dedup.line_keys(np.frombuffer(b" ".join(raw) + b" ", np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes)
     out = [set() for _ in lines]
     for i, key in zip(at.tolist(), keys.tolist(), strict=True):
         out[i].add(key)
@@ -343,15 +343,23 @@ def test_simhashes_within_three_bits_share_a_block():
             other[i, bit // 32] ^= np.uint64(1 << (bit % 32))
     assert (whole == other).any(axis=1).all()
     features, cuts = rng.integers(0, 1 << 32, 90, np.uint64).astype(np.uint32), np.array([0, 40, 41, 90])
-    keys = line_dedup.simhash_keys(features, cuts)
-    assert keys.shape == (3, line_dedup.SIM_BLOCKS) and len(np.unique(keys)) == 12
+    sims = line_dedup.simhashes(features, cuts)
+    assert sims.shape == (3, 2) and len(np.unique(line_dedup.block_keys(sims))) == 12
+    assert [int(line_dedup.block_keys(sims[:1] ^ np.uint64(1 << b))[0, 0]) == int(line_dedup.block_keys(sims)[0, 0]) for b in (3, 40)] == [False, True]
     # Every bit is a majority of the features' bits.
     for half in range(2):
         own = [int(x) for x in line_dedup.mix(features[:40].astype(np.uint64) + np.uint64(half << 40))]
-        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > 40)
-        for k, block in enumerate((want & 0xFFFFFFFF, want >> 32)):
-            n = 2 * half + k
-            assert int(keys[0, n]) == int(line_dedup.mix(np.array([block + ((n + 1) << 40)], np.uint64))[0])
+        assert int(sims[0, half]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > 40)
+
+
+def test_bound_by_words():
+    rng = random.Random(12)
+    for _ in range(3000):
+        x = [rng.choice("a bb ccc dddd e ff".split()) for _ in range(rng.randrange(1, 9))]
+        y = [w if rng.random() < 0.8 else rng.choice("a bb ccc dddd zz".split()) for w in x if rng.random() < 0.9] or ["a"]
+        a, b = " ".join(x), " ".join(y)
+        assert line_dedup.word_distance(x, y, 1000) >= line_dedup.edit_distance(a, b)
+        assert line_dedup.word_distance(x, x, 0) == 0
 
 
 def test_lines_of_digits_need_the_edit_check(spark):
