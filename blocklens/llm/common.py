@@ -126,6 +126,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def with_columns(batch: pa.RecordBatch, made: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*batch.schema.names, *made])
+
+
 def as_long(value: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 

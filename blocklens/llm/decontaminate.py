@@ -6,13 +6,13 @@ shorter item is one window of all its words. Every window of every text is hashe
 looked up, and a hit is verified word by word before its words count as hit.
 
 The set is broadcast in blocks of at most ``block`` windows: its size is counted
-first, and a larger benchmark costs more passes, not more memory. Between passes the
-hits so far are written to the shared folder with the texts.
+first, and a larger benchmark costs more passes, not more memory. One block is one narrow
+pass that carries the rows along; with more, each pass writes only the rows with hits,
+named by id and text hash, and texts stay where they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from blocklens.llm.common import as_long, blocks, materialize, part_bytes, pick
+from blocklens.llm.common import as_long, blocks, materialize, null_safe_eq, part_bytes, pick, scratch, with_columns
 from blocklens.llm.wordhash import Words, fold_ascii, join_hash, scan, word_class
 
 BLOCK_WINDOWS = 200_000
@@ -71,9 +72,11 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_hits(docs: DataFrame, windows: list, keep_text: bool) -> DataFrame:
-    """Add the hits of one block of windows to ``(id, text, n_words, spans, items)``."""
-    spark = docs.sparkSession
+MADE = [StructField("__n_words", LongType()), StructField("__spans", ArrayType(LongType())), StructField("__items", ArrayType(StringType()))]
+
+
+def find_hits(rows: DataFrame, windows: list, text_col: str) -> DataFrame:
+    """``rows`` and, for one block of windows, ``__n_words, __spans, __items`` of each."""
     known: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
     hashes: dict[int, list[int]] = defaultdict(list)
     for item, size, h, words in windows:
@@ -85,18 +88,18 @@ def find_hits(docs: DataFrame, windows: list, keep_text: bool) -> DataFrame:
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(held >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         sets[size] = (held, np.packbits(seen))
-    shared = spark.sparkContext.broadcast((sets, dict(known)))
+    shared = rows.sparkSession.sparkContext.broadcast((sets, dict(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, fold = word_class("alnum"), fold_ascii()
+        inside = word_class("alnum")
         sets, known = shared.value
         filters = {size: np.unpackbits(bits).view(bool) for size, (_, bits) in sets.items()}
         for batch in batches:
             spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
             items: dict[int, set[str]] = defaultdict(set)
             n_words = np.zeros(batch.num_rows, np.int64)
-            for lo, hi, data, offsets in blocks(*part_bytes(batch.column("text"))):
-                words, folded = scan(data, offsets, inside), fold[data]
+            for lo, hi, data, offsets in blocks(*part_bytes(batch.column(text_col))):
+                words = scan(data, offsets, inside)
                 n_words[lo:hi] = np.diff(words.first)
                 for size, (held, _) in sets.items():
                     h = join_hash(words.hashes, size)
@@ -104,43 +107,67 @@ def find_hits(docs: DataFrame, windows: list, keep_text: bool) -> DataFrame:
                     at = at[words.rows[at] == words.rows[at + size - 1]]
                     place = np.minimum(np.searchsorted(held, h[at]), len(held) - 1)
                     for i in at[held[place] == h[at]].tolist():
-                        found = known[size].get(window_text(folded, words, i, size))
+                        found = known[size].get(window_text(words.data, words, i, size))
                         if found:
                             row = int(words.rows[i])
                             first = int(words.first[row])
                             spans[lo + row].append((i - first, i - first + size))
                             items[lo + row].update(found)
-            old_spans, old_items = (batch.column(c).to_pylist() for c in ("spans", "items"))
-            for row, flat in enumerate(old_spans):
-                if flat:
-                    spans[row] += zip(flat[::2], flat[1::2], strict=True)
-                    items[row].update(old_items[row])
-            flat_spans = [[x for s in union_spans(spans[r]) for x in s] if r in spans else [] for r in range(batch.num_rows)]
-            columns = {"id": batch.column("id"), "text": batch.column("text"), "n_words": pa.array(n_words), "spans": pa.array(flat_spans, pa.list_(pa.int64())), "items": pa.array([sorted(items[r]) if r in items else [] for r in range(batch.num_rows)], pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if keep_text or k != "text"})
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, {'text string, ' * keep_text}n_words long, spans array<long>, items array<string>")
-
-
-def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, block: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: ``id, n_words, spans, items`` (and ``text``).
-
-    ``spans`` lists the hit words as flat, disjoint ``[from, to)`` word numbers, and
-    ``items`` the ids (as sorted strings) of items that have a window in the text. A
-    null or wordless text has 0 words and no hit; repeated rows and null ids are
-    answered row by row; with an empty benchmark nothing is hit; other columns are
-    ignored.
+            flat = [[x for s in union_spans(spans[r]) for x in s] if r in spans else [] for r in range(batch.num_rows)]
+            listed = [sorted(items[r]) if r in items else [] for r in range(batch.num_rows)]
+            yield with_columns(batch, {"__n_words": pa.array(n_words), "__spans": pa.array(flat, pa.list_(pa.int64())), "__items": pa.array(listed, pa.list_(pa.string()))})
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *MADE]))
+
+
+def merged_hits(hits: DataFrame) -> DataFrame:
+    """The hits of several passes, one row per row name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[x for s in union_spans([p for one in many for p in zip(one[::2], one[1::2], strict=True)]) for x in s] for many in batch.column("__spans").to_pylist()]
+            items = [sorted({x for one in many for x in one}) for many in batch.column("__items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("of_id"), batch.column("of_th"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["of_id", "of_th", "found_spans", "found_items"])
+
+    lists = hits.groupBy("of_id", "of_th").agg(F.collect_list("__spans").alias("__spans"), F.collect_list("__items").alias("__items"))
+    return lists.mapInArrow(run, f"of_id {hits.schema['of_id'].dataType.simpleString()}, of_th long, found_spans array<long>, found_items array<string>")
+
+
+def rows_with_hits(docs: DataFrame, bench: DataFrame, *, window: int = 10, block: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in all their columns, and ``__n_words, __spans, __items``.
+
+    ``__spans`` lists the hit words as flat, disjoint ``[from, to)`` word numbers, and
+    ``__items`` the ids (as sorted strings) of items that have a window in the text. A
+    null or wordless text has 0 words and no hit; repeated rows, rows that share an id and
+    null ids are answered row by row; with an empty benchmark nothing is hit; an empty
+    table gives an empty result.
     """
     kept = materialize(benchmark_windows(bench, window, item_col, item_text_col), "windows")
     passes = max(1, -(-kept.count() // block))
-    rows = pick(docs, id=id_col, text=text_col).select("id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for i in range(passes):
-        part = kept.filter(F.pmod(F.xxhash64("words", "item"), F.lit(passes)) == i)
-        rows = find_hits(rows, [tuple(r) for r in part.select("item", "size", "hash", "words").collect()], keep_text or i + 1 < passes)
-        if i + 1 < passes:
-            rows = materialize(rows, "hits")
-    return rows
+
+    def part(i: int) -> list[tuple]:
+        of = kept.filter(F.pmod(F.xxhash64("words", "item"), F.lit(passes)) == i)
+        return [tuple(r) for r in of.select("item", "size", "hash", "words").collect()]
+
+    if passes == 1:
+        return find_hits(docs, part(0), text_col)
+    named = pick(docs, of_id=id_col, text=text_col).withColumn("of_th", F.xxhash64("text"))
+    with scratch(docs.sparkSession):
+        hits = None
+        for i in range(passes):
+            found = materialize(find_hits(named, part(i), "text").filter(F.size("__items") > 0).select("of_id", "of_th", "__spans", "__items").distinct(), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+        hits = materialize(merged_hits(hits), "hits", keep=True)
+    counted = find_hits(docs, [], text_col).drop("__spans", "__items").withColumn("__th", F.xxhash64(F.col(f"`{text_col}`")))
+    both = counted.join(hits, null_safe_eq(counted[f"`{id_col}`"], hits["of_id"]) & (counted["__th"] == hits["of_th"]), "left")
+    none = F.array()
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns), "__n_words", F.coalesce("found_spans", none.cast("array<long>")).alias("__spans"), F.coalesce("found_items", none.cast("array<string>")).alias("__items"))
+
+
+def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
+    """Per row of ``docs``: ``id, n_words, spans, items`` (and ``text``), as ``rows_with_hits`` finds them; other columns are ignored."""
+    found = rows_with_hits(pick(docs, id=id_col, text=text_col), bench, id_col="id", text_col="text", **options)
+    return found.select("id", *(["text"] if keep_text else []), F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def hit_counts(found: DataFrame) -> DataFrame:
@@ -176,7 +203,3 @@ def remove_spans(found: DataFrame, margin: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     return found.select("id", "text", "spans").mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, text string")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -50,18 +50,18 @@ GRAMS = ((3, 6, 24), (5, 20, 120), (8, 96, 1 << 40))
 ONE_EDIT = (5, 9)
 #: Lengths are kept as whole logarithms to this base.
 LENGTH_BASE = 1.2
-#: Of the first 64 bits of two lines' SimHashes, so many may differ for the lines to be compared.
-FAR_BITS = 26
+#: Of the 128 bits of two lines' SimHashes, so many may differ for the lines to be compared.
+FAR_BITS = 48
 #: Wanted lines up to this many are sent to the texts; more are joined.
 SEND_LINES = 500_000
 #: Bytes of lines, and lines that go, that a map task holds before it sends them.
-FLUSH, FLUSH_GONE = 1 << 24, 500_000
+FLUSH, FLUSH_GONE = 1 << 23, 250_000
 NEWLINE, SPACE = 0x0A, 0x20
 
-CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("size", "u1"), ("null", "?"), ("wordy", "?")])
+CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("sim2", "<u8"), ("size", "u1"), ("null", "?"), ("wordy", "?")])
 #: The lowest bit of ``key`` marks a key that two classes of one task share.
 ENTRY = np.dtype([("key", "<u4"), ("h1", "<u8")])
-OUT = "id long, th long, line long, h1 long, h2 long, sim long, size int, wordy boolean, tok long"
+OUT = "id long, th long, line long, h1 long, h2 long, sim long, sim2 long, size int, wordy boolean, tok long"
 
 
 class Lines:
@@ -249,7 +249,7 @@ class Sender:
         begins = np.cumsum(sizes + 1) - sizes - 1
         text = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
         at, keys, sims, held["wordy"] = line_keys(text, begins, sizes)
-        held["sim"], held["size"] = sims[:, 0], length_codes(text, begins, sizes)
+        held["sim"], held["sim2"], held["size"] = sims[:, 0], sims[:, 1], length_codes(text, begins, sizes)
         shift = np.uint64(64 - self.bits)
         order = np.argsort(keys, kind="stable")
         at, keys = at[order], keys[order]
@@ -338,6 +338,7 @@ def settled(table: pa.Table) -> pa.Table:
         "h1": column(g, as_long(classes["h1"].copy()), as_long(entries["h1"].copy())),
         "h2": column(g, as_long(classes["h2"].copy()), e),
         "sim": column(g, as_long(classes["sim"].copy()), e),
+        "sim2": column(g, as_long(classes["sim2"].copy()), e),
         "size": column(g, classes["size"].astype(np.int32), e, kind=pa.int32()),
         "wordy": column(g, classes["wordy"], e, kind=pa.bool_()),
         "tok": column(g, c, as_long(tok)),
@@ -366,15 +367,22 @@ def key_table(docs: DataFrame) -> DataFrame:
     return pieces.groupBy("fragment").applyInArrow(settled, OUT)
 
 
-def edit_distance(x: str, y: str) -> int:
-    """Levenshtein distance, a column of the table at a time as bits of one integer (Myers 1999)."""
+def edit_distance(x: str, y: str, most: int | None = None) -> int:
+    """Levenshtein distance, a column of the table at a time as bits of one integer (Myers 1999).
+
+    What is more than ``most`` may be told as any number above it: each column that is left
+    lowers the score by one at best.
+    """
     if not x or not y:
         return len(x) + len(y)
     where: dict[str, int] = {}
     for i, c in enumerate(x):
         where[c] = where.get(c, 0) | 1 << i
     full, top, plus, minus, score = (1 << len(x)) - 1, 1 << len(x) - 1, (1 << len(x)) - 1, 0, len(x)
-    for c in y:
+    limit = len(x) + len(y) if most is None else most + len(y)
+    for done, c in enumerate(y):
+        if score + done > limit:
+            return score + done - len(y)
         eq = where.get(c, 0)
         vertical = eq | minus
         horizontal = (((eq & plus) + plus) ^ plus) | eq
@@ -429,7 +437,7 @@ def similar(x: str, y: str, percent: int) -> bool:
     x, y = x[start:], y[start:]
     end = shared_start(x[::-1], y[::-1])
     x, y = x[: len(x) - end], y[: len(y) - end]
-    return max(len(x), len(y)) <= allowed or edit_distance(x, y) <= allowed
+    return max(len(x), len(y)) <= allowed or edit_distance(x, y, allowed) <= allowed
 
 
 def row_of(left: DataFrame, right: DataFrame) -> Column:
@@ -475,10 +483,10 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
 
     def possible(a: str, b: str) -> str:
         # SimHashes of words and of n-grams can't be compared.
-        return f"abs({a}.size - {b}.size) <= {apart} AND ({a}.wordy != {b}.wordy OR bit_count({a}.sim ^ {b}.sim) <= {FAR_BITS})"
+        return f"abs({a}.size - {b}.size) <= {apart} AND ({a}.wordy != {b}.wordy OR bit_count({a}.sim ^ {b}.sim) + bit_count({a}.sim2 ^ {b}.sim2) <= {FAR_BITS})"
 
     posts = table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"))
-    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "size", "wordy"), "cid"), "listed", free=True)
+    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "sim2", "size", "wordy"), "cid"), "listed", free=True)
     # Most lines that share a key are strangers; they leave here.
     posts = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi").distinct()
     posts = materialize(posts, "postings", free=True)

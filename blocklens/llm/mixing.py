@@ -2,11 +2,13 @@
 
 A source's target words, over its size, is its documents' expected number of copies.
 Its whole part is allocated to every document with certainty. The rest is a sample of
-unequal probabilities: a document's inclusion odds are the source's odds times its
-tilt (its size over the source's mean, between 1/2 and 2), its random odds come from
-a hash of its id, and documents rank by random odds over inclusion odds. The sample
-is cut where its words fill what is left of the target, so its size in words is fixed;
-the document whose size comes nearest to the gap that whole documents leave closes it.
+unequal probabilities. A document's inclusion probability p grows with its tilt (its size
+over the source's mean, between 1/2 and 2), by the one factor that makes the expected
+words, the sum of p times size, the rest; where that would pass 1 the document is certain
+and the others share what is left. Random odds come from a hash of the id; documents rank
+by random odds over inclusion odds, the certain ones first. The sample is cut where its
+words fill the rest, so its size in words is fixed; the document whose size comes nearest
+to the gap that whole documents leave closes it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Ranks are summed in this many cells before any single document is looked at.
 CELLS = 1 << 16
+#: Rows alike in id, text and source that are numbered by one task.
+SHARED_ROWS = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
@@ -48,7 +52,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
 
 
 def copies_to_take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
+    """Per row of ``docs``: ``doc_id, size, source_size, target, taken, copies, source, inclusion``.
+
+    ``inclusion`` is the probability of a copy beyond the whole part.
 
     Null texts have size 0 and take no words; null sources are one source, ordered
     last; repeated rows are separate documents that rank alike; null ids rank by a
@@ -61,7 +67,7 @@ def copies_to_take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, perce
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     random = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(rows.select("id", "source", size.alias("size"), random.alias("u"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = materialize(rows.select("id", "source", size.alias("size"), random.alias("u"), F.xxhash64("text", "source").alias("th"), F.monotonically_increasing_id().alias("row")), "sizes")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(totals, weights, percent, most)
@@ -72,10 +78,14 @@ def copies_to_take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, perce
     def with_source(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
         return df.join(facts, null_safe_eq(df["source"], facts["key"]), how).drop("key")
 
+    sized = with_source(sized, targets)
     tilt = F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.col("size") * F.col("n_docs") / F.col("source_size")))
-    open_ = with_source(sized, targets).filter("rest > 0 AND size > 0")
-    # The source's own odds divide all its ranks alike and so don't change their order.
-    ranked = open_.withColumn("rank", F.col("u") / ((1 - F.col("u")) * tilt))
+    sized = sized.withColumn("tilt", F.when(F.expr("rest > 0 AND size > 0"), tilt))
+    factors = inclusion_factors(sized.filter("tilt IS NOT NULL").groupBy("source", "tilt").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+    factors = materialize(factors, "factors").withColumnRenamed("source", "key")
+    sized = with_source(sized, factors, "left").withColumn("p", F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") >= F.col("certain"), 1.0).otherwise(F.col("factor") * F.col("tilt")))
+    ranked = sized.filter("p > 0")
+    ranked = ranked.withColumn("rank", F.when(F.col("p") >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")))
     ranked = ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS)).select("id", "source", "size", "row", "rank", "cell", "rest")
     ranked = materialize(ranked, "ranks")
 
@@ -100,21 +110,52 @@ def copies_to_take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, perce
     last = left_over.groupBy("source").agg(F.min(F.struct("off", "rank", "id", "row")).alias("best")).select(F.col("best.row").alias("row"))
     chosen = sample.select("row").unionByName(last).withColumn("more", F.lit(1).cast("long"))
 
-    out = with_source(sized.join(chosen, "row", "left"), targets)
+    out = sized.join(chosen, "row", "left")
     copies = F.col("whole") + F.coalesce("more", F.lit(0))
-    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", F.col("p").alias("inclusion"), "th", "row")
+
+
+def inclusion_factors(tilts: DataFrame) -> DataFrame:
+    """``(source, factor, certain)`` of ``tilts(source, tilt, words, rest)``.
+
+    Tilts from ``certain`` on are included for sure, others with ``factor`` times the
+    tilt, so that the expected words are the rest. The groups of a source are its
+    sizes between half its mean and twice its mean, a number that doesn't grow with the
+    count of its documents.
+    """
+    order = W.partitionBy("source").orderBy(F.col("tilt").desc())
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum(F.col("tilt") * F.col("words")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    tried = tilts.withColumn("factor", (F.col("rest") - before) / left).withColumn("fits", F.col("factor") * F.col("tilt") <= 1)
+    # The first group, from the largest tilt down, that need not be certain.
+    return tried.filter("fits").groupBy("source").agg(F.max_by("factor", "tilt").alias("factor"), F.max("tilt").alias("top")).join(
+        tried.filter("NOT fits").groupBy(F.col("source").alias("s")).agg(F.min("tilt").alias("certain")), null_safe_eq(F.col("source"), F.col("s")), "left"
+    ).select("source", "factor", F.coalesce("certain", F.lit(float("inf"))).alias("certain"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, in all their columns.
 
-    Documents are found again by id; rows that share an id get the copies of the
-    first of them that ``copies_to_take`` lists.
+    Rows are found again by id and a hash of text and source. Rows that agree in these
+    share their copies out among themselves, in parts of ``SHARED_ROWS``.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = copies_to_take(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    found = docs.join(plan, null_safe_eq(docs[id_col], plan["__id"])).filter("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    plan = copies_to_take(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("__rows"), F.sum("copies").alias("__copies"))
+    plan = materialize(plan.filter("__copies > 0"), "plan")
+    named = docs.withColumn("__of", F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{source_col}`")))
+
+    def found(part: DataFrame) -> DataFrame:
+        return named.join(part, null_safe_eq(named[id_col], part["__id"]) & (named["__of"] == part["__th"]))
+
+    single = found(plan.filter("__rows = 1"))
+    several = found(plan.filter("__rows > 1")).withColumn("__parts", F.expr(f"(__rows + {SHARED_ROWS - 1}) div {SHARED_ROWS}"))
+    several = several.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")))
+    turn = F.row_number().over(W.partitionBy("__id", "__th", "__part").orderBy(F.lit(1)))
+    extra = F.expr("(__copies % __rows) div __parts + if(__part < (__copies % __rows) % __parts, 1, 0)")
+    several = several.withColumn("__turn", turn).withColumn("__copies", F.expr("__copies div __rows") + (F.col("__turn") <= extra).cast("long"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    taken = single.select(*columns, "__copies").unionByName(several.select(*columns, "__copies")).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
 
 
 def mix_sql(weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2, seed: str = "mix") -> str:
@@ -137,9 +178,15 @@ water AS (SELECT *, level > {most} * ratio AS is_full, max(CASE WHEN level <= {m
 targets AS (SELECT source, source_size, n_docs, CASE WHEN is_full THEN ({most} * source_size)::DOUBLE ELSE least(({most} * source_size)::DOUBLE, weight * water) END AS target FROM water),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
 rests AS (SELECT *, target - whole * source_size AS rest FROM rates),
-open AS (
-  SELECT s.*, r.rest, u / ((1 - u) * least(2.0::DOUBLE, greatest(0.5::DOUBLE, (s.size * r.n_docs)::DOUBLE / r.source_size))) AS rank
+tilted AS (
+  SELECT s.*, r.rest, least(2.0::DOUBLE, greatest(0.5::DOUBLE, (s.size * r.n_docs)::DOUBLE / r.source_size)) AS tilt
   FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source WHERE r.rest > 0 AND s.size > 0),
+tilts AS (SELECT source, tilt, sum(size) AS words, any_value(rest) AS rest FROM tilted GROUP BY source, tilt),
+tried AS (SELECT *, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY tilt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(tilt * words) OVER (PARTITION BY source ORDER BY tilt DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM tilts),
+factors AS (SELECT source, arg_max(factor, tilt) FILTER (WHERE factor * tilt <= 1) AS factor, coalesce(min(tilt) FILTER (WHERE factor * tilt > 1), 'inf'::DOUBLE) AS certain FROM tried GROUP BY source),
+likely AS (SELECT t.*, CASE WHEN tilt >= certain THEN 1.0::DOUBLE ELSE factor * tilt END AS p FROM tilted t JOIN factors f ON t.source IS NOT DISTINCT FROM f.source),
+open AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE ELSE u / (1 - u) * (1 - p) / p END AS rank FROM likely),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, row ROWS UNBOUNDED PRECEDING) AS upto FROM open),
 gaps AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM summed),
 fills AS (
@@ -147,7 +194,7 @@ fills AS (
     SELECT row, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), rank, doc_id, row) AS n
     FROM gaps WHERE upto > rest AND abs(size - gap) < gap) WHERE n = 1),
 chosen AS (SELECT row FROM summed WHERE upto <= rest UNION ALL SELECT row FROM fills)
-SELECT s.doc_id, s.source, s.size, r.source_size, r.target, (r.whole + CASE WHEN c.row IS NULL THEN 0 ELSE 1 END)::BIGINT AS copies,
-  ((r.whole + CASE WHEN c.row IS NULL THEN 0 ELSE 1 END) * s.size)::BIGINT AS taken
+SELECT s.doc_id, s.size, r.source_size, r.target, ((r.whole + CASE WHEN c.row IS NULL THEN 0 ELSE 1 END) * s.size)::BIGINT AS taken,
+  (r.whole + CASE WHEN c.row IS NULL THEN 0 ELSE 1 END)::BIGINT AS copies, s.source
 FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN chosen c ON s.row = c.row
 """

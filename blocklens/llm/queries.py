@@ -70,7 +70,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies_to_take(table(spark, sf_dir, "documents")).drop("row")
+    return copies_to_take(table(spark, sf_dir, "documents")).drop("inclusion", "th", "row")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from blocklens.llm.common import blocks, part_bytes, pick
+from blocklens.llm.common import blocks, part_bytes, pick, with_columns
 from blocklens.llm.wordhash import scan, word_class
 
 TABLE_BITS = 16
@@ -257,14 +258,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, *, label_c
     return found.orderBy("id").select("text", "lang", "label").toArrow()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
-    """Per row of ``docs``: ``id, score, threshold, toxic``.
+def scored_rows(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
+    """The rows of ``docs`` in all their columns, and ``__score, __threshold, __toxic``.
 
     The fit reads a bounded sample of the labels for which ``usable`` (a condition on
-    ``id``) holds; every whole text is then scored in one narrow pass. Null and empty
+    ``id``) holds: at most ``per_label`` rows of either label, less those whose text has
+    more than ``max_bytes`` bytes (2,000 and 60,000). Every whole text is then scored in
+    one narrow pass, row by row: rows that share an id are told apart. Null and empty
     texts get the score of a text without words; rows of an unknown or null language
     get the common threshold; repeated rows score alike; without both labels every
-    score is low; an empty table gives an empty result; other columns are ignored.
+    score is low; an empty table gives an empty result; other columns are carried along.
     """
     usable = F.lit(True) if usable is None else usable
     net = fit(training_rows(docs, labels, usable, label_col=label_col, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds))
@@ -273,9 +276,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            score = net.score(batch.column("text"))
-            cut = np.array([net.thresholds.get(x, net.threshold) for x in batch.column("lang").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(cut, pa.float64()), pa.array(score >= cut)], ["id", "score", "threshold", "toxic"])
+            score = net.score(batch.column(text_col))
+            cut = np.array([net.thresholds.get(str(x), net.threshold) for x in batch.column(lang_col).to_pylist()])
+            yield with_columns(batch, {"__score": pa.array(score), "__threshold": pa.array(cut, pa.float64()), "__toxic": pa.array(score >= cut)})
 
-    named = pick(docs, id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, score double, threshold double, toxic boolean")
+    kinds = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in (("__score", DoubleType()), ("__threshold", DoubleType()), ("__toxic", BooleanType())))])
+    return docs.mapInArrow(run, kinds)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """Per row of ``docs``: ``id, score, threshold, toxic``, as ``scored_rows`` finds them; other columns are ignored."""
+    named = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, lang_col))))
+    scored = scored_rows(named, labels, usable, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    return scored.select(F.col(f"`{id_col}`").alias("id"), F.col("__score").alias("score"), F.col("__threshold").alias("threshold"), F.col("__toxic").alias("toxic"))
