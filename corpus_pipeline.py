@@ -1,59 +1,66 @@
 """Corpus pipeline: each stage reads what its predecessor wrote.
 
 The stages run over whole texts of all rows they are given; all but the last return
-the columns of ``documents``.
+the columns of ``documents``. Each decides row by row: rows that share an id, or have a
+null one, are told apart by their texts. Null and empty texts are texts without words,
+which no stage but mixing leaves out (they have nothing to take); an empty table passes
+as one; columns beside those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import null_safe_eq, shared_dir
-from blocklens.llm.decontaminate import contamination
+from blocklens.llm.common import materialize, new_path
+from blocklens.llm.decontaminate import rows_with_hits
 from blocklens.llm.mixing import mixed_documents
 from blocklens.llm.ngram_join import ngram_components
 from blocklens.llm.queries import fold, table, vocabulary
-from blocklens.llm.toxicity import toxicity
+from blocklens.llm.toxicity import scored_rows
 from blocklens.llm.wavelet import encode_and_read_back
 
 NEAR = {"k": 5, "num": 4, "den": 5}
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is listed, in their own columns."""
-    listed = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return docs.join(listed, null_safe_eq(docs["doc_id"], listed["__id"]), "left_semi")
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents beyond the threshold calibrated for their language go; the fit reads the labelled rows of ``docs``."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), fold() != 1)
-    return only(docs, scored.filter("NOT toxic").select("id"))
+    """Rows beyond the threshold calibrated for their language go; the fit reads the labelled rows of ``docs``."""
+    scored = scored_rows(docs, table(spark, sf_dir, "labels"), fold() != 1)
+    return scored.filter("NOT __toxic").select(*own_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the least id."""
-    found = ngram_components(docs, **NEAR)
-    return only(docs, found.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id"))
+    """One row of each group of near copies stays: the one of the least id (null last), then text hash.
+
+    Rows are named by a hash of id and text; rows equal in both are one, and stay once.
+    """
+    named = docs.withColumn("__name", F.xxhash64("doc_id", "text"))
+    found = ngram_components(named, id_col="__name", **NEAR).select(F.col("doc_id").alias("__name"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__name")
+    first = named.select("__name", "doc_id").join(found.distinct(), "__name").groupBy("component_id").agg(F.min(order).alias("first"))
+    first = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__name").alias("__first")), "first")
+    kept = named.join(first, (named["__name"] == first["__first"]) & named["doc_id"].eqNullSafe(first["__id"]), "left_semi")
+    return kept.dropDuplicates(["__name", "doc_id"]).select(*own_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return only(docs, found.filter(F.size("spans") == 0).select("id"))
+    """Rows that hold a window of the benchmark go."""
+    return rows_with_hits(docs, table(spark, sf_dir, "benchmark")).filter(F.size("__items") == 0).select(*own_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Rows as often as the mix takes them."""
     return mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers in wavelet shards, read back per document."""
+    """Token identifiers in wavelet shards, read back per row."""
     return encode_and_read_back(docs, vocabulary())
 
 
@@ -70,7 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/blocklens/pipeline-{uuid.uuid4().hex}"
+    base = new_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
