@@ -89,9 +89,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def pieces_for(df: DataFrame, each: int = 1 << 22, most: int = 1 << 16) -> int:
+def pieces_for(df: DataFrame, each: int = 1 << 22, most: int = 1 << 16, least: int = 64) -> int:
     """Into how many pieces work over ``df`` is dealt: by its size, and at least by the session's shuffle."""
-    return min(most, max(2 * shuffle_partitions(df.sparkSession), 64, plan_bytes(df) // each))
+    return min(most, max(shuffle_partitions(df.sparkSession), least, plan_bytes(df) // each))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import blocks, materialize, part_bytes, pick, shuffle_partitions
+from blocklens.llm.common import blocks, materialize, part_bytes, pick, pieces_for
 
 VERSION = "1"
 BUCKETS = 128
 BOUND = 256
+#: Bytes of texts that are counted at once.
+PIECE = 1 << 19
 #: Offsets of a triplet's second and third byte.
 SHAPES = ((1, 2), (1, 3), (2, 3))
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -38,8 +40,20 @@ def byte_tables() -> np.ndarray:
     return np.random.default_rng(411).integers(0, BUCKETS, (len(SHAPES), 3, 256)).astype(np.uint8)
 
 
-def bucket_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def long_counts(data: np.ndarray, piece: int) -> np.ndarray:
+    """Bucket counts of one text, read in pieces; each window counts where it begins."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for (second, third), (a, b, c) in zip(SHAPES, byte_tables(), strict=True):
+        for lo in range(0, len(data) - third, piece):
+            hi = min(lo + piece, len(data) - third)
+            counts += np.bincount(a[data[lo:hi]] ^ b[data[lo + second : hi + second]] ^ c[data[lo + third : hi + third]], minlength=BUCKETS)
+    return counts[None]
+
+
+def bucket_counts(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> np.ndarray:
     rows = len(offsets) - 1
+    if rows == 1 and len(data) > piece:
+        return long_counts(data, piece)
     counts = np.zeros(rows * BUCKETS, np.int64)
     row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets)) * BUCKETS
     for (second, third), (a, b, c) in zip(SHAPES, byte_tables(), strict=True):
@@ -59,7 +73,7 @@ def length_code(sizes: np.ndarray) -> np.ndarray:
 def codes_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of small integers per text: length, two ratios, a quartile per bucket."""
     out = []
-    for _, _, part, off in blocks(data, offsets, 1 << 19):
+    for _, _, part, off in blocks(data, offsets, PIECE):
         counts = bucket_counts(part, off)
         q = np.sort(counts, axis=1)[:, [BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
         codes = np.zeros((len(counts), 3 + BUCKETS), np.uint8)
@@ -119,32 +133,21 @@ def compared(ids: list, texts: list[str], codes: np.ndarray, following: list[str
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint)`` of every whole text; null is empty. No shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = codes_of(*part_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(digest, codes)), pa.string())], ["doc_id", "fingerprint"])
-
-    rows = pick(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['id'].dataType.simpleString()}, fingerprint string")
-
-
 def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its half-edited text and the next document by falling id.
 
-    The rows are dealt once into ranges of ids. Within a range the next row follows
-    in the stream; each range also hands over its first and last row, one pair per
-    range, which are matched up across ranges. The last document's next is the first;
-    a single one's is itself. Null texts are empty; null ids come last; repeated ids
-    are ordered by text. An empty table gives an empty result; other columns are ignored.
+    The rows are dealt once into ranges of ids and, within an id, of text hashes. Within a
+    range the next row follows in the stream; each range also hands over its first and
+    last row, and ranges are matched up by their numbers, which are in the ids' order.
+    The last document's next is the first; a single one's is itself. Null texts are
+    empty; null ids come last; repeated ids are ordered by a hash of the text, then the
+    text. An empty table gives an empty result; other columns are ignored.
     """
-    edge = "part int, first_id long, first_text string, last_id long, last_text string"
+    edge = "part int, first_text string, last_id long, last_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, last, last_codes = TaskContext.get().partitionId(), None, None, None
-        edges = pa.schema([("part", pa.int32()), ("first_id", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
+        edges = pa.schema([("part", pa.int32()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
 
         def widened(made: pa.RecordBatch) -> pa.RecordBatch:
             none = [pa.nulls(made.num_rows, f.type) for f in edges]
@@ -156,7 +159,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not ids:
                 continue
             codes = codes_of(*part_bytes(batch.column("text")))
-            first = first or (ids[0], texts[0])
+            first = texts[0] if first is None else first
             if last is not None:
                 ids, texts, codes = [last[0], *ids], [last[1], *texts], np.concatenate((last_codes, codes))
             last, last_codes = (ids[-1], texts[-1]), codes[-1:]
@@ -164,7 +167,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield widened(compared(ids[:-1], texts[:-1], codes[:-1], texts[1:], codes[1:]))
         if last is not None:
             empty = compared([], [], np.zeros((0, 3 + BUCKETS), np.uint8), [], np.zeros((0, 3 + BUCKETS), np.uint8))
-            values = [part, *first, *last]
+            values = [part, first, *last]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in empty.columns), *(pa.array([v], f.type) for v, f in zip(values, edges, strict=True))], [*empty.schema.names, *edges.names])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +178,14 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     falling = F.col("id").desc_nulls_last()
-    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), falling).sortWithinPartitions(falling, "text")
-    made = materialize(rows.mapInArrow(run, f"{OUT}, {edge}"), "digests")
-    # One row per range.
-    order = W.orderBy(F.col("first_id").desc_nulls_last(), "part")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    edges = made.filter("part IS NOT NULL").select("last_id", "last_text", F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole)).alias("next_text"))
-    return made.filter("part IS NULL").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").unionByName(edges.mapInArrow(meet, OUT))
+    order = falling, F.col("th")
+    rows = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(pieces_for(docs, each=1 << 26, least=0), *order).sortWithinPartitions(*order, "text")
+    made = materialize(rows.drop("th").mapInArrow(run, f"{OUT}, {edge}"), "digests")
+    # One short row per range is ordered; texts are joined to it by the ranges' numbers.
+    edges = made.filter("part IS NOT NULL")
+    along = W.orderBy("part")
+    following = F.coalesce(F.lead("part").over(along), F.first("part").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    pairs = edges.select("part").select("part", following.alias("next"))
+    firsts = edges.select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
+    met = edges.select("part", "last_id", "last_text").join(pairs, "part").join(firsts, "next").select("last_id", "last_text", "next_text")
+    return made.filter("part IS NULL").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").unionByName(met.mapInArrow(meet, OUT))

@@ -50,18 +50,21 @@ GRAMS = ((3, 6, 24), (5, 20, 120), (8, 96, 1 << 40))
 ONE_EDIT = (5, 9)
 #: Lengths are kept as whole logarithms to this base.
 LENGTH_BASE = 1.2
-#: Of the 128 bits of two lines' SimHashes, so many may differ for the lines to be compared.
-FAR_BITS = 48
+#: Of the 128 bits of two lines' SimHashes by words, and of the first 64 by n-grams of
+#: ``SIM_GRAM`` bytes, so many may differ for the lines to be compared.
+FAR_BITS, FAR_GRAM_BITS, SIM_GRAM = 48, 23, 4
+#: Kinds of lines: with n-gram features only, with both, with word features only.
+BARE, BORDER, WORDY = 0, 1, 2
 #: Wanted lines up to this many are sent to the texts; more are joined.
 SEND_LINES = 500_000
 #: Bytes of lines, and lines that go, that a map task holds before it sends them.
 FLUSH, FLUSH_GONE = 1 << 23, 250_000
 NEWLINE, SPACE = 0x0A, 0x20
 
-CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("sim2", "<u8"), ("size", "u1"), ("null", "?"), ("wordy", "?")])
+CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("sim2", "<u8"), ("gsim", "<u8"), ("size", "u1"), ("kind", "u1"), ("null", "?")])
 #: The lowest bit of ``key`` marks a key that two classes of one task share.
 ENTRY = np.dtype([("key", "<u4"), ("h1", "<u8")])
-OUT = "id long, th long, line long, h1 long, h2 long, sim long, sim2 long, size int, wordy boolean, tok long"
+OUT = "id long, th long, line long, h1 long, h2 long, sim long, sim2 long, gsim long, size int, kind int, tok long"
 
 
 class Lines:
@@ -152,9 +155,9 @@ def length_codes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.
 
 
 def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(line, key)`` of all keys of the given lines, in any order; SimHashes; which have word features."""
+    """``(line, key)`` of all keys of the given lines, in any order; SimHashes (two numbers by words, one by n-grams); kinds."""
     padded = padded_bytes(text)
-    at, keys, sims = [], [], np.zeros((len(begins), 2), np.uint64)
+    at, keys, sims = [], [], np.zeros((len(begins), 3), np.uint64)
 
     def put(lines: np.ndarray, made: np.ndarray) -> None:
         at.append(np.repeat(lines, made.shape[1]))
@@ -175,25 +178,27 @@ def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         features = (span_hashes(padded, starts[long[chosen]], (ends - starts)[long[chosen]]) >> np.uint64(32)).astype(np.uint32)
         cuts = np.append(0, np.cumsum(count[wordy]))
         put(wordy, minhash_keys(features, cuts, 0))
-        sims[wordy] = simhashes(features, cuts)
+        sims[wordy, :2] = simhashes(features, cuts)
+        put(wordy, block_keys(sims[wordy, :2]))
     few = count <= FEW_WORDS
-    for kind, (gram, least, most) in enumerate(GRAMS, 1):
-        chosen = np.flatnonzero(few & (sizes >= least) & (sizes <= most))
-        if not len(chosen):
-            continue
+
+    def grams(chosen: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
         n = sizes[chosen] - gram + 1
         cuts = np.append(0, np.cumsum(n))
         place = np.arange(cuts[-1]) + np.repeat(begins[chosen] - cuts[:-1], n)
-        features = (mix((eights(padded)[place] & keep_masks()[gram]) + np.uint64(gram)) >> np.uint64(32)).astype(np.uint32)
-        put(chosen, minhash_keys(features, cuts, kind))
-        bare = np.flatnonzero(count[chosen] < WORDS)
-        if len(bare):
-            own = np.append(0, np.cumsum(n[bare]))
-            # Of a line's two scales the longer n-grams decide.
-            sims[chosen[bare]] = simhashes(features[np.repeat(count[chosen] < WORDS, n)], own)
-    known = np.flatnonzero(sims.any(axis=1))
-    if len(known):
-        put(known, block_keys(sims[known]))
+        return (mix((eights(padded)[place] & keep_masks()[gram]) + np.uint64(gram)) >> np.uint64(32)).astype(np.uint32), cuts
+
+    for kind, (gram, least, most) in enumerate(GRAMS, 1):
+        chosen = np.flatnonzero(few & (sizes >= least) & (sizes <= most))
+        if len(chosen):
+            put(chosen, minhash_keys(*grams(chosen, gram), kind))
+    chosen = np.flatnonzero(few & (sizes >= SIM_GRAM))
+    if len(chosen):
+        made = simhashes(*grams(chosen, SIM_GRAM))
+        sims[chosen, 2] = made[:, 0]
+        bare = count[chosen] < WORDS
+        if bare.any():
+            put(chosen[bare], block_keys(made[bare]))
     least, most = ONE_EDIT
     for i in np.flatnonzero((sizes >= least) & (sizes <= 4 * most)).tolist():
         word = text[begins[i] : begins[i] + sizes[i]].tobytes().decode("utf-8", "replace")
@@ -201,7 +206,7 @@ def line_keys(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[
             spelt = {word, *(word[:j] + word[j + 1 :] for j in range(len(word)))}
             put(np.array([i]), np.array([[int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=b"short").digest(), "little") for x in spelt]], np.uint64))
     at, keys = (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return at, keys, sims, count >= WORDS
+    return at, keys, sims, np.where(count < WORDS, BARE, np.where(few, BORDER, WORDY))
 
 
 class Sender:
@@ -248,8 +253,8 @@ class Sender:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         begins = np.cumsum(sizes + 1) - sizes - 1
         text = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
-        at, keys, sims, held["wordy"] = line_keys(text, begins, sizes)
-        held["sim"], held["sim2"], held["size"] = sims[:, 0], sims[:, 1], length_codes(text, begins, sizes)
+        at, keys, sims, held["kind"] = line_keys(text, begins, sizes)
+        held["sim"], held["sim2"], held["gsim"], held["size"] = *sims.T, length_codes(text, begins, sizes)
         shift = np.uint64(64 - self.bits)
         order = np.argsort(keys, kind="stable")
         at, keys = at[order], keys[order]
@@ -339,8 +344,9 @@ def settled(table: pa.Table) -> pa.Table:
         "h2": column(g, as_long(classes["h2"].copy()), e),
         "sim": column(g, as_long(classes["sim"].copy()), e),
         "sim2": column(g, as_long(classes["sim2"].copy()), e),
+        "gsim": column(g, as_long(classes["gsim"].copy()), e),
         "size": column(g, classes["size"].astype(np.int32), e, kind=pa.int32()),
-        "wordy": column(g, classes["wordy"], e, kind=pa.bool_()),
+        "kind": column(g, classes["kind"].astype(np.int32), e, kind=pa.int32()),
         "tok": column(g, c, as_long(tok)),
     })
 
@@ -379,7 +385,7 @@ def edit_distance(x: str, y: str, most: int | None = None) -> int:
     for i, c in enumerate(x):
         where[c] = where.get(c, 0) | 1 << i
     full, top, plus, minus, score = (1 << len(x)) - 1, 1 << len(x) - 1, (1 << len(x)) - 1, 0, len(x)
-    limit = len(x) + len(y) if most is None else most + len(y)
+    limit = len(y) + (max(len(x), len(y)) if most is None else most)
     for done, c in enumerate(y):
         if score + done > limit:
             return score + done - len(y)
@@ -482,11 +488,13 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
     apart = int(np.ceil(np.log(100 / similarity) / np.log(LENGTH_BASE)))
 
     def possible(a: str, b: str) -> str:
-        # SimHashes of words and of n-grams can't be compared.
-        return f"abs({a}.size - {b}.size) <= {apart} AND ({a}.wordy != {b}.wordy OR bit_count({a}.sim ^ {b}.sim) + bit_count({a}.sim2 ^ {b}.sim2) <= {FAR_BITS})"
+        words = f"bit_count({a}.sim ^ {b}.sim) + bit_count({a}.sim2 ^ {b}.sim2) <= {FAR_BITS}"
+        grams = f"bit_count({a}.gsim ^ {b}.gsim) <= {FAR_GRAM_BITS}"
+        # What two lines both have is compared; those with nothing in common are too far apart.
+        return f"abs({a}.size - {b}.size) <= {apart} AND abs({a}.kind - {b}.kind) < 2 AND (least({a}.kind, {b}.kind) = {BARE} OR {words}) AND (greatest({a}.kind, {b}.kind) = {WORDY} OR {grams})"
 
     posts = table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"))
-    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "sim2", "size", "wordy"), "cid"), "listed", free=True)
+    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "sim2", "gsim", "size", "kind"), "cid"), "listed", free=True)
     # Most lines that share a key are strangers; they leave here.
     posts = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi").distinct()
     posts = materialize(posts, "postings", free=True)

@@ -2,11 +2,12 @@
 
 The content view is a logistic model over a text's words: whole, by their first and
 by their last bytes, hashed, as shares of the text. The page view is a logistic model
-over metadata and layout: source, language, recorded length, lines, line lengths,
-repeated lines, and shares of kinds of bytes. Over several rounds each view labels
-the unlabelled rows it is surest of, in the proportion of the labels, and the other
-view learns from them. On labelled rows that no fit saw, each view is calibrated and
-a last logistic step combines the two.
+over metadata alone: source, language and recorded length, each with the others; it
+never sees the text. Over several rounds each view labels the unlabelled rows it is
+surest of, in the proportion of the labels, and the other view learns from them; a view
+hands over only rows of which its calibrated probability is ``CONFIDENT``, so that one
+that can't tell teaches nothing. On labelled rows that no fit saw, each view is
+calibrated and a last logistic step combines the two.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ BITS = 16
 GROUPS = 64
 #: Bounds of the rows that a fit reads; longer texts are not used for fitting.
 MAX_PER_LABEL, MAX_UNLABELLED, MAX_FIT_BYTES = 1500, 3000, 60_000
-ROUNDS, SHARE = 4, 0.05
+ROUNDS, SHARE, CONFIDENT = 4, 0.05, 0.9
 
 
 def content_ids(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -48,34 +48,26 @@ def row_means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
 
 
+#: Hashed metadata features, after the three plain ones.
+PAGE = 3 + GROUPS * 6
+
+
 def page_features(batch: pa.RecordBatch) -> np.ndarray:
-    data, offsets = part_bytes(batch.column("text"))
-    n, size = batch.num_rows, np.maximum(np.diff(offsets), 1).astype(np.float64)
-
-    def share(kind: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(kind[data])))
-        return (total[offsets[1:]] - total[offsets[:-1]]) / size
-
-    def kind(*ranges: tuple[int, int]) -> np.ndarray:
-        table = np.zeros(256, np.int64)
-        for a, b in ranges:
-            table[a : b + 1] = 1
-        return table
-
-    shares = [share(kind((65, 90))), share(kind((48, 57))), share(kind((33, 47), (58, 64), (91, 96), (123, 126))), share(kind((32, 32))), share(kind((128, 255))), share(kind((10, 10)))]
-    raw = memoryview(np.ascontiguousarray(data))
-    repeated = np.zeros(n)
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        lines = bytes(raw[a:b]).split(b"\n")
-        repeated[i] = 1 - len(set(lines)) / len(lines)
-    stated = np.array([x or 0 for x in batch.column("n_chars").to_pylist()], np.float64)
-    lines = shares[-1] * size + 1
-    plain = [*shares, repeated, np.log1p(size) / 10, np.log1p(np.maximum(stated, 0)) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, np.ones(n)]
-    groups = np.zeros((n, 2 * GROUPS))
-    for g, name in enumerate(("source", "lang")):
-        codes = [zlib.crc32((x or "").encode()) % GROUPS for x in batch.column(name).to_pylist()]
-        groups[np.arange(n), g * GROUPS + np.array(codes, np.int64)] = 1
-    return np.concatenate((np.stack(plain, axis=1), groups), axis=1)
+    """Metadata of rows: a constant, the recorded length and whether there is one, and hashed names.
+
+    Null metadata is a value of its own, apart from the empty string.
+    """
+    n = batch.num_rows
+    stated = np.array([-1 if x is None else max(0, x) for x in batch.column("n_chars").to_pylist()], np.float64)
+    level = np.where(stated < 0, -1, np.floor(2 * np.log2(np.maximum(stated, 0) + 1))).astype(np.int64).tolist()
+    source, lang = (["\0null" if x is None else str(x) for x in batch.column(c).to_pylist()] for c in ("source", "lang"))
+    out = np.zeros((n, PAGE))
+    out[:, 0], out[:, 1], out[:, 2] = 1, np.log1p(np.maximum(stated, 0)) / 10, stated < 0
+    views = (source, lang, level, zip(source, lang, strict=True), zip(source, level, strict=True), zip(lang, level, strict=True))
+    for g, names in enumerate(views):
+        codes = [zlib.crc32(f"{g}:{x}".encode()) % GROUPS for x in names]
+        out[np.arange(n), 3 + g * GROUPS + np.array(codes, np.int64)] = 1
+    return out
 
 
 @dataclass
@@ -136,16 +128,17 @@ def fit_content(docs: list[np.ndarray], y: np.ndarray, seed: int, epochs: int =
     return words, bias
 
 
-def co_train(rows: pd.DataFrame, *, rounds: int = ROUNDS, share: float = SHARE, seed: int = 11) -> Views:
+def co_train(rows: pa.Table, *, rounds: int = ROUNDS, share: float = SHARE, seed: int = 11) -> Views:
     """Fit on ``rows(text, source, lang, n_chars, label)``; label is null where unlabelled."""
-    known = rows["label"].notna().to_numpy()
+    batch = rows.combine_chunks().to_batches()[0] if len(rows) else pa.RecordBatch.from_pylist([], schema=rows.schema)
+    label = [np.nan if x is None else x for x in batch.column("label").to_pylist()]
+    known = ~np.isnan(np.array(label, np.float64))
     rng = np.random.default_rng(seed)
     held = known & (rng.random(len(rows)) < 0.2)
-    y = rows["label"].fillna(0).to_numpy(np.float64)
-    none = Views(np.zeros(1 << BITS), 0.0, np.zeros(12 + 2 * GROUPS))
+    y = np.nan_to_num(np.array(label, np.float64))
+    none = Views(np.zeros(1 << BITS), 0.0, np.zeros(PAGE))
     if len(set(y[known & ~held])) < 2:
         return none
-    batch = pa.RecordBatch.from_pandas(rows[["text", "source", "lang", "n_chars"]], preserve_index=False)
     docs = [ids[:, a:b] for ids, first in content_ids(batch.column("text")) for a, b in zip(first[:-1], first[1:], strict=True)]
     page = page_features(batch)
     base = np.flatnonzero(known & ~held)
@@ -159,30 +152,51 @@ def co_train(rows: pd.DataFrame, *, rounds: int = ROUNDS, share: float = SHARE,
 
     for _ in range(rounds):
         (words, bias), weights = fits()
-        views = np.array([words[docs[i]].sum(axis=0).mean() + bias if docs[i].shape[1] else bias for i in free]), page[free] @ weights
-        for view, learner in ((0, 1), (1, 0)):
-            order = [k for k in np.argsort(views[view], kind="stable") if free[k] not in given[learner]]
+        content = lambda rows: np.array([words[docs[i]].sum(axis=0).mean() + bias if docs[i].shape[1] else bias for i in rows])
+        own = [(content(free), content(np.flatnonzero(held))), (page[free] @ weights, page[held] @ weights)]
+        for (raw, seen), learner in zip(own, (1, 0), strict=True):
+            a, b = calibrate(seen, y[held])
+            sure = sigmoid(a * raw + b)
+            order = [k for k in np.argsort(sure, kind="stable") if free[k] not in given[learner]]
             take = int(share * len(free))
-            good = min(len(order), max(1, round(take * rate_good)))
-            bad = min(len(order) - good, max(1, round(take * (1 - rate_good))))
+            good, bad = max(1, round(take * rate_good)), max(1, round(take * (1 - rate_good)))
             for k in order[:bad]:
-                given[learner][int(free[k])] = 0.0
-            for k in order[len(order) - good :]:
-                given[learner][int(free[k])] = 1.0
+                if sure[k] <= 1 - CONFIDENT:
+                    given[learner][int(free[k])] = 0.0
+            for k in order[-good:]:
+                if sure[k] >= CONFIDENT:
+                    given[learner][int(free[k])] = 1.0
     (words, bias), weights = fits()
     out = Views(words, bias, weights)
     if held.any():
         a, b = (v[held] for v in out.raw(batch))
         seen = y[held]
         out.content_scale, out.page_scale = calibrate(a, seen), calibrate(b, seen)
-        both = np.stack([out.content_scale[0] * a + out.content_scale[1], out.page_scale[0] * b + out.page_scale[1], np.ones(len(a))], axis=1)
-        w = np.array([0.5, 0.5, 0.0])
+        out.blend = blended(out.content_scale[0] * a + out.content_scale[1], out.page_scale[0] * b + out.page_scale[1], seen)
+    return out
+
+
+def blended(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the two views' log odds and a shift, neither weight below 0.
+
+    A view that would get a negative weight is left out and the rest is fitted anew.
+    """
+    used = [0, 1]
+    while used:
+        both = np.stack([*((a, b)[k] for k in used), np.ones(len(a))], axis=1)
+        start = np.array([*[1 / len(used)] * len(used), 0.0])
+        w = start.copy()
         for _ in range(100):
             p = sigmoid(both @ w)
-            h = (both * (p * (1 - p))[:, None]).T @ both + 0.1 * np.eye(3)
-            w = w - np.clip(np.linalg.solve(h, both.T @ (p - seen) + 0.1 * (w - [0.5, 0.5, 0.0])), -0.5, 0.5)
-        out.blend = tuple(float(max(0, v)) for v in w[:2]) + (float(w[2]),)
-    return out
+            h = (both * (p * (1 - p))[:, None]).T @ both + 0.1 * np.eye(len(w))
+            w = w - np.clip(np.linalg.solve(h, both.T @ (p - y) + 0.1 * (w - start)), -0.5, 0.5)
+        if (w[:-1] >= 0).all():
+            out = [0.0, 0.0, float(w[-1])]
+            for k, v in zip(used, w[:-1], strict=True):
+                out[k] = float(v)
+            return out[0], out[1], out[2]
+        used = [k for k, v in zip(used, w[:-1], strict=True) if v >= 0]
+    return 1.0, 0.0, 0.0
 
 
 def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = MAX_PER_LABEL, unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_FIT_BYTES) -> DataFrame:
@@ -190,7 +204,8 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *,
 
     The fit reads at most ``per_label`` labelled rows of either label (those for which
     ``usable``, a condition on ``id``, holds) and ``unlabelled`` rows without a label,
-    in the order of a hash of the id; every whole text is scored in one narrow pass.
+    in the order of a hash of the id, less those whose text has more than ``max_bytes``
+    bytes (1,500, 3,000 and 60,000); every whole text is scored in one narrow pass.
     Null texts are empty, null metadata counts as a value of its own, repeated rows
     score alike, and without both labels every score is 0.5. An empty table gives an
     empty result; other columns are ignored.
@@ -203,13 +218,15 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *,
     order = [F.xxhash64(F.lit("fit"), "id"), F.col("id")]
     may = known if usable is None else known.filter(usable)
     sample = may.filter("label = 0").orderBy(*order).limit(per_label).unionByName(may.filter("label = 1").orderBy(*order).limit(per_label))
-    ids = rows.select("id").filter("id IS NOT NULL")
+    # Rows are chosen by a bound on their hash, of about twice as many as are wanted, before any shuffle.
+    share = 2.0 * unlabelled / max(1, docs.count())
+    ids = rows.select("id").filter("id IS NOT NULL").filter(F.pmod(F.xxhash64(F.lit("free"), "id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
     ids = ids if usable is None else ids.filter(usable)
     free = ids.join(known, "id", "left_anti").distinct().orderBy(*order).limit(unlabelled).withColumn("label", F.lit(None).cast("int"))
     chosen = sample.select("id", F.col("label").cast("int").alias("label")).unionByName(free)
     # The sample's size is bounded by the limits above.
     found = rows.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id")
-    views = co_train(found.select("text", "source", "lang", "n_chars", "label").toPandas())
+    views = co_train(found.select("text", "source", "lang", "n_chars", "label").toArrow())
     pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast(views)
 

@@ -20,18 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import part_bytes, pick
-from blocklens.llm.pretokens import pre_tokens
+from blocklens.llm.pretokens import byte_symbols, pre_tokens
 
 CACHE_WORDS = 400_000
 CACHE_PIECES = 400_000
 
-@cache
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
 
 class MergeTable:
     """Ranks and results of the merges of one vocabulary file, over small integers."""
@@ -99,7 +92,7 @@ class PieceCounts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE_PIECES:
             self.clear()
-        self[piece] = n = self.table.count(piece.encode())
+        self[piece] = n = self.table.count(piece.encode("utf-8", "surrogateescape"))
         return n
 
 

@@ -3,16 +3,17 @@
 A shard holds the identifiers of a run of documents in ascending id order. Its
 file image is self-contained::
 
-    magic "BLWM1\\0" | header (little-endian) | document table | bit-planes
+    magic "BLWM2\\0" | header (little-endian) | directories | document table | bit-planes
 
-    header    n_docs u64, n_tokens u64, width u32, length of the table and of each plane u64
-    table     zstd of: ids i64[n_docs], id-is-null u8[n_docs], first token u64[n_docs + 1]
-    plane     zstd of the packed bits of one level, most significant first
+    header       n_docs u64, n_tokens u64, width u32, bytes of a block u32, length of the table u64
+    directories  per plane, for each block and the end: where it begins u64, ones before it u64
+    table        zstd of: ids i64[n_docs], id-is-null u8[n_docs], first token u64[n_docs + 1]
+    plane        the packed bits of one level, most significant first, in blocks; each is
+                 zstd, or plain where that is no longer
 
 Level ``w`` holds one bit of every token, in the order that stably sorting by the
-bits before it leaves them in. Ranks over 512-bit blocks are rebuilt on opening.
-That is enough for ``access``, ``rank``, ``count``, ``select`` and ``occurrences``
-without expanding the tokens.
+bits before it leaves them in. ``access``, ``rank``, ``count``, ``select`` and
+``occurrences`` read the stored ranks and unpack only the blocks that they touch.
 
 The images are the ``image`` column of a Parquet table in the shared folder,
 because executors may lose their own disks and the store may be one that only
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import blocks, part_bytes, pick, shared_dir, shuffle_partitions
-from blocklens.llm.wordhash import fold_ascii, scan, word_class
+from blocklens.llm.common import blocks, new_path, part_bytes, pick, pieces_for
+from blocklens.llm.wordhash import fold_ascii, same_spans, scan, word_class
 
-MAGIC = b"BLWM1\0"
-HEAD = struct.Struct("<QQI")
-BLOCK = 512
+MAGIC = b"BLWM2\0"
+HEAD = struct.Struct("<QQIIQ")
+#: Bytes of a plane that are packed together, and unpacked blocks that a plane remembers.
+BLOCK = 4096
+HELD_BLOCKS = 64
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 1_000_000
 WORD_END = "</w>"
@@ -48,60 +51,100 @@ BATCH_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq long, first_id long, n_docs long, n_tokens long, image binary"
 
 
-class WaveletMatrix:
-    """Bit-planes with rank and select over a sequence of unsigned integers."""
+class Plane:
+    """One level's bits: blocks that are unpacked when they are touched, with ranks beside them."""
+
+    def __init__(self, n: int, begins: np.ndarray, ranks: np.ndarray, packed: memoryview, block: int):
+        self.n, self.begins, self.ranks, self.packed, self.block = n, begins, ranks, packed, block
+        self.zeros = n - int(ranks[-1])
+        self.held: dict[int, np.ndarray] = {}
+
+    def bytes(self, b: int) -> np.ndarray:
+        found = self.held.get(b)
+        if found is None:
+            raw = self.packed[int(self.begins[b]) : int(self.begins[b + 1])]
+            size = min(self.block, (self.n + 7) // 8 - b * self.block)
+            found = np.frombuffer(raw if len(raw) == size else zstandard.ZstdDecompressor().decompress(raw, size), np.uint8)
+            if len(self.held) >= HELD_BLOCKS:
+                self.held.clear()
+            self.held[b] = found
+        return found
+
+    def bits(self) -> np.ndarray:
+        """All bits, as booleans; nothing is remembered."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        out = np.empty((self.n + 7) // 8, np.uint8)
+        for b in range(len(self.begins) - 1):
+            raw, at = self.packed[int(self.begins[b]) : int(self.begins[b + 1])], b * self.block
+            size = min(self.block, len(out) - at)
+            out[at : at + size] = np.frombuffer(raw if len(raw) == size else unpack(raw, size), np.uint8)
+        return np.unpackbits(out, count=self.n, bitorder="little").view(bool)
+
+    def bit(self, i: int) -> int:
+        b, at = divmod(i // 8, self.block)
+        return int(self.bytes(b)[at]) >> (i % 8) & 1
+
+    def rank1(self, i: int) -> int:
+        """Ones among the first ``i`` bits."""
+        b, at = divmod(i // 8, self.block)
+        count = int(self.ranks[b])
+        if at or i % 8:
+            own = self.bytes(b)
+            count += int(np.bitwise_count(own[:at]).sum())
+            if i % 8:
+                count += (int(own[at]) & ((1 << i % 8) - 1)).bit_count()
+        return count
+
+    def select(self, bit: int, j: int) -> int:
+        """Place of the j-th (from 0) such bit: its block by the ranks, then within it."""
+        per = 8 * self.block
+        before = self.ranks if bit else np.minimum(np.arange(len(self.ranks)) * per, self.n) - self.ranks
+        b = int(np.searchsorted(before, j, "right")) - 1
+        own = np.unpackbits(self.bytes(b), count=min(per, self.n - b * per), bitorder="little")
+        return b * per + int(np.flatnonzero(own == bit)[j - int(before[b])])
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes, self.width = n, planes, len(planes)
-        self._ranks: dict[int, np.ndarray] = {}
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in planes]
 
-    @classmethod
-    def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
-        planes, x = [], values
-        for shift in range(width - 1, -1, -1):
-            bit = (x & x.dtype.type(1 << shift)) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
-            x = x.take(np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit))))
-        return cls(len(values), planes)
+def packed_plane(bits: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where each block of a plane begins, the ones before it, and the packed blocks."""
+    raw = np.packbits(bits, bitorder="little")
+    count, pack = -(-len(raw) // block), zstandard.ZstdCompressor(level=1).compress
+    blocks_, ones = [], np.zeros(count + 1, np.int64)
+    for b in range(count):
+        plain = raw[b * block : (b + 1) * block]
+        small = pack(plain)
+        blocks_.append(small if len(small) < len(plain) else plain.tobytes())
+        ones[b + 1] = ones[b] + int(np.bitwise_count(plain).sum())
+    return np.cumsum([0, *map(len, blocks_)]), ones, b"".join(blocks_)
 
-    def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+
+class WaveletMatrix:
+    """Rank and select over a sequence of unsigned integers, by its bit-planes."""
+
+    def __init__(self, n: int, planes: list[Plane]):
+        self.n, self.planes, self.width = n, planes, len(planes)
 
     def values(self) -> np.ndarray:
         """All values in order: the sorts undone from the last level up."""
         kind = np.uint16 if self.width <= 16 else np.uint32
         y = np.zeros(self.n, kind)
         for level in range(self.width - 1, -1, -1):
-            bit, z = self.bits(level), self.zeros[level]
+            bit, z = self.planes[level].bits(), self.planes[level].zeros
             x = np.empty(self.n, kind)
             x[np.flatnonzero(~bit)] = y[:z]
             x[np.flatnonzero(bit)] = y[z:] | kind(1 << (self.width - 1 - level))
             y = x
         return y
 
-    def _rank1(self, level: int, i: int) -> int:
-        if level not in self._ranks:
-            per = BLOCK // 8
-            ones = np.add.reduceat(np.bitwise_count(self.planes[level]).astype(np.int64), np.arange(0, len(self.planes[level]), per)) if self.n else np.zeros(0, np.int64)
-            self._ranks[level] = np.concatenate(([0], np.cumsum(ones)))
-        block, plane = i // BLOCK, self.planes[level]
-        inside = plane[block * BLOCK // 8 : (i + 7) // 8]
-        count = int(self._ranks[level][block]) + int(np.bitwise_count(inside).sum())
-        if i % 8 and len(inside):
-            count -= (int(plane[i // 8]) >> (i % 8)).bit_count()
-        return count
-
     def _step(self, level: int, bit: int, i: int) -> int:
-        ones = self._rank1(level, i)
-        return self.zeros[level] + ones if bit else i - ones
+        ones = self.planes[level].rank1(i)
+        return self.planes[level].zeros + ones if bit else i - ones
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level in range(self.width):
-            bit = int(self.planes[level][i // 8]) >> (i % 8) & 1
+        for level, plane in enumerate(self.planes):
+            bit = plane.bit(i)
             value, i = value << 1 | bit, self._step(level, bit, i)
         return value
 
@@ -122,15 +165,6 @@ class WaveletMatrix:
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
-    def _select_bit(self, level: int, bit: int, j: int) -> int:
-        """Place of the j-th (from 0) such bit, by halving over ranks."""
-        lo, hi = 0, self.n
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid)
-            lo, hi = (mid, hi) if (ones if bit else mid - ones) <= j else (lo, mid)
-        return lo
-
     def select(self, value: int, j: int) -> int:
         """Place of the j-th (from 0) occurrence."""
         lo, hi = (0, 0) if value >> self.width else self._range(value, self.n)
@@ -139,37 +173,42 @@ class WaveletMatrix:
         at = lo + j
         for level in range(self.width - 1, -1, -1):
             bit = value >> (self.width - 1 - level) & 1
-            at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
+            at = self.planes[level].select(bit, at - self.planes[level].zeros if bit else at)
         return at
 
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, j) for j in range(self.count(value))]
 
 
-def pack_shard(ids: np.ndarray, null: np.ndarray, first: np.ndarray, values: np.ndarray, width: int) -> bytes:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    table = pack(ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + first.astype("<u8").tobytes())
-    planes = [pack(p.tobytes()) for p in WaveletMatrix.build(values, width).planes]
-    sizes = struct.pack(f"<{width + 1}Q", len(table), *map(len, planes))
-    return MAGIC + HEAD.pack(len(ids), len(values), width) + sizes + table + b"".join(planes)
+def pack_shard(ids: np.ndarray, null: np.ndarray, first: np.ndarray, values: np.ndarray, width: int, block: int = BLOCK) -> bytes:
+    table = zstandard.ZstdCompressor(level=1).compress(ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + first.astype("<u8").tobytes())
+    directories, planes, x = [], [], values
+    for shift in range(width - 1, -1, -1):
+        bit = (x & x.dtype.type(1 << shift)) != 0
+        begins, ones, packed = packed_plane(bit, block)
+        directories += [begins.astype("<u8").tobytes(), ones.astype("<u8").tobytes()]
+        planes.append(packed)
+        x = x.take(np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit))))
+    return b"".join((MAGIC, HEAD.pack(len(ids), len(values), width, block, len(table)), *directories, table, *planes))
 
 
 def open_shard(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, first token of each (and the end), and the matrix."""
+    """Document ids, first token of each (and the end), and the matrix; no plane is unpacked."""
     if image[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token shard")
-    docs, tokens, width = HEAD.unpack_from(image, len(MAGIC))
-    at = len(MAGIC) + HEAD.size
-    sizes = struct.unpack_from(f"<{width + 1}Q", image, at)
-    at += 8 * (width + 1)
-    parts = []
-    for size in sizes:
-        parts.append(zstandard.ZstdDecompressor().decompress(image[at : at + size]) if size else b"")
-        at += size
-    ids = np.frombuffer(parts[0], "<i8", docs)
-    null = np.frombuffer(parts[0], "u1", docs, 8 * docs)
-    first = np.frombuffer(parts[0][9 * docs :], "<u8", docs + 1).astype(np.int64)
-    planes = [np.frombuffer(p, np.uint8) for p in parts[1:]]
+    docs, tokens, width, block, size = HEAD.unpack_from(image, len(MAGIC))
+    at, count = len(MAGIC) + HEAD.size, -(-(-(-tokens // 8)) // block) + 1
+    directory = np.frombuffer(image, "<u8", 2 * width * count, at).reshape(width, 2, count).astype(np.int64)
+    at += 16 * width * count
+    table = zstandard.ZstdDecompressor().decompress(image[at : at + size])
+    ids = np.frombuffer(table, "<i8", docs)
+    null = np.frombuffer(table, "u1", docs, 8 * docs)
+    first = np.frombuffer(table[9 * docs :], "<u8", docs + 1).astype(np.int64)
+    at += size
+    planes, whole = [], memoryview(image)
+    for begins, ones in directory:
+        planes.append(Plane(tokens, begins, ones, whole[at : at + int(begins[-1])], block))
+        at += int(begins[-1])
     return [None if z else int(i) for i, z in zip(ids, null, strict=True)], first, WaveletMatrix(tokens, planes)
 
 
@@ -204,7 +243,8 @@ class WordIds:
     """Identifiers of whole texts by the library, each different word encoded once.
 
     This tokenizer never joins anything over white space and lower-cases A-Z, so a
-    text's identifiers are those of its words, found again by their hashes. Signs at a
+    text's identifiers are those of its words. A hash groups a run's equal words, which is
+    checked byte by byte; the memory goes by the words themselves. Signs at a
     word's end are a piece of their own and count as a word. Words not met yet go to the library together, parted by a special string whose identifier
     marks the cuts; runs of rows that hold a special string themselves are encoded
     text by text. The memory holds a bounded number of words.
@@ -222,7 +262,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -271,17 +311,20 @@ class WordIds:
             raw, cuts = data.tobytes(), offsets.tolist()
             each = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             return np.array([i for e in each for i in e], self.kind), np.cumsum([0, *map(len, each)])
+        words = scan(data, offsets, self.inside, breaks=tails(data, self.inside))
+        _, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        length = words.ends - words.starts
+        if not same_spans(words.data, words.starts, length, words.starts[where][inverse], length[where][inverse]):
+            # Two words share a hash: every one is a word of its own.
+            where = inverse = np.arange(len(length))
         if len(self.at) > CACHE_WORDS:
             self.forget()
-        words = scan(data, offsets, self.inside, breaks=tails(data, self.inside))
-        keys, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        listed = keys.tolist()
+        listed = [lower[a:b] for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
         place = np.fromiter(map(self.at.get, listed, repeat(-1)), np.int64, len(listed))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            bounds = zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)
-            place[new] = self.learn([lower[a:b] for a, b in bounds])
-            self.at.update(zip((listed[i] for i in new.tolist()), place[new].tolist(), strict=True))
+        new = list(dict.fromkeys(listed[i] for i in np.flatnonzero(place < 0).tolist()))
+        if new:
+            self.at.update(zip(new, self.learn(new).tolist(), strict=True))
+            place = np.fromiter(map(self.at.get, listed), np.int64, len(listed))
         chosen = place[inverse]
         sizes = self.sizes[chosen]
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -293,10 +336,10 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: i
     """Encode whole texts and write the shards of ascending ids as a table at ``path``.
 
     A null text is empty and still gets the end id. Null ids come first; repeated
-    ids are ordered by text. A shard closes after ``shard_tokens`` tokens, always at
+    ids are ordered by a hash of the text, then the text. A shard closes after ``shard_tokens`` tokens, always at
     a document's end, so that a longer document makes a longer shard.
     """
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = pieces_for(docs, each=1 << 26, least=0)
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +372,9 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: i
         if ids:
             yield close()
 
-    ordered = docs.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    order = F.col("id").asc_nulls_first(), F.col("th")
+    ordered = docs.withColumn("th", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    ordered.drop("th").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -364,9 +408,6 @@ def token_rows(shards: DataFrame) -> DataFrame:
 
 def encode_and_read_back(docs: DataFrame, vocabulary: str, tag: str = "tokens", **options) -> DataFrame:
     """Write the shards to the shared folder, then read every document off them."""
-    import uuid
-
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/blocklens/{tag}-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, tag)
     write_token_shards(docs, path, vocabulary, **options)
-    return token_rows(read_token_shards(spark, path))
+    return token_rows(read_token_shards(docs.sparkSession, path))

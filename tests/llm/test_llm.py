@@ -1,6 +1,8 @@
 """The operators of this subpackage against brute force, round trips and held-out rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blocklens.llm import decontaminate, fingerprint, line_dedup, mixing, ngram_join, pii, quality, queries, token_counts, toxicity, wavelet
+from blocklens.llm import decontaminate, fingerprint, line_dedup, mixing, ngram_join, pii, quality, queries, token_counts, toxicity, wavelet, wordhash
 from blocklens.llm.common import part_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sig string, tok long"
@@ -82,6 +84,54 @@ def test_ngram_join(spark, texts, docs, k, num, den):
     assert got == brute_components(texts | made, k, num, den)
 
 
+def doubled(n):
+    """The Thue-Morse word of 2**n letters and its complement: a polynomial hash mod 2**64 takes them for one."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_by_construction(spark):
+    x, y = doubled(10)
+    d = spark.createDataFrame([(1, f"{x} x y z"), (2, f"{y} x y z"), (3, f"{x} {y}"), (4, f"{y} {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(d).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    path = queries.vocabulary()
+    ids, library = wavelet.WordIds(path, np.uint16), wavelet.tokenizer(path)
+    texts = [f"{x} {y}", y, x]
+    flat, first = ids.rows(*part_bytes(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert line_dedup.without_repeated_lines(d.filter("doc_id < 3")).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_hashes_of_words():
+    rng = random.Random(2)
+    words = [bytes(rng.choices(b"ab", k=rng.randrange(1, 30))) for _ in range(3000)] + [b"x" * n for n in (511, 512, 513, 5000)] + [b"x" * 600 + c for c in (b"a", b"b")]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    found = wordhash.scan(data, np.array([0, len(data)]), wordhash.word_class("space"), 3, 2)
+    by_hash, by_head, by_tail = {}, {}, {}
+    for w, h, head, tail in zip(words, found.hashes.tolist(), found.heads.tolist(), found.tails.tolist(), strict=True):
+        assert by_hash.setdefault(h, w) == w and by_head.setdefault(head, w[:3]) == w[:3] and by_tail.setdefault(tail, w[-2:]) == w[-2:]
+    assert len(by_hash) == len(set(words))
+    sizes = found.ends - found.starts
+    assert wordhash.same_spans(found.data, found.starts, sizes, found.starts, sizes)
+    assert not wordhash.same_spans(found.data, found.starts[-2:], sizes[-2:], found.starts[-1:].repeat(2), sizes[-1:].repeat(2))
+
+
+def test_colliding_words_are_encoded_apart(monkeypatch):
+    path = queries.vocabulary()
+    ids, library = wavelet.WordIds(path, np.uint16), wavelet.tokenizer(path)
+    whole = wavelet.scan
+
+    def worse(*a, **k):
+        words = whole(*a, **k)
+        words.hashes = words.hashes % np.uint64(3)
+        return words
+
+    monkeypatch.setattr(wavelet, "scan", worse)
+    texts = ["some words here, and some more!", "words that share a hash: three hashes for all"]
+    flat, first = ids.rows(*part_bytes(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_ngram_join_odd(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(odd).collect()]
     assert len(got) == len(ODD) + 2 and (None, 1, None) in got
@@ -147,6 +197,21 @@ def test_last_words_count():
     assert (best > 0).all() and best[0, 0] == 2 * toxicity.DIM and place[0].tolist() == [3] * 8 + [2] * 8 + [1] * 8
 
 
+def test_pooled_is_a_plain_convolution():
+    net, rng = toxicity.TextCnn.fresh(2), random.Random(3)
+    net.bias[:] = np.linspace(-0.02, 0.02, len(net.bias))
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "Ee!"], k=k)) for k in (0, 1, 2, 3, 9, 40)]
+    got = np.concatenate([net.pooled(*x) for x in toxicity.word_ids(pa.array(texts))])
+    for text, best in zip(texts, got, strict=True):
+        (ids, _), words = next(toxicity.word_ids(pa.array([text]))), len(text.split())
+        vectors = [net.embedding[ids[0, i]] + net.embedding[ids[1, i]] for i in range(words)]
+        for g, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                k = g * toxicity.FILTERS + f
+                sums = [sum(float(vectors[i + j] @ net.filters[g][j][:, f]) for j in range(width)) for i in range(words - width + 1)]
+                assert best[k] == pytest.approx(max(0.0, max(sums) + float(net.bias[k])) if sums else 0.0, abs=1e-5)
+
+
 def test_wavelet_tokens(docs, texts, odd, empty):
     path = queries.vocabulary()
     library = wavelet.tokenizer(path)
@@ -160,6 +225,17 @@ def test_wavelet_tokens(docs, texts, odd, empty):
     assert wavelet.encode_and_read_back(empty, path).count() == 0
 
 
+def test_wavelet_blocks_are_unpacked_when_touched():
+    values = np.random.default_rng(3).integers(0, 9, 200_000).astype(np.uint16)
+    image = wavelet.pack_shard(np.array([1]), np.array([False]), np.array([0, len(values)]), values, 4, block=512)
+    _, _, m = wavelet.open_shard(image)
+    assert all(not p.held for p in m.planes)
+    assert m.access(150_000) == values[150_000] and m.rank(5, 120_001) == (values[:120_001] == 5).sum()
+    assert max(len(p.held) for p in m.planes) <= 6
+    where = np.flatnonzero(values == 7)
+    assert [m.select(7, j) for j in (0, 999, len(where) - 1)] == [int(where[j]) for j in (0, 999, len(where) - 1)]
+
+
 @pytest.mark.parametrize("n, top, width", [(0, 1, 3), (1, 7, 3), (700, 90, 7), (1500, 50_000, 16), (600, 70_000, 17)])
 def test_wavelet_matrix(n, top, width):
     values = np.random.default_rng(n).integers(0, top, n).astype(np.uint16 if width <= 16 else np.uint32)
@@ -196,6 +272,12 @@ def windows_by_hand(texts, items, size):
     return out
 
 
+def test_odd_tables_in_blocks(spark, odd):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "word word"), (3, "x y z")], "item_id long, text string")
+    one, many = (sorted(map(repr, decontaminate.contamination(odd, bench, block=b).collect())) for b in (10, 1))
+    assert one == many
+
+
 @pytest.mark.parametrize("block", [10**6, 200])
 def test_contamination(spark, data, docs, texts, block):
     bench = spark.read.parquet(f"{data}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "Only-Three Words"), (901, ""), (902, None), (10, "a b")], "item_id long, text string"))
@@ -233,6 +315,10 @@ def test_tokens_of_random_text():
         text = "".join(rng.choices(pool, k=rng.randrange(14))) + ("<|endoftext|>we'LL" if n % 9 == 0 else "")
         want = library.encode(text, add_special_tokens=False).ids
         assert ids.rows(*part_bytes(pa.array([text])))[0].tolist() == want and counts.text(text.encode()) == len(want)
+    # Code points that Python's tables do not know.
+    for c in (0xA7CB, 0xA7DC, 0x32808, 0x3285C, 0x3D988, 0x3F85C, 0x10FFFF, 0xE000):
+        text = f"{chr(c)} a{chr(c)}b É{chr(c)}1 {chr(c) * 3}"
+        assert counts.text(text.encode()) == len(library.encode(text, add_special_tokens=False).ids), hex(c)
 
 
 def test_lines(spark, odd, empty):
@@ -402,6 +488,42 @@ def test_edit_distance():
         assert line_dedup.similar(a, b, 70) == (100 * table(a, b) <= 30 * max(len(a), len(b)))
 
 
+def plain_digest(text):
+    """The digest's rule, a character of code at a time."""
+    raw, counts = text.encode(), [0] * 128
+    tables = [[[int(x) for x in t] for t in shape] for shape in fingerprint.byte_tables()]
+    for (second, third), (a, b, c) in zip(((1, 2), (1, 3), (2, 3)), tables, strict=True):
+        for i in range(len(raw) - third):
+            counts[a[raw[i]] ^ b[raw[i + second]] ^ c[raw[i + third]]] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (31, 63, 95))
+    length = min(255, round(math.log(max(len(raw), 1)) / math.log(1.1)))
+    marks = [(n > q1) + (n > q2) + (n > q3) for n in counts]
+    body = "".join(f"{marks[i] << 6 | marks[i + 1] << 4 | marks[i + 2] << 2 | marks[i + 3]:02x}" for i in range(0, 128, 4))
+    return f"1{length:02x}{q1 * 15 // max(q3, 1):x}{q2 * 15 // max(q3, 1):x}{body}"
+
+
+def test_digests_by_hand(texts):
+    chosen = [*list(texts.values())[:40], "", "a", "abc", "abcd", "é" * 9, "x" * 3000]
+    codes = fingerprint.codes_of(*fingerprint.joined(chosen))
+    assert [fingerprint.digest(c) for c in codes] == [plain_digest(t) for t in chosen]
+    x, y = fingerprint.parse(plain_digest(chosen[0])), fingerprint.parse(plain_digest(chosen[1]))
+    gap = [abs(int(a) - int(b)) for a, b in zip(x, y, strict=True)]
+    score = (0 if gap[0] <= 1 else min(gap[0], 48)) + sum(min(g, 6) for g in gap[1:3]) + sum(6 if g == 3 else g for g in gap[3:])
+    assert int(fingerprint.difference(x[None], y[None])[0]) == min(score, 256)
+
+
+def test_long_texts_are_counted_in_pieces():
+    data = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    whole = fingerprint.bucket_counts(data, np.array([0, 5000]))
+    assert (fingerprint.bucket_counts(data, np.array([0, 5000]), piece=700) == whole).all() and whole.sum() == 2 * 4997 + 4998
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    rows = [(1, "one text"), (1, "another text"), (1, None), (None, "x"), (None, ""), (2, "two")]
+    got = fingerprint.neighbour_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got].count(1) == 3 and len(got) == 6 and len({r.fingerprint for r in got if r.n_chars == 0}) == 1
+
+
 def test_fingerprints(docs, texts, odd, empty):
     got, ids = {r.doc_id: r for r in fingerprint.neighbour_likeness(docs).collect()}, sorted(texts, reverse=True)
     for i, n in zip(ids, ids[1:] + ids[:1]):
@@ -429,6 +551,76 @@ def test_base_spans_as_the_patterns_say():
     assert pii.joined(pii.base_spans("4111 1111 1111 1111, +1 (203) 555-0199")) == "card:0:19,phone:21:38"
 
 
+def small_tagger(seed=1):
+    net = pii.Tagger.fresh(seed)
+    net.p["move"] += np.random.default_rng(seed).normal(0, 0.5, net.p["move"].shape).astype(np.float32)
+    return net
+
+
+def test_decoding_against_all_paths():
+    net, rng = small_tagger(), np.random.default_rng(5)
+    e = rng.normal(0, 1, (4, 3, pii.TAGS)).astype(np.float32)
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+    for row, tags in enumerate(net.decode(e).T):
+        score = {p: sum(float(e[t, row, p[t]]) for t in range(4)) + sum(float(net.p["move"][p[t - 1], p[t]]) for t in range(1, 4)) for p in paths}
+        assert tuple(tags.tolist()) == max(score, key=score.get)
+        _, _, total = net.sums(e)
+        assert float(total[row]) == pytest.approx(math.log(sum(math.exp(v) for v in score.values())), abs=1e-3)
+
+
+def test_gradients_of_the_tagger():
+    net, rng = small_tagger(2), np.random.default_rng(6)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ids, tags = rng.integers(0, 128, (7, 3)).astype(np.uint8), rng.integers(0, pii.TAGS, (7, 3))
+    grad, _ = net.step(ids, tags)
+    for name, values in net.p.items():
+        places = [tuple(int(rng.integers(0, d)) for d in values.shape) for _ in range(4)]
+        if name.endswith("_in"):
+            places = [(int(ids[k, 0]), p[1]) for k, p in enumerate(places)]
+        for place in places:
+            old, losses = values[place], []
+            for shift in (0.02, -0.02):
+                values[place] = old + shift
+                losses.append(net.step(ids, tags)[1])
+            values[place] = old
+            assert (losses[0] - losses[1]) / 0.04 == pytest.approx(grad[name][place], abs=4e-3), name
+
+
+def test_reading_in_windows():
+    net, rng = small_tagger(3), random.Random(8)
+    text = "".join(rng.choices("ab 12@.+", k=900))
+    near = list(net.near_windows([text, "", "x"], at_once=3))
+    assert [w[:2] for w in near if w[0] == 0] == [(0, s) for s in range(0, 900 - 32, 224)][: len([w for w in near if w[0] == 0])]
+    (i, a, e), *_ = net.runs([text])
+    assert (i, a) == (0, 0) and e.shape[1] == pii.TAGS
+    assert pii.Tagger.tag(net, [text]) == pii.Tagger.tag(net, ["", text])[1:]
+
+
+def test_planted_spans_are_found(docs):
+    rng = random.Random(21)
+    pool = [r.text for r in docs.collect() if r.text]
+    net = pii.fit([t for t in pool[::2]][:100])
+    held = pool[1::2]
+    want, added, right = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    cuts = []
+    for n in range(400):
+        text = rng.choice(held)
+        at = rng.randrange(max(1, len(text) - 300))
+        cut = text[at : at + 300]
+        cuts.append(pii.planted(cut, rng, [], 10**6, (pii.KINDS[n % 4], "")))
+    for (text, tags), tagged in zip(cuts, net.tag([c[0] for c in cuts]), strict=True):
+        base = pii.base_spans(text)
+        free = lambda s: all(s[2] <= a or b <= s[1] for _, a, b in base)  # noqa: B023, E731
+        missed = [s for s in pii.spans_of(tags) if free(s)]
+        for s in missed:
+            want[s[0]] += 1
+        for s in pii.all_spans(text, base, tagged)[len(base) :]:
+            added[s[0]] += 1
+            right[s[0]] += any(s[0] == m[0] and abs(s[1] - m[1]) <= 1 and abs(s[2] - m[2]) <= 1 for m in missed)
+    print({k: (want[k], added[k], right[k]) for k in pii.KINDS})
+    assert all(right[k] >= 0.9 * added[k] and right[k] >= 0.7 * want[k] > 0 for k in pii.KINDS)
+
+
 def test_personal_data(spark, odd, empty):
     rng = random.Random(4)
     fill = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12))
@@ -464,6 +656,80 @@ def test_mixing(docs, odd, empty):
     assert mixing.copies_to_take(empty).count() == 0
 
 
+def reshared(sizes, weights=(3, 1, 2), percent=150, most=2):
+    """Targets, reshared step by step."""
+    names = sorted((x for x in sizes if x is not None)) + [x for x in sizes if x is None]
+    weight = {x: weights[i % 3] for i, x in enumerate(names)}
+    target, open_, left = {}, set(names), percent / 100 * sum(sizes.values())
+    while open_:
+        shares = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        over = {x for x in open_ if shares[x] > most * sizes[x]}
+        if not over:
+            return target | shares
+        for x in over:
+            target[x] = most * sizes[x]
+            left -= target[x]
+        open_ -= over
+    return target
+
+
+def test_targets_are_reshared(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 5, 30):
+        sizes = {f"s{i}": rng.choice([1, 10, 100, 1000, 0]) + rng.randrange(50) for i in range(n)} | {None: 7}
+        d = spark.createDataFrame([(k, v, 3) for k, v in sizes.items()], "source string, source_size long, n_docs long")
+        got = {r.source: r.target for r in mixing.source_targets(d).collect()}
+        want = reshared(sizes)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_inclusion_probabilities(spark):
+    rng = random.Random(5)
+    # A small source, whose sizes differ by a factor of twenty, against a large one.
+    rows = [(i, "w " * rng.randrange(2, 40), "b") for i in range(30)] + [(100 + i, "w " * 30, "a") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    hits, p, seeds = {}, {}, 60
+    for seed in range(seeds):
+        for r in mixing.copies_to_take(d, seed=f"s{seed}", percent=60).collect():
+            rest = r.target / r.source_size - r.target // r.source_size
+            hits[r.doc_id] = hits.get(r.doc_id, 0) + r.copies - r.target // r.source_size
+            p[r.doc_id] = (r.inclusion, r.size, r.source, rest)
+    for source in "ab":
+        own = [v for v in p.values() if v[2] == source]
+        assert sum(q * n for q, n, _, _ in own) == pytest.approx(own[0][3] * sum(n for _, n, _, _ in own))
+    off = [(hits[i] / seeds - q) for i, (q, *_) in p.items()]
+    assert max(map(abs, off)) < 0.3 and abs(sum(off) / len(off)) < 0.02
+    # Larger documents are likelier, up to four times.
+    some = sorted((n, q) for q, n, s, _ in p.values() if s == "b")
+    assert some[0][1] < some[-1][1] <= 4.01 * some[0][1]
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s", 5), (1, "a b c", "s", 5), (1, "other words here", "s", 6), (None, "a b", "t", 7), (None, "a b", "t", 7), (2, "x y z", "t", 8), (3, None, "t", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies long")
+    d = d.withColumnRenamed("__copies", "extra")
+    plan = mixing.copies_to_take(d).groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()
+    got = mixing.mixed_documents(d)
+    assert got.columns == d.columns
+    counts = {}
+    for r in got.collect():
+        k = r.doc_id, len((r.text or "").split())
+        counts[k] = counts.get(k, 0) + 1
+    assert counts == {(r.doc_id, r.size): r.n for r in plan if r.n}
+
+
+def test_quality_views():
+    rows = [(1, "s", "en", 5), (2, None, None, None), (3, "", "", 0), (4, "s", "en", 5)]
+    batch = pa.RecordBatch.from_pylist([{"text": "x" * r[0], "source": r[1], "lang": r[2], "n_chars": r[3]} for r in rows])
+    page = quality.page_features(batch)
+    assert (page[0] == page[3]).all() and (page[1] != page[2]).any() and page.shape == (4, quality.PAGE)
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.5).astype(float)
+    a = np.where(y, 1.0, -1.0) + rng.normal(0, 0.8, 400)
+    x, z, _ = quality.blended(a, -a + rng.normal(0, 1, 400), y)
+    assert x > 0 and z >= 0
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(200)]
@@ -486,9 +752,52 @@ def test_pipeline_decisions_hold(spark, data, texts):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    toxic = p.drop_toxic(spark, docs, data)
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{data}/labels.parquet"), queries.fold() != 1)
+    assert toxic.columns == docs.columns and {r.doc_id for r in toxic.collect()} == {r.id for r in scored.collect() if not r.toxic}
     kept = p.drop_contaminated(spark, docs, data)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, w in windows_by_hand(texts, bench, 10).items() if not w[-1]}
     one = p.drop_near_copies(spark, docs, data)
+    assert one.columns == docs.columns
     assert {r.doc_id for r in one.collect()} == {i for i, (_, c) in brute_components(texts, 5, 4, 5).items() if c == i}
-    assert p.run(spark, data).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    mixed, plan = p.mix_sources(spark, docs, data), {r.doc_id: r.copies for r in mixing.copies_to_take(docs).collect()}
+    assert mixed.columns == docs.columns
+    counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {i: n for i, n in plan.items() if n}
+    # The last stage against the library, over what the others left.
+    last = p.run(spark, data)
+    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    library, at = wavelet.tokenizer(queries.vocabulary()), 0
+    for r in last.orderBy("start").collect():
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_pipeline_stages_on_odd_tables(spark, data, odd, empty, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(0, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(12, 1, 1), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf = str(tmp_path)
+    extra = odd.withColumn("component_id", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("score", F.lit(0.5))
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    every = ids(extra)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, extra, sf)
+        assert out.columns == extra.columns, name
+        assert stage(spark, empty, sf).count() == 0
+        left = ids(out)
+        if name == "decontamination":
+            # Three rows of "a b c" and the one of a null id go.
+            assert left == [r for r in every if r[2] != "a b c"]
+        if name == "near_copies":
+            # Equal rows, and equal texts, are one; texts without words are never alike.
+            assert [r for r in left if r[2] == "a b c"] == [(False, 6, "a b c")] and sum(not r[2].strip() for r in left) == 3
+    # Rows of one id are told apart by their texts.
+    shared = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "wholly other words", "en", "s", 5), (1, "wholly other words", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in p.drop_contaminated(spark, shared, sf).collect()] == ["wholly other words"] * 2
+    assert sorted(r.text for r in p.drop_near_copies(spark, shared, sf).collect()) == ["a b c", "wholly other words"]
+    last = p.write_tokens(spark, extra, sf)
+    assert last.count() == extra.count() and p.write_tokens(spark, empty, sf).count() == 0
