@@ -35,6 +35,11 @@ def checked_sum(a: Column, b: Column) -> Column:
     return F.try_add(a, b)
 
 
+def checked_product(a: Column, b: Column) -> Column:
+    """Null where the product overflows."""
+    return F.try_multiply(a, b)
+
+
 def parse_size(text: Column) -> Column:
     """``[+]digits[.fraction][suffix]``; a fraction needs a scaling suffix; halves round up.
 
@@ -67,9 +72,51 @@ def version_parts(text: Column) -> Column:
     return F.when(major != "", F.struct(major.cast("int").alias("major"), minor.cast("int").alias("minor")))
 
 
+#: Control characters and direction marks; fixed values.
+UNSAFE = r"[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"
+
+
+def escaped(text: Column, named: dict[str, str], form: str) -> Column:
+    """Characters written out: the named ones, and unsafe ones by their number in ``form``."""
+    def one(c: Column) -> Column:
+        out = F.when(c.rlike(UNSAFE), F.format_string(form, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int"))).otherwise(c)
+        for sign, written in named.items():
+            out = F.when(c == sign, F.lit(written)).otherwise(out)
+        return out
+
+    each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: one(text.substr(i, F.lit(1))))
+    return F.when(text == "", "").otherwise(F.array_join(each, ""))
+
+
 def escape_terminal(text: Column) -> Column:
-    """Control characters and direction marks as question marks."""
-    return F.regexp_replace(text, r"[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]", "?")
+    """Control characters and direction marks written out, so that a terminal shows them."""
+    return escaped(text, {"\n": "\\n", "\r": "\\r", "\t": "\\t"}, "\\u{%x}")
+
+
+def escape_json(text: Column) -> Column:
+    """The inside of a JSON string; direction marks are written out as well."""
+    return escaped(text, {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}, "\\u%04x")
+
+
+def relative_path(value: Column) -> Column:
+    """A stored relative path with forward slashes and without a leading dot; null if nothing is left."""
+    body = F.regexp_replace(value, r"^\.\\", "")
+    return F.when(body != "", F.translate(body, "\\", "/"))
+
+
+def utf16_bytes(text: Column, big: bool) -> Column:
+    """The text's units, without a mark at the front."""
+    return F.encode(text, "UTF-16BE" if big else "UTF-16LE")
+
+
+def base64_bytes(text: Column) -> Column:
+    """Decoded up to the first character outside the alphabet; padding at the end is not needed.
+
+    A last group of one character holds no byte.
+    """
+    body = F.regexp_extract(F.rtrim(text, F.lit("=")), "^[A-Za-z0-9+/]*", 0)
+    whole = F.when(F.length(body) % 4 == 1, F.substring(body, F.lit(1), (F.length(body) - 1).cast("int"))).otherwise(body)
+    return F.unbase64(F.rpad(whole, F.ceil(F.length(whole) / 4).cast("int") * 4, "="))
 
 
 def normal_path(path: Column) -> Column:

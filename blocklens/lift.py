@@ -47,19 +47,46 @@ UNION ALL SELECT {tag}, 1, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'hole'
 UNION ALL SELECT {tag}, 2, o_orderkey, 'data', {v} + 3 FROM orders WHERE o_orderkey % 7 <> 0"""
 
 
+#: The cluster that a line item refers to: its order's, the next one's, one of a shared lot, or one outside the file.
+CLUSTER_OF = "CASE WHEN l_partkey % 97 = 0 THEN l_orderkey + 100000000 WHEN l_linenumber <= 2 THEN l_orderkey WHEN l_partkey % 5 = 0 THEN l_orderkey + 1 ELSE l_suppkey * 64 + l_partkey % 64 END"
+
+
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items refer to parts as clusters; the order is the logical place."""
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 37 = 0 AND l_linenumber <= 2").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("cluster_idx"))
+    """Every line item refers to a cluster; the order is the logical place."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.expr(CLUSTER_OF).alias("cluster_idx"))
 
 
-REFS_SQL = "SELECT l_orderkey AS src, l_partkey AS cluster_idx FROM lineitem WHERE l_orderkey % 37 = 0 AND l_linenumber <= 2"
+REFS_SQL = f"SELECT l_orderkey AS src, {CLUSTER_OF} AS cluster_idx FROM lineitem"
 
 
 def refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster_idx"), (F.col("p_size") % 4).cast("long").alias("stored"))
+    """Orders as counted clusters."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cluster_idx"), (F.col("o_custkey") % 4).alias("stored"))
+
+
+REFCOUNTS_SQL = "SELECT o_orderkey AS cluster_idx, o_custkey % 4 AS stored FROM orders"
+
+
+def l2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of the tables that hold the references: one for every 64 places."""
+    return refs(spark, sf_dir).select(F.expr("src div 64").alias("cluster_idx")).distinct()
+
+
+L2_TABLES_SQL = f"SELECT DISTINCT src // 64 AS cluster_idx FROM ({REFS_SQL})"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as first-level entries, line items as second-level ones, good and bad; the file has a cluster per order."""
+    first = table(spark, sf_dir, "orders").selectExpr("o_orderkey * 1000 AS pos", "1 AS level", f"{RAW_L1} AS raw")
+    second = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 1000 + 1 + l_linenumber AS pos", "2 AS level", f"{RAW_L2.replace('//', 'div')} AS raw")
+    size = table(spark, sf_dir, "orders").agg((F.count(F.lit(1)) * BLOCK).alias("size"))
+    return first.unionByName(second).crossJoin(F.broadcast(size))
 
 
-REFCOUNTS_SQL = "SELECT p_partkey AS cluster_idx, (p_size % 4)::BIGINT AS stored FROM part"
+RAW_L1 = f"CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderkey % 89 = 0 THEN 511 WHEN o_orderkey % 83 = 0 THEN o_orderkey * {BLOCK} + 512 WHEN o_orderkey % 79 = 0 THEN (o_orderkey + 100000000) * {BLOCK} ELSE o_custkey * {BLOCK} END"
+RAW_L2 = f"CASE WHEN l_partkey % 11 = 0 THEN 0 WHEN l_partkey % 13 = 0 THEN 1 WHEN l_partkey % 17 = 0 THEN 4611686018427387904 + (l_suppkey % 128) * 18014398509481984 + l_orderkey * {BLOCK} + l_linenumber * 1000 WHEN l_partkey % 19 = 0 THEN l_orderkey * {BLOCK} + 1024 WHEN l_partkey % 23 = 0 THEN (l_orderkey + 100000000) * {BLOCK} ELSE l_orderkey * {BLOCK} END"
+ENTRIES_SQL = f"""SELECT *, (SELECT count(*) * {BLOCK} FROM orders) AS size FROM (SELECT o_orderkey * 1000 AS pos, 1 AS level, {RAW_L1} AS raw FROM orders
+UNION ALL SELECT l_orderkey * 1000 + 1 + l_linenumber, 2, {RAW_L2} FROM lineitem)"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,5 +58,8 @@ def default_granularity(cluster: Column) -> Column:
     return F.greatest(F.lit(4096), F.least(F.lit(65536), cluster))
 
 
-def bytes_needed(virtual_size: Column, granularity: Column) -> Column:
-    return F.ceil(F.ceil(virtual_size / granularity) / 8)
+def replaced(directory: DataFrame, entries: DataFrame) -> DataFrame:
+    """The directory with the entries of the same names replaced; others change nothing."""
+    new = entries.select("name", *(F.col(c).alias(f"new_{c}") for c in directory.columns if c != "name"), F.lit(True).alias("found"))
+    both = directory.join(new, "name", "left")
+    return both.select(*(F.col(c) if c == "name" else F.when(F.col("found"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in directory.columns), F.coalesce("found", F.lit(False)).alias("replaced"))

@@ -12,17 +12,48 @@ from blocklens.model import MAX_CHAIN_DEPTH
 def discover(parents: DataFrame, most: int = MAX_CHAIN_DEPTH) -> DataFrame:
     """Per image: its depth, the root it reaches, and ``ok``, ``cycle``, ``too_deep`` or ``missing``.
 
-    At most ``most`` rounds, each one join of all images that still walk. An image
-    that returns to itself is a cycle; one that walks into another's cycle is too deep.
+    Paths double: a path of ``2 ** k`` ancestors is followed by that of its last one, so
+    that ``most`` steps take a logarithm of joins. Paths that have ended keep a join key of
+    their own, which nothing matches, so that finished images don't gather at their root.
+    An image that returns to itself is a cycle; one that walks into another's is too deep.
     """
-    links = parents.select(F.col("id").alias("at"), F.col("parent").alias("up"), F.lit(True).alias("known"))
-    walk = parents.select("id", F.col("id").alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("outcome"))
-    for _ in range(most + 1):
-        step = walk.join(links, "at", "left")
-        moves = F.col("outcome").isNull() & F.col("known").isNotNull() & F.col("up").isNotNull()
-        outcome = F.coalesce("outcome", F.when(F.col("known").isNull(), "missing").when(F.col("up").isNull(), "ok").when(F.col("up") == F.col("id"), "cycle"))
-        walk = step.select("id", F.when(moves, F.col("up")).otherwise(F.col("at")).alias("at"), (F.col("depth") + moves.cast("int")).alias("depth"), outcome.alias("outcome"))
-    return walk.select("id", F.col("at").alias("root"), F.col("depth").cast("long").alias("depth"), F.coalesce("outcome", F.lit("too_deep")).alias("outcome"))
+    none = F.expr(f"cast(array() as array<{parents.schema['id'].dataType.simpleString()}>)")
+    walk = parents.select("id", F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("path"), F.when(F.col("parent").isNull(), "ok").alias("end"))
+    reach = 1
+    while reach <= most + 1:
+        open_ = F.col("end").isNull()
+        asked = walk.withColumn("open", open_).withColumn("at", F.when(open_, F.try_element_at("path", F.lit(-1))).otherwise(F.col("id")))
+        known = walk.select(F.lit(True).alias("open"), F.col("id").alias("at"), F.col("path").alias("more"), F.col("end").alias("then"), F.lit(True).alias("known"))
+        step = asked.join(known, ["open", "at"], "left")
+        end = F.when(~F.col("open"), F.col("end")).when(F.col("known").isNull(), "missing").otherwise(F.col("then"))
+        walk = step.select("id", F.when(F.col("open") & F.col("known").isNotNull(), F.concat("path", "more")).otherwise(F.col("path")).alias("path"), end.alias("end"))
+        reach *= 2
+    home = F.array_position("path", F.col("id"))
+    cycle = (home > 0) & (home <= most + 1)
+    depth = F.when(cycle, home - 1).otherwise(F.least(F.size("path"), F.lit(most + 1)).cast("long"))
+    outcome = F.when(cycle, "cycle").when(F.size("path") > most, "too_deep").otherwise(F.coalesce("end", F.lit("too_deep")))
+    found = walk.select("id", "path", depth.cast("long").alias("depth"), outcome.alias("outcome"))
+    return found.select("id", F.when(F.col("depth") == 0, F.col("id")).otherwise(F.try_element_at("path", F.col("depth").cast("int"))).alias("root"), "depth", "outcome")
+
+
+def last_before(points: DataFrame, marks: DataFrame, chunk: int, by: list[str] | None = None) -> DataFrame:
+    """``points(*by, pos, ...)`` with the ``mark`` of the last of ``marks(*by, pos, mark)`` at or before each.
+
+    Positions are cut into chunks that are ordered by themselves; what a chunk begins with
+    comes from one row per chunk that holds a mark.
+    """
+    by = by or []
+    cell = F.expr(f"floor(pos / {chunk})")
+    marks = marks.withColumn("cell", cell)
+    own = [*by, "cell"]
+    both = points.withColumn("cell", cell).withColumn("is_point", F.lit(1)).unionByName(marks.withColumn("is_point", F.lit(0)), allowMissingColumns=True)
+    along = W.partitionBy(*own).orderBy("pos", "is_point").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = both.withColumn("inside", F.last("mark", ignorenulls=True).over(along)).filter("is_point = 1")
+    lasts = marks.groupBy(*own).agg(F.max_by("mark", "pos").alias("last"))
+    cells = within.select(*own).distinct().join(lasts, own, "full_outer")
+    before = F.last("last", ignorenulls=True).over((W.partitionBy(*by) if by else W.partitionBy()).orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    carried = cells.withColumn("carried", before).select(*own, "carried")
+    return within.join(carried, own, "left").withColumn("mark", F.coalesce("inside", "carried")).drop("cell", "is_point", "inside", "carried")
 
 
 def member_starts(members: DataFrame) -> DataFrame:
@@ -31,21 +62,43 @@ def member_starts(members: DataFrame) -> DataFrame:
     return members.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("size"))
 
 
-def members_at(offsets: DataFrame, members: DataFrame) -> DataFrame:
-    """The member that holds each offset, and the place in it; beyond the end reads as zeros."""
-    spans = F.broadcast(member_starts(members))
-    return offsets.join(spans, F.expr("offset >= start AND offset < end"), "left").select("offset", "member", (F.col("offset") - F.col("start")).alias("inside"), F.col("member").isNull().alias("zero"))
+def members_at(offsets: DataFrame, members: DataFrame, chunk: int = 1 << 30) -> DataFrame:
+    """The member that holds each offset, and the place in it; beyond the end reads as zeros.
+
+    With a ``held`` column, a member holds fewer bytes than its size takes up: the rest of
+    it reads as zeros too, each member's for itself.
+    """
+    spans = member_starts(members if "held" in members.columns else members.withColumn("held", F.col("size")))
+    marks = spans.filter("size > 0").select(F.col("start").alias("pos"), F.struct("member", "start", "end", "held").alias("mark"))
+    found = last_before(offsets.withColumn("pos", F.col("offset")), marks, chunk)
+    m, inside = F.col("mark"), F.col("offset") - F.col("mark.start")
+    there = F.coalesce(F.col("offset") < m["end"], F.lit(False))
+    return found.select("offset", F.when(there, m["member"]).alias("member"), F.when(there, inside).alias("inside"), (~there | (inside >= m["held"])).alias("zero"))
+
+
+def level_of(length: Column, base: int) -> Column:
+    """The least level at which a range covers at most seventeen cells of ``base * 16 ** level``."""
+    return F.expr("0L") + F.greatest(F.lit(0), F.floor((F.length(F.bin(F.call_function("div", length - 1, F.lit(base).cast("long")))) + 3) / 4) - 1)
+
+
+def cell_size(level: Column, base: int) -> Column:
+    return F.lit(base).cast("long") * F.pow(F.lit(16.0), level).cast("long")
 
 
 def last_started(points: DataFrame, chunks: DataFrame, cell: int) -> DataFrame:
     """For each sector the chunk that holds it, ``first <= sector < first + count``, or a gap.
 
-    A range join on cells: a chunk is listed in every cell it covers, a sector looks in
-    its own. Overlapping chunks resolve to the one that starts last; a gap is an error
-    that callers must not read as zeros.
+    A range join on cells: a chunk is listed in the few cells that it covers at the level of
+    its length, a sector looks in its own cell of every level there is. Overlapping chunks
+    resolve to the one that starts last; a gap is an error that callers must not read as zeros.
     """
-    covered = chunks.withColumn("cell", F.explode(F.expr(f"sequence(first div {cell}, (first + count - 1) div {cell})")))
-    held = points.withColumn("cell", F.expr(f"sector div {cell}")).join(covered, "cell", "left").filter("first IS NULL OR (sector >= first AND sector < first + count)")
+    chunks = chunks.filter("count > 0").withColumn("level", level_of(F.col("count"), cell))
+    width = cell_size(F.col("level"), cell)
+    div = lambda x: F.call_function("div", x, width)
+    covered = chunks.withColumn("cell", F.explode(F.sequence(div(F.col("first")), div(F.col("first") + F.col("count") - 1))))
+    levels = chunks.agg(F.collect_set("level").alias("levels"))
+    asked = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
+    held = asked.withColumn("cell", div(F.col("sector"))).join(covered, ["level", "cell"]).filter("sector >= first AND sector < first + count")
     best = held.groupBy("sector").agg(F.max(F.struct("first", "chunk")).alias("c"))
     return points.join(best, "sector", "left").select("sector", F.col("c.chunk").alias("chunk"), (F.col("sector") - F.col("c.first")).alias("inside"), F.coalesce(F.col("c.chunk").isNull(), F.lit(True)).alias("gap"))
 
@@ -59,16 +112,42 @@ def tiling_faults(segments: DataFrame) -> DataFrame:
     return ends.select("table_id", "breaks", "file_breaks", "covered", ((F.col("breaks") == 0) & (F.col("covered") == F.col("n"))).alias("sound"))
 
 
+def ranges_overlap(offset: Column, length: Column, other: Column, other_length: Column) -> Column:
+    """Whether two ranges share a byte: empty ones never do, one whose end overflows always does."""
+    end, other_end = F.try_add(offset, length), F.try_add(other, other_length)
+    return F.when((length == 0) | (other_length == 0), False).when(end.isNull() | other_end.isNull(), True).otherwise((offset < other_end) & (other < end))
+
+
 def overlaps(a: DataFrame, b: DataFrame, cell: int) -> DataFrame:
-    """Pairs of half-open ranges that overlap, by the cells they cover; empty ranges never do.
+    """Pairs of ranges ``(id, start, length)`` that overlap, by the cells they cover.
 
-    A pair is reported in the first cell that both cover, so it comes once.
+    A range is listed in its cells at the level of its length and at every coarser level
+    there is; two ranges meet at the coarser of their levels, in the first cell that both
+    cover, so a pair comes once. Empty ranges never overlap. A range whose end overflows
+    overlaps with every other one: it is told once, with the other side null.
     """
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        return df.filter(f"{p}_end > {p}_start").withColumn("cell", F.explode(F.expr(f"sequence({p}_start div {cell}, ({p}_end - 1) div {cell})")))
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.filter(f"{p}_length > 0").withColumn(f"{p}_end", F.try_add(f"{p}_start", f"{p}_length"))
+
+    a, b = named(a, "a"), named(b, "b")
+    lost = lambda df, p: df.filter(f"{p}_end IS NULL")
+    whole = lambda df, p: df.filter(f"{p}_end IS NOT NULL").withColumn(f"{p}_level", level_of(F.col(f"{p}_length"), cell))
+    wa, wb = whole(a, "a"), whole(b, "b")
+    levels = wa.select(F.col("a_level").alias("level")).unionByName(wb.select(F.col("b_level").alias("level"))).agg(F.collect_set("level").alias("levels"))
 
-    met = cells(a, "a").join(cells(b, "b"), "cell").filter(f"a_start < b_end AND b_start < a_end AND cell = greatest(a_start, b_start) div {cell}")
-    return met.select("a_id", "b_id", F.expr("greatest(a_start, b_start)").alias("start"), F.expr("least(a_end, b_end)").alias("end"))
+    def cells(df: DataFrame, p: str) -> DataFrame:
+        df = df.crossJoin(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col(f"{p}_level")))).drop("levels")
+        width = cell_size(F.col("level"), cell)
+        return df.withColumn("cell", F.explode(F.sequence(F.call_function("div", F.col(f"{p}_start"), width), F.call_function("div", F.col(f"{p}_end") - 1, width))))
+
+    met = cells(wa, "a").join(cells(wb, "b"), ["level", "cell"])
+    first = F.call_function("div", F.greatest("a_start", "b_start"), cell_size(F.col("level"), cell))
+    met = met.filter((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("level") == F.greatest("a_level", "b_level")) & (F.col("cell") == first))
+    pairs = met.select("a_id", "b_id", F.expr("greatest(a_start, b_start)").alias("start"), F.expr("least(a_end, b_end)").alias("end"))
+    for df, p, other in ((a, "a", b), (b, "b", a)):
+        alone = lost(df, p).select(*(F.col(f"{q}_id") if q == p else F.lit(None).cast((b if q == "b" else a).schema[f"{q}_id"].dataType).alias(f"{q}_id") for q in "ab"), F.col(f"{p}_start").alias("start"), F.lit(None).cast("long").alias("end"))
+        pairs = pairs.unionByName(alone)
+    return pairs
 
 
 def preferred_locator(locators: DataFrame) -> DataFrame:

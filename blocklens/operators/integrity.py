@@ -16,27 +16,6 @@ def compared_counts(refs: DataFrame, refcounts: DataFrame) -> DataFrame:
     return refcounts.join(used(refs), "cluster_idx", "full_outer").select("cluster_idx", F.coalesce("want", F.lit(0)).alias("want"), "stored")
 
 
-def check_counters(refs: DataFrame, refcounts: DataFrame) -> DataFrame:
-    """Leaks, overlaps, referenced clusters without a count, and the verdict flags.
-
-    Leaks count as errors but leave an image valid; references without a count also
-    mark it corrupt. Clusters outside the counted area are beyond the file.
-    """
-    both = compared_counts(refs, refcounts)
-    inside = F.col("stored").isNotNull()
-    counts = both.agg(
-        F.count(F.when((F.col("want") == 0) & (F.col("stored") > 0), 1)).alias("leaks"),
-        F.coalesce(F.sum(F.when(F.col("want") > 1, F.col("want") - 1)), F.lit(0)).alias("overlaps"),
-        F.coalesce(F.sum(F.when(~inside, F.col("want"))), F.lit(0)).alias("out_of_file"),
-        F.count(F.when(inside & (F.col("want") > 0) & (F.col("stored") == 0), 1)).alias("refcount_errors"),
-        F.count(F.when(F.col("want") > 0, 1)).alias("clusters_allocated"),
-        F.count(F.when(inside, 1)).alias("clusters_checked"),
-        F.max(F.when(F.col("want") > 0, F.col("cluster_idx") + 1)).alias("image_end"),
-    )
-    counts = counts.withColumn("corruptions", F.col("overlaps") + F.col("out_of_file"))
-    return counts.withColumn("total_errors", F.expr("corruptions + leaks + refcount_errors")).withColumn("valid", F.expr("corruptions = 0 and refcount_errors = 0")).withColumn("has_corruptions", F.expr("corruptions > 0 or refcount_errors > 0"))
-
-
 def leaked(refs: DataFrame, refcounts: DataFrame) -> DataFrame:
     return refcounts.filter("stored > 0").join(refs, "cluster_idx", "left_anti")
 

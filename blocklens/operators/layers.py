@@ -26,23 +26,24 @@ def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 
 
-def compare(a: DataFrame, b: DataFrame, size_a: Column, size_b: Column) -> DataFrame:
+def compare(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFrame:
     """Two composed chains: the first difference, and whether a longer tail is zero.
 
-    ``compared`` is the common size even when a difference ends the walk early.
+    ``sizes`` is one row ``(size_a, size_b)``. ``compared`` is the common size even when a
+    difference ends the walk early.
     """
     left = a.select("block_idx", F.col("value").alias("va"))
     right = b.select("block_idx", F.col("value").alias("vb"))
     both = left.join(right, "block_idx", "full_outer").withColumn("differs", or_zero(F.col("va")) != or_zero(F.col("vb")))
-    common = F.least(size_a, size_b)
-    inside = F.col("block_idx") < common
-    return both.agg(
+    both = both.crossJoin(F.broadcast(sizes.select("size_a", "size_b")))
+    inside = F.col("block_idx") < F.least("size_a", "size_b")
+    counts = both.agg(
         F.min(F.when(F.col("differs") & inside, F.col("block_idx"))).alias("first_mismatch"),
         F.count(F.when(F.col("differs") & inside, 1)).alias("n_mismatches"),
         F.count(F.when(F.col("differs") & ~inside, 1)).alias("tail_mismatches"),
-        common.cast("long").alias("compared"),
-        (size_a != size_b).alias("size_mismatch"),
-    ).withColumn("identical", (F.col("n_mismatches") == 0) & (F.col("tail_mismatches") == 0))
+    )
+    sized = counts.crossJoin(F.broadcast(sizes.select(F.least("size_a", "size_b").cast("long").alias("compared"), (F.col("size_a") != F.col("size_b")).alias("size_mismatch"))))
+    return sized.withColumn("identical", (F.col("n_mismatches") == 0) & (F.col("tail_mismatches") == 0))
 
 
 def rebase_copies(overlay: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -69,3 +70,31 @@ def rechunk(sectors: DataFrame, ratio: int) -> DataFrame:
     """Input sectors gathered into output sectors of ``ratio`` each; all-zero ones are dropped."""
     out = sectors.groupBy(F.expr(f"sector div {ratio}").alias("sector")).agg(F.count(F.lit(1)).alias("parts"), F.sum("value").alias("value"), F.max(F.abs("value")).alias("most"))
     return out.filter("most <> 0").drop("most")
+
+
+def compose_differencing(sectors: DataFrame, order: str) -> DataFrame:
+    """``sectors(block_idx, sector, present, bits, child, parent)``: who answers each sector, and its value.
+
+    ``bits`` is the byte of the block's bitmap that covers the sector, whose place in it is
+    ``sector % 8``. A block that is wholly present is the child's, one that is absent the
+    parent's (``present`` 'full', 'absent'); others go sector by sector.
+    """
+    own = F.when(F.col("present") == "full", True).when(F.col("present") == "absent", False).otherwise(sector_owner(F.col("bits"), F.col("sector") % 8, order))
+    return sectors.select("block_idx", "sector", own.alias("child_owned"), F.when(own, F.col("child")).otherwise(or_zero(F.col("parent"))).alias("value"))
+
+
+def commit_refusal(overlay: DataFrame) -> DataFrame:
+    """Why an overlay can't be committed: it holds compressed clusters; else ``ok``. One row."""
+    return overlay.agg(F.when(F.coalesce(F.max((F.col("state") == "compressed").cast("int")), F.lit(0)) > 0, "compressed").otherwise("ok").alias("outcome"))
+
+
+def repointed(images: DataFrame, changes: DataFrame) -> DataFrame:
+    """An unsafe rebase: parents of ``images(id, parent, parent_format)`` as ``changes(id, new_parent, new_format)`` say.
+
+    No data is read or copied. A null new parent takes the parent away; a format that is
+    not named stays null. Each row says whether it was rewritten.
+    """
+    listed = changes.select("id", "new_parent", "new_format", F.lit(True).alias("rewritten"))
+    both = images.join(listed, "id", "left")
+    new = F.coalesce("rewritten", F.lit(False))
+    return both.select("id", F.when(new, F.col("new_parent")).otherwise(F.col("parent")).alias("parent"), F.when(new, F.col("new_format")).otherwise(F.col("parent_format")).alias("parent_format"), new.alias("rewritten"))

@@ -46,6 +46,66 @@ def place_clusters(extents: DataFrame, first: int, chunk: int = 65536) -> DataFr
     return rows.join(base, ["image_id", "chunk"]).select("image_id", "block_idx", (F.col("base") + number - 1 + first).cast("long").alias("host_cluster"))
 
 
+def place_tables(blocks: DataFrame, per_table: int, first: int, unit: int, table_unit: int) -> tuple[DataFrame, DataFrame]:
+    """Where a writer puts data and the tables that name it, in the order of addresses.
+
+    A table comes first, then the blocks it names; empty tables are not written. Gives
+    ``(image_id, block_idx, table_idx, at)`` and ``(image_id, table_idx, at)``. Only one
+    row per table is ordered over a whole image.
+    """
+    rows = blocks.select("image_id", "block_idx", F.expr(f"block_idx div {per_table}").alias("table_idx"))
+    counts = rows.groupBy("image_id", "table_idx").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("image_id").orderBy("table_idx").rowsBetween(W.unboundedPreceding, -1)
+    at = first + F.coalesce(F.count(F.lit(1)).over(before), F.lit(0)) * table_unit + F.coalesce(F.sum("n").over(before), F.lit(0)) * unit
+    tables = counts.select("image_id", "table_idx", at.cast("long").alias("at"))
+    turn = F.row_number().over(W.partitionBy("image_id", "table_idx").orderBy("block_idx")) - 1
+    placed = rows.withColumn("turn", turn).join(tables, ["image_id", "table_idx"])
+    return placed.select("image_id", "block_idx", "table_idx", (F.col("at") + table_unit + F.col("turn") * unit).cast("long").alias("at")), tables
+
+
+def place_blocks(blocks: DataFrame, first: int, unit: int, chunk: int = 65536) -> DataFrame:
+    """File offsets of equal blocks behind one table that names them all."""
+    return place_clusters(blocks, 0, chunk).select("image_id", "block_idx", (first + F.col("host_cluster") * unit).alias("file_offset"))
+
+
+def vhd_entries(blocks: DataFrame, first: int, block: int, chunk: int = 65536) -> DataFrame:
+    """Block table entries of a dynamic VHD image: sectors; each block has its bitmap before it."""
+    bitmap = -(-(-(-(block // 512) // 8)) // 512) * 512
+    return place_blocks(blocks, first, bitmap + block, chunk).select("image_id", "block_idx", F.expr("file_offset div 512").alias("entry"))
+
+
+def vhdx_entries(blocks: DataFrame, first: int, block: int, chunk: int = 65536) -> DataFrame:
+    """Entries of a dynamic VHDX image: a block's slot counts the bitmap slots before it."""
+    ratio = (1 << 23) * 512 // block
+    return place_blocks(blocks, first, block, chunk).select("image_id", (F.col("block_idx") + F.expr(f"block_idx div {ratio}")).alias("slot"), (F.col("file_offset") + 6).alias("entry"))
+
+
+def create_steps(images: DataFrame) -> DataFrame:
+    """What a new, empty image's file holds: ``(image_id, step, part, offset, length)`` of ``images(image_id, format, v)``.
+
+    Steps are in file order; sizes are those of the formats' fixed structures and of the
+    tables that ``v`` asks for. Unknown formats have none.
+    """
+    from blocklens.plans.sizes import MIB, SECTOR, vhdx_block_size, vhdx_layout
+
+    v = F.col("v")
+    sector = lambda c: ceil_div(c, SECTOR) * SECTOR
+    part = lambda name, offset, length: F.struct(F.lit(name).alias("part"), (F.lit(offset) if isinstance(offset, int) else offset).cast("long").alias("offset"), (F.lit(length) if isinstance(length, int) else length).cast("long").alias("length"))
+    layout = vhdx_layout(ceil_div(v, SECTOR) * SECTOR, vhdx_block_size(v))
+    bat = sector(ceil_div(v, 2 * MIB) * 4)
+    tables = ceil_div(ceil_div(v, 65536), 512)
+    made = {
+        "raw": [part("data", 0, v)],
+        "vhd": [part("footer_copy", 0, 512), part("dynamic_header", 512, 1024), part("block_table", 1536, bat), part("footer", 1536 + bat, 512)],
+        "vhdx": [part("identifier", 0, 65536), part("header_1", 65536, 4096), part("header_2", 131072, 4096), part("region_table_1", 196608, 65536), part("region_table_2", 262144, 65536), part("log", MIB, MIB), part("block_table", 2 * MIB, layout["bat_bytes"]), part("metadata", 2 * MIB + layout["bat_bytes"], MIB)],
+        "vmdk": [part("header", 0, 512), part("descriptor", 512, 20 * 512), part("grain_directory", 21 * 512, F.greatest(sector(tables * 4), F.lit(512).cast("long")))],
+    }
+    steps = F.lit(None).cast("array<struct<part: string, offset: bigint, length: bigint>>")
+    for name, parts in made.items():
+        steps = F.when(F.col("format") == name, F.array(*parts)).otherwise(steps)
+    return images.select("image_id", F.posexplode(steps).alias("step", "p")).select("image_id", "step", "p.*")
+
+
 def place_compressed(blocks: DataFrame, align: int, first: int, chunk: int = 65536) -> DataFrame:
     """File offsets of compressed blocks of different sizes, each padded to ``align``."""
     rows = blocks.withColumn("padded", F.expr(f"((size + {align - 1}) div {align}) * {align}")).withColumn("chunk", F.expr(f"block_idx div {chunk}"))

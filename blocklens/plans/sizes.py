@@ -9,6 +9,8 @@ from blocklens.functions.scalars import ceil_div, div, round_up
 
 MIB = 1 << 20
 #: Header, descriptor and marker sizes of the formats, in bytes; fixed values.
+#: Gap before a fixed VHDX image's data, and the most entries of a first-level table; fixed values.
+FIXED_GAP, MOST_L1 = 5 * MIB, 32 * MIB // 8
 SECTOR, VHD_FOOTER, VHD_HEADER, VMDK_DATA_START, VMDK_TAIL, STREAM_ALIGN = 512, 512, 1024, 512 + 20 * 512, 3 * 512, 65536
 
 
@@ -18,13 +20,17 @@ def allocation(extents: DataFrame, unit: int) -> DataFrame:
     A unit that two extents share counts once: an extent names its first and last unit,
     units wholly inside count by arithmetic, and only units on an extent's edge are listed.
     """
-    rows = extents.withColumn("end", F.col("start") + F.col("length"))
-    totals = rows.groupBy("image_id").agg(F.max("end").alias("virtual_size"), F.coalesce(F.sum(F.when(F.col("state") == "data", F.col("length"))), F.lit(0)).alias("allocated"))
-    data = rows.filter("state = 'data' AND length > 0").select("image_id", F.expr(f"start div {unit}").alias("a"), F.expr(f"(end - 1) div {unit}").alias("b"))
-    inner = data.groupBy("image_id").agg(F.sum(F.greatest(F.col("b") - F.col("a") - 1, F.lit(0))).alias("inner"))
-    edges = data.select("image_id", F.explode(F.array("a", "b")).alias("u")).distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("edges"))
-    both = totals.join(inner, "image_id", "left").join(edges, "image_id", "left")
-    return both.select("image_id", "virtual_size", F.least("allocated", "virtual_size").alias("allocated_bytes"), (F.coalesce("inner", F.lit(0)) + F.coalesce("edges", F.lit(0))).alias("units"))
+    rows = extents.withColumn("end", F.col("start") + F.col("length")).withColumn("data", (F.col("state") == "data") & (F.col("length") > 0))
+    a, b = F.expr(f"start div {unit}"), F.expr(f"(end - 1) div {unit}")
+    # One entry per edge unit; the first also brings what the extent adds by arithmetic.
+    zero = F.lit(0).cast("long")
+    entry = lambda u, inner, bytes_: F.struct(u.alias("u"), inner.alias("inner"), bytes_.alias("bytes"))
+    first, last = entry(a, F.greatest(b - a - 1, zero), F.col("length")), entry(b, zero, zero)
+    parts = F.when(~F.col("data"), F.array(entry(F.lit(None).cast("long"), zero, zero))).when(a == b, F.array(first)).otherwise(F.array(first, last))
+    listed = rows.select("image_id", "end", F.explode(parts).alias("e"))
+    per = listed.groupBy("image_id", "e.u").agg(F.max("end").alias("end"), F.sum("e.inner").alias("inner"), F.sum("e.bytes").alias("bytes"))
+    total = per.groupBy("image_id").agg(F.max("end").alias("virtual_size"), F.sum("bytes").alias("allocated"), (F.sum("inner") + F.count("u")).alias("units"))
+    return total.select("image_id", "virtual_size", F.least("allocated", "virtual_size").alias("allocated_bytes"), "units")
 
 
 def data_units(units: Column, allocated: Column, unit: Column | int) -> Column:
@@ -94,6 +100,66 @@ def vhdx_layout(v: Column, block: Column, sector: int = 512) -> dict[str, Column
     return {"chunk_ratio": ratio, "payload_blocks": payload, "bat_entries": entries, "bat_bytes": region, "data_start": 3 * MIB + region}
 
 
+def measure_vhdx(v: Column, units: Column, allocated: Column, block: Column, fixed: bool = False) -> Column:
+    """Sizes of a VHDX image of ``v`` bytes, which are rounded up to sectors; a fixed one is dense."""
+    size = round_up(v, SECTOR)
+    layout = vhdx_layout(size, block)
+    if fixed:
+        total = 2 * MIB + layout["bat_bytes"] + FIXED_GAP + size
+        return F.struct(total.alias("required"), total.alias("full"))
+    each = round_up(block, MIB)
+    return F.struct((layout["data_start"] + data_units(units, allocated, block) * each).alias("required"), (layout["data_start"] + layout["payload_blocks"] * each).alias("full"))
+
+
+#: What each target counts its data in; VHDX by the default block size of the image.
+TARGET_UNITS = {"qcow2": 65536, "vmdk_sparse": 65536, "vhd_dynamic": 2 * MIB, "vhdx_dynamic": None, "raw": SECTOR}
+
+
+def measure_extents(extents: DataFrame) -> DataFrame:
+    """``(image_id, target, required, fully_allocated)`` of images given by their extents.
+
+    Each target counts the units of its own size that hold data; an image whose allocation
+    is larger than itself can't be measured and has null sizes.
+    """
+    def counted(unit: int) -> DataFrame:
+        return allocation(extents, unit).select("image_id", "virtual_size", "allocated_bytes", "units", F.lit(unit).cast("long").alias("unit"))
+
+    wanted = (SECTOR, 65536, 2 * MIB, 8 * MIB, 16 * MIB, 32 * MIB, 64 * MIB)
+    rows = counted(wanted[0])
+    for unit in wanted[1:]:
+        rows = rows.unionByName(counted(unit))
+    v, u, held, unit = (F.col(c) for c in ("virtual_size", "units", "allocated_bytes", "unit"))
+    qcow2 = measure_qcow2(rows.filter(unit == 65536).withColumn("v", v)).select("image_id", F.lit("qcow2").alias("target"), "required", F.col("full").alias("fully_allocated"))
+
+    def made(chosen: Column, target: str, sizes: Column) -> DataFrame:
+        return rows.filter(chosen).select("image_id", F.lit(target).alias("target"), sizes.alias("m")).select("image_id", "target", F.col("m.required").cast("long").alias("required"), F.col("m.full").cast("long").alias("fully_allocated"))
+
+    out = qcow2.unionByName(made(unit == SECTOR, "raw", F.struct(v.alias("required"), v.alias("full"))))
+    out = out.unionByName(made(unit == 65536, "vmdk_sparse", measure_vmdk(v, u, "sparse"))).unionByName(made(unit == 2 * MIB, "vhd_dynamic", measure_vhd(v, u, 2 * MIB)))
+    return out.unionByName(made(unit == vhdx_block_size(v), "vhdx_dynamic", measure_vhdx(v, u, held, unit)))
+
+
+def qcow2_layout(images: DataFrame, cluster: int = 65536, bits: int = 16, entry: int = 8) -> DataFrame:
+    """Where a new image's structures lie: ``images(image_id, v, preallocated)``.
+
+    Header, L1, refcount table and blocks, then (preallocated) L2 tables and data. Sizes of
+    0 and tables of more than ``MOST_L1`` entries are refused: null columns, and a reason.
+    """
+    per_table = cluster * (cluster // entry)
+    rows = images.withColumn("l1_entries", F.when(F.col("v") == 0, 0).otherwise(F.expr(f"(v - 1) div {per_table} + 1")))
+    rows = rows.withColumn("refusal", F.when((F.col("v") == 0) | (F.col("l1_entries") > MOST_L1), "invalid_size"))
+    rows = rows.withColumn("l1_clusters", F.greatest(ceil_div(F.col("l1_entries") * 8, cluster), F.lit(1).cast("long")))
+    full = F.col("preallocated")
+    rows = rows.withColumn("l2_clusters", F.when(full, F.col("l1_entries")).otherwise(0).cast("long")).withColumn("data_clusters", F.when(full, ceil_div(F.col("v"), cluster)).otherwise(0).cast("long"))
+    rows = refcount_layout(rows.withColumns({"used": F.expr("1 + l1_clusters + l2_clusters + data_clusters"), "cluster": F.lit(cluster).cast("long"), "bits": F.lit(bits).cast("long")}))
+    table = (1 + F.col("l1_clusters")) * cluster
+    blocks = table + F.col("layout.table") * cluster
+    l2 = blocks + F.col("layout.blocks") * cluster
+    data = l2 + F.col("l2_clusters") * cluster
+    columns = {"l1_offset": F.lit(cluster).cast("long"), "refcount_table": table, "refcount_blocks": blocks, "l2_offset": l2, "data_offset": data, "file_size": data + F.col("data_clusters") * cluster}
+    return rows.select("image_id", "refusal", *(F.when(F.col("refusal").isNull(), c).alias(k) for k, c in columns.items()))
+
+
 def fixed_bat(layouts: DataFrame) -> DataFrame:
     """Entries of a dense table: a bitmap slot closes each group, and its entry is 0."""
     rows = layouts.withColumn("slot", F.explode(F.expr("sequence(0L, bat_entries - 1)")))

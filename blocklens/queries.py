@@ -11,7 +11,7 @@ from blocklens import lift
 from blocklens.functions import chs
 from blocklens.functions import scalars as S
 from blocklens.model import BLOCK
-from blocklens.operators import bitmaps, chains, extents, integrity, layers, paths, snapshots
+from blocklens.operators import bitmaps, chains, checks, extents, integrity, layers, paths, snapshots
 from blocklens.plans import schedule, sizes
 from blocklens.sources import containers, formats
 
@@ -100,9 +100,9 @@ def split_transfers(spark, sf_dir):
 @query("""SELECT l_orderkey AS block_idx, l_linenumber AS slot, CASE WHEN e = 4294967295 THEN 'hole' ELSE 'data' END AS vhd, CASE WHEN e <> 4294967295 THEN e * 512 + 512 END AS vhd_offset,
 CASE WHEN x % 8 IN (6, 7) THEN 'data' WHEN x % 8 = 2 THEN 'zero' ELSE 'hole' END AS vhdx, CASE WHEN x % 8 IN (6, 7) THEN (x // 1048576) * 1048576 END AS vhdx_offset,
 CASE WHEN g = 0 THEN 'hole' WHEN g = 1 THEN 'zero' ELSE 'data' END AS vmdk, CASE WHEN g > 1 THEN g * 512 END AS vmdk_offset
-FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN 4294967295 ELSE l_partkey END AS e, l_partkey * 1048576 + l_suppkey % 8 AS x, l_suppkey % 5 AS g FROM lineitem WHERE l_orderkey % 11 = 0)""")
+FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN 4294967295 ELSE l_partkey END AS e, l_partkey * 1048576 + l_suppkey % 8 AS x, l_suppkey % 5 AS g FROM lineitem)""")
 def classify_tables(spark, sf_dir):
-    t = lift.table(spark, sf_dir, "lineitem").filter("l_orderkey % 11 = 0")
+    t = lift.table(spark, sf_dir, "lineitem")
     vhd, vhd_at = extents.classify_vhd(F.expr("if(l_linenumber = 1, 4294967295L, l_partkey)"), 512)
     vhdx, vhdx_at = extents.classify_vhdx(F.expr("l_partkey * 1048576 + l_suppkey % 8"))
     vmdk, vmdk_at = extents.classify_vmdk(F.expr("l_suppkey % 5"))
@@ -143,8 +143,8 @@ SELECT min(CASE WHEN differs AND block_idx < vb THEN block_idx END) AS first_mis
  any_value(vb)::BIGINT AS compared, any_value(va <> vb) AS size_mismatch, count(CASE WHEN differs THEN 1 END) = 0 AS identical FROM d, s""")
 def compare_chains(spark, sf_dir):
     a, b = layers.compose(lift.layers(spark, sf_dir)), layers.compose(lift.layers(spark, sf_dir, 1))
-    last = lift.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m")).first()["m"]
-    return layers.compare(a, b, F.lit(last + 1), F.lit(last - 99))
+    sizes_ = lift.table(spark, sf_dir, "orders").agg((F.max("o_orderkey") + 1).alias("size_a"), (F.max("o_orderkey") - 99).alias("size_b"))
+    return layers.compare(a, b, sizes_)
 
 
 @query(f"""WITH old AS ({compose_sql(more=' AND depth >= 1')}), new AS ({compose_sql(more=' AND depth >= 2')}), top AS (SELECT block_idx FROM ({lift.layers_sql()}) WHERE depth = 0 AND state <> 'hole')
@@ -172,9 +172,9 @@ def copy_rechunk(spark, sf_dir):
     return layers.rechunk(lift.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sector", "if(o_orderstatus = 'O', o_orderkey, 0) AS value"), 8)
 
 
-@query(f"""WITH c AS ({compose_sql()}) SELECT block_idx - 40 AS block_idx, value FROM c WHERE block_idx >= 40 AND block_idx < 5000 AND value <> 0""")
+@query(f"""WITH c AS ({compose_sql()}) SELECT block_idx - 40 AS block_idx, value FROM c WHERE block_idx >= 40 AND value <> 0""")
 def convert_raw(spark, sf_dir):
-    image = layers.compose(lift.layers(spark, sf_dir).filter("block_idx >= 40 AND block_idx < 5000"))
+    image = layers.compose(lift.layers(spark, sf_dir).filter("block_idx >= 40"))
     return image.filter("value <> 0").select((F.col("block_idx") - 40).alias("block_idx"), "value")
 
 
@@ -210,10 +210,10 @@ def vhdx_layouts(spark, sf_dir):
     return v.select("image_id", "block_size", *(layout[c].alias(c) for c in ("chunk_ratio", "payload_blocks", "bat_entries")))
 
 
-@query("""WITH l AS (SELECT s_suppkey AS image_id, 5 + s_suppkey % 3 AS chunk_ratio, 20 + s_suppkey AS bat_entries, 1048576 AS block_size, 4194304 AS data_start FROM supplier WHERE s_suppkey < 50)
+@query("""WITH l AS (SELECT s_suppkey AS image_id, 5 + s_suppkey % 3 AS chunk_ratio, 20 + s_suppkey AS bat_entries, 1048576 AS block_size, 4194304 AS data_start FROM supplier)
 SELECT image_id, slot, slot % (chunk_ratio + 1) = chunk_ratio AS is_bitmap, CASE WHEN slot % (chunk_ratio + 1) = chunk_ratio THEN 0 ELSE (slot - slot // (chunk_ratio + 1)) * block_size + data_start + 6 END::BIGINT AS entry FROM (SELECT *, unnest(range(0, bat_entries)) AS slot FROM l)""")
 def vhdx_fixed_bat(spark, sf_dir):
-    return sizes.fixed_bat(lift.table(spark, sf_dir, "supplier").filter("s_suppkey < 50").selectExpr("s_suppkey AS image_id", "5 + s_suppkey % 3 AS chunk_ratio", "20 + s_suppkey AS bat_entries", "1048576L AS block_size", "4194304L AS data_start"))
+    return sizes.fixed_bat(lift.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS image_id", "5 + s_suppkey % 3 AS chunk_ratio", "20 + s_suppkey AS bat_entries", "1048576L AS block_size", "4194304L AS data_start"))
 
 
 @query("""SELECT c.f AS child, p.f AS parent, CASE WHEN c.f IN ('vhd', 'vhdx') THEN c.f = p.f ELSE true END AS matches FROM (SELECT unnest(['raw', 'qcow2', 'vhd', 'vhdx']) AS f) c, (SELECT unnest(['raw', 'qcow2', 'vhd', 'vhdx']) AS f) p""")
@@ -276,11 +276,30 @@ BOTH_SQL = f"""r AS ({lift.REFS_SQL}), c AS ({lift.REFCOUNTS_SQL}), used AS (SEL
 b AS (SELECT coalesce(c.cluster_idx, u.cluster_idx) AS cluster_idx, coalesce(want, 0) AS want, stored FROM c FULL JOIN used u ON c.cluster_idx = u.cluster_idx)"""
 
 
-@query(f"""WITH {BOTH_SQL}, k AS (SELECT count(CASE WHEN want = 0 AND stored > 0 THEN 1 END) AS leaks, coalesce(sum(CASE WHEN want > 1 THEN want - 1 END), 0)::BIGINT AS overlaps, coalesce(sum(CASE WHEN stored IS NULL THEN want END), 0)::BIGINT AS out_of_file,
- count(CASE WHEN want > 0 AND stored = 0 THEN 1 END) AS refcount_errors, count(CASE WHEN want > 0 THEN 1 END) AS clusters_allocated, count(stored) AS clusters_checked, max(CASE WHEN want > 0 THEN cluster_idx + 1 END) AS image_end FROM b)
-SELECT *, k."overlaps" + out_of_file AS corruptions, k."overlaps" + out_of_file + leaks + refcount_errors AS total_errors, k."overlaps" + out_of_file = 0 AND refcount_errors = 0 AS valid, k."overlaps" + out_of_file > 0 OR refcount_errors > 0 AS has_corruptions FROM k""")
+VERDICTS_SQL = f"""raw AS ({lift.ENTRIES_SQL}), p AS (SELECT *, raw & 72057594037927424 AS ofs, level = 2 AND (raw >> 62) & 1 = 1 AS packed, raw & 18014398509481983 AS bg, ((raw >> 54) & 255) + 1 AS sec FROM raw),
+q AS (SELECT *, bg + sec * 512 - (bg & 511) AS fin FROM p),
+v AS (SELECT *, CASE WHEN raw = 0 THEN 'empty' WHEN level = 1 THEN CASE WHEN ofs = 0 THEN 'zero_after_mask' WHEN ofs >= size THEN 'out_of_file' WHEN ofs % 65536 <> 0 THEN 'misaligned' ELSE 'allocated' END
+ WHEN packed THEN CASE WHEN fin > size THEN 'compressed_out' ELSE 'compressed' END WHEN ofs = 0 THEN 'unplaced' WHEN ofs % 65536 <> 0 THEN 'misaligned' WHEN ofs >= size THEN 'out_of_file' ELSE 'allocated' END AS verdict,
+ CASE WHEN packed THEN bg ELSE ofs END AS pl, CASE WHEN packed THEN fin ELSE ofs + 65536 END AS stop FROM q)"""
+
+
+@query(f"WITH {VERDICTS_SQL} SELECT level, verdict, count(*) AS n, max(stop) AS furthest FROM v GROUP BY 1, 2")
+def entry_verdicts(spark, sf_dir):
+    return checks.qcow2_verdicts(lift.entries(spark, sf_dir)).groupBy("level", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("furthest"))
+
+
+@query(f"""WITH {VERDICTS_SQL}, counts AS ({lift.REFCOUNTS_SQL}), meta AS (SELECT s_suppkey AS c FROM supplier),
+claim AS (SELECT pl // 65536 AS c, pos, NULL::BIGINT AS quiet FROM v WHERE verdict = 'allocated' UNION ALL SELECT unnest(range(pl // 65536, (stop - 1) // 65536 + 1)), NULL, pos FROM v WHERE verdict = 'compressed'),
+per AS (SELECT c, count(pos) AS n, min(pos) AS f, min(quiet) AS qf FROM claim GROUP BY c),
+over AS (SELECT sum(CASE WHEN n > 0 THEN n - 1 + CASE WHEN qf < f THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS "overlaps" FROM per),
+rc AS (SELECT coalesce(sum(n), 0)::BIGINT AS refcount_errors FROM per JOIN counts ON c = cluster_idx WHERE stored = 0),
+lk AS (SELECT count(*) AS leaks FROM counts WHERE stored > 0 AND cluster_idx NOT IN (SELECT c FROM per) AND cluster_idx NOT IN (SELECT c FROM meta)),
+walk AS (SELECT count(*) AS clusters_checked, count(CASE WHEN verdict IN ('allocated', 'compressed', 'compressed_out') THEN 1 END) AS clusters_allocated, count(CASE WHEN verdict IN ('zero_after_mask', 'out_of_file', 'misaligned', 'compressed_out') THEN 1 END) AS bad_entries,
+ max(CASE WHEN verdict IN ('allocated', 'compressed') THEN stop ELSE 0 END) AS image_end FROM v)
+SELECT *, "overlaps" + bad_entries AS corruptions, "overlaps" + bad_entries + leaks + refcount_errors AS total_errors, "overlaps" + bad_entries = 0 AND refcount_errors = 0 AS valid, leaks > 0 AS has_leaks FROM walk, over, rc, lk""")
 def check_counters(spark, sf_dir):
-    return integrity.check_counters(lift.refs(spark, sf_dir), lift.refcounts(spark, sf_dir))
+    meta = lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cluster_idx"))
+    return checks.check_qcow2(lift.entries(spark, sf_dir), lift.refcounts(spark, sf_dir), meta)
 
 
 @query(f"SELECT * FROM ({lift.REFCOUNTS_SQL}) c WHERE stored > 0 AND cluster_idx NOT IN (SELECT cluster_idx FROM ({lift.REFS_SQL}))")
@@ -364,22 +383,24 @@ def delta_sql(changes: str) -> str:
 SELECT cluster_idx, before, before + delta AS after, CASE WHEN before + delta < 0 THEN 'parse_failed' WHEN before + delta > 15 THEN 'refcount_overflow' END AS error FROM b"""
 
 
-@query(delta_sql(f"SELECT cluster_idx, 1 AS delta FROM ({lift.REFS_SQL}) UNION ALL SELECT DISTINCT src % 97, 1 FROM ({lift.REFS_SQL})"))
+@query(delta_sql(f"SELECT cluster_idx, 1 AS delta FROM ({lift.REFS_SQL}) UNION ALL SELECT cluster_idx, 1 FROM ({lift.L2_TABLES_SQL})"))
 def snapshot_create_counts(spark, sf_dir):
     r = lift.refs(spark, sf_dir)
-    return snapshots.refcount_delta(lift.refcounts(spark, sf_dir), snapshots.reachable(r.select(F.expr("src % 97").alias("cluster_idx")).distinct(), r, 1), bits=4)
+    return snapshots.refcount_delta(lift.refcounts(spark, sf_dir), snapshots.reachable(lift.l2_tables(spark, sf_dir), r, 1), bits=4)
 
 
-@query(delta_sql(f"SELECT cluster_idx, -1 AS delta FROM ({lift.REFS_SQL})"))
+@query(delta_sql(f"SELECT cluster_idx, -1 AS delta FROM ({lift.REFS_SQL}) UNION ALL SELECT cluster_idx, -1 FROM ({lift.L2_TABLES_SQL})"))
 def snapshot_delete_counts(spark, sf_dir):
     r = lift.refs(spark, sf_dir)
-    return snapshots.refcount_delta(lift.refcounts(spark, sf_dir), snapshots.reachable(r.limit(0), r, -1), bits=4)
+    return snapshots.refcount_delta(lift.refcounts(spark, sf_dir), snapshots.reachable(lift.l2_tables(spark, sf_dir), r, -1), bits=4)
 
 
-@query(delta_sql(f"SELECT cluster_idx, CASE WHEN src % 2 = 0 THEN -1 ELSE 1 END AS delta FROM ({lift.REFS_SQL})"))
+@query(delta_sql(f"SELECT cluster_idx, CASE WHEN src // 64 % 2 = 0 THEN -1 ELSE 1 END AS delta FROM ({lift.REFS_SQL}) UNION ALL SELECT cluster_idx, CASE WHEN cluster_idx % 2 = 0 THEN -1 ELSE 1 END FROM ({lift.L2_TABLES_SQL})"))
 def snapshot_apply_counts(spark, sf_dir):
     r = lift.refs(spark, sf_dir)
-    changes = snapshots.reachable(r.limit(0), r.filter("src % 2 = 0"), -1).unionByName(snapshots.reachable(r.limit(0), r.filter("src % 2 = 1"), 1))
+    tables = lift.l2_tables(spark, sf_dir)
+    # The tables of the old state lose a reference, with all they name; those of the target gain one.
+    changes = snapshots.reachable(tables.filter("cluster_idx % 2 = 0"), r.filter("src div 64 % 2 = 0"), -1).unionByName(snapshots.reachable(tables.filter("cluster_idx % 2 = 1"), r.filter("src div 64 % 2 = 1"), 1))
     return snapshots.refcount_delta(lift.refcounts(spark, sf_dir), changes, bits=4)
 
 
@@ -414,10 +435,22 @@ def bitmap_merge_outcome(spark, sf_dir):
     return bitmaps.merge_outcome(d, "2", "5")
 
 
-@query(None)
+ACTIONS_SQL = """WITH RECURSIVE dir AS (SELECT s_suppkey::VARCHAR AS name, s_suppkey % 2 = 0 AS enabled FROM supplier),
+act AS (SELECT name, action, row_number() OVER (PARTITION BY name ORDER BY seq) AS k FROM (SELECT (user_id % 300)::VARCHAR AS name, event_id AS seq, ['add', 'remove', 'clear', 'enable', 'disable'][1 + event_id % 5] AS action FROM events)),
+start AS (SELECT coalesce(d.name, a.name) AS name, d.name IS NOT NULL AS here, coalesce(d.enabled, false) AS onn FROM dir d FULL JOIN (SELECT DISTINCT name FROM act) a ON d.name = a.name),
+fold AS (SELECT name, 0::BIGINT AS k, here, onn, 0::BIGINT AS clears, NULL::VARCHAR AS error FROM start
+ UNION ALL SELECT f.name, a.k, CASE WHEN a.action = 'add' THEN true WHEN NOT f.here THEN false ELSE a.action <> 'remove' END,
+  CASE WHEN a.action = 'add' THEN f.here AND f.onn OR NOT f.here WHEN NOT f.here THEN false WHEN a.action = 'remove' THEN false WHEN a.action = 'enable' THEN true WHEN a.action = 'disable' THEN false ELSE f.onn END,
+  CASE WHEN a.action = 'add' AND NOT f.here THEN 0 WHEN a.action = 'clear' AND f.here THEN f.clears + 1 ELSE f.clears END,
+  CASE WHEN a.action = 'add' AND f.here THEN 'exists' WHEN a.action <> 'add' AND NOT f.here THEN 'missing' END
+ FROM fold f JOIN act a ON a.name = f.name AND a.k = f.k + 1 WHERE f.error IS NULL)
+SELECT name, here AS exists, onn AS enabled, clears, error FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC) AS rn FROM fold) WHERE rn = 1"""
+
+
+@query(ACTIONS_SQL)
 def bitmap_actions(spark, sf_dir):
-    directory = lift.table(spark, sf_dir, "supplier").filter("s_suppkey < 40").selectExpr("cast(s_suppkey as string) AS name", "s_suppkey % 2 = 0 AS enabled")
-    acts = lift.table(spark, sf_dir, "events").filter("event_id < 400").selectExpr("cast(user_id % 60 as string) AS name", "event_id AS seq", "element_at(array('add', 'remove', 'clear', 'enable', 'disable'), cast(1 + event_id % 5 as int)) AS action")
+    directory = lift.table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) AS name", "s_suppkey % 2 = 0 AS enabled")
+    acts = lift.table(spark, sf_dir, "events").selectExpr("cast(user_id % 300 as string) AS name", "event_id AS seq", "element_at(array('add', 'remove', 'clear', 'enable', 'disable'), cast(1 + event_id % 5 as int)) AS action")
     return bitmaps.apply_actions(directory, acts)
 
 
@@ -437,10 +470,10 @@ def chain_discovery(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT c_nationkey::BIGINT AS member, count(*) AS size FROM customer GROUP BY 1), s AS (SELECT *, (coalesce(sum(size) OVER (ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM m)
-SELECT o_orderkey AS "offset", member, o_orderkey - start AS inside, member IS NULL AS zero FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0) o LEFT JOIN s ON o_orderkey >= start AND o_orderkey < start + size""")
+SELECT o_orderkey AS "offset", member, o_orderkey - start AS inside, member IS NULL AS zero FROM orders o LEFT JOIN s ON o_orderkey >= start AND o_orderkey < start + size""")
 def concat_members(spark, sf_dir):
     m = lift.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("member")).agg(F.count(F.lit(1)).alias("size"))
-    return chains.members_at(lift.table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("offset")), m)
+    return chains.members_at(lift.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("offset")), m)
 
 
 @query("""WITH c AS (SELECT p_partkey AS chunk, p_partkey * 9 AS first, 5 + p_partkey % 5 AS cnt FROM part)
@@ -458,11 +491,13 @@ def segments_tile(spark, sf_dir):
     return chains.tiling_faults(s)
 
 
-@query(f"""WITH r AS (SELECT s_suppkey AS a_id, s_suppkey * 40000 AS a_start, s_suppkey * 40000 + (s_suppkey % 4) * 9000 AS a_end FROM supplier), e AS (SELECT block_idx AS b_id, file_offset AS b_start, file_offset + {BLOCK} AS b_end FROM ({lift.BLOCKS_SQL}) WHERE state = 'data')
-SELECT a_id, b_id, greatest(a_start, b_start) AS start, least(a_end, b_end) AS "end" FROM r JOIN e ON a_start < b_end AND b_start < a_end AND a_end > a_start""")
+@query(f"""WITH all_r AS (SELECT s_suppkey AS a_id, CASE WHEN s_suppkey % 9 = 8 THEN 9223372036854775000 ELSE s_suppkey * 40000 END AS a_start, CASE WHEN s_suppkey % 7 = 3 THEN 3000000000 ELSE (s_suppkey % 4) * 9000 END AS len FROM supplier),
+r AS (SELECT a_id, a_start, a_start + len AS a_end FROM all_r WHERE a_start <= 9223372036854775807 - len), e AS (SELECT block_idx AS b_id, file_offset AS b_start, file_offset + {BLOCK} AS b_end FROM ({lift.BLOCKS_SQL}) WHERE state = 'data')
+SELECT a_id, b_id, greatest(a_start, b_start) AS start, least(a_end, b_end) AS "end" FROM r JOIN e ON a_start < b_end AND b_start < a_end AND a_end > a_start
+UNION ALL SELECT a_id, NULL, a_start, NULL FROM all_r WHERE len > 0 AND a_start > 9223372036854775807 - len""")
 def region_overlap(spark, sf_dir):
-    r = lift.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS a_id", "s_suppkey * 40000 AS a_start", "s_suppkey * 40000 + (s_suppkey % 4) * 9000 AS a_end")
-    e = lift.blocks(spark, sf_dir).filter("state = 'data'").selectExpr("block_idx AS b_id", "file_offset AS b_start", f"file_offset + {BLOCK} AS b_end")
+    r = lift.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS a_id", "if(s_suppkey % 9 = 8, 9223372036854775000L, s_suppkey * 40000) AS a_start", "if(s_suppkey % 7 = 3, 3000000000L, (s_suppkey % 4) * 9000) AS a_length")
+    e = lift.blocks(spark, sf_dir).filter("state = 'data'").selectExpr("block_idx AS b_id", "file_offset AS b_start", f"{BLOCK}L AS b_length")
     return chains.overlaps(r, e, 1 << 20)
 
 
@@ -490,12 +525,32 @@ def table_lookup(spark, sf_dir):
 
 # Sources
 
-HEADERS = ["514649FB00000001", "514649FB00000003", "4B444D5601000000", "434F574403000000", "5145440000000000", "7668647866696C65", "636F6E6563746978", "4C554B53BABE0001", "0011223344556677", "00112233"]
-
-
-@query("SELECT event_id AS id, ['qcow', 'qcow2', 'vmdk', 'vmdk3', 'qed', 'vhdx', 'vhd', 'luks', 'raw', 'unknown'][1 + event_id % 10] AS format FROM events")
+BOCHS_HEADER = (formats.BOCHS[0].ljust(32, b"\0") + formats.BOCHS[1].ljust(16, b"\0") + formats.BOCHS[2].ljust(16, b"\0") + (0x20000).to_bytes(4, "little")).ljust(512, b"\0")
+HEADERS = {
+    "qcow": b"QFI\xfb\0\0\0\1",
+    "qcow2": b"QFI\xfb\0\0\0\3",
+    "vmdk": b"KDMV\1\0\0\0",
+    "vmdk3": b"COWD\3\0\0\0",
+    "qed": b"QED\0\0\0\0\0",
+    "vhdx": b"vhdxfile",
+    "vhd": b"conectix",
+    "luks": b"LUKS\xba\xbe\0\1",
+    "raw": bytes(8),
+    "unknown": bytes(4),
+    "vdi": bytes(64) + formats.MAGIC["vdi"],
+    "parallels": formats.PARALLELS[0] + (2).to_bytes(4, "little") + bytes(44),
+    "parallels ": formats.PARALLELS[1] + (2).to_bytes(4, "little") + bytes(44),
+    "raw ": formats.PARALLELS[1] + (3).to_bytes(4, "little") + bytes(44),
+    "bochs": BOCHS_HEADER,
+    "raw  ": BOCHS_HEADER[:511],
+    "cloop": formats.CLOOP,
+    "vmdk ": formats.DESCRIPTOR + b"\nversion=1\n",
+}
+
+
+@query(f"SELECT event_id AS id, [{', '.join(repr(name.strip()) for name in HEADERS)}][1 + event_id % {len(HEADERS)}] AS format FROM events")
 def detect_formats(spark, sf_dir):
-    e = lift.table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, HEADERS)), F.expr("cast(1 + event_id % 10 as int)")).alias("hex"))
+    e = lift.table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*(F.lit(raw.hex()) for raw in HEADERS.values())), F.expr(f"cast(1 + event_id % {len(HEADERS)} as int)")).alias("hex"))
     return e.select(F.col("event_id").alias("id"), formats.detect_format(F.unhex("hex")).alias("format"))
 
 
@@ -725,13 +780,13 @@ def luks_segments(spark, sf_dir):
     return containers.luks2_segments(lift.table(spark, sf_dir, "events").select(F.col("event_id").alias("image_id"), json.alias("json")))
 
 
-@query("""SELECT s_suppkey AS image_id, 100000 - 512 - s_suppkey AS koly_offset, 0::BIGINT AS data_fork_offset, 5::BIGINT AS resource_offset, 6::BIGINT AS resource_length, s_suppkey * 512 AS xml_offset, 4096::BIGINT AS xml_length, s_suppkey * 8 AS sectors FROM supplier WHERE s_suppkey % 4 <> 0""")
+@query("""SELECT s_suppkey AS image_id, 100000 - 512 - s_suppkey % 512 AS koly_offset, 0::BIGINT AS data_fork_offset, 5::BIGINT AS resource_offset, 6::BIGINT AS resource_length, s_suppkey * 512 AS xml_offset, 4096::BIGINT AS xml_length, s_suppkey * 8 AS sectors FROM supplier WHERE s_suppkey % 4 <> 0""")
 def dmg_trailer(spark, sf_dir):
     mark = F.expr("if(s_suppkey % 4 = 0, '6B6F6C7A', '6B6F6C79')")
     body = F.concat(mark, F.lit("00" * 20), be("0", 8), F.lit("00" * 8), be("5", 8), be("6", 8), F.lit("00" * 160), be("s_suppkey * 512", 8), be("4096", 8), F.lit("00" * 260), be("s_suppkey * 8", 8), F.lit("00" * 12))
     # Bytes beyond ASCII before the mark, and as many after the trailer as the supplier's key.
     tail = F.unhex(F.concat(F.expr("repeat('FF', cast(512 - s_suppkey % 512 as int))"), body, F.expr("repeat('C3', cast(s_suppkey % 512 as int))")))
-    rows_ = lift.table(spark, sf_dir, "supplier").filter("s_suppkey < 512").select(F.col("s_suppkey").alias("image_id"), tail.alias("tail"), F.lit(100000).cast("long").alias("length"))
+    rows_ = lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), tail.alias("tail"), F.lit(100000).cast("long").alias("length"))
     return containers.dmg_trailers(rows_)
 
 
@@ -740,3 +795,6 @@ def strict_utf16(spark, sf_dir):
     n = lift.table(spark, sf_dir, "nation")
     raw = F.concat(F.expr("if(n_nationkey % 5 = 4, '', hex(encode(n_name, 'UTF-16BE')))"), F.element_at(F.array(*map(F.lit, ["0000D800", "D83DDE00", "DE00", "D83D0041", "0000"])), F.expr("cast(n_nationkey % 5 + 1 as int)")))
     return n.select(F.col("n_nationkey").alias("id"), S.utf16_text(F.unhex(raw), big=True).alias("text"))
+
+
+from blocklens import queries_tables  # noqa: E402, F401

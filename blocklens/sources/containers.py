@@ -103,3 +103,41 @@ def dmg_trailers(tails: DataFrame) -> DataFrame:
     found = tails.filter(F.col("length") >= 512).select("image_id", "length", "tail", place.alias("place"), from_.alias("from")).filter((F.col("place") >= F.col("from")) & (F.col("place") <= F.octet_length("tail") - 512))
     body = F.substring(tail, (F.col("place") + 1).cast("int"), F.lit(512))
     return found.select("image_id", (F.col("length") - size + F.col("place")).alias("koly_offset"), body.alias("b")).select("image_id", "koly_offset", *(big_endian(F.col("b"), o, 8).cast("long").alias(name) for o, name in ((0x18, "data_fork_offset"), (0x28, "resource_offset"), (0x30, "resource_length"), (0xD8, "xml_offset"), (0xE0, "xml_length"), (0x1EC, "sectors"))))
+
+
+def parsed_snapshots(raw: Column, n: Column) -> Column:
+    """Entries of a snapshot table one after another; ``(at, whole, entries)``.
+
+    An entry is 40 fixed bytes, extra data, id and name, and fills up to eight bytes. One
+    that reaches past the end stops the walk: the table is not whole.
+    """
+    def field(offset: int, size: int, at: Column) -> Column:
+        number = F.conv(F.hex(raw.substr((at + offset + 1).cast("int"), F.lit(size))), 16, 10)
+        return F.coalesce(number.cast("long"), F.lit(0).cast("long"))
+
+    entry = "struct<id: string, name: string, l1_offset: bigint, l1_size: bigint, seconds: bigint, vm_clock: bigint>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("whole"), F.expr(f"cast(array() as array<{entry}>)").alias("entries"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        texts = at + 40 + field(36, 4, at)
+        ids, names = field(12, 2, at), field(14, 2, at)
+        end = texts + ids + names
+        fits = s["whole"] & (at + 40 <= F.octet_length(raw)) & (end <= F.octet_length(raw))
+        text = lambda begin, size: F.decode(raw.substr((begin + 1).cast("int"), size.cast("int")), "UTF-8")
+        own = F.struct(text(texts, ids).alias("id"), text(texts + ids, names).alias("name"), field(0, 8, at).alias("l1_offset"), field(8, 4, at).alias("l1_size"), field(16, 4, at).alias("seconds"), field(24, 8, at).alias("vm_clock"))
+        after = F.floor((end + 7) / 8).cast("long") * 8
+        return F.struct(F.when(fits, after).otherwise(at).alias("at"), fits.alias("whole"), F.when(fits, F.concat(s["entries"], F.array(own))).otherwise(s["entries"]).alias("entries"))
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+
+def snapshot_tables(tables: DataFrame) -> DataFrame:
+    """Whether each of ``tables(image_id, raw, n)`` holds its ``n`` entries."""
+    return tables.select("image_id", parsed_snapshots(F.col("raw"), F.col("n"))["whole"].alias("whole"))
+
+
+def snapshot_entries(tables: DataFrame) -> DataFrame:
+    """``(image_id, ordinal, id, name, l1_offset, l1_size, seconds, vm_clock, whole)``; a table that is not whole aborts its operation."""
+    parsed = tables.select("image_id", parsed_snapshots(F.col("raw"), F.col("n")).alias("t"))
+    return parsed.select("image_id", "t.whole", F.posexplode("t.entries").alias("ordinal", "e")).select("image_id", "ordinal", "e.*", "whole")

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from blocklens.functions.scalars import big_endian, div, little_endian
 
-#: Magic bytes as hex, and where they lie; fixed values.
-MAGIC = {"qfi": "514649FB", "vmdk": "4B444D56", "cowd": "434F5744", "qed": "51454400", "vhdx": "7668647866696C65", "vhd": "636F6E6563746978", "vdi": "7F10DABE", "luks": "4C554B53BABE"}
-PARALLELS = ("576974686F757446726565537061636500"[:32], "576974686F757446726546537061636500"[:32])
-CLOOP = "#!/bin/sh\n#V2.0 Format\nmodprobe cloop file=$0 && mount -r -t iso9660 /dev/cloop $1\n"
+#: Magic bytes; fixed values.
+MAGIC = {"qfi": b"QFI\xfb", "vmdk": b"KDMV", "cowd": b"COWD", "qed": b"QED\0", "vhdx": b"vhdxfile", "vhd": b"conectix", "vdi": b"\x7f\x10\xda\xbe", "luks": b"LUKS\xba\xbe", "iso": b"CD001"}
+PARALLELS = (b"WithoutFreeSpace", b"WithouFreSpacExt")
+BOCHS = (b"Bochs Virtual HD Image", b"Redolog", b"Growing")
+CLOOP = b"#!/bin/sh\n#V2.0 Format\nmodprobe cloop file=$0 && mount -r -t iso9660 /dev/cloop $1\n"
+DESCRIPTOR = b"# Disk DescriptorFile"
 #: Bounds of a cloop image's block size and block count; fixed values.
 CLOOP_BLOCK, CLOOP_BLOCKS = 64 << 20, ((1 << 32) - 2) // 8
-DESCRIPTOR = "# Disk DescriptorFile"
 
 
 def at(header: Column, offset: int, size: int) -> Column:
     return F.hex(F.substring(header, offset + 1, size))
 
 
+def holds(header: Column, offset: int, raw: bytes) -> Column:
+    return at(header, offset, len(raw)) == raw.hex().upper()
+
+
 def text_at(header: Column, offset: int, size: int) -> Column:
     """The NUL-terminated text of a field, as hex; null if it isn't terminated."""
     raw = at(header, offset, size)
@@ -29,22 +34,23 @@ def text_at(header: Column, offset: int, size: int) -> Column:
 def detect_format(header: Column) -> Column:
     """The first test that matches names the format; content only, never the file's name."""
     size = F.octet_length(header)
-    h = lambda o, n: at(header, o, n)
-    bochs = (text_at(header, 0, 32) == "426F636873205669727475616C20484420496D616765") & (text_at(header, 32, 16) == "5265646F6C6F67") & (text_at(header, 48, 16) == "47726F77696E67")
+    bochs = F.lit(True)
+    for (offset, width), name in zip(((0, 32), (32, 16), (48, 16)), BOCHS, strict=True):
+        bochs = bochs & (text_at(header, offset, width) == name.hex().upper())
     return (
         F.when(size < 8, "unknown")
-        .when(h(0, 4) == MAGIC["qfi"], F.when(big_endian(header, 4, 4) == 1, "qcow").otherwise("qcow2"))
-        .when(h(0, 4) == MAGIC["vmdk"], "vmdk")
-        .when(h(0, 4) == MAGIC["cowd"], "vmdk3")
-        .when(h(0, 4) == MAGIC["qed"], "qed")
-        .when(h(0, 8) == MAGIC["vhdx"], "vhdx")
-        .when(h(0, 8) == MAGIC["vhd"], "vhd")
-        .when(h(64, 4) == MAGIC["vdi"], "vdi")
-        .when(h(0, 6) == MAGIC["luks"], "luks")
-        .when((size >= 64) & h(0, 16).isin(*PARALLELS) & (little_endian(header, 16, 4) == 2), "parallels")
+        .when(holds(header, 0, MAGIC["qfi"]), F.when(big_endian(header, 4, 4) == 1, "qcow").otherwise("qcow2"))
+        .when(holds(header, 0, MAGIC["vmdk"]), "vmdk")
+        .when(holds(header, 0, MAGIC["cowd"]), "vmdk3")
+        .when(holds(header, 0, MAGIC["qed"]), "qed")
+        .when(holds(header, 0, MAGIC["vhdx"]), "vhdx")
+        .when(holds(header, 0, MAGIC["vhd"]), "vhd")
+        .when(holds(header, 64, MAGIC["vdi"]), "vdi")
+        .when(holds(header, 0, MAGIC["luks"]), "luks")
+        .when((size >= 64) & (holds(header, 0, PARALLELS[0]) | holds(header, 0, PARALLELS[1])) & (little_endian(header, 16, 4) == 2), "parallels")
         .when((size >= 512) & bochs & little_endian(header, 64, 4).isin(0x10000, 0x20000), "bochs")
-        .when(h(0, len(CLOOP)) == CLOOP.encode().hex().upper(), "cloop")
-        .when(h(0, len(DESCRIPTOR)) == DESCRIPTOR.encode().hex().upper(), "vmdk")
+        .when(holds(header, 0, CLOOP), "cloop")
+        .when(holds(header, 0, DESCRIPTOR), "vmdk")
         .otherwise("raw")
     )
 
@@ -58,13 +64,13 @@ def vhd_checksum(footer: Column, size: int = 512) -> Column:
 
 def detect_tail(tail: Column) -> Column:
     """VHD by its footer: the cookie and a right checksum, else raw."""
-    good = (at(tail, 0, 8) == MAGIC["vhd"]) & (big_endian(tail, 64, 4) == vhd_checksum(tail))
+    good = holds(tail, 0, MAGIC["vhd"]) & (big_endian(tail, 64, 4) == vhd_checksum(tail))
     return F.when((F.octet_length(tail) == 512) & good, "vhd").otherwise("raw")
 
 
 def is_iso(sector: Column) -> Column:
     """The volume descriptor's mark, at byte 32769 of an image."""
-    return at(sector, 1, 5) == "4344303031"
+    return holds(sector, 1, MAGIC["iso"])
 
 
 def partition_table(sector: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blocklens.functions import chs, geometry
 from blocklens.functions import scalars as S
-from blocklens.operators import bitmaps, chains, extents, integrity, layers, paths, snapshots
+from blocklens.operators import bitmaps, chains, checks, extents, integrity, layers, paths, snapshots
 from blocklens.plans import schedule, sizes
 from blocklens.sources import containers, formats
 
@@ -78,10 +78,11 @@ def test_compose_invariants(spark):
 def test_compare_zero_tail_is_equal(spark):
     a = spark.createDataFrame([(0, 0, 0, "data", 1), (0, 0, 9, "zero", 0)], LAYERS)
     b = spark.createDataFrame([(0, 0, 0, "data", 1)], LAYERS)
-    r = layers.compare(layers.compose(a), layers.compose(b), F.lit(10), F.lit(5)).first()
+    sized = spark.createDataFrame([(10, 5)], "size_a long, size_b long")
+    r = layers.compare(layers.compose(a), layers.compose(b), sized).first()
     assert (r.identical, r.size_mismatch, r.compared, r.first_mismatch) == (True, True, 5, None)
     c = spark.createDataFrame([(0, 0, 0, "data", 1), (0, 0, 9, "data", 3)], LAYERS)
-    assert not layers.compare(layers.compose(c), layers.compose(b), F.lit(10), F.lit(5)).first().identical
+    assert not layers.compare(layers.compose(c), layers.compose(b), sized).first().identical
 
 
 def test_commit_keeps_explicit_zero(spark):
@@ -103,11 +104,60 @@ def test_fragmentation_across_chunks(spark):
         assert (r.clusters, r.gaps, r.percent) == (12, 1, 9)
 
 
+CLUSTER = 65536
+
+
+def walk_by_hand(entries, counts, metadata, size):
+    """The checks' rules, an entry at a time in the order of the walk."""
+    seen, errors = set(metadata), dict.fromkeys(("bad", "overlaps", "refcount_errors", "allocated"), 0)
+    claimed = set()
+    for _, level, raw in sorted(entries):
+        at = raw & 0x00FFFFFFFFFFFE00
+        if raw == 0:
+            continue
+        if level == 2 and raw >> 62 & 1:
+            begin = raw & (1 << 54) - 1
+            end = begin + ((raw >> 54 & 255) + 1) * 512 - (begin & 511)
+            errors["allocated"] += 1
+            if end > size:
+                errors["bad"] += 1
+            else:
+                claimed |= set(range(begin // CLUSTER, (end - 1) // CLUSTER + 1))
+            continue
+        if level == 2 and at == 0:
+            continue
+        if at == 0 or at >= size or at % CLUSTER:
+            errors["bad"] += 1
+            continue
+        errors["allocated"] += 1
+        errors["overlaps"] += at // CLUSTER in claimed
+        claimed.add(at // CLUSTER)
+        errors["refcount_errors"] += counts.get(at // CLUSTER) == 0
+    errors["leaks"] = sum(n > 0 and c not in claimed | seen for c, n in counts.items())
+    return errors
+
+
+def test_check_follows_the_walk(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        size = 40 * CLUSTER
+        kinds = [lambda: 0, lambda: 511, lambda: 1, lambda: rng.randrange(40) * CLUSTER + 512, lambda: (rng.randrange(20) + 40) * CLUSTER, lambda: (1 << 62) + (rng.randrange(200) << 54) + rng.randrange(42 * CLUSTER)]
+        entries = [(i, rng.choice([1, 2]), rng.choice(kinds)() if rng.random() < 0.4 else rng.randrange(40) * CLUSTER) for i in range(60)]
+        counts, meta = {c: rng.randrange(3) for c in range(40)}, [0, 1, 2]
+        e = spark.createDataFrame([(*x, size) for x in entries], "pos long, level int, raw long, size long")
+        r = checks.check_qcow2(e, spark.createDataFrame(list(counts.items()), "cluster_idx long, stored long"), spark.createDataFrame([(m,) for m in meta], "cluster_idx long")).first()
+        want = walk_by_hand(entries, counts, meta, size)
+        assert {"bad": r.bad_entries, "overlaps": r.overlaps, "refcount_errors": r.refcount_errors, "allocated": r.clusters_allocated, "leaks": r.leaks} == want
+        assert r.corruptions == r.bad_entries + r.overlaps and r.clusters_checked == 60
+
+
 def test_check_tells_leaks_from_corruption(spark):
+    entries = spark.createDataFrame([(0, 2, CLUSTER, 9 * CLUSTER)], "pos long, level int, raw long, size long")
+    counts = spark.createDataFrame([(1, 1), (2, 1), (4, 0)], "cluster_idx long, stored long")
+    r = checks.check_qcow2(entries, counts, counts.limit(0).select("cluster_idx")).first()
+    assert (r.leaks, r.corruptions, r.refcount_errors, r.valid, r.has_leaks) == (1, 0, 0, True, True)
     refs = spark.createDataFrame([(0, 1), (1, 1), (2, 3), (3, 99)], "src long, cluster_idx long")
     counts = spark.createDataFrame([(1, 2), (2, 1), (3, 0), (4, 0)], "cluster_idx long, stored long")
-    r = integrity.check_counters(refs, counts).first()
-    assert (r.leaks, r.overlaps, r.refcount_errors, r.out_of_file, r.valid) == (1, 1, 1, 1, False)
     got = {x.cluster_idx: x.action for x in integrity.corrections(refs, counts).collect()}
     assert got == {1: "kept", 2: "freed", 3: "raised", 4: "kept"}
 
@@ -167,11 +217,106 @@ def test_gaps_are_not_zeros(spark):
 
 
 def test_empty_ranges_overlap_nothing(spark):
-    a = spark.createDataFrame([(1, 5, 5), (2, 0, 100)], "a_id long, a_start long, a_end long")
-    b = spark.createDataFrame([(1, 0, 10), (2, 99, 120), (3, 100, 101)], "b_id long, b_start long, b_end long")
+    a = spark.createDataFrame([(1, 5, 0), (2, 0, 100)], "a_id long, a_start long, a_length long")
+    b = spark.createDataFrame([(1, 0, 10), (2, 99, 21), (3, 100, 1)], "b_id long, b_start long, b_length long")
     assert sorted((r.a_id, r.b_id) for r in chains.overlaps(a, b, 16).collect()) == [(2, 1), (2, 2)]
 
 
+def test_overflowing_ranges_overlap_everything(spark):
+    top = (1 << 63) - 1
+    cases = [(0, 0, 0, top, False), (top, 5, 0, 1, True), (0, 1, top, 5, True), (top, 5, 0, 0, False), (3, 4, 7, 1, False), (3, 5, 7, 1, True)]
+    df = spark.createDataFrame(cases, "o long, l long, p long, m long, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", chains.ranges_overlap(*(F.col(c) for c in "olpm"))).collect())
+    a = spark.createDataFrame([(1, top - 1, 10), (2, 5, 5)], "a_id long, a_start long, a_length long")
+    b = spark.createDataFrame([(7, 0, 100)], "b_id long, b_start long, b_length long")
+    assert sorted((r.a_id, r.b_id or 0) for r in chains.overlaps(a, b, 16).collect()) == [(1, 0), (2, 7)]
+
+
+def test_ranges_of_all_lengths(spark):
+    rng = random.Random(13)
+    made = lambda n: [(i, rng.randrange(5000), rng.choice([0, 1, 3, 40, 700, 4000])) for i in range(n)]
+    left, right = made(60), made(60)
+    want = sorted((a, b) for a, s, n in left for b, t, m in right if n and m and s < t + m and t < s + n)
+    got = chains.overlaps(spark.createDataFrame(left, "a_id long, a_start long, a_length long"), spark.createDataFrame(right, "b_id long, b_start long, b_length long"), 4)
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == want
+    parts = [(i, s, n) for i, s, n in right if n]
+    points = [(x,) for x in range(0, 9000, 37)]
+    found = {r.sector: r.chunk for r in chains.last_started(spark.createDataFrame(points, "sector long"), spark.createDataFrame(parts, "chunk long, first long, count long"), 4).collect()}
+    assert found == {x: max(((s, i) for i, s, n in parts if s <= x < s + n), default=(0, None))[1] for (x,) in points}
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 10_000])
+def test_last_mark_before(spark, chunk):
+    rng = random.Random(chunk)
+    marks = [(k, p, f"{k}:{p}") for k in (0, 1) for p in sorted(rng.sample(range(-300, 300), 12))]
+    points = [(k, rng.randrange(-400, 400), i) for i, k in enumerate([0, 1] * 40)]
+    got = chains.last_before(spark.createDataFrame(points, "k int, pos long, n int"), spark.createDataFrame(marks, "k int, pos long, mark string"), chunk, ["k"])
+    want = {n: max(((p, m) for j, p, m in marks if j == k and p <= x), default=(0, None))[1] for k, x, n in points}
+    assert {r.n: r.mark for r in got.collect()} == want
+
+
+def test_claims_follow_each_other(spark):
+    rng = random.Random(4)
+    counts = [(i, int(rng.random() < 0.35)) for i in range(200)]
+    held, at, want = dict(counts), 20, []
+    while at + 2 <= 200 and len(want) < 30:
+        if all(held[at + k] == 0 for k in range(2)):
+            want.append(at)
+            at += 2
+        else:
+            at += 1
+    asked = spark.createDataFrame([(i,) for i in range(len(want) + 3)], "request long")
+    got = {r.request: r.at for r in snapshots.claim_runs(spark.createDataFrame(counts, "cluster_idx long, stored long"), asked, 2, cursor=20, chunk=7).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert len(want) == 30 or all(got[i] is None for i in range(len(want), len(want) + 3))
+
+
+def test_counters_are_set_and_read_back(spark):
+    for bits, size in ((1, 2), (4, 2), (8, 4), (16, 8), (64, 16)):
+        raw, n = bytes(range(size)), size * 8 // bits
+        for index, value in ((0, 1), (n - 1, (1 << min(bits, 40)) - 1), (n // 2, 0)):
+            made = spark.range(1).select(snapshots.with_refcount(F.lit(bytearray(raw)), F.lit(index), bits, F.lit(value).cast("long")).alias("b"))
+            row = made.select("b", *(snapshots.packed_refcount(F.col("b"), F.lit(i), bits).cast("long").alias(f"c{i}") for i in range(n))).first()
+            old = spark.range(1).select(F.lit(bytearray(raw)).alias("b")).select(*(snapshots.packed_refcount(F.col("b"), F.lit(i), bits).cast("long").alias(f"c{i}") for i in range(n))).first()
+            assert len(row["b"]) == size and [row[f"c{i}"] for i in range(n)] == [value if i == index else old[f"c{i}"] for i in range(n)]
+    assert one(spark, snapshots.with_refcount(F.lit(bytearray(2)), F.lit(0), 4, F.lit(16).cast("long"))) is None
+
+
+def test_texts_are_written_out(spark):
+    assert one(spark, S.escape_terminal(F.lit("a\n\x07\u202eb\x7f"))) == "a\\n\\u{7}\\u{202e}b\\u{7f}"
+    assert one(spark, S.escape_json(F.lit('"\\\t\b\x01é\u061c'))) == '\\"\\\\\\t\\b\\u0001é\\u061c'
+    assert one(spark, S.relative_path(F.lit(".\\a\\b"))) == "a/b" and one(spark, S.relative_path(F.lit(".\\"))) is None
+    for text, raw in (("TWFu", b"Man"), ("TWE=", b"Ma"), ("TQ", b"M"), ("TWFu!TWFu", b"Man"), ("TWFuT", b"Man"), ("", b"")):
+        assert bytes(one(spark, S.base64_bytes(F.lit(text)))) == raw
+
+
+def test_vhdx_measure_goldens(spark):
+    mib = 1 << 20
+    for v, units, block, fixed, want in ((0, 0, 8 * mib, False, (4 * mib, 4 * mib)), (1 << 30, 3, 8 * mib, False, (28 * mib, 1028 * mib)), (1000, 0, 8 * mib, True, (8 * mib + 1024, 8 * mib + 1024))):
+        r = one(spark, sizes.measure_vhdx(F.lit(v).cast("long"), F.lit(units).cast("long"), F.lit(0).cast("long"), F.lit(block).cast("long"), fixed))
+        assert tuple(r) == want
+
+
+def test_broken_snapshot_tables(spark):
+    entry = bytes(12) + (1).to_bytes(2, "big") + (3).to_bytes(2, "big") + bytes(20) + bytes(4) + b"7abc" + bytes(4)
+    rows = [(0, bytearray(entry * 2), 2), (1, bytearray(entry + entry[:41]), 2), (2, bytearray(b""), 1), (3, bytearray(entry), 1)]
+    got = {r.image_id: r.whole for r in containers.snapshot_tables(spark.createDataFrame(rows, "image_id long, raw binary, n int")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True}
+    first = containers.snapshot_entries(spark.createDataFrame(rows, "image_id long, raw binary, n int")).filter("image_id = 0").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.id, r.name) for r in first] == [(0, "7", "abc"), (1, "7", "abc")]
+
+
+def test_tables_come_before_what_they_name(spark):
+    blocks = [(0, b) for b in (0, 3, 9, 10, 11, 25, 40)]
+    placed, tables = schedule.place_tables(spark.createDataFrame(blocks, "image_id long, block_idx long"), 10, 1, 1, 1)
+    # As a writer would: a table is placed at its first block.
+    at, want, names = 1, {}, {}
+    for _, b in blocks:
+        if b // 10 not in names:
+            names[b // 10], at = at, at + 1
+        want[b], at = at, at + 1
+    assert {r.block_idx: r.at for r in placed.collect()} == want and {r.table_idx: r.at for r in tables.collect()} == names
+
 def test_bitmap_actions_fold_in_order(spark):
     directory = spark.createDataFrame([("a", False)], "name string, enabled boolean")
     acts = spark.createDataFrame([("a", 1, "enable"), ("a", 2, "clear"), ("b", 1, "add"), ("b", 2, "add"), ("c", 1, "remove"), ("c", 2, "add")], "name string, seq long, action string")
@@ -218,7 +363,7 @@ def test_formats(spark):
     assert detect(b"WithoutFreeSpace" + (2).to_bytes(4, "little") + bytes(50)) == "parallels"
     assert detect(b"WithoutFreeSpace" + (3).to_bytes(4, "little") + bytes(50)) == "raw"
     assert detect(b"# Disk DescriptorFile\n") == "vmdk"
-    bochs = b"Bochs Virtual HD Image".ljust(32, b"\0") + b"Redolog".ljust(16, b"\0") + b"Growing".ljust(16, b"\0") + bytes(4) + (0x20000).to_bytes(4, "little")
+    bochs = (b"Bochs Virtual HD Image".ljust(32, b"\0") + b"Redolog".ljust(16, b"\0") + b"Growing".ljust(16, b"\0") + (0x20000).to_bytes(4, "little")).ljust(512, b"\0")
     assert detect(bochs) == "bochs"
     foot = bytearray(512)
     foot[:8] = b"conectix"
@@ -316,7 +461,7 @@ def test_headers_of_growing_and_compressed_formats(spark):
         "v2": (bochs + (0x20000).to_bytes(4, "little")).ljust(88, b"\0") + (1_000_000).to_bytes(8, "little"),
         "v1": (bochs + (0x10000).to_bytes(4, "little")).ljust(84, b"\0") + (5120).to_bytes(8, "little"),
         "other": bochs + (0x30000).to_bytes(4, "little"),
-        "cloop": formats.CLOOP.encode().ljust(128, b"\0") + (65536).to_bytes(4, "big") + (10).to_bytes(4, "big"),
+        "cloop": formats.CLOOP.ljust(128, b"\0") + (65536).to_bytes(4, "big") + (10).to_bytes(4, "big"),
         "qed": b"QED\0" + (65536).to_bytes(4, "little") + b"\0" * 40 + (1 << 30).to_bytes(8, "little") + (64).to_bytes(4, "little") + (9).to_bytes(4, "little"),
     }
     t = spark.createDataFrame([(k, bytearray(v.ljust(512, b"\0"))) for k, v in sample.items()], "path string, header binary")
