@@ -49,8 +49,7 @@ def last_before(points: DataFrame, marks: DataFrame, chunk: int, by: list[str] |
     both = points.withColumn("cell", cell).withColumn("is_point", F.lit(1)).unionByName(marks.withColumn("is_point", F.lit(0)), allowMissingColumns=True)
     along = W.partitionBy(*own).orderBy("pos", "is_point").rowsBetween(W.unboundedPreceding, W.currentRow)
     within = both.withColumn("inside", F.last("mark", ignorenulls=True).over(along)).filter("is_point = 1")
-    lasts = marks.groupBy(*own).agg(F.max_by("mark", "pos").alias("last"))
-    cells = within.select(*own).distinct().join(lasts, own, "full_outer")
+    cells = both.groupBy(*own).agg(F.max(F.when(F.col("is_point") == 0, F.struct("pos", "mark")))["mark"].alias("last"))
     before = F.last("last", ignorenulls=True).over((W.partitionBy(*by) if by else W.partitionBy()).orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
     carried = cells.withColumn("carried", before).select(*own, "carried")
     return within.join(carried, own, "left").withColumn("mark", F.coalesce("inside", "carried")).drop("cell", "is_point", "inside", "carried")
@@ -189,3 +188,19 @@ def data_devices_owned(devices: DataFrame, tops: DataFrame) -> DataFrame:
     faulty_claim = claims & ~F.coalesce(~F.col("is_data") & (F.col("format") == "qcow2") & (F.col("data_slot") == F.col("slot") + 1) & next_is("is_data"), F.lit(False))
     faulty_device = F.col("is_data") & (~claimed | F.coalesce("top", F.lit(False)))
     return devices.join(top, ["chain_id", "slot"], "left").select("chain_id", (faulty_claim | faulty_device).alias("fault")).groupBy("chain_id").agg((~F.bool_or("fault")).alias("owned"))
+
+
+def extent_files(extents: DataFrame, files: DataFrame) -> DataFrame:
+    """The file behind each extent line of a descriptor: ``(image_id, line_no, path, start, outcome)``.
+
+    ``extents(image_id, folder, line_no, sectors, kind, file, offset)``; ``files(path,
+    length)`` lists what exists. Lines are laid end to end. A line of zeros needs no file;
+    a flat one must lie within its file; a name is taken beside the descriptor.
+    """
+    order = W.partitionBy("image_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    laid = extents.withColumn("start", F.coalesce(F.sum("sectors").over(order), F.lit(0)) * 512)
+    path = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat("folder", F.lit("/"), "file"))
+    found = laid.withColumn("path", F.when(F.col("kind") != "ZERO", path)).join(files, "path", "left")
+    end = (F.col("offset") + F.col("sectors")) * 512
+    outcome = F.when(F.col("kind") == "ZERO", "zeros").when(F.col("length").isNull(), "missing").when((F.col("kind") == "FLAT") & (end > F.col("length")), "short").otherwise("ok")
+    return found.select("image_id", "line_no", "path", "start", outcome.alias("outcome"))

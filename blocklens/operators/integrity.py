@@ -54,3 +54,34 @@ def validate_chain(layers: DataFrame) -> DataFrame:
 
 def saturating_count(refs: DataFrame, most: int = 65535) -> DataFrame:
     return refs.groupBy("cluster_idx").agg(F.least(F.count(F.lit(1)), F.lit(most).cast("long")).alias("refcount"))
+
+
+def computed_counts(refs: DataFrame, bits: int = 16) -> DataFrame:
+    """``(cluster_idx, counted, overflow)``: references of each cluster, and whether the width can't hold them."""
+    return used(refs).select("cluster_idx", F.col("want").alias("counted"), (F.col("want") > (1 << bits) - 1).alias("overflow"))
+
+
+def repaired_counts(refs: DataFrame, refcounts: DataFrame, safe: bool = False) -> DataFrame:
+    """The counts' next version: ``(cluster_idx, stored)``; the safe tier only frees leaks."""
+    found = corrections(refs, refcounts)
+    return found.select("cluster_idx", F.col("safe" if safe else "want").alias("stored"))
+
+
+def header_faults(headers: DataFrame) -> DataFrame:
+    """The first fault of each layer's header, or ``ok``, in the order that they are looked for.
+
+    ``headers(chain_id, depth, magic, l1_offset, l1_size, table_offset, table_clusters,
+    cluster, size, corrupt)``; ``size`` is the file's. A sum that overflows lies outside.
+    """
+    end = F.try_add("table_offset", F.try_multiply("table_clusters", "cluster"))
+    outside = lambda c: (F.col(c) == 0) | (F.col(c) >= F.col("size"))
+    fault = (
+        F.when(F.col("magic") != 0x514649FB, "magic")
+        .when(outside("l1_offset"), "l1_offset")
+        .when(F.coalesce(F.try_multiply("l1_size", F.lit(8).cast("long")), F.col("size") + 1) > F.col("size"), "l1_size")
+        .when(outside("table_offset"), "table_offset")
+        .when(end.isNull() | (end > F.col("size")), "table_end")
+        .when(F.col("corrupt"), "corrupt")
+        .otherwise("ok")
+    )
+    return headers.select("chain_id", "depth", fault.alias("fault"))

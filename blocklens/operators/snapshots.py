@@ -150,3 +150,26 @@ def with_refcount(block: Column, index: Column, bits: int, value: Column) -> Col
     whole = F.hex(block)
     made = F.concat(F.substring(whole, F.lit(1), at * 2), digits, whole.substr(at * 2 + 2 * size + 1, F.length(whole)))
     return F.when((value >= 0) & (value < (1 << min(bits, 62))), F.unhex(made))
+
+
+def reachable_from(l1: DataFrame, l2: DataFrame, sign: int) -> DataFrame:
+    """Changes for all that a tree's first level ``l1(l1_idx, cluster_idx)`` reaches.
+
+    ``l2(table_idx, cluster_idx)`` are the entries of second-level tables, by the table's
+    cluster. Every first-level entry counts its table and all that the table names: a
+    table that two entries share counts twice. 0 names nothing.
+    """
+    tops = l1.filter("cluster_idx != 0")
+    below = tops.select(F.col("cluster_idx").alias("table_idx")).join(l2.filter("cluster_idx != 0"), "table_idx")
+    return reachable(tops, below, sign)
+
+
+def applied(refcounts: DataFrame, changes: DataFrame, bits: int = 16) -> DataFrame:
+    """Counts after a whole plan: a single error anywhere leaves every count as it was.
+
+    ``(cluster_idx, before, after, allowed)``.
+    """
+    rows = refcount_delta(refcounts, changes, bits)
+    fault = rows.agg((F.count("error") == 0).alias("allowed"))
+    both = rows.crossJoin(F.broadcast(fault))
+    return both.select("cluster_idx", "before", F.when(F.col("allowed"), F.col("after")).otherwise(F.col("before")).alias("after"), "allowed")

@@ -115,6 +115,17 @@ def place_compressed(blocks: DataFrame, align: int, first: int, chunk: int = 655
     return rows.withColumn("own", own).join(base, ["image_id", "chunk"]).select("image_id", "block_idx", "size", (F.col("base") + F.col("own") + first).cast("long").alias("file_offset"))
 
 
+def place_deflated(clusters: DataFrame, align: int, first: int, chunk: int = 65536) -> DataFrame:
+    """As ``place_compressed``, for clusters given by their payload: each is as long as its raw deflate stream.
+
+    A cluster that does not get shorter is stored as it is and is no row of this plan.
+    """
+    from blocklens.functions.geometry import deflated_size
+
+    sized = clusters.withColumn("size", deflated_size("payload")).filter(F.col("size") < F.octet_length("payload"))
+    return place_compressed(sized.drop("payload"), align, first, chunk)
+
+
 def subcluster_masks(subclusters: DataFrame) -> DataFrame:
     """Per cluster the 32 allocation bits and the 32 zero bits, as one signed word."""
     bit = F.expr("shiftleft(1L, cast(sub as int))")
@@ -142,6 +153,40 @@ def amend_action(version: Column, lazy: Column, incompatible: Column, bits: Colu
     )
 
 
+#: Longest request that the schedule takes as an argument, and the longest buffer; fixed values.
+MOST_ARGUMENT, MOST_BUFFER = (1 << 31) - 1, 2 << 20
+
+
+def bench_refusal(count: Column, depth: Column, buffer: Column, step: Column, flush: Column, writes: Column) -> Column:
+    """Why a schedule's parameters are refused, in the order that they are looked at; else ``ok``."""
+    return (
+        F.when(count < 1, "count")
+        .when(depth < 1, "depth")
+        .when((buffer < 1) | (buffer > MOST_ARGUMENT), "buffer")
+        .when(buffer > MOST_BUFFER, "buffer_cap")
+        .when(step > MOST_ARGUMENT, "step")
+        .when((flush != 0) & ~writes, "flush_requires_write")
+        .when((flush != 0) & (flush < depth), "flush_below_depth")
+        .otherwise("ok")
+    )
+
+
+def write_order(writes: DataFrame, chunk: int = 65536) -> DataFrame:
+    """The steps of a crash-safe write program in order: ``(seq, class, kind, block_idx, barrier)``.
+
+    Classes follow each other as in ``write_steps``; the first step of a class waits for
+    all of the class before it. Within a class steps are by block.
+    """
+    kinds = F.expr("if(fresh, array(named_struct('class', 0L, 'kind', 'data'), named_struct('class', 1L, 'kind', 'l2'), named_struct('class', 2L, 'kind', 'l1'), named_struct('class', 3L, 'kind', 'refcount')), array(named_struct('class', 0L, 'kind', 'data')))")
+    steps = writes.select("block_idx", F.explode(kinds).alias("s")).select("block_idx", "s.class", "s.kind")
+    placed = place_clusters(steps.select(F.col("class").alias("image_id"), "block_idx"), 0, chunk).withColumnsRenamed({"image_id": "class", "host_cluster": "turn"})
+    sizes = steps.groupBy("class", "kind").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("class", "kind", before.alias("base"))
+    both = placed.join(F.broadcast(base), "class")
+    return both.select((F.col("base") + F.col("turn")).alias("seq"), "class", "kind", "block_idx", ((F.col("turn") == 0) & (F.col("base") > 0)).alias("barrier"))
+
+
 def write_steps(writes: DataFrame) -> DataFrame:
     """Steps of a crash-safe write program: data, then L2, then L1, counts last, each class behind a barrier."""
     steps = writes.select("write_id", "block_idx", F.explode(F.expr("if(fresh, array(named_struct('class', 0, 'kind', 'data'), named_struct('class', 1, 'kind', 'l2'), named_struct('class', 2, 'kind', 'l1'), named_struct('class', 3, 'kind', 'refcount')), array(named_struct('class', 0, 'kind', 'data')))")).alias("s"))

@@ -15,22 +15,28 @@ SECTOR, VHD_FOOTER, VHD_HEADER, VMDK_DATA_START, VMDK_TAIL, STREAM_ALIGN = 512,
 
 
 def allocation(extents: DataFrame, unit: int) -> DataFrame:
-    """Per image: size, allocated bytes (never more than the size) and target units with data.
+    """Per image: size, allocated bytes (never more than the size) and target units with data."""
+    return allocations(extents, [unit]).drop("unit")
+
+
+def allocations(extents: DataFrame, units: list[int]) -> DataFrame:
+    """``(image_id, unit, virtual_size, allocated_bytes, units)`` for each of several unit sizes, in one pass.
 
     A unit that two extents share counts once: an extent names its first and last unit,
     units wholly inside count by arithmetic, and only units on an extent's edge are listed.
     """
     rows = extents.withColumn("end", F.col("start") + F.col("length")).withColumn("data", (F.col("state") == "data") & (F.col("length") > 0))
-    a, b = F.expr(f"start div {unit}"), F.expr(f"(end - 1) div {unit}")
+    rows = rows.withColumn("unit", F.explode(F.array(*(F.lit(u).cast("long") for u in units))))
+    a, b = F.expr("start div unit"), F.expr("(end - 1) div unit")
     # One entry per edge unit; the first also brings what the extent adds by arithmetic.
     zero = F.lit(0).cast("long")
     entry = lambda u, inner, bytes_: F.struct(u.alias("u"), inner.alias("inner"), bytes_.alias("bytes"))
     first, last = entry(a, F.greatest(b - a - 1, zero), F.col("length")), entry(b, zero, zero)
     parts = F.when(~F.col("data"), F.array(entry(F.lit(None).cast("long"), zero, zero))).when(a == b, F.array(first)).otherwise(F.array(first, last))
-    listed = rows.select("image_id", "end", F.explode(parts).alias("e"))
-    per = listed.groupBy("image_id", "e.u").agg(F.max("end").alias("end"), F.sum("e.inner").alias("inner"), F.sum("e.bytes").alias("bytes"))
-    total = per.groupBy("image_id").agg(F.max("end").alias("virtual_size"), F.sum("bytes").alias("allocated"), (F.sum("inner") + F.count("u")).alias("units"))
-    return total.select("image_id", "virtual_size", F.least("allocated", "virtual_size").alias("allocated_bytes"), "units")
+    listed = rows.select("image_id", "unit", "end", F.explode(parts).alias("e"))
+    per = listed.groupBy("image_id", "unit", "e.u").agg(F.max("end").alias("end"), F.sum("e.inner").alias("inner"), F.sum("e.bytes").alias("bytes"))
+    total = per.groupBy("image_id", "unit").agg(F.max("end").alias("virtual_size"), F.sum("bytes").alias("allocated"), (F.sum("inner") + F.count("u")).alias("units"))
+    return total.select("image_id", "unit", "virtual_size", F.least("allocated", "virtual_size").alias("allocated_bytes"), "units")
 
 
 def data_units(units: Column, allocated: Column, unit: Column | int) -> Column:
@@ -121,22 +127,19 @@ def measure_extents(extents: DataFrame) -> DataFrame:
     Each target counts the units of its own size that hold data; an image whose allocation
     is larger than itself can't be measured and has null sizes.
     """
-    def counted(unit: int) -> DataFrame:
-        return allocation(extents, unit).select("image_id", "virtual_size", "allocated_bytes", "units", F.lit(unit).cast("long").alias("unit"))
-
-    wanted = (SECTOR, 65536, 2 * MIB, 8 * MIB, 16 * MIB, 32 * MIB, 64 * MIB)
-    rows = counted(wanted[0])
-    for unit in wanted[1:]:
-        rows = rows.unionByName(counted(unit))
+    rows = allocations(extents, [SECTOR, 65536, 2 * MIB, 8 * MIB, 16 * MIB, 32 * MIB, 64 * MIB])
     v, u, held, unit = (F.col(c) for c in ("virtual_size", "units", "allocated_bytes", "unit"))
-    qcow2 = measure_qcow2(rows.filter(unit == 65536).withColumn("v", v)).select("image_id", F.lit("qcow2").alias("target"), "required", F.col("full").alias("fully_allocated"))
-
-    def made(chosen: Column, target: str, sizes: Column) -> DataFrame:
-        return rows.filter(chosen).select("image_id", F.lit(target).alias("target"), sizes.alias("m")).select("image_id", "target", F.col("m.required").cast("long").alias("required"), F.col("m.full").cast("long").alias("fully_allocated"))
-
-    out = qcow2.unionByName(made(unit == SECTOR, "raw", F.struct(v.alias("required"), v.alias("full"))))
-    out = out.unionByName(made(unit == 65536, "vmdk_sparse", measure_vmdk(v, u, "sparse"))).unionByName(made(unit == 2 * MIB, "vhd_dynamic", measure_vhd(v, u, 2 * MIB)))
-    return out.unionByName(made(unit == vhdx_block_size(v), "vhdx_dynamic", measure_vhdx(v, u, held, unit)))
+    # Whatever counts in the same unit is told by the same row.
+    rows = measure_qcow2(rows.withColumn("v", v)).drop("v")
+    sized = lambda name, chosen, m: F.when(chosen, F.struct(F.lit(name).alias("target"), m["required"].cast("long").alias("required"), m["full"].cast("long").alias("fully_allocated")))
+    made = [
+        sized("raw", unit == SECTOR, F.struct(v.alias("required"), v.alias("full"))),
+        sized("qcow2", unit == 65536, F.struct(F.col("required"), F.col("full"))),
+        sized("vmdk_sparse", unit == 65536, measure_vmdk(v, u, "sparse")),
+        sized("vhd_dynamic", unit == 2 * MIB, measure_vhd(v, u, 2 * MIB)),
+        sized("vhdx_dynamic", unit == vhdx_block_size(v), measure_vhdx(v, u, held, unit)),
+    ]
+    return rows.select("image_id", F.explode(F.array_compact(F.array(*made))).alias("m")).select("image_id", "m.*")
 
 
 def qcow2_layout(images: DataFrame, cluster: int = 65536, bits: int = 16, entry: int = 8) -> DataFrame:

@@ -492,8 +492,8 @@ def segments_tile(spark, sf_dir):
 
 
 @query(f"""WITH all_r AS (SELECT s_suppkey AS a_id, CASE WHEN s_suppkey % 9 = 8 THEN 9223372036854775000 ELSE s_suppkey * 40000 END AS a_start, CASE WHEN s_suppkey % 7 = 3 THEN 3000000000 ELSE (s_suppkey % 4) * 9000 END AS len FROM supplier),
-r AS (SELECT a_id, a_start, a_start + len AS a_end FROM all_r WHERE a_start <= 9223372036854775807 - len), e AS (SELECT block_idx AS b_id, file_offset AS b_start, file_offset + {BLOCK} AS b_end FROM ({lift.BLOCKS_SQL}) WHERE state = 'data')
-SELECT a_id, b_id, greatest(a_start, b_start) AS start, least(a_end, b_end) AS "end" FROM r JOIN e ON a_start < b_end AND b_start < a_end AND a_end > a_start
+r AS (SELECT a_id, a_start, a_start::HUGEINT + len AS a_end FROM all_r WHERE a_start <= 9223372036854775807 - len), e AS (SELECT block_idx AS b_id, file_offset AS b_start, file_offset + {BLOCK} AS b_end FROM ({lift.BLOCKS_SQL}) WHERE state = 'data')
+SELECT a_id, b_id, greatest(a_start, b_start) AS start, least(a_end, b_end)::BIGINT AS "end" FROM r JOIN e ON a_start < b_end AND b_start < a_end AND a_end > a_start
 UNION ALL SELECT a_id, NULL, a_start, NULL FROM all_r WHERE len > 0 AND a_start > 9223372036854775807 - len""")
 def region_overlap(spark, sf_dir):
     r = lift.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS a_id", "if(s_suppkey % 9 = 8, 9223372036854775000L, s_suppkey * 40000) AS a_start", "if(s_suppkey % 7 = 3, 3000000000L, (s_suppkey % 4) * 9000) AS a_length")

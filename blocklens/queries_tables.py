@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from blocklens import lift
 from blocklens.functions import scalars as S
-from blocklens.operators import bitmaps, chains, checks, layers, lookups, snapshots
+from blocklens.operators import bitmaps, chains, checks, integrity, layers, lookups, snapshots
 from blocklens.plans import schedule, sizes
-from blocklens.queries import ALLOC_SQL, EXTENTS_SQL, all_extents, be, fixed_point_sql, le, query
+from blocklens.queries import BOTH_SQL, EXTENTS_SQL, all_extents, be, delta_sql, fixed_point_sql, le, query
 from blocklens.sources import containers, formats
 
 # Lookups
@@ -367,3 +367,75 @@ def checked_numbers(spark, sf_dir):
     c = lift.table(spark, sf_dir, "customer")
     big = F.expr("if(c_custkey % 2 = 0, 0L, 9223372036854775807L)")
     return c.select(F.col("c_custkey").alias("id"), S.checked_product(F.expr("c_custkey * c_custkey"), F.lit(1_000_000_000_000).cast("long")).alias("product"), S.checked_sum(F.col("c_custkey"), big).alias("total"))
+
+
+# Repairs and plans over references
+
+@query(f"SELECT cluster_idx, count(*) AS counted, count(*) > 7 AS overflow FROM ({lift.REFS_SQL}) GROUP BY 1")
+def computed_counts(spark, sf_dir):
+    return integrity.computed_counts(lift.refs(spark, sf_dir), bits=3)
+
+
+@query(f"WITH {BOTH_SQL} SELECT cluster_idx, want AS stored, CASE WHEN want = 0 THEN 0 ELSE stored END AS safe FROM b WHERE stored IS NOT NULL")
+def repaired_counts(spark, sf_dir):
+    refs, counts = lift.refs(spark, sf_dir), lift.refcounts(spark, sf_dir)
+    return integrity.repaired_counts(refs, counts).join(integrity.repaired_counts(refs, counts, safe=True).withColumnRenamed("stored", "safe"), "cluster_idx")
+
+
+HEADER_ROWS = "c_nationkey AS chain_id, c_custkey AS depth, CASE WHEN c_custkey % 13 = 0 THEN 0 ELSE 1363560955 END AS magic, CASE WHEN c_custkey % 11 = 0 THEN 0 WHEN c_custkey % 17 = 0 THEN 90000000 ELSE 65536 END AS l1_offset, CASE WHEN c_custkey % 19 = 0 THEN 2000000000000000000 ELSE c_custkey END AS l1_size, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 131072 END AS table_offset, CASE WHEN c_custkey % 23 = 0 THEN 9000000000000000 ELSE c_custkey % 1300 END AS table_clusters, 65536 AS cluster, 80000000 AS size, c_custkey % 5 = 0 AS corrupt"
+
+
+@query(f"""SELECT chain_id::BIGINT AS chain_id, depth, CASE WHEN magic <> 1363560955 THEN 'magic' WHEN l1_offset = 0 OR l1_offset >= size THEN 'l1_offset' WHEN l1_size::HUGEINT * 8 > size THEN 'l1_size' WHEN table_offset = 0 OR table_offset >= size THEN 'table_offset' WHEN table_offset + table_clusters::HUGEINT * cluster > size THEN 'table_end' WHEN corrupt THEN 'corrupt' ELSE 'ok' END AS fault
+FROM (SELECT {HEADER_ROWS} FROM customer)""")
+def header_faults(spark, sf_dir):
+    rows = lift.table(spark, sf_dir, "customer").selectExpr(*HEADER_ROWS.replace("c_nationkey AS", "cast(c_nationkey as bigint) AS").replace("131072 END", "131072L END").replace("65536 AS cluster", "65536L AS cluster").replace("80000000 AS size", "80000000L AS size").split(", "))
+    return integrity.header_faults(rows)
+
+
+TREE = "o_orderkey % 4000"
+
+
+@query(f"""WITH l1 AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 + s_suppkey // 2 END AS c FROM supplier), l2 AS (SELECT o_orderkey % 40 AS t, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE {TREE} END AS c FROM orders),
+d AS (SELECT c FROM l1 WHERE c <> 0 UNION ALL SELECT l2.c FROM l1 JOIN l2 ON l1.c = l2.t WHERE l1.c <> 0 AND l2.c <> 0) SELECT c::BIGINT AS cluster_idx, count(*) AS delta FROM d GROUP BY 1""")
+def snapshot_reach(spark, sf_dir):
+    l1 = lift.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l1_idx", "if(s_suppkey % 5 = 0, 0L, 1 + s_suppkey div 2) AS cluster_idx")
+    l2 = lift.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 40 AS table_idx", f"if(o_orderkey % 3 = 0, 0L, {TREE}) AS cluster_idx")
+    return snapshots.reachable_from(l1, l2, 1).groupBy("cluster_idx").agg(F.sum("delta").alias("delta"))
+
+
+@query(f"""WITH p AS (SELECT 'refused' AS plan, * FROM ({delta_sql(f"SELECT cluster_idx, -1 AS delta FROM ({lift.REFS_SQL})")}) UNION ALL SELECT 'allowed', * FROM ({delta_sql(f"SELECT cluster_idx, 1 AS delta FROM ({lift.REFS_SQL}) WHERE src % 5 = 0")})), a AS (SELECT plan, count(error) = 0 AS allowed FROM p GROUP BY 1)
+SELECT plan, cluster_idx, before, CASE WHEN allowed THEN after ELSE before END AS after, allowed FROM p JOIN a USING (plan)""")
+def snapshot_plans(spark, sf_dir):
+    refs, counts = lift.refs(spark, sf_dir), lift.refcounts(spark, sf_dir)
+    down = snapshots.applied(counts, refs.selectExpr("cluster_idx", "-1L AS delta"), bits=4).select(F.lit("refused").alias("plan"), "*")
+    up = snapshots.applied(counts, refs.filter("src % 5 = 0").selectExpr("cluster_idx", "1L AS delta"), bits=4).select(F.lit("allowed").alias("plan"), "*")
+    return down.unionByName(up)
+
+
+@query("""WITH w AS (SELECT o_orderkey AS block_idx, o_orderstatus = 'P' AS fresh FROM orders), s AS (SELECT 0 AS class, 'data' AS kind, block_idx FROM w UNION ALL SELECT c, k, block_idx FROM w, (VALUES (1, 'l2'), (2, 'l1'), (3, 'refcount')) v(c, k) WHERE fresh)
+SELECT row_number() OVER (ORDER BY class, block_idx) - 1 AS seq, class::BIGINT AS class, kind, block_idx, row_number() OVER (PARTITION BY class ORDER BY block_idx) = 1 AND class > 0 AS barrier FROM s""")
+def write_order(spark, sf_dir):
+    return schedule.write_order(lift.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS block_idx", "o_orderstatus = 'P' AS fresh"), chunk=1000)
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 9 AS n, p_size % 6 AS depth, CASE WHEN p_partkey % 10 = 1 THEN 0 WHEN p_partkey % 10 = 2 THEN 3000000000 WHEN p_partkey % 10 = 3 THEN 40000000 ELSE 4096 END AS b, CASE WHEN p_partkey % 14 = 5 THEN 3000000000 ELSE 0 END AS st, p_size % 4 AS fl, p_partkey % 2 = 0 AS w FROM part)
+SELECT id, CASE WHEN n < 1 THEN 'count' WHEN depth < 1 THEN 'depth' WHEN b < 1 OR b > 2147483647 THEN 'buffer' WHEN b > 2097152 THEN 'buffer_cap' WHEN st > 2147483647 THEN 'step' WHEN fl <> 0 AND NOT w THEN 'flush_requires_write' WHEN fl <> 0 AND fl < depth THEN 'flush_below_depth' ELSE 'ok' END AS refusal FROM p""")
+def bench_refusals(spark, sf_dir):
+    p = lift.table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey % 9 AS n", "p_size % 6 AS depth", "case p_partkey % 10 when 1 then 0L when 2 then 3000000000L when 3 then 40000000L else 4096L end AS b", "if(p_partkey % 14 = 5, 3000000000L, 0L) AS st", "p_size % 4 AS fl", "p_partkey % 2 = 0 AS w")
+    return p.select("id", schedule.bench_refusal(*(F.col(c) for c in ("n", "depth", "b", "st", "fl", "w"))).alias("refusal"))
+
+
+LINES = "SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS line_no, 100 + l_partkey % 7 AS sectors, CASE l_suppkey % 3 WHEN 0 THEN 'FLAT' WHEN 1 THEN 'SPARSE' ELSE 'ZERO' END AS kind, 'disk-' || l_suppkey || '.vmdk' AS file, l_linenumber AS ofs FROM lineitem"
+
+
+@query(f"""WITH e AS ({LINES}), f AS (SELECT '/img/disk-' || s_suppkey || '.vmdk' AS path, (102 + s_suppkey % 8) * 512 AS length FROM supplier WHERE s_suppkey % 4 <> 1),
+l AS (SELECT *, coalesce(sum(sectors) OVER (PARTITION BY image_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 512 AS start, CASE WHEN kind <> 'ZERO' THEN '/img/' || file END AS path FROM e)
+SELECT image_id, line_no, l.path, start::BIGINT AS start, CASE WHEN kind = 'ZERO' THEN 'zeros' WHEN length IS NULL THEN 'missing' WHEN kind = 'FLAT' AND (ofs + sectors) * 512 > length THEN 'short' ELSE 'ok' END AS outcome FROM l LEFT JOIN f ON l.path = f.path""")
+def descriptor_files(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    t = lift.table(spark, sf_dir, "lineitem").withColumn("line_no", F.row_number().over(order).cast("long"))
+    e = t.selectExpr("l_orderkey AS image_id", "'/img' AS folder", "line_no", "100 + l_partkey % 7 AS sectors", "case l_suppkey % 3 when 0 then 'FLAT' when 1 then 'SPARSE' else 'ZERO' end AS kind", "concat('disk-', l_suppkey, '.vmdk') AS file", "cast(l_linenumber as bigint) AS offset")
+    files = lift.table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 1").selectExpr("concat('/img/disk-', s_suppkey, '.vmdk') AS path", "(102 + s_suppkey % 8) * 512 AS length")
+    return chains.extent_files(e, files)

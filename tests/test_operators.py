@@ -483,3 +483,19 @@ def test_data_devices_need_their_owner(spark):
     t = spark.createDataFrame(d, "chain_id int, slot int, format string, is_data boolean, data_slot int")
     tops = spark.createDataFrame([(1, 0), (6, 1), (6, 1)], "chain_id int, slot int")
     assert {r.chain_id: r.owned for r in chains.data_devices_owned(t, tops).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_deflated_clusters_are_placed(spark):
+    import zlib
+
+    rng = random.Random(3)
+    payloads = [bytes([b % 7]) * 4096 if b % 3 else rng.randbytes(4096) for b in range(12)]
+    df = spark.createDataFrame([(0, b, bytearray(p)) for b, p in enumerate(payloads)], "image_id long, block_idx long, payload binary")
+    at, want = 1024, {}
+    for b, p in enumerate(payloads):
+        c = zlib.compressobj(9, zlib.DEFLATED, -12)
+        size = len(c.compress(p) + c.flush())
+        if size < 4096:
+            want[b], at = (size, at), at + -(-size // 512) * 512
+    got = schedule.place_deflated(df, 512, 1024, chunk=5)
+    assert {r.block_idx: (r["size"], r.file_offset) for r in got.collect()} == want and len(want) == 8
