@@ -399,6 +399,33 @@ def test_streamed_bitmap(spark, tmp_path):
     assert sorted(r.granule for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_streams_drop_repeats_and_late_rows(spark, tmp_path):
+    from blocklens.streaming.dirty import granules, windowed_writes
+
+    schema = "ts timestamp, bitmap string, offset long, length long"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "t string, bitmap string, offset long, length long").selectExpr("cast(t as timestamp) AS ts", "bitmap", "offset", "length").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def run(name, made, out):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        made(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / f"{out}-state")).trigger(availableNow=True).start(str(tmp_path / out)).awaitTermination()
+        return spark.read.parquet(str(tmp_path / out)).collect()
+
+    put("one", [("2024-01-01 00:00:00", "a", 100, 5), ("2024-01-01 00:01:00", "a", 900, 5), ("2024-01-01 00:02:00", "a", 1500, 5)])
+    run("one", lambda s: granules(s, 1000), "dirty_granules")
+    put("one", [("2024-01-01 00:03:00", "a", 10, 5), ("2024-01-01 00:03:30", "b", 10, 5)])
+    assert sorted((r.bitmap, r.granule) for r in run("one", lambda s: granules(s, 1000), "dirty_granules")) == [("a", 0), ("a", 1), ("b", 0)]
+    put("two", [("2024-01-01 00:10:00", "a", 0, 5), ("2024-01-01 00:50:00", "a", 0, 7)])
+    run("two", windowed_writes, "dirty_windows")
+    put("two", [("2024-01-01 03:00:00", "a", 0, 1)])
+    run("two", windowed_writes, "dirty_windows")
+    put("two", [("2024-01-01 00:20:00", "a", 0, 100)])
+    got = run("two", windowed_writes, "dirty_windows")
+    # The last batch comes after its window has closed.
+    assert [(r.bitmap, r.writes, r.bytes) for r in got if r.window.start.hour == 0] == [("a", 2, 12)]
+
+
 def stepwise_geometry(n):
     """The specification's algorithm, one sector count at a time."""
     n = min(n, S.MOST_CHS_SECTORS)
