@@ -12,12 +12,13 @@ Only the text enters a score; language selects a threshold afterwards.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
@@ -204,7 +205,36 @@ def logits(net: TextCnn, docs: list[np.ndarray], chosen: np.ndarray, batch: int
     return out
 
 
-def fit(rows: pa.Table, *, seed: int = 5, **steps) -> TextCnn:
+def fits(docs: list[np.ndarray], label: np.ndarray, part: np.ndarray, spark: SparkSession | None, **steps) -> tuple[np.ndarray, TextCnn]:
+    """Every row's logit by the fit that did not see its part, and the fit on all rows.
+
+    With a session each fit is a task of its own; what goes out and comes back is bounded
+    by the sample.
+    """
+    def one(fold: int) -> tuple[np.ndarray, TextCnn | None]:
+        unseen = np.flatnonzero(part == fold)
+        if fold < FOLDS and not len(unseen):
+            return np.zeros(0), None
+        net = trained(docs, label, np.flatnonzero(part != fold), **steps)
+        return (logits(net, docs, unseen), None) if fold < FOLDS else (np.zeros(0), net)
+
+    if spark is None:
+        made = [one(fold) for fold in range(FOLDS + 1)]
+    else:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for fold in batch.column("id").to_pylist():
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array([fold], pa.int64()), "made": pa.array([pickle.dumps(one(fold))], pa.binary())})
+
+        found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, made binary").collect()
+        made = [pickle.loads(r["made"]) for r in sorted(found, key=lambda r: r["fold"])]
+    raw = np.zeros(len(docs))
+    for fold in range(FOLDS):
+        raw[part == fold] = made[fold][0]
+    return raw, made[FOLDS][1]
+
+
+def fit(rows: pa.Table, *, seed: int = 5, spark: SparkSession | None = None, **steps) -> TextCnn:
     """Fit on all ``rows(text, label, lang)``, calibrated by cross-fitting over the same rows.
 
     The texts are hashed at once; only their words' numbers are held while fitting.
@@ -225,12 +255,7 @@ def fit(rows: pa.Table, *, seed: int = 5, **steps) -> TextCnn:
     for y in (0, 1):
         own = np.flatnonzero(label == y)
         part[rng.permutation(own)] = np.arange(len(own)) % FOLDS
-    raw = np.zeros(len(docs))
-    for fold in range(FOLDS):
-        unseen = np.flatnonzero(part == fold)
-        if len(unseen):
-            raw[unseen] = logits(trained(docs, label, np.flatnonzero(part != fold), seed=seed, **steps), docs, unseen)
-    net = trained(docs, label, np.arange(len(docs)), seed=seed, **steps)
+    raw, net = fits(docs, label, part, spark, seed=seed, **steps)
     seen = label.astype(np.int64)
     net.scale = calibrate(raw, seen)
     scores = sigmoid(net.scale[0] * raw + net.scale[1])
@@ -270,7 +295,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     score is low; an empty table gives an empty result; other columns are carried along.
     """
     usable = F.lit(True) if usable is None else usable
-    net = fit(training_rows(docs, labels, usable, label_col=label_col, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds))
+    net = fit(training_rows(docs, labels, usable, label_col=label_col, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds), spark=docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
