@@ -142,18 +142,17 @@ def rows_with_hits(docs: DataFrame, bench: DataFrame, *, window: int = 10, block
     null ids are answered row by row; with an empty benchmark nothing is hit; an empty
     table gives an empty result.
     """
-    kept = materialize(benchmark_windows(bench, window, item_col, item_text_col), "windows")
-    passes = max(1, -(-kept.count() // block))
+    with scratch(docs.sparkSession):
+        kept = materialize(benchmark_windows(bench, window, item_col, item_text_col), "windows")
+        passes = max(1, -(-kept.count() // block))
 
-    def part(i: int) -> list[tuple]:
-        of = kept.filter(F.pmod(F.xxhash64("words", "item"), F.lit(passes)) == i)
-        return [tuple(r) for r in of.select("item", "size", "hash", "words").collect()]
+        def part(i: int) -> list[tuple]:
+            of = kept.filter(F.pmod(F.xxhash64("words", "item"), F.lit(passes)) == i)
+            return [tuple(r) for r in of.select("item", "size", "hash", "words").collect()]
 
-    if passes == 1:
-        return find_hits(docs, part(0), text_col)
-    named = pick(docs, of_id=id_col, text=text_col).withColumn("of_th", F.xxhash64("text"))
-    with scratch(docs.sparkSession):
-        hits = None
+        if passes == 1:
+            return find_hits(docs, part(0), text_col)
+        named, hits = pick(docs, of_id=id_col, text=text_col).withColumn("of_th", F.xxhash64("text")), None
         for i in range(passes):
             found = materialize(find_hits(named, part(i), "text").filter(F.size("__items") > 0).select("of_id", "of_th", "__spans", "__items").distinct(), "hits")
             hits = found if hits is None else hits.unionByName(found)

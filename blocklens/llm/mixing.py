@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, null_safe_eq, pick
+from blocklens.llm.common import materialize, null_safe_eq, pick, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -67,48 +67,49 @@ def copies_to_take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, perce
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     random = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(rows.select("id", "source", size.alias("size"), random.alias("u"), F.xxhash64("text", "source").alias("th"), F.monotonically_increasing_id().alias("row")), "sizes")
-
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(totals, weights, percent, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = materialize(targets, "targets").withColumnRenamed("source", "key")
-
-    def with_source(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-        return df.join(facts, null_safe_eq(df["source"], facts["key"]), how).drop("key")
-
-    sized = with_source(sized, targets)
-    tilt = F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.col("size") * F.col("n_docs") / F.col("source_size")))
-    sized = sized.withColumn("tilt", F.when(F.expr("rest > 0 AND size > 0"), tilt))
-    factors = inclusion_factors(sized.filter("tilt IS NOT NULL").groupBy("source", "tilt").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
-    factors = materialize(factors, "factors").withColumnRenamed("source", "key")
-    sized = with_source(sized, factors, "left").withColumn("p", F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") >= F.col("certain"), 1.0).otherwise(F.col("factor") * F.col("tilt")))
-    ranked = sized.filter("p > 0")
-    ranked = ranked.withColumn("rank", F.when(F.col("p") >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")))
-    ranked = ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS)).select("id", "source", "size", "row", "rank", "cell", "rest")
-    ranked = materialize(ranked, "ranks")
-
-    cells = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    run = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("upto", F.sum("words").over(run)).filter("upto > rest")
-    ends = cells.groupBy(F.col("source").alias("key")).agg(F.min("cell").alias("end"), F.min_by(F.col("upto") - F.col("words"), "cell").alias("before"))
-    placed = with_source(ranked, ends, "left")
-
-    inside = placed.filter("cell = end")
-    along = W.partitionBy("source").orderBy("rank", "id", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(along))
-    taken_inside = inside.filter("upto <= rest").select("source", "row", "size")
-    early = placed.filter("end IS NULL OR cell < end").select("source", "row", "size")
-    sample = materialize(early.unionByName(taken_inside), "sample")
-
-    # The best single document for what is left, among those not taken.
-    filled = sample.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("filled"))
-    left_over = with_source(ranked, filled, "left").join(sample.select("row"), "row", "left_anti")
-    gap = F.col("rest") - F.coalesce("filled", F.lit(0))
-    left_over = left_over.withColumn("gap", gap).withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
-    last = left_over.groupBy("source").agg(F.min(F.struct("off", "rank", "id", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    chosen = sample.select("row").unionByName(last).withColumn("more", F.lit(1).cast("long"))
+    with scratch(docs.sparkSession):
+        sized = materialize(rows.select("id", "source", size.alias("size"), random.alias("u"), F.xxhash64("text", "source").alias("th"), F.monotonically_increasing_id().alias("row")), "sizes", keep=True)
+
+        totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+        targets = source_targets(totals, weights, percent, most)
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        targets = materialize(targets, "targets", keep=True).withColumnRenamed("source", "key")
+
+        def with_source(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+            return df.join(facts, null_safe_eq(df["source"], facts["key"]), how).drop("key")
+
+        sized = with_source(sized, targets)
+        tilt = F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.col("size") * F.col("n_docs") / F.col("source_size")))
+        sized = sized.withColumn("tilt", F.when(F.expr("rest > 0 AND size > 0"), tilt))
+        factors = inclusion_factors(sized.filter("tilt IS NOT NULL").groupBy("source", "tilt").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+        factors = materialize(factors, "factors", keep=True).withColumnRenamed("source", "key")
+        sized = with_source(sized, factors, "left").withColumn("p", F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") >= F.col("certain"), 1.0).otherwise(F.col("factor") * F.col("tilt")))
+        ranked = sized.filter("p > 0")
+        ranked = ranked.withColumn("rank", F.when(F.col("p") >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")))
+        ranked = ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS)).select("id", "source", "size", "row", "rank", "cell", "rest")
+        ranked = materialize(ranked, "ranks")
+
+        cells = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        run = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+        cells = cells.withColumn("upto", F.sum("words").over(run)).filter("upto > rest")
+        ends = cells.groupBy(F.col("source").alias("key")).agg(F.min("cell").alias("end"), F.min_by(F.col("upto") - F.col("words"), "cell").alias("before"))
+        placed = with_source(ranked, ends, "left")
+
+        inside = placed.filter("cell = end")
+        along = W.partitionBy("source").orderBy("rank", "id", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+        inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(along))
+        taken_inside = inside.filter("upto <= rest").select("source", "row", "size")
+        early = placed.filter("end IS NULL OR cell < end").select("source", "row", "size")
+        sample = materialize(early.unionByName(taken_inside), "sample")
+
+        # The best single document for what is left, among those not taken.
+        filled = sample.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("filled"))
+        left_over = with_source(ranked, filled, "left").join(sample.select("row"), "row", "left_anti")
+        gap = F.col("rest") - F.coalesce("filled", F.lit(0))
+        left_over = left_over.withColumn("gap", gap).withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
+        last = left_over.groupBy("source").agg(F.min(F.struct("off", "rank", "id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+        chosen = materialize(sample.select("row").unionByName(last).withColumn("more", F.lit(1).cast("long")), "chosen", keep=True)
 
     out = sized.join(chosen, "row", "left")
     copies = F.col("whole") + F.coalesce("more", F.lit(0))
@@ -128,7 +129,7 @@ def inclusion_factors(tilts: DataFrame) -> DataFrame:
     left = F.sum(F.col("tilt") * F.col("words")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     tried = tilts.withColumn("factor", (F.col("rest") - before) / left).withColumn("fits", F.col("factor") * F.col("tilt") <= 1)
     # The first group, from the largest tilt down, that need not be certain.
-    return tried.filter("fits").groupBy("source").agg(F.max_by("factor", "tilt").alias("factor"), F.max("tilt").alias("top")).join(
+    return tried.filter("fits").groupBy("source").agg(F.max_by("factor", "tilt").alias("factor")).join(
         tried.filter("NOT fits").groupBy(F.col("source").alias("s")).agg(F.min("tilt").alias("certain")), null_safe_eq(F.col("source"), F.col("s")), "left"
     ).select("source", "factor", F.coalesce("certain", F.lit(float("inf"))).alias("certain"))
 

@@ -5,7 +5,8 @@ into an embedding table, once whole and once by their first bytes, which inflect
 forms share; a word's embedding is the sum. Filters of widths 1, 2 and 3 run over a text's words, each
 filter keeps its maximum over the whole text, and a dense layer gives the score. The
 score is calibrated on all labelled rows, each scored by a fit that did not see it;
-thresholds are then calibrated per language on the same rows.
+thresholds are then calibrated per language on the same rows, drawn towards the common
+one where a language has few of them.
 
 Only the text enters a score; language selects a threshold afterwards.
 """
@@ -33,6 +34,8 @@ FILTERS = 8
 MAX_PER_LABEL = 2000
 MAX_FIT_BYTES = 60_000
 HEAD_BYTES = 4
+#: Rows of its rarer label at which a language's own cut weighs as much as the common one.
+PRIOR_ROWS = 10
 #: Parts of the labelled rows; each is scored by a fit on the others, for calibration.
 FOLDS = 5
 
@@ -267,8 +270,10 @@ def fit(rows: pa.Table, *, seed: int = 5, spark: SparkSession | None = None, **s
         scores = sigmoid(net.scale[0] * raw + net.scale[1])
     for lang in sorted(set(langs)):
         at = langs == lang
-        if seen[at].sum() >= 5 and (1 - seen[at]).sum() >= 5:
-            net.thresholds[lang] = best_threshold(scores[at], seen[at])
+        least = int(min(seen[at].sum(), (1 - seen[at]).sum()))
+        if least:
+            # A language's own cut counts by the rows that it rests on.
+            net.thresholds[lang] = net.threshold + (best_threshold(scores[at], seen[at]) - net.threshold) * least / (least + PRIOR_ROWS)
     return net
 
 
