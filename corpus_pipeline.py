@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, new_path
+from blocklens.llm.common import delete, materialize, new_path
 from blocklens.llm.decontaminate import rows_with_hits
 from blocklens.llm.mixing import mixed_documents
 from blocklens.llm.ngram_join import ngram_components
@@ -77,9 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = new_path(spark, "pipeline")
+    """All stages over ``documents``; what a stage wrote goes once the one after it has read it."""
+    base, read = new_path(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if read:
+            delete(spark, read)
+        read = f"{base}/{name}"
     return docs
