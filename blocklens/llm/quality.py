@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import blocks, part_bytes, pick
-from blocklens.llm.toxicity import calibrate, sigmoid
+from blocklens.llm.toxicity import calibrate, logit_of, sigmoid
 from blocklens.llm.wordhash import scan, word_class
 
 BITS = 16
@@ -78,6 +78,8 @@ class Views:
     content_scale: tuple[float, float] = (1.0, 0.0)
     page_scale: tuple[float, float] = (1.0, 0.0)
     blend: tuple[float, float, float] = (0.5, 0.5, 0.0)
+    #: From the odds of the sample, which takes labels alike, to those of all labelled rows.
+    shift: float = 0.0
 
     def raw(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         content = [row_means(self.words[ids].sum(axis=0), first) for ids, first in content_ids(batch.column("text"))]
@@ -87,7 +89,7 @@ class Views:
         a, b = self.raw(batch)
         a, b = self.content_scale[0] * a + self.content_scale[1], self.page_scale[0] * b + self.page_scale[1]
         x, y, z = self.blend
-        return sigmoid(a), sigmoid(b), sigmoid(x * a + y * b + z)
+        return sigmoid(a + self.shift), sigmoid(b + self.shift), sigmoid(x * a + y * b + z + self.shift)
 
 
 def class_weight(y: np.ndarray) -> np.ndarray:
@@ -128,8 +130,11 @@ def fit_content(docs: list[np.ndarray], y: np.ndarray, seed: int, epochs: int =
     return words, bias
 
 
-def co_train(rows: pa.Table, *, rounds: int = ROUNDS, share: float = SHARE, seed: int = 11) -> Views:
-    """Fit on ``rows(text, source, lang, n_chars, label)``; label is null where unlabelled."""
+def co_train(rows: pa.Table, *, good_share: float | None = None, rounds: int = ROUNDS, share: float = SHARE, seed: int = 11) -> Views:
+    """Fit on ``rows(text, source, lang, n_chars, label)``; label is null where unlabelled.
+
+    ``good_share`` is the share of good rows among all labelled ones, of which these are a sample.
+    """
     batch = rows.combine_chunks().to_batches()[0] if len(rows) else pa.RecordBatch.from_pylist([], schema=rows.schema)
     label = [np.nan if x is None else x for x in batch.column("label").to_pylist()]
     known = ~np.isnan(np.array(label, np.float64))
@@ -172,6 +177,8 @@ def co_train(rows: pa.Table, *, rounds: int = ROUNDS, share: float = SHARE, seed
         a, b = (v[held] for v in out.raw(batch))
         seen = y[held]
         out.content_scale, out.page_scale = calibrate(a, seen), calibrate(b, seen)
+        if good_share and 0 < good_share < 1 and 0 < seen.mean() < 1:
+            out.shift = logit_of(good_share) - logit_of(float(seen.mean()))
         out.blend = blended(out.content_scale[0] * a + out.content_scale[1], out.page_scale[0] * b + out.page_scale[1], seen)
     return out
 
@@ -226,7 +233,8 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *,
     chosen = sample.select("id", F.col("label").cast("int").alias("label")).unionByName(free)
     # The sample's size is bounded by the limits above.
     found = rows.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id")
-    views = co_train(found.select("text", "source", "lang", "n_chars", "label").toArrow())
+    good = may.agg(F.avg("label").alias("share")).first()["share"]
+    views = co_train(found.select("text", "source", "lang", "n_chars", "label").toArrow(), good_share=good)
     pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast(views)
 
