@@ -8,9 +8,9 @@ patterns miss (spelled or spaced signs, missing plus signs, other separators, li
 breaks), beside numbers and words that are no personal data.
 
 The tagger reads every character of every text, in overlapping windows whose scores are
-blended. Runs of windows in which some tag comes near to the score of no tag are decoded
-whole, in pieces that see their neighbours' edges, so that no span is cut by a window. A
-decoded span is added when its tags are likely enough, its plain form passes its kind's
+blended. Windows in which the best path with a span falls behind the one without hold none;
+runs of the others are decoded whole, in pieces that see their neighbours' edges, so that no span is
+cut by a window. A decoded span is added when its tags are likely enough, its plain form passes its kind's
 check and it touches no base span.
 """
 
@@ -37,7 +37,7 @@ TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 256, 224
 PIECE, AROUND = 512, 64
 CLASSES, HIDDEN = 128, 12
-#: A window is decoded when beginning a span comes this near to the score of no tag.
+#: A window is decoded when its best path with a span comes this near to the one without.
 NEAR_ENOUGH = 2.0
 #: The least mean probability of an added span's tags.
 CONFIDENT = 0.6
@@ -50,6 +50,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Grouped digits and signs that stand for an at sign.
+LIKELY = re.compile(r"[+(]{0,2}[0-9][0-9\s()./_-]{7,}[0-9]|@|[(\[{]at[)\]}]")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 Span = tuple[str, int, int]
@@ -319,17 +321,30 @@ class Tagger:
             tag = came[t, rows, tag]
         return out
 
+    def best_span(self, e: np.ndarray) -> np.ndarray:
+        """Per row of ``e[step, row, tag]``: what the best path with one span gains over the one without tags."""
+        move, none = self.p["move"], e[:, :, :1] + self.p["move"][0, 0]
+        first, inner = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        begin, go_on = e[:, :, first] - none + move[0, first], e[:, :, inner] - none
+        grow, stay = move[first, inner], move[inner, inner]
+        out_first, out_inner = move[first, 0] - move[0, 0], move[inner, 0] - move[0, 0]
+        opened, inside = begin[0], np.full_like(begin[0], -1e9)
+        best = opened + out_first
+        for t in range(1, len(e)):
+            inside = go_on[t] + np.maximum(opened + grow, inside + stay)
+            opened = begin[t]
+            np.maximum(best, opened + out_first, out=best)
+            np.maximum(best, inside + out_inner, out=best)
+        # A span may run on beyond the window.
+        return np.maximum(best, np.maximum(opened, inside)).max(axis=1)
+
     def near_windows(self, texts: list[str], at_once: int = 1024) -> Iterator[tuple[int, int, np.ndarray]]:
         """``(text, start, scores)`` of the windows that are worth decoding; all are read."""
         ids, places = np.zeros((at_once, WINDOW), np.uint8), []
 
         def read() -> Iterator[tuple[int, int, np.ndarray]]:
             e, _, _ = self.emissions(np.ascontiguousarray(ids[: len(places)].T))
-            # Every span begins with a tag of its own: what it gains over going on without a tag.
-            gain = self.p["move"][0] - self.p["move"][0, 0]
-            near = np.zeros(len(places), bool)
-            for tag in range(1, TAGS, 2):
-                near |= (e[:, :, tag] - e[:, :, 0]).max(axis=0) + gain[tag] > -NEAR_ENOUGH
+            near = self.best_span(e) > -NEAR_ENOUGH
             for r in np.flatnonzero(near).tolist():
                 yield places[r][0], places[r][1], e[: places[r][2], r].copy()
 
@@ -489,16 +504,25 @@ def planted(text: str, rng: random.Random, spans: list[Span], width: int, kinds:
         tags[a:b], tags[a] = 2 + 2 * KINDS.index(kind), 1 + 2 * KINDS.index(kind)
     for kind in kinds:
         new = made_span(rng, kind) if kind else made_other(rng)
-        own = np.zeros(len(new) + 2, np.int64)
+        # White space follows in the text.
+        lead, trail = rng.choice([" ", " ", " ", "\n", ": ", " (", " \"", ", "]), rng.choice(["", "", "", ",", ".", ")", ";", "\""])
+        own = np.zeros(len(lead) + len(new) + len(trail), np.int64)
         if kind:
-            own[1:-1], own[1] = 2 + 2 * KINDS.index(kind), 1 + 2 * KINDS.index(kind)
+            own[len(lead) : len(lead) + len(new)], own[len(lead)] = 2 + 2 * KINDS.index(kind), 1 + 2 * KINDS.index(kind)
         free = np.flatnonzero((tags == 0) & np.array([c.isspace() for c in text], bool)) if text else np.zeros(0, np.int64)
         at = int(free[rng.randrange(len(free))]) if len(free) else len(text)
-        lead, trail = rng.choice(["  ", " ,", " .", "\n ", ": ", " )", " ;", "  "])
         text, tags = text[:at] + lead + new + trail + text[at:], np.concatenate((tags[:at], own, tags[at:]))
     return text[:width], tags[:width]
 
 
+def doubtful(text: str, spans: list[Span]) -> bool:
+    """Whether a text holds what may be personal data that its base spans miss: no example of none."""
+    for m in LIKELY.finditer(text):
+        if not any(a < m.end() and m.start() < b for _, a, b in spans) and ("@" in m.group() or m.group()[-1] in ")]}" or passes("phone", m.group()) or passes("card", m.group())):
+            return True
+    return False
+
+
 def examples(texts: list[str], most: int, seed: int = 3, width: int = FIT_WIDTH) -> list[tuple[str, np.ndarray]]:
     """Cuts of the texts with tags: around base spans, and anywhere with spans planted."""
     rng, out = random.Random(seed), []
@@ -519,6 +543,8 @@ def examples(texts: list[str], most: int, seed: int = 3, width: int = FIT_WIDTH)
         own = [(k, max(0, a - lo), min(len(cut), b - lo)) for k, a, b in spans if a < lo + len(cut) and b > lo and a >= lo]
         room = width if not extra else width - 48 * len([x for x in extra if x])
         cut = cut[: max(24, room)]
+        if doubtful(cut, own):
+            continue
         out.append(planted(cut, rng, [(k, a, b) for k, a, b in own if b <= len(cut)], width, extra))
     return out
 
