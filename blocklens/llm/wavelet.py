@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import blocks, new_path, part_bytes, pick, pieces_for
-from blocklens.llm.wordhash import fold_ascii, same_spans, scan, word_class
+from blocklens.llm.wordhash import STEP, fold_ascii, same_spans, scan, word_class
 
 MAGIC = b"BLWM2\0"
 HEAD = struct.Struct("<QQIIQ")
@@ -45,7 +45,7 @@ HEAD = struct.Struct("<QQIIQ")
 BLOCK = 4096
 HELD_BLOCKS = 64
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 WORD_END = "</w>"
 BATCH_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq long, first_id long, n_docs long, n_tokens long, image binary"
@@ -313,8 +313,10 @@ class WordIds:
             return np.array([i for e in each for i in e], self.kind), np.cumsum([0, *map(len, each)])
         words = scan(data, offsets, self.inside, breaks=tails(data, self.inside))
         _, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        length = words.ends - words.starts
-        if not same_spans(words.data, words.starts, length, words.starts[where][inverse], length[where][inverse]):
+        length, first = words.ends - words.starts, where[inverse]
+        # Words of one length and at most eight bytes never share a hash.
+        long = np.flatnonzero(length > STEP)
+        if not np.array_equal(length, length[first]) or not same_spans(words.data, words.starts[long], length[long], words.starts[first[long]], length[first[long]]):
             # Two words share a hash: every one is a word of its own.
             where = inverse = np.arange(len(length))
         if len(self.at) > CACHE_WORDS:
@@ -332,6 +334,12 @@ class WordIds:
         return self.flat[take], ends[words.first]
 
 
+@cache
+def known_words(path: str, kind: type) -> WordIds:
+    """The memory of this process: tasks that run in it one after another share what it has learned."""
+    return WordIds(path, kind)
+
+
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode whole texts and write the shards of ascending ids as a table at ``path``.
 
@@ -345,7 +353,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max(1, (max(tokenizer(vocabulary).get_vocab_size(), end_id + 1) - 1).bit_length())
         kind = np.uint16 if width <= 16 else np.uint32
-        words, end = WordIds(vocabulary, kind), np.array([end_id], kind).tobytes()
+        words, end = known_words(vocabulary, kind), np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         held: list[bytes] = []

@@ -124,11 +124,13 @@ def test_colliding_words_are_encoded_apart(monkeypatch):
 
     def worse(*a, **k):
         words = whole(*a, **k)
-        words.hashes = words.hashes % np.uint64(3)
+        # Long words keep a bit of their hashes, short ones all.
+        long = words.ends - words.starts > 8
+        words.hashes = np.where(long, words.hashes % np.uint64(2), words.hashes)
         return words
 
     monkeypatch.setattr(wavelet, "scan", worse)
-    texts = ["some words here, and some more!", "words that share a hash: three hashes for all"]
+    texts = ["something considerable here, and something considered!", "elephantine expressions that share two hashes everywhere"]
     flat, first = ids.rows(*part_bytes(pa.array(texts)))
     assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
