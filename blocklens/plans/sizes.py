@@ -92,29 +92,48 @@ def measure_vhd(v: Column, units: Column, block: int, fixed: bool = False) -> Co
     return F.struct(total(units).alias("required"), total(entries).alias("full"))
 
 
+def wide(x: Column) -> Column:
+    """Room for what 64 bits can't hold: an image's bytes, or a product of counts and sizes."""
+    return x.cast("decimal(38,0)")
+
+
+def units_of(v: Column, unit: Column | int) -> Column:
+    """``ceil_div`` of a size that may pass 64 bits; the count itself fits them. Evaluates ``v`` once."""
+    unit = unit if isinstance(unit, Column) else F.lit(unit)
+    return F.call_function("div", wide(v) + (unit - 1), wide(unit))
+
+
 def vhdx_block_size(v: Column) -> Column:
     """The default block size by image size; fixed thresholds."""
     return F.when(v > 32 << 40, 64 * MIB).when(v > 100 << 30, 32 * MIB).when(v > 1 << 30, 16 * MIB).otherwise(8 * MIB).cast("long")
 
 
 def vhdx_layout(v: Column, block: Column, sector: int = 512) -> dict[str, Column]:
-    """Chunk ratio, block and table sizes, and where payload begins when the table follows 3 MiB."""
+    """Chunk ratio, block and table sizes, and where payload begins when the table follows 3 MiB.
+
+    ``v`` may be a decimal beyond 64 bits.
+    """
     ratio = div(F.lit((1 << 23) * sector).cast("long"), block)
-    payload = ceil_div(v, block)
+    payload = units_of(v, block)
     entries = payload + div(F.greatest(payload - 1, F.lit(0)), ratio)
-    region = F.greatest(round_up(entries * 8, MIB), F.lit(MIB))
+    region = F.greatest(div(entries * 8 + (MIB - 1), MIB) * MIB, F.lit(MIB))
     return {"chunk_ratio": ratio, "payload_blocks": payload, "bat_entries": entries, "bat_bytes": region, "data_start": 3 * MIB + region}
 
 
 def measure_vhdx(v: Column, units: Column, allocated: Column, block: Column, fixed: bool = False) -> Column:
-    """Sizes of a VHDX image of ``v`` bytes, which are rounded up to sectors; a fixed one is dense."""
-    size = round_up(v, SECTOR)
-    layout = vhdx_layout(size, block)
+    """Sizes of a VHDX image of ``v`` bytes, which are rounded up to sectors; a fixed one is dense.
+
+    ``v`` may be a decimal beyond 64 bits; a size that itself passes them is null.
+    """
+    size = wide(units_of(v, SECTOR)) * SECTOR
+    # Blocks are whole sectors: as many hold the rounded size.
+    layout = vhdx_layout(v, block)
     if fixed:
-        total = 2 * MIB + layout["bat_bytes"] + FIXED_GAP + size
+        total = (size + (2 * MIB + layout["bat_bytes"] + FIXED_GAP)).try_cast("long")
         return F.struct(total.alias("required"), total.alias("full"))
     each = round_up(block, MIB)
-    return F.struct((layout["data_start"] + data_units(units, allocated, block) * each).alias("required"), (layout["data_start"] + layout["payload_blocks"] * each).alias("full"))
+    total = lambda n: (wide(n) * each + layout["data_start"]).try_cast("long")
+    return F.struct(total(data_units(units, allocated, block)).alias("required"), total(layout["payload_blocks"]).alias("full"))
 
 
 #: What each target counts its data in; VHDX by the default block size of the image.

@@ -136,8 +136,9 @@ l AS (SELECT *, (v + bs - 1) // bs AS n, 4294967296 // bs AS ratio FROM b), e AS
 SELECT id, 'dynamic' AS kind, (3145728 + bat + CASE WHEN u <> 0 THEN u ELSE (a + bs - 1) // bs END * bs)::BIGINT AS required, (3145728 + bat + n * bs)::BIGINT AS fully_allocated FROM e
 UNION ALL SELECT id, 'fixed', (2097152 + bat + 5242880 + v)::BIGINT, (2097152 + bat + 5242880 + v)::BIGINT FROM e""")
 def measure_vhdx(spark, sf_dir):
-    c = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey * c_custkey * 33554432 + c_custkey % 600 AS v", "c_custkey % 9 AS u", "c_custkey * 1000000 AS a")
-    c = c.withColumn("block", sizes.vhdx_block_size(sizes.round_up(F.col("v"), 512)))
+    c = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "cast(c_custkey AS decimal(38,0)) * c_custkey * 33554432 + c_custkey % 600 AS v", "c_custkey % 9 AS u", "c_custkey * 1000000 AS a")
+    # The thresholds are whole sectors: rounding first would choose the same block size.
+    c = c.withColumn("block", sizes.vhdx_block_size(F.col("v")))
     made = {k: sizes.measure_vhdx(F.col("v"), F.col("u"), F.col("a"), F.col("block"), fixed=k == "fixed") for k in ("dynamic", "fixed")}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), m["required"].cast("long").alias("required"), m["full"].cast("long").alias("fully_allocated")) for k, m in made.items())))
     return c.select("id", each.alias("m")).select("id", "m.*")

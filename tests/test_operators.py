@@ -526,3 +526,29 @@ def test_deflated_clusters_are_placed(spark):
             want[b], at = (size, at), at + -(-size // 512) * 512
     got = schedule.place_deflated(df, 512, 1024, chunk=5)
     assert {r.block_idx: (r["size"], r.file_offset) for r in got.collect()} == want and len(want) == 8
+
+
+#: Keys whose images have less than 63 bits of bytes, and more.
+WIDE_KEYS = [0, 1, 7, 524287, 524288, 741456, 899999]
+
+
+def vhdx_by_hand(v):
+    block = next(b for limit, b in ((32 << 40, 64 << 20), (100 << 30, 32 << 20), (1 << 30, 16 << 20), (-1, 8 << 20)) if v > limit)
+    blocks, ratio = -(-v // block), (1 << 32) // block
+    return block, ratio, blocks, blocks + max(blocks - 1, 0) // ratio
+
+
+def test_measure_vhdx_beyond_64_bits(spark, tmp_path):
+    from blocklens.queries import QUERIES
+
+    spark.createDataFrame([(k,) for k in WIDE_KEYS], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want, mib = {}, 1 << 20
+    for k in WIDE_KEYS:
+        v = -(-((k * k << 25) + k % 600) // 512) * 512
+        block, _, blocks, entries = vhdx_by_hand(v)
+        bat = max(-(-entries * 8 // mib), 1) * mib
+        held = k % 9 or -(-k * 1000000 // block)
+        sizes_of = {"dynamic": (3 * mib + bat + held * block, 3 * mib + bat + blocks * block), "fixed": (7 * mib + bat + v,) * 2}
+        want |= {(k, kind): tuple(n if n < 1 << 63 else None for n in pair) for kind, pair in sizes_of.items()}
+    got = {(r.id, r.kind): (r.required, r.fully_allocated) for r in QUERIES["measure_vhdx"](spark, str(tmp_path)).collect()}
+    assert got == want and want[524288, "fixed"] == (None, None) and want[524288, "dynamic"][0]
