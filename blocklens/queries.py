@@ -205,7 +205,7 @@ def saturating_refcount(spark, sf_dir):
 @query("""WITH v AS (SELECT c_custkey AS image_id, c_custkey * c_custkey * 33554432 + 1 AS v FROM customer), b AS (SELECT *, CASE WHEN v > 35184372088832 THEN 67108864 WHEN v > 107374182400 THEN 33554432 WHEN v > 1073741824 THEN 16777216 ELSE 8388608 END AS bs FROM v)
 SELECT image_id, bs::BIGINT AS block_size, (4294967296 // bs)::BIGINT AS chunk_ratio, ((v + bs - 1) // bs)::BIGINT AS payload_blocks, ((v + bs - 1) // bs + ((v + bs - 1) // bs - 1) // (4294967296 // bs))::BIGINT AS bat_entries FROM b""")
 def vhdx_layouts(spark, sf_dir):
-    v = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS image_id", "c_custkey * c_custkey * 33554432 + 1 AS v").withColumn("block_size", sizes.vhdx_block_size(F.col("v")))
+    v = lift.table(spark, sf_dir, "customer").selectExpr("c_custkey AS image_id", "cast(c_custkey AS decimal(38,0)) * c_custkey * 33554432 + 1 AS v").withColumn("block_size", sizes.vhdx_block_size(F.col("v")))
     layout = sizes.vhdx_layout(F.col("v"), F.col("block_size"))
     return v.select("image_id", "block_size", *(layout[c].alias(c) for c in ("chunk_ratio", "payload_blocks", "bat_entries")))
 

@@ -552,3 +552,11 @@ def test_measure_vhdx_beyond_64_bits(spark, tmp_path):
         want |= {(k, kind): tuple(n if n < 1 << 63 else None for n in pair) for kind, pair in sizes_of.items()}
     got = {(r.id, r.kind): (r.required, r.fully_allocated) for r in QUERIES["measure_vhdx"](spark, str(tmp_path)).collect()}
     assert got == want and want[524288, "fixed"] == (None, None) and want[524288, "dynamic"][0]
+
+
+def test_vhdx_layouts_beyond_64_bits(spark, tmp_path):
+    from blocklens.queries import QUERIES
+
+    spark.createDataFrame([(k,) for k in WIDE_KEYS], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.image_id: tuple(r)[1:] for r in QUERIES["vhdx_layouts"](spark, str(tmp_path)).collect()}
+    assert got == {k: vhdx_by_hand((k * k << 25) + 1) for k in WIDE_KEYS}
