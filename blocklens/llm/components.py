@@ -47,7 +47,7 @@ def centres_of(posts: DataFrame, centre: Column) -> DataFrame:
     return best.filter("len > 1").select("tok", F.col("c.share").alias("share"), F.col("len").alias("listed"), "c.at.*")
 
 
-def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], orders: list[Column]) -> DataFrame:
+def linked_components(posts: DataFrame, possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], orders: list[Column], within: Callable[[DataFrame], DataFrame] | None = None, list_part: int = LIST_PART) -> DataFrame:
     """Components of the links among vertices that meet in posting lists, without all pairs.
 
     ``posts(tok, cid, ...)`` lists vertices by key; two vertices can only link if they
@@ -57,8 +57,13 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
     that link to a common vertex or are densely linked. Then every possible pair that
     lies in two components is verified: one of its ends is outside its list's home
     component, so only those rows meet the whole list, which is cut into parts of
-    ``LIST_PART`` rows, each a join key of its own. Pairs that are left out have ends that
+    ``list_part`` rows, each a join key of its own. Pairs that are left out have ends that
     are connected already.
+
+    ``within``, if given, finds the last links from the lists themselves, so that their
+    pairs never become rows: its rows are those of ``posts`` with ``part``, ``comp``,
+    ``home`` and ``away``. Rows of one ``tok`` and ``part`` meet, each with ``away`` each
+    without, as above; it states the links ``(a, b)`` of all that are possible.
     """
     centres = materialize(centres_of(posts, orders[0]), "centres")
     pairs = None
@@ -74,9 +79,12 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
     comp = posts.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     main = comp.join(centres.select("tok", F.col("cid").alias("centre"), "listed"), "tok")
     home = main.filter("cid = centre").select("tok", F.col("comp").alias("home")).distinct()
-    main = materialize(main.join(home, "tok").withColumn("parts", F.expr(f"(listed + {LIST_PART - 1}) div {LIST_PART}")).drop("centre", "listed"), "postings")
+    main = materialize(main.join(home, "tok").withColumn("parts", F.expr(f"(listed + {list_part - 1}) div {list_part}")).drop("centre", "listed"), "postings")
     away = main.filter("comp != home").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).alias("x")
     all_ = main.withColumn("part", F.expr("pmod(xxhash64(cid), parts)")).alias("y")
+    if within:
+        met = all_.join(away.select("tok").distinct(), "tok", "left_semi").withColumn("away", F.lit(False))
+        return connected_components(found.unionByName(within(met.unionByName(away.withColumn("away", F.lit(True))))))
     rest = away.join(all_, F.expr("x.tok = y.tok AND x.part = y.part AND x.comp != y.comp AND (y.comp = y.home OR x.cid < y.cid) AND " + possible("x", "y")))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     return connected_components(found.unionByName(verify(rest)))

@@ -59,6 +59,11 @@ BARE, BORDER, WORDY = 0, 1, 2
 SEND_LINES = 500_000
 #: Bytes of lines, and lines that go, that a map task holds before it sends them.
 FLUSH, FLUSH_GONE = 1 << 23, 250_000
+#: Elements of the arrays that pairs are verified in; lines of more characters, fewer pairs of a
+#: length, and batches of more different characters are compared one pair at a time.
+LANES, LONGEST, FEW_PAIRS, MOST_SIGNS = 1 << 14, 2048, 64, 512
+#: Rows of a key's list that meet at a time, and pairs that are looked at at a time.
+LIST_PART, PAIRS = 4096, 1 << 20
 NEWLINE, SPACE = 0x0A, 0x20
 
 CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("sim2", "<u8"), ("gsim", "<u8"), ("size", "u1"), ("kind", "u1"), ("null", "?")])
@@ -446,6 +451,164 @@ def similar(x: str, y: str, percent: int) -> bool:
     return max(len(x), len(y)) <= allowed or edit_distance(x, y, allowed) <= allowed
 
 
+def near_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """``similar(texts[a], texts[b], percent)`` of each pair, many pairs at a time."""
+    size = np.array([len(t) for t in texts], np.int64)
+    # The shorter line is the pattern: its characters are bits, the longer one's are steps.
+    short, long = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    allowed = (100 - percent) * size[long] // 100
+    out = np.zeros(len(a), bool)
+    fits = np.flatnonzero((size[long] - size[short] <= allowed) & (size[short] > 0))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    signs = int(seen.sum())
+    codes = (np.cumsum(seen) - 1)[points]
+    begins = np.cumsum(size) - size
+    words = (size[short[fits]] + 63) // 64
+    alone = (size[long[fits]] > LONGEST) | (np.bincount(words)[words] < FEW_PAIRS) | (signs > MOST_SIGNS)
+    for i in fits[alone].tolist():
+        out[i] = similar(texts[a[i]], texts[b[i]], percent)
+    fits, words = fits[~alone], words[~alone]
+    fits = fits[np.lexsort((size[long[fits]], words))]
+    words = np.sort(words)
+    lo = 0
+    while lo < len(fits):
+        # Pairs of one number of words, about as long.
+        w = int(words[lo])
+        hi = min(int(np.searchsorted(words, w, "right")), lo + max(64, LANES // w))
+        some = fits[lo:hi]
+        out[some] = distances_within(codes, signs, begins, size, short[some], long[some], allowed[some], w)
+        lo = hi
+    return out
+
+
+def distances_within(codes: np.ndarray, signs: int, begins: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, allowed: np.ndarray, words: int) -> np.ndarray:
+    """Whether pairs of lines are at most ``allowed`` edits apart: ``edit_distance`` with a column per pair.
+
+    All patterns ``x`` take ``words`` words of 64 bits, the lowest first.
+    """
+    out, at = np.zeros(len(x), bool), np.arange(len(x))
+    used, place = np.unique(x, return_inverse=True)
+    where = np.zeros((words, len(used) * signs), np.uint64)
+    own = np.arange(len(used))
+    for i in range(int(size[used].max())):
+        has = own[size[used] > i]
+        where[i // 64, has * signs + codes[begins[used[has]] + i]] |= np.uint64(1 << i % 64)
+    base, first, ends = place * signs, begins[y], size[y]
+    one, last = np.uint64(1), np.uint64(63)
+    top = (size[x] - 1).astype(np.uint64) & last
+    score, limit = size[x].copy(), ends + allowed
+    plus, minus = np.full((words, len(x)), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((words, len(x)), np.uint64)
+    for step in range(int(ends.max())):
+        if step % 16 == 0:
+            # Pairs that have ended keep their result; those too far apart already leave.
+            stay = (ends > step) & (score + step <= limit)
+            if not stay.all():
+                if not stay.any():
+                    break
+                at, base, first, ends, top, score, limit = (v[stay] for v in (at, base, first, ends, top, score, limit))
+                plus, minus = plus[:, stay], minus[:, stay]
+        eq = np.take(where, base + codes[np.minimum(first + step, len(codes) - 1)], axis=1)
+        vertical = eq | minus
+        held = eq & plus
+        total = held + plus
+        carry = total < held
+        for w in range(1, words):
+            total[w] += carry[w - 1]
+            carry[w] |= (total[w] == 0) & carry[w - 1]
+        total ^= plus
+        total |= eq
+        up = minus | ~(total | plus)
+        down = plus & total
+        score += (up[-1] >> top & one).astype(np.int64)
+        score -= (down[-1] >> top & one).astype(np.int64)
+        over_up, over_down = up[:-1] >> last, down[:-1] >> last
+        up <<= one
+        down <<= one
+        up[1:] |= over_up
+        down[1:] |= over_down
+        up[0] |= one
+        plus = down | ~(vertical | up)
+        minus = up & vertical
+        over = ends == step + 1
+        if over.any():
+            out[at[over]] = score[over] <= limit[over] - ends[over]
+    return out
+
+
+def possible_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, apart: int) -> np.ndarray:
+    """The condition ``possible`` of ``repeated_lines`` on rows ``i`` and ``j``."""
+    kind = x["kind"]
+    least, most = np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])
+    ok = (np.abs(x["size"][i] - x["size"][j]) <= apart) & (most - least < 2)
+    differ = lambda c: np.bitwise_count(x[c][i] ^ x[c][j]).astype(np.int64)
+    ok &= (least == BARE) | (differ("sim") + differ("sim2") <= FAR_BITS)
+    return ok & ((most == WORDY) | (differ("gsim") <= FAR_GRAM_BITS))
+
+
+def list_links(table: pa.Table, similarity: int, apart: int) -> pa.RecordBatch:
+    """Links ``(a, b)`` among rows of whole lists, which are sorted by ``tok, part``; see ``linked_components``.
+
+    A pair that meets in several lists is compared in the one of the least ``tok``.
+    """
+    x = {c: table.column(c).to_numpy() for c in ("tok", "part", "cid", "comp", "home", "sim", "sim2", "gsim", "size", "kind")}
+    for c in ("sim", "sim2", "gsim"):
+        x[c] = x[c].view(np.uint64)
+    away = table.column("away").to_numpy(zero_copy_only=False)
+    new = np.ones(len(away), bool)
+    new[1:] = (x["tok"][1:] != x["tok"][:-1]) | (x["part"][1:] != x["part"][:-1])
+    group = np.cumsum(new) - 1
+    goes, rest = np.flatnonzero(away), np.flatnonzero(~away)
+    lo, hi = (np.searchsorted(group[rest], group[goes], side) for side in ("left", "right"))
+    met, found = np.cumsum(hi - lo), []
+    at = 0
+    while at < len(goes):
+        upto = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + PAIRS, "right")))
+        n = hi[at:upto] - lo[at:upto]
+        i = np.repeat(goes[at:upto], n)
+        j = rest[np.arange(n.sum()) + np.repeat(lo[at:upto] - np.cumsum(n) + n, n)]
+        ok = (x["comp"][i] != x["comp"][j]) & ((x["comp"][j] == x["home"][j]) | (x["cid"][i] < x["cid"][j]))
+        i, j = i[ok], j[ok]
+        ok = possible_pairs(x, i, j, apart)
+        found.append((i[ok], j[ok]))
+        at = upto
+    i, j = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    rows, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+    listed = [frozenset(t) for t in table.column("toks").take(pa.array(rows)).to_pylist()]
+    i_at, j_at = place[: len(i)], place[len(i) :]
+    own = np.array([min(listed[p] & listed[q]) == t for p, q, t in zip(i_at.tolist(), j_at.tolist(), x["tok"][i].tolist(), strict=True)], bool)
+    i, j, i_at, j_at = i[own], j[own], i_at[own], j_at[own]
+    same = near_pairs(table.column("words").take(pa.array(rows)).to_pylist(), i_at, j_at, similarity) if len(i) else np.zeros(0, bool)
+    a, b = x["cid"][i[same]], x["cid"][j[same]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Runs of about ``rows`` sorted rows that end where a list ends."""
+    held, n = [], 0
+
+    def last_list(batch: pa.RecordBatch) -> int:
+        """Where the last list of a batch begins."""
+        tok, part = (batch.column(c).to_numpy() for c in ("tok", "part"))
+        other = np.flatnonzero((tok != tok[-1]) | (part != part[-1]))
+        return int(other[-1]) + 1 if len(other) else 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows:
+            cut = last_list(batch)
+            head = batch.slice(0, cut)
+            if cut:
+                yield pa.Table.from_batches([*held, head]).combine_chunks()
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def row_of(left: DataFrame, right: DataFrame) -> Column:
     """Rows are told apart by id and text hash; null ids are equal."""
     return null_safe_eq(left["id"], right["of_id"]) & (left["th"] == right["of_th"])
@@ -507,12 +670,23 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                # Most of these are near, which ``similar`` tells by their words.
                 same = [similar(x, y, similarity) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
         return full.select("a", "b", "wa", "wb").mapInArrow(alike, "a long, b long")
 
-    labels = linked_components(posts, possible, verify, [F.lit(1), F.xxhash64("cid")])
+    def within(lists: DataFrame) -> DataFrame:
+        known = texts.select(F.col("h").alias("cid"), "words").join(posts.groupBy("cid").agg(F.collect_list("tok").alias("toks")), "cid")
+        dealt = lists.join(known, "cid").repartition(pieces_for(posts, 1 << 19), "tok", "part").sortWithinPartitions("tok", "part")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_lists(batches):
+                yield list_links(table, similarity, apart)
+
+        return dealt.mapInArrow(run, "a long, b long").distinct()
+
+    labels = linked_components(posts, possible, verify, [F.lit(1), F.xxhash64("cid")], within, LIST_PART)
     # Only the verified class of a name is in its group.
     grouped = wanted.join(texts.select("h", "h2"), ["h", "h2"]).join(labels.withColumnRenamed("v", "h"), "h")
     at = F.struct(F.col("id").isNull().alias("null"), "id", "th", "line")

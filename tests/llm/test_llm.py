@@ -822,3 +822,40 @@ def test_pipeline_stages_on_odd_tables(spark, data, odd, empty, tmp_path):
     assert sorted(r.text for r in p.drop_near_copies(spark, shared, sf).collect()) == ["a b c", "wholly other words"]
     last = p.write_tokens(spark, extra, sf)
     assert last.count() == extra.count() and p.write_tokens(spark, empty, sf).count() == 0
+
+
+def test_near_pairs_are_told_many_at_a_time():
+    rng = random.Random(7)
+    lines, a, b = [], [], []
+    for signs, size in itertools.product(("abcde ", "aé漢🙂 "), (1, 5, 63, 64, 65, 128, 129, 200)):
+        for _ in range(2 * line_dedup.FEW_PAIRS):
+            x = [rng.choice(signs) for _ in range(size)]
+            y = list(x)
+            for _ in range(rng.randint(0, size // 3 + 1)):
+                i = rng.randrange(len(y))
+                y[i : i + rng.randint(0, 1)] = rng.choice(("", *signs)) or y[i : i + 1] if len(y) > 1 else y
+            a, b, lines = [*a, len(lines)], [*b, len(lines) + 1], [*lines, "".join(x), "".join(y)]
+    lines += ["ab " * 1000, "ab " * 900 + "c" * 200]
+    a, b = np.array([*a, len(lines) - 2, len(lines) - 1]), np.array([*b, len(lines) - 1, len(lines) - 2])
+    want = [line_dedup.similar(lines[i], lines[j], 80) for i, j in zip(a, b, strict=True)]
+    assert line_dedup.near_pairs(lines, a, b, 80).tolist() == want and 0.1 < np.mean(want) < 0.9
+
+
+def test_pairs_of_a_long_list_never_become_rows(spark, monkeypatch):
+    """Lines that share a passage but are strangers meet within their lists, here cut into parts of seven."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(14)]
+    lines = [" ".join(passage + [word() for _ in range(7)]) for _ in range(60)]
+    lines += [x + "s" for x in lines[:20]]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    given, linked = [], line_dedup.linked_components
+
+    def watched(posts, possible, verify, *rest):
+        return linked(posts, possible, lambda pairs: given.append(pairs.count()) or verify(pairs), *rest)
+
+    monkeypatch.setattr(line_dedup, "linked_components", watched)
+    monkeypatch.setattr(line_dedup, "LIST_PART", 7)
+    assert sorted(r.id for r in line_dedup.repeated_lines(rows).collect()) == list(range(60, 80))
+    # Only the lists' centres: at most two pairs a line.
+    assert len(given) == 1 and given[0] <= 2 * len(lines)
