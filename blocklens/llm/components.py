@@ -63,7 +63,8 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
     ``within``, if given, finds the last links from the lists themselves, so that their
     pairs never become rows: its rows are those of ``posts`` with ``part``, ``comp``,
     ``home`` and ``away``. Rows of one ``tok`` and ``part`` meet, each with ``away`` each
-    without, as above; it states the links ``(a, b)`` of all that are possible.
+    without, as above; it states links ``(a, b)`` between the rows' ``comp``, as many as
+    join up what the links of all that are possible join. Only these few are followed then.
     """
     centres = materialize(centres_of(posts, orders[0]), "centres")
     pairs = None
@@ -84,7 +85,11 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
     all_ = main.withColumn("part", F.expr("pmod(xxhash64(cid), parts)")).alias("y")
     if within:
         met = all_.join(away.select("tok").distinct(), "tok", "left_semi").withColumn("away", F.lit(False))
-        return connected_components(found.unionByName(within(met.unionByName(away.withColumn("away", F.lit(True))))))
+        upper = connected_components(within(met.unionByName(away.withColumn("away", F.lit(True)))))
+        # A component is named by one of its vertices; one without a link is in no label yet.
+        alone = upper.join(labels, "v", "left_anti")
+        joined = labels.join(upper.select(F.col("v").alias("label"), F.col("label").alias("least")), "label", "left")
+        return joined.select("v", F.coalesce("least", "label").alias("label")).unionByName(alone)
     rest = away.join(all_, F.expr("x.tok = y.tok AND x.part = y.part AND x.comp != y.comp AND (y.comp = y.home OR x.cid < y.cid) AND " + possible("x", "y")))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     return connected_components(found.unionByName(verify(rest)))

@@ -62,8 +62,9 @@ FLUSH, FLUSH_GONE = 1 << 23, 250_000
 #: Elements of the arrays that pairs are verified in; lines of more characters, fewer pairs of a
 #: length, and batches of more different characters are compared one pair at a time.
 LANES, LONGEST, FEW_PAIRS, MOST_SIGNS = 1 << 14, 2048, 64, 512
-#: Rows of a key's list that meet at a time, and pairs that are looked at at a time.
-LIST_PART, PAIRS = 4096, 1 << 20
+#: Rows of a key's list that meet at a time, pairs that are looked at at a time, and pairs that are
+#: compared before those that are joined up by then are left out.
+LIST_PART, PAIRS, COMPARED = 4096, 1 << 20, 1 << 17
 NEWLINE, SPACE = 0x0A, 0x20
 
 CLASS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("line", "<i8"), ("sim", "<u8"), ("sim2", "<u8"), ("gsim", "<u8"), ("size", "u1"), ("kind", "u1"), ("null", "?")])
@@ -547,10 +548,40 @@ def possible_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, apart
     return ok & ((most == WORDY) | (differ("gsim") <= FAR_GRAM_BITS))
 
 
+class Forest:
+    """Which of ``names`` are joined up, and the links that joined them: less than there are names."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.up = names, np.arange(len(names))
+        self.links: list[tuple[int, int]] = []
+
+    def tops(self) -> np.ndarray:
+        while not np.array_equal(upper := self.up[self.up], self.up):
+            self.up = upper
+        return self.up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        up = self.up.tolist()
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                self.links.append((x, y))
+        self.up = np.array(up)
+
+
 def list_links(table: pa.Table, similarity: int, apart: int) -> pa.RecordBatch:
-    """Links ``(a, b)`` among rows of whole lists, which are sorted by ``tok, part``; see ``linked_components``.
+    """Links ``(a, b)`` among components of rows of whole lists, sorted by ``tok, part``; see ``linked_components``.
 
-    A pair that meets in several lists is compared in the one of the least ``tok``.
+    A pair that meets in several lists is compared in the one of the least ``tok``. Pairs
+    whose components are joined up already are not compared, and only links that join two
+    components are stated, so that they grow with the rows and not with their pairs.
     """
     x = {c: table.column(c).to_numpy() for c in ("tok", "part", "cid", "comp", "home", "sim", "sim2", "gsim", "size", "kind")}
     for c in ("sim", "sim2", "gsim"):
@@ -579,8 +610,19 @@ def list_links(table: pa.Table, similarity: int, apart: int) -> pa.RecordBatch:
     i_at, j_at = place[: len(i)], place[len(i) :]
     own = np.array([min(listed[p] & listed[q]) == t for p, q, t in zip(i_at.tolist(), j_at.tolist(), x["tok"][i].tolist(), strict=True)], bool)
     i, j, i_at, j_at = i[own], j[own], i_at[own], j_at[own]
-    same = near_pairs(table.column("words").take(pa.array(rows)).to_pylist(), i_at, j_at, similarity) if len(i) else np.zeros(0, bool)
-    a, b = x["cid"][i[same]], x["cid"][j[same]]
+    texts = table.column("words").take(pa.array(rows)).to_pylist()
+    names, comp = np.unique(x["comp"][rows], return_inverse=True)
+    forest, at = Forest(names), 0
+    while at < len(i_at):
+        p, q = i_at[at : at + COMPARED], j_at[at : at + COMPARED]
+        tops = forest.tops()
+        apart_yet = tops[comp[p]] != tops[comp[q]]
+        p, q = p[apart_yet], q[apart_yet]
+        if len(p):
+            same = near_pairs(texts, p, q, similarity)
+            forest.join(comp[p[same]], comp[q[same]])
+        at += COMPARED
+    a, b = (names[np.array(c, np.int64)] for c in zip(*forest.links, strict=True)) if forest.links else (np.zeros(0, np.int64),) * 2
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 

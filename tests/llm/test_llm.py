@@ -859,3 +859,29 @@ def test_pairs_of_a_long_list_never_become_rows(spark, monkeypatch):
     assert sorted(r.id for r in line_dedup.repeated_lines(rows).collect()) == list(range(60, 80))
     # Only the lists' centres: at most two pairs a line.
     assert len(given) == 1 and given[0] <= 2 * len(lines)
+
+
+@pytest.mark.parametrize("at_a_time", [1 << 17, 10])
+def test_links_of_a_list_grow_with_its_rows(monkeypatch, at_a_time):
+    """Thirty lines that are all near one another, and five strangers: 29 links, not all 435 pairs."""
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    lines = [line + f" {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)] + [chr(97 + i) * 70 for i in range(5)]
+    n, given, near_pairs = len(lines), [], line_dedup.near_pairs
+
+    def watched(texts, a, b, percent):
+        given.append(len(a))
+        return near_pairs(texts, a, b, percent)
+
+    monkeypatch.setattr(line_dedup, "near_pairs", watched)
+    monkeypatch.setattr(line_dedup, "COMPARED", at_a_time, raising=False)
+    held = [{"tok": 9, "part": 0, "cid": i, "comp": i, "home": 0, "sim": 0, "sim2": 0, "gsim": 0, "size": 20, "kind": line_dedup.WORDY, "toks": [9], "words": x} for i, x in enumerate(lines)]
+    table = pa.Table.from_pylist([x | {"away": False} for x in held] + [x | {"away": True} for x in held[1:]])
+    links = line_dedup.list_links(table, 80, 3)
+    pairs = list(zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True))
+    assert len(pairs) == 29 and all(a < b < 30 for a, b in pairs)
+    reached = {0}
+    for _ in pairs:
+        reached |= {x for p in pairs if reached & set(p) for x in p}
+    assert reached == set(range(30))
+    # What is joined up already is not compared.
+    assert sum(given) < n * (n - 1) // 2 or at_a_time > n * n
