@@ -127,24 +127,30 @@ def minhash_keys(features: np.ndarray, cuts: np.ndarray, kind: int) -> np.ndarra
     return keys
 
 
+@cache
+def spread_bits() -> np.ndarray:
+    """Of each byte, a number whose eight bytes are its bits."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel()
+
+
 def simhashes(features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A row of two numbers per line, its SimHash: each bit is the features' majority."""
-    halves = []
-    for half in range(2):
-        out = np.zeros(len(cuts) - 1, np.uint64)
-        size = np.diff(cuts)
-        lo = 0
-        while lo < len(size):
-            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + (1 << 16), "right")) - 1)
-            own = mix(features[cuts[lo] : cuts[hi]].astype(np.uint64) + np.uint64(half << 40))
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            # Counts of less than 256 features need a byte each.
-            wide = np.uint8 if size[lo:hi].max() < 256 else np.int32
-            votes = np.add.reduceat(bits, cuts[lo:hi] - cuts[lo], axis=0, dtype=wide).astype(np.int32)
-            out[lo:hi] = np.packbits(2 * votes > size[lo:hi, None], axis=1, bitorder="little").view("<u8").ravel()
-            lo = hi
-        halves.append(out)
-    return np.stack(halves, axis=1)
+    size = np.diff(cuts)
+    out = np.zeros((len(size), 2), np.uint64)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + (1 << 13), "right")) - 1)
+        own, begins = features[cuts[lo] : cuts[hi]].astype(np.uint64), cuts[lo:hi] - cuts[lo]
+        for half in range(2):
+            packed = mix(own + np.uint64(half << 40)).astype("<u8").view(np.uint8).reshape(-1, 8)
+            if size[lo:hi].max() < 256:
+                # Counts of less than 256 features need a byte each: eight are added as one number.
+                votes = np.add.reduceat(spread_bits()[packed.T], begins, axis=1).T.copy().view(np.uint8).astype(np.int32)
+            else:
+                votes = np.add.reduceat(np.unpackbits(packed, axis=1, bitorder="little"), begins, axis=0, dtype=np.int32)
+            out[lo:hi, half] = np.packbits(2 * votes > size[lo:hi, None], axis=1, bitorder="little").view("<u8").ravel()
+        lo = hi
+    return out
 
 
 def block_keys(sims: np.ndarray) -> np.ndarray:
@@ -155,8 +161,8 @@ def block_keys(sims: np.ndarray) -> np.ndarray:
 
 def length_codes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The lines' lengths in characters, on a logarithmic scale."""
-    # Each stretch goes up to the next line and so has one space more.
-    chars = np.add.reduceat((text & 0xC0) != 0x80, begins, dtype=np.int64) - 1
+    later = np.flatnonzero((text & 0xC0) == 0x80)
+    chars = sizes - np.searchsorted(later, begins + sizes) + np.searchsorted(later, begins)
     return np.minimum(255, np.log(np.maximum(1, chars)) / np.log(LENGTH_BASE)).astype(np.uint8)
 
 
@@ -720,7 +726,7 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
 
     def within(lists: DataFrame) -> DataFrame:
         known = texts.select(F.col("h").alias("cid"), "words").join(posts.groupBy("cid").agg(F.collect_list("tok").alias("toks")), "cid")
-        dealt = lists.join(known, "cid").repartition(pieces_for(posts, 1 << 19), "tok", "part").sortWithinPartitions("tok", "part")
+        dealt = lists.join(known, "cid").repartition(pieces_for(posts, 1 << 21, least=24), "tok", "part").sortWithinPartitions("tok", "part")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_lists(batches):

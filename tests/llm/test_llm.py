@@ -885,3 +885,18 @@ def test_links_of_a_list_grow_with_its_rows(monkeypatch, at_a_time):
     assert reached == set(range(30))
     # What is joined up already is not compared.
     assert sum(given) < n * (n - 1) // 2 or at_a_time > n * n
+
+
+def test_majorities_of_lines_of_any_size():
+    """Votes are counted eight to a number up to 255 features, beyond that one by one; both are the features' majorities."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, 255, 256, 3, 300, 9000, 40])
+    cuts = np.append(0, np.cumsum(sizes))
+    features = rng.integers(0, 1 << 32, cuts[-1], np.uint64).astype(np.uint32)
+    got = line_dedup.simhashes(features, cuts)
+    for line, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        for half in range(2):
+            own = line_dedup.mix(features[a:b].astype(np.uint64) + np.uint64(half << 40))
+            assert int(got[line, half]) == sum(1 << k for k in range(64) if 2 * int((own >> np.uint64(k) & np.uint64(1)).sum()) > b - a)
+    text = "aé漢🙂 b".encode() + b" xyz "
+    assert line_dedup.length_codes(np.frombuffer(text, np.uint8), np.array([0, 13]), np.array([12, 3])).tolist() == [int(np.log(6) / np.log(1.2)), int(np.log(3) / np.log(1.2))]
