@@ -46,6 +46,8 @@ BLOCK = 4096
 HELD_BLOCKS = 64
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 400_000
+#: New words that go to the library as one text.
+TOGETHER = 1000
 WORD_END = "</w>"
 BATCH_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq long, first_id long, n_docs long, n_tokens long, image binary"
@@ -239,6 +241,17 @@ def tails(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return begins[(ends == len(data)) | ~inside[data[np.minimum(ends, len(data) - 1)]]]
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each different hash is, and which of these each hash equals."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 class WordIds:
     """Identifiers of whole texts by the library, each different word encoded once.
 
@@ -268,10 +281,21 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, words: list[str], sign: str = "", mark: tuple[int, ...] = ()) -> np.ndarray:
+        """Identifiers of words with ``sign`` between them, whose identifiers are ``mark``.
+
+        They go to the library in texts of ``TOGETHER`` words, which costs it less than one long text.
+        """
+        texts = [f" {sign} ".join(words[i : i + TOGETHER]) if sign else " ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        out: list[int] = []
+        for n, ids in enumerate(self.encode(texts)):
+            out.extend((*mark, *ids) if n else ids)
+        return np.array(out, np.int64)
+
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of words in turn, and how many each has."""
         if self.cut:
-            found = np.array(self.encode([f" {self.cut[1]} ".join(words)])[0], np.int64)
+            found = self.joined(words, self.cut[1], self.cut[:1])
             marks = np.flatnonzero(found == self.cut[0])
             return np.delete(found, marks), np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1
         each = self.encode(words)
@@ -283,8 +307,9 @@ class WordIds:
         A word of letters alone is one piece, whose last token the vocabulary marks:
         such words need only a space between them.
         """
-        texts = [w.decode("utf-8", "replace") for w in words]
-        letters = np.array([t.isalpha() for t in texts], bool)
+        # No word holds a space.
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")
+        letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
         out = np.zeros(len(words), np.int64)
         for kind in (True, False):
             some = np.flatnonzero(letters == kind)
@@ -293,7 +318,7 @@ class WordIds:
             own = [texts[i] for i in some.tolist()]
             found = sizes = None
             if kind:
-                found = np.array(self.encode([" ".join(own)])[0], np.int64)
+                found = self.joined(own)
                 ends = np.flatnonzero(self.ends[found])
                 sizes = np.diff(ends, prepend=-1) if len(ends) == len(own) else None
             if sizes is None:
@@ -312,7 +337,7 @@ class WordIds:
             each = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             return np.array([i for e in each for i in e], self.kind), np.cumsum([0, *map(len, each)])
         words = scan(data, offsets, self.inside, breaks=tails(data, self.inside))
-        _, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        where, inverse = distinct(words.hashes)
         length, first = words.ends - words.starts, where[inverse]
         # Words of one length and at most eight bytes never share a hash.
         long = np.flatnonzero(length > STEP)
@@ -323,10 +348,17 @@ class WordIds:
             self.forget()
         listed = [lower[a:b] for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
         place = np.fromiter(map(self.at.get, listed, repeat(-1)), np.int64, len(listed))
-        new = list(dict.fromkeys(listed[i] for i in np.flatnonzero(place < 0).tolist()))
-        if new:
-            self.at.update(zip(new, self.learn(new).tolist(), strict=True))
-            place = np.fromiter(map(self.at.get, listed), np.int64, len(listed))
+        at = np.flatnonzero(place < 0)
+        if len(at):
+            new = [listed[i] for i in at.tolist()]
+            if len(where) == len(length):
+                # Every word was a word of its own: some may be equal.
+                new = list(dict.fromkeys(new))
+                self.at.update(zip(new, self.learn(new).tolist(), strict=True))
+                place = np.fromiter(map(self.at.get, listed), np.int64, len(listed))
+            else:
+                place[at] = self.learn(new)
+                self.at.update(zip(new, place[at].tolist(), strict=True))
         chosen = place[inverse]
         sizes = self.sizes[chosen]
         ends = np.concatenate(([0], np.cumsum(sizes)))

@@ -900,3 +900,27 @@ def test_majorities_of_lines_of_any_size():
             assert int(got[line, half]) == sum(1 << k for k in range(64) if 2 * int((own >> np.uint64(k) & np.uint64(1)).sum()) > b - a)
     text = "aé漢🙂 b".encode() + b" xyz "
     assert line_dedup.length_codes(np.frombuffer(text, np.uint8), np.array([0, 13]), np.array([12, 3])).tolist() == [int(np.log(6) / np.log(1.2)), int(np.log(3) / np.log(1.2))]
+
+
+def test_new_words_are_sent_in_short_texts(texts, monkeypatch):
+    """New words go to the library in texts of a few words each, with the same identifiers as whole texts."""
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    library, most = wavelet.tokenizer(path), 0
+
+    class Watched(wavelet.WordIds):
+        def encode(self, texts):
+            nonlocal most
+            most = max(most, *(len(t.split()) for t in texts))
+            return super().encode(texts)
+
+    monkeypatch.setattr(wavelet, "TOGETHER", 3, raising=False)
+    # Control characters and lone marks among words of letters, digits and signs; some give no identifier.
+    rows = [*list(texts.values())[:40], "\x00 \x00a \x7f b\x01c ́ é 1 22 ... don't x-y", "​ ﻿ \x01", "", "new words, all of them. new words"]
+    ids = Watched(path, np.uint16)
+    for some in (rows, rows[::-1]):
+        got, first = ids.rows(*part_bytes(pa.array(some)))
+        assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    # Three words with the cuts between them.
+    assert 0 < most <= 5
+    where, inverse = wavelet.distinct(np.array([5, 3, 5, 9, 3], np.uint64))
+    assert len(where) == 3 and where[inverse].tolist()[3] == 3 and [(5, 3, 5, 9, 3)[i] for i in where[inverse]] == [5, 3, 5, 9, 3]
