@@ -80,7 +80,7 @@ def linked_components(posts: DataFrame, possible: Callable[[str, str], str], ver
     comp = posts.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     main = comp.join(centres.select("tok", F.col("cid").alias("centre"), "listed"), "tok")
     home = main.filter("cid = centre").select("tok", F.col("comp").alias("home")).distinct()
-    main = materialize(main.join(home, "tok").withColumn("parts", F.expr(f"(listed + {list_part - 1}) div {list_part}")).drop("centre", "listed"), "postings")
+    main = materialize(main.join(home, "tok").withColumn("parts", F.expr(f"(listed + {list_part - 1}) div {list_part}")).drop("centre", "listed"), "postings", free=within is not None)
     away = main.filter("comp != home").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).alias("x")
     all_ = main.withColumn("part", F.expr("pmod(xxhash64(cid), parts)")).alias("y")
     if within:

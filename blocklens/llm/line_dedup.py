@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import as_long, materialize, null_safe_eq, part_bytes, pick, pieces_for, scratch
+from blocklens.llm.common import as_long, drop_table, materialize, null_safe_eq, part_bytes, pick, pieces_for, scratch
 from blocklens.llm.components import linked_components
 from blocklens.llm.wordhash import eights, fold_ascii, keep_masks, mix, padded_bytes, span_hashes, word_class
 
@@ -632,7 +632,7 @@ def list_links(table: pa.Table, similarity: int, apart: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+def whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.Table]:
     """Runs of about ``rows`` sorted rows that end where a list ends."""
     held, n = [], 0
 
@@ -705,13 +705,14 @@ def repeated_lines(docs: DataFrame, *, similarity: int = SIMILARITY, id_col: str
         return f"abs({a}.size - {b}.size) <= {apart} AND abs({a}.kind - {b}.kind) < 2 AND (least({a}.kind, {b}.kind) = {BARE} OR {words}) AND (greatest({a}.kind, {b}.kind) = {WORDY} OR {grams})"
 
     posts = table.filter("tok IS NOT NULL").select("tok", F.col("h1").alias("cid"))
-    posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "sim2", "gsim", "size", "kind"), "cid"), "listed", free=True)
+    listed = posts = materialize(posts.join(classes.select(F.col("h").alias("cid"), "sim", "sim2", "gsim", "size", "kind"), "cid"), "listed", free=True)
     # Most lines that share a key are strangers; they leave here.
     posts = posts.alias("x").join(posts.alias("y"), F.expr("x.tok = y.tok AND x.cid != y.cid AND " + possible("x", "y")), "left_semi").distinct()
     posts = materialize(posts, "postings", free=True)
+    drop_table(listed)
     wanted = classes.join(posts.select(F.col("cid").alias("h")).distinct(), "h")
     wanted = materialize(wanted.select("id", "th", "line", "h", "h2"), "wanted")
-    texts = materialize(line_texts(rows, wanted), "texts")
+    texts = materialize(line_texts(rows, wanted), "texts", free=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
